@@ -97,7 +97,7 @@ def mix_rows(rows: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     shape = joined.withColumn("copies", F.lit(0)).withColumn("left", F.lit(0.0)).select(*names, "copies", "left").schema
 
     def level_0(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["doc_id", "size"], ignore_index=True)
+        x = x.sort_values(["size", "doc_id"], ascending=False, ignore_index=True)  # so that a small document is left over
         whole = np.floor(x["want"].to_numpy() + 1e-12)
         took, left, q = pivot(x["size"].to_numpy(), np.clip(x["want"].to_numpy() - whole, 0, 1), [seed, 0, *map(int, key)])
         rest = np.full(len(x), -1.0)
@@ -111,7 +111,7 @@ def mix_rows(rows: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     done = None
 
     def higher(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("bucket", ignore_index=True)
+        x = x.sort_values(["size", "bucket"], ascending=False, ignore_index=True)
         took, left, q = pivot(x["size"].to_numpy(), x["left"].to_numpy(), [seed, 1, *map(int, key)])
         rest = np.full(len(x), -1.0)
         if left >= 0:
