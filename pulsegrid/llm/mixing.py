@@ -4,13 +4,14 @@ A source's target is its share of the mix's size, stopped at `most` times its ow
 sources by weight). Each of its documents should then be copied target / source_size times. The whole part is taken; the fractional
 parts are rounded in pairs: mass moves at random between two documents, in units of words, so that the expected copies and the
 pair's words stay as they are, until one of them is integral. Each bounded bucket of a source leaves
-one fractional document at most; these are rounded against each other in a reduction tree, level by level, and the last by a draw.
+one fractional document at most; these are rounded against each other in a reduction tree, level by level; the last
+one of a source takes the nearer count.
 
 Random numbers depend on the seed, the bucket and the order by doc_id and size only, so reruns agree however rows are laid out.
 
 Defined cases: null text has size 0 and is never taken, nor is any document without words; a null source is a source of its own, the
 last in order; repeated rows are documents of their own; an empty table gives an empty result; other input columns are
-ignored by mix() and kept by copies().
+ignored by mix() and kept by mixed_rows().
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import SPACE, text_or_empty, written
+from pulsegrid.llm.common import SPACE, row_key, take_rows, text_or_empty, written
 
 WEIGHTS = (3, 1, 2)
 
@@ -127,7 +128,7 @@ def mix_rows(rows: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
         width, level = -(-width // fan_in), level + 1
         if width <= 1:
             break
-    last = F.when(F.pmod(F.xxhash64("place", "bucket", F.lit(seed)), F.lit(1 << 30)) < F.col("left") * (1 << 30), 1).otherwise(0)
+    last = F.when(F.col("left") >= 0.5, 1).otherwise(0)  # one document of each source at most: the nearer count
     done = done.unionByName(rest.select("place", "bucket", last.cast("int").alias("took")))
     done = done.select(F.col("place").alias("p2"), F.col("bucket").alias("b2"), "took")
     out = first.join(done, (F.col("left") >= 0) & (F.col("place") == F.col("p2")) & (F.col("bucket") == F.col("b2")), "left")
@@ -142,3 +143,10 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of docs(doc_id, text, source)."""
     rows = written(docs.select("doc_id", "source", n_words().alias("size")), "mix-rows")
     return mix_rows(rows, **how).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs(doc_id, text, source, ...) in as many copies as the mix takes of them."""
+    rows = written(docs.select("doc_id", "source", n_words().alias("size"), *row_key(docs.columns)), "mix-rows")
+    copies = mix_rows(rows, **how).groupBy("_k1", "_k2").agg(F.sum("copies").alias("copies"))
+    return take_rows(docs, copies)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import linededup, mixing, packing, quality, sharding, urlfilter
+from pulsegrid.llm import hpylm, kdtree, linededup, lzprint, mixing, packing, quality, sharding, simhash, urlfilter
 from pulsegrid.llm.common import table
 
 
@@ -16,7 +16,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_first_fit_packing": lambda s, d: packing.pack(table(s, d, "documents")),
         "op3_pivotal_mixing": lambda s, d: mixing.mix(table(s, d, "documents")),
         "op4_wildcard_url_filter": lambda s, d: urlfilter.judge(table(s, d, "pages")),
+        "op5_pitman_yor_scores": lambda s, d: hpylm.score(table(s, d, "documents"), hpylm.held_out()),
+        "op6_gray_order_simhash": lambda s, d: simhash.near_duplicates(table(s, d, "documents")),
+        "op7_lempel_ziv_prints": lambda s, d: lzprint.edited_pairs(table(s, d, "documents")),
         "op8_line_dedup": lambda s, d: linededup.line_report(table(s, d, "documents")),
+        "op9_kd_tree_top_k": lambda s, d: kdtree.top_k(table(s, d, "embeddings")),
         "op10_bradley_terry_quality": lambda s, d: quality.quality_scores(table(s, d, "documents"), table(s, d, "labels")),
     }
 
