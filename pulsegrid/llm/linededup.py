@@ -109,8 +109,9 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     )
     head = streamed.filter("kind = 1")
     own = head.groupBy("part").agg(F.min("doc").alias("here"))
+    # A row per partition at most: small enough to broadcast.
     border = own.join(runs, "part").select("part", F.coalesce("earlier", "here").alias("owner"))
-    head = head.join(border, "part").filter(F.col("doc") != F.col("owner"))
+    head = head.join(F.broadcast(border), "part").filter(F.col("doc") != F.col("owner"))
     cols = ["doc", "row_hash", "pos"]
     return streamed.filter("kind = 0").select(*cols).unionByName(head.select(*cols))
 
