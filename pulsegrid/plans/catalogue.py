@@ -1,19 +1,732 @@
-"""The queries over the test tables, with the SQL that gives the same rows."""
+"""The queries over the test tables, with the SQL that gives the same rows.
+
+Doubles are rounded on both sides, since the two engines add in different orders; adding 0.0 makes a negative zero a plain one.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from pulsegrid.functions import lanes as L
+from pulsegrid.functions import names
+from pulsegrid.operators import geometry, labels, series, signal, stabilise, tracking
+from pulsegrid.sources import folders, images
+from pulsegrid.sources.tables import LANES_SQL, PIXELS_SQL, SAMPLES_SQL, lanes, pixels, samples, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+F0, FPS, N = 1.0, 16.7, 64
+PI = repr(math.pi)
+
+
+def query(name: str, sql: str = "") -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return put
+
+
+def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+def r(c: Column | str, digits: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits) + 0.0
+
+
+def whole(*names_: str) -> list[Column]:
+    return [F.col(n).cast("long").alias(n) for n in names_]
+
+
+# ---- lanes
+
+GOERTZEL = f"sqrt(pow(sum(CASE WHEN t < n - 1 THEN (v - dc) * cos(2 * {PI} * {F0} / {FPS} * t) ELSE 0 END), 2) + pow(sum(CASE WHEN t < n - 1 THEN (v - dc) * sin(2 * {PI} * {F0} / {FPS} * t) ELSE 0 END), 2)) * 2 / max(n)"
+
+
+@query("ac_dc_image", f"WITH {LANES_SQL}, m AS (SELECT *, avg(v) OVER (PARTITION BY vec_id) AS dc FROM lane) SELECT vec_id, round(max(dc), 6) + 0.0 AS dc, round({GOERTZEL}, 6) + 0.0 AS ac FROM m GROUP BY vec_id")
+def ac_dc_image(spark, d):
+    return signal.process(lanes(spark, d), signal.Analysis()).select("vec_id", r("dc").alias("dc"), r("ac").alias("ac"))
+
+
+BIN = f"(2 * {PI} * round({F0} * n / {FPS}) / n * t)"
+
+
+@query("power_at_bin", f"WITH {LANES_SQL} SELECT vec_id, round(sqrt(pow(sum(CASE WHEN t < n - 1 THEN v * cos{BIN} ELSE 0 END), 2) + pow(sum(CASE WHEN t < n - 1 THEN v * sin{BIN} ELSE 0 END), 2)) * 2 / max(n), 6) + 0.0 AS power FROM lane GROUP BY vec_id")
+def power_at_bin(spark, d):
+    return lanes(spark, d).select("vec_id", r(L.power_at_bin(F.col("signal"), F0, FPS)).alias("power"))
+
+
+@query("detrend_lane", f"WITH {LANES_SQL} SELECT vec_id, t, round(v - avg(v) OVER (PARTITION BY vec_id), 6) + 0.0 AS v FROM lane")
+def detrend_lane(spark, d):
+    x = lanes(spark, d).select("vec_id", L.detrend(F.col("signal"), L.mean(F.col("signal"))).alias("signal"))
+    return signal.to_frames(x).select("vec_id", *whole("t"), r("v").alias("v"))
+
+
+@query("time_axis", f"WITH {LANES_SQL} SELECT vec_id, t, round(t / {FPS}, 6) AS time FROM lane")
+def time_axis(spark, d):
+    x = lanes(spark, d).select("vec_id", F.posexplode(L.times(F.col("signal"), FPS)).alias("t", "time"))
+    return x.select("vec_id", *whole("t"), r("time").alias("time"))
+
+
+@query("lane_slice", f"WITH {LANES_SQL} SELECT vec_id, t - 5 AS t, round(v, 6) + 0.0 AS v FROM lane WHERE t BETWEEN 5 AND 40")
+def lane_slice(spark, d):
+    x = lanes(spark, d).select("vec_id", L.cut(F.col("signal"), 5, 40).alias("signal"))
+    return signal.to_frames(x).select("vec_id", *whole("t"), r("v").alias("v"))
+
+
+@query("lane_round_trip", f"WITH {LANES_SQL} SELECT vec_id, count(*) AS n, round(sum(v * (t + 1)), 6) + 0.0 AS weighted FROM lane GROUP BY vec_id")
+def lane_round_trip(spark, d):
+    x = signal.to_frames(signal.to_lanes(signal.to_frames(lanes(spark, d)), ["vec_id", "y", "x", "label"]))
+    return x.groupBy("vec_id").agg(F.count("*").alias("n"), r(F.sum(F.col("v") * (F.col("t") + 1))).alias("weighted"))
+
+
+MEAN = "mean AS (SELECT t, avg(v) AS m FROM lane GROUP BY t)"
+
+
+@query("spatial_mean_signal", f"WITH {LANES_SQL}, {MEAN} SELECT t, round(m, 6) + 0.0 AS m FROM mean")
+def spatial_mean_signal(spark, d):
+    return signal.mean_signal(lanes(spark, d)).select(*whole("t"), r("m").alias("m"))
+
+
+@query("roi_mean_signal", f"WITH {LANES_SQL} SELECT t, round(avg(v), 6) + 0.0 AS m FROM lane WHERE y BETWEEN 2 AND 9 AND x BETWEEN 3 AND 17 GROUP BY t")
+def roi_mean_signal(spark, d):
+    return signal.mean_signal(lanes(spark, d), signal.in_region((2, 9), (3, 17))).select(*whole("t"), r("m").alias("m"))
+
+
+STEPS = "st AS (SELECT t, lead(m) OVER (ORDER BY t) - m AS d, stddev_pop(m) OVER () AS sd FROM mean), steps AS (SELECT t, d, abs(d) > 2 * sd AS outlier FROM st WHERE d IS NOT NULL)"
+
+
+@query("signal_diff_outliers", f"WITH {LANES_SQL}, {MEAN}, {STEPS} SELECT t, round(d, 6) + 0.0 AS d, outlier FROM steps")
+def signal_diff_outliers(spark, d):
+    return signal.steps(signal.mean_signal(lanes(spark, d))).select(*whole("t"), r("d").alias("d"), "outlier")
+
+
+LIMITS = f"""o AS (SELECT CAST(t AS BIGINT) AS pt FROM steps WHERE outlier), e AS (SELECT pt FROM o UNION ALL SELECT 0 UNION ALL SELECT {N - 1}),
+g AS (SELECT pt AS hi, lag(pt) OVER (ORDER BY pt) AS lo, row_number() OVER (ORDER BY pt) AS k FROM e),
+b AS (SELECT lo, hi FROM g WHERE lo IS NOT NULL ORDER BY hi - lo DESC, k DESC LIMIT 1),
+l AS (SELECT CASE WHEN (SELECT count(*) FROM o) = 0 THEN 0 ELSE lo + 1 END AS first, CASE WHEN (SELECT count(*) FROM o) = 0 THEN least({N - 1}, (SELECT max(t) FROM mean)) ELSE hi - 1 END AS last FROM b),
+limits AS (SELECT CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last, CAST(floor((last - first + 1) * ({F0} / {FPS})) AS BIGINT) AS periods FROM l)"""
+
+
+@query("clean_limits", f"WITH {LANES_SQL}, {MEAN}, {STEPS}, {LIMITS} SELECT first, last, periods FROM limits")
+def clean_limits(spark, d):
+    return signal.clean_limits(signal.mean_signal(lanes(spark, d)), 0, N - 1, F0, FPS)
+
+
+TRIM = f"""p AS (SELECT first, last, periods, coalesce((SELECT max(k) FROM range(0, 200) q(k) WHERE k <= periods AND floor(k / {F0} * {FPS} + 0.5) + first <= last), 0) AS p FROM limits),
+raw AS (SELECT first, CAST(least({N - 1}, CASE WHEN periods < 1 THEN greatest(last, {N - 1}) ELSE first + least(floor(p / {F0} * {FPS} + 0.5), {N - 1} - first) END) AS BIGINT) AS last FROM p),
+trimmed AS (SELECT CASE WHEN first >= last THEN 0 ELSE first END AS first, CASE WHEN first >= last THEN {N - 1} ELSE last END AS last FROM raw)"""
+
+
+@query("period_trim", f"WITH {LANES_SQL}, {MEAN}, {STEPS}, {LIMITS}, {TRIM} SELECT first, last FROM trimmed")
+def period_trim(spark, d):
+    return signal.trim_to_periods(signal.clean_limits(signal.mean_signal(lanes(spark, d)), 0, N - 1, F0, FPS), N, F0, FPS)
+
+
+RESAMPLED = f"""c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS s, len(embedding) AS n, CAST(floor((len(embedding) - 1) * (17.0 / {FPS}) + 1e-9) AS INTEGER) + 1 AS cnt FROM embeddings),
+i AS (SELECT vec_id, s, n, cnt, unnest(range(cnt)) AS t FROM c),
+k AS (SELECT *, t * ((n - 1) / greatest(cnt - 1, 1)::DOUBLE) AS pos FROM i),
+u AS (SELECT *, CAST(floor(pos) AS INTEGER) AS k, pos - floor(pos) AS u FROM k),
+q AS (SELECT vec_id, t, cnt, u, s[least(greatest(k - 1, 0), n - 1) + 1] AS a, s[least(k, n - 1) + 1] AS b, s[least(k + 1, n - 1) + 1] AS c, s[least(k + 2, n - 1) + 1] AS d FROM u),
+fine AS (SELECT vec_id, t, cnt, (-a / 2 + 3 * b / 2 - 3 * c / 2 + d / 2) * u * u * u + (a - 5 * b / 2 + 2 * c - d / 2) * u * u + (c / 2 - a / 2) * u + b AS v FROM q)"""
+
+
+@query("resample_cubic", f"WITH {RESAMPLED} SELECT vec_id, t, round(v, 6) + 0.0 AS v FROM fine")
+def resample_cubic(spark, d):
+    x = lanes(spark, d).select("vec_id", L.resample(F.col("signal"), FPS, 17.0).alias("signal"))
+    return signal.to_frames(x).select("vec_id", *whole("t"), r("v").alias("v"))
+
+
+@query("spectrum_one_sided", f"WITH {LANES_SQL}, {MEAN}, k AS (SELECT unnest(range({N // 2})) AS k) SELECT k, round(k * {FPS} / {N}, 8) AS freq, round(sqrt(pow(sum(m * cos(2 * {PI} / {N} * k * t)), 2) + pow(sum(m * sin(2 * {PI} / {N} * k * t)), 2)) * 2 / {N}, 6) AS amp FROM k, mean GROUP BY k")
+def spectrum_one_sided(spark, d):
+    x = signal.spectrum(signal.mean_signal(lanes(spark, d)), N, FPS)
+    return x.select(*whole("k"), r("freq", 8).alias("freq"), r("amp").alias("amp"))
+
+
+def _cascade_sql(source: str, how: signal.Analysis) -> str:
+    """A recursion over time: each step runs the four sections in turn on the next sample."""
+    sections = how.sections().tolist()
+    value, steps = "x", []
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(sections):
+        new = f"y{k}"
+        steps.append((f"{b0!r} * ({value}) + p{k}", new, f"{b1!r} * ({value}) - ({a1!r}) * {new} + q{k}", f"{b2!r} * ({value}) - ({a2!r}) * {new}"))
+        value = new
+    state = ", ".join(f"p{k}, q{k}" for k in range(len(sections)))
+    zero = ", ".join(f"CAST(0 AS DOUBLE) AS p{k}, CAST(0 AS DOUBLE) AS q{k}" for k in range(len(sections)))
+    inner = f"SELECT r.vec_id, r.t + 1 AS t, s.v AS x, {', '.join(f'r.p{k}, r.q{k}' for k in range(len(sections)))} FROM iir r JOIN centred s ON s.vec_id = r.vec_id AND s.t = r.t + 1"
+    for y, name, _, _ in steps:
+        inner = f"SELECT *, {y} AS {name} FROM ({inner})"
+    final = ", ".join(f"{p} AS p{k}, {q} AS q{k}" for k, (_, _, p, q) in enumerate(steps))
+    return f"WITH RECURSIVE {source}, iir(vec_id, t, v, {state}) AS (SELECT DISTINCT vec_id, CAST(-1 AS BIGINT), CAST(0 AS DOUBLE), {zero.replace(' AS p', ' AS p')} FROM centred UNION ALL SELECT vec_id, t, {value} AS v, {final} FROM ({inner}))"
+
+
+BAND = signal.Analysis(band_pass=True)
+
+
+@query("bandpass_sos", f"{_cascade_sql(f'{LANES_SQL}, centred AS (SELECT vec_id, t, v - avg(v) OVER (PARTITION BY vec_id) AS v FROM lane)', BAND)} SELECT vec_id, t, round(v, 6) + 0.0 AS v FROM iir WHERE t >= 0")
+def bandpass_sos(spark, d):
+    return signal.to_frames(signal.process(lanes(spark, d), BAND).select("vec_id", "signal")).select("vec_id", *whole("t"), r("v").alias("v"))
+
+
+FULL = signal.Analysis(band_pass=True, interpolate=True)
+
+
+@query(
+    "process_stack",
+    f"{_cascade_sql(f'{RESAMPLED}, centred AS (SELECT vec_id, t, v - avg(v) OVER (PARTITION BY vec_id) AS v, avg(v) OVER (PARTITION BY vec_id) AS dc, cnt FROM fine)', FULL)} "
+    f"SELECT vec_id, round(max(dc), 6) + 0.0 AS dc, round(sqrt(pow(sum(CASE WHEN t < cnt - 1 THEN i.v * cos(2 * {PI} * {F0} / 17.0 * t) ELSE 0 END), 2) + pow(sum(CASE WHEN t < cnt - 1 THEN i.v * sin(2 * {PI} * {F0} / 17.0 * t) ELSE 0 END), 2)) * 2 / max(cnt), 6) + 0.0 AS ac FROM iir i JOIN centred c USING (vec_id, t) GROUP BY vec_id",
+)
+def process_stack(spark, d):
+    return signal.process(lanes(spark, d), FULL).select("vec_id", r("dc").alias("dc"), r("ac").alias("ac"))
+
+
+@query(
+    "extract_trimmed",
+    f"WITH {LANES_SQL}, {MEAN}, {STEPS}, {LIMITS}, {TRIM}, cut AS (SELECT vec_id, t - first AS t, v, last - first + 1 AS n FROM lane, trimmed WHERE t BETWEEN first AND last), m AS (SELECT *, avg(v) OVER (PARTITION BY vec_id) AS dc FROM cut) SELECT vec_id, round(max(dc), 6) + 0.0 AS dc, round({GOERTZEL}, 6) + 0.0 AS ac FROM m GROUP BY vec_id",
+)
+def extract_trimmed(spark, d):
+    return signal.extract(lanes(spark, d), signal.Analysis(), N).select("vec_id", r("dc").alias("dc"), r("ac").alias("ac"))
+
+
+@query("nearest_sample", f"WITH {SAMPLES_SQL} SELECT lane, arg_min(i, abs(minute - 20000.0) * 1e6 + i * 1e-6) AS i FROM samples GROUP BY lane")
+def nearest_sample(spark, d):
+    return signal.nearest_sample(samples(spark, d), "lane", 20000.0, "minute").select("lane", *whole("i"))
+
+
+# ---- names, folders, measurements
+
+NAMES_SQL = """named AS (SELECT o_orderkey AS seq, 'exp_x' || (o_orderkey % 7) || '_' || (10 + o_orderkey % 15) || CASE WHEN o_orderkey % 3 = 0 THEN 'fps' ELSE 'v' || (o_orderkey % 10) || 'fps' END || '_' ||
+ CASE WHEN (o_orderkey // 60) % 12 < 9 THEN '' || ((o_orderkey // 60) % 12 + 1) ELSE '' || ((o_orderkey // 60) % 12 + 1) END || lpad('' || (o_orderkey % 60), 2, '0') || lpad('' || (o_orderkey % 59), 2, '0') ||
+ CASE WHEN o_orderkey % 2 = 0 THEN ' AM' ELSE ' PM' END AS name FROM orders)"""
+
+
+def named(spark, d):
+    k = F.col("o_orderkey")
+    text = lambda c: c.cast("string")
+    hour = F.expr("(o_orderkey div 60) % 12 + 1")
+    rate = F.when(k % 3 == 0, F.lit("fps")).otherwise(F.concat(F.lit("v"), text(k % 10), F.lit("fps")))
+    half = F.when(k % 2 == 0, " AM").otherwise(" PM")
+    name = F.concat(F.lit("exp_x"), text(k % 7), F.lit("_"), text(10 + k % 15), rate, F.lit("_"), text(hour), F.lpad(text(k % 60), 2, "0"), F.lpad(text(k % 59), 2, "0"), half)
+    return table(spark, d, "orders").select(k.alias("seq"), name.alias("name"))
+
+
+DIGITS = "clock AS (SELECT *, split_part(split_part(name, '_', -1), ' ', 1) AS dg, split_part(split_part(name, '_', -1), ' ', 2) AS half FROM named)"
+LEGACY = "CASE WHEN half = 'PM' AND length(dg) = 5 THEN 60.0 * (CAST(dg[1:1] AS DOUBLE) + 12) + CAST(dg[2:3] AS DOUBLE) + CAST(dg[4:5] AS DOUBLE) / 60 ELSE 60.0 * CAST(dg[1:2] AS DOUBLE) + CAST(dg[3:4] AS DOUBLE) + CAST(dg[5:6] AS DOUBLE) / 60 END"
+CLOCK12 = "60.0 * (CAST(lpad(dg, 6, '0')[1:2] AS DOUBLE) % 12 + CASE WHEN half = 'PM' THEN 12 ELSE 0 END) + CAST(lpad(dg, 6, '0')[3:4] AS DOUBLE) + CAST(lpad(dg, 6, '0')[5:6] AS DOUBLE) / 60"
+
+
+@query("parse_fps", f"WITH {NAMES_SQL} SELECT seq, round(CASE WHEN contains(p, 'v') THEN CAST(split_part(p, 'v', 1) AS DOUBLE) + CAST(split_part(p, 'v', 2) AS DOUBLE) / 10 ELSE CAST(p AS DOUBLE) END, 6) AS fps FROM (SELECT seq, replace(split_part(name, '_', 3), 'fps', '') AS p FROM named)")
+def parse_fps(spark, d):
+    return named(spark, d).select("seq", r(names.fps(F.col("name"))).alias("fps"))
+
+
+@query("parse_time_legacy", f"WITH {NAMES_SQL}, {DIGITS} SELECT seq, round({LEGACY}, 6) AS minutes FROM clock")
+def parse_time_legacy(spark, d):
+    return named(spark, d).select("seq", r(names.minutes_legacy(F.col("name"))).alias("minutes"))
+
+
+@query("parse_time_12h", f"WITH {NAMES_SQL}, {DIGITS} SELECT seq, round({CLOCK12}, 6) AS minutes FROM clock")
+def parse_time_12h(spark, d):
+    return named(spark, d).select("seq", r(names.minutes_12h(F.col("name"))).alias("minutes"))
+
+
+@query(
+    "parse_time_day_folder",
+    f"WITH {NAMES_SQL}, {DIGITS} SELECT seq, CAST(CASE WHEN half = 'AM' THEN 60 * CAST(dg[1:2] AS INTEGER) + CAST(dg[3:4] AS INTEGER) WHEN length(dg) = 5 THEN 60 * CAST(dg[1:1] AS INTEGER) + CAST(dg[2:3] AS INTEGER) + 720 ELSE CAST(dg[2:3] AS INTEGER) + 720 END AS BIGINT) AS minutes FROM clock",
+)
+def parse_time_day_folder(spark, d):
+    return named(spark, d).select("seq", names.minutes_day_folder(F.col("name")).cast("long").alias("minutes"))
+
+
+@query("stride_select", f"WITH {NAMES_SQL}, {DIGITS}, m AS (SELECT name, {CLOCK12} AS minutes FROM clock), z AS (SELECT name, minutes - min(minutes) OVER () AS minutes FROM m), p AS (SELECT *, row_number() OVER (ORDER BY minutes, name) - 1 AS place FROM z WHERE contains(name, '_x3_')) SELECT name, round(minutes, 6) AS minutes, place FROM p WHERE place >= 2 AND (place - 2) % 5 = 0")
+def stride_select(spark, d):
+    x = folders.day_folders(named(spark, d).select("name"), names.minutes_12h(F.col("name")), 2, 5, "_x3_")
+    return x.select("name", r("minutes").alias("minutes"), *whole("place"))
+
+
+FILES_SQL = "files AS (SELECT 'f' || (o_custkey % 100) AS folder, 'img' || lpad('' || o_orderkey, 6, '0') || CASE o_orderpriority WHEN '1-URGENT' THEN '.png' WHEN '2-HIGH' THEN '.tif' WHEN '3-MEDIUM' THEN '.tif' WHEN '5-LOW' THEN '.jpg' ELSE '.txt' END AS file FROM orders)"
+
+
+@query(
+    "majority_format",
+    f"WITH {FILES_SQL}, k AS (SELECT folder, file, split_part(file, '.', 2) AS format FROM files), n AS (SELECT folder, format, count(*) AS n FROM k WHERE format IN ('png', 'tif', 'jpg') GROUP BY ALL), b AS (SELECT folder, format, row_number() OVER (PARTITION BY folder ORDER BY n DESC, list_position(['png', 'tif', 'jpg'], format)) AS rn FROM n) SELECT k.folder, k.file, k.format FROM k JOIN b ON k.folder = b.folder AND k.format = b.format AND rn = 1",
+)
+def majority_format(spark, d):
+    kind = F.col("o_orderpriority")
+    ext = F.when(kind == "1-URGENT", ".png").when(kind.isin("2-HIGH", "3-MEDIUM"), ".tif").when(kind == "5-LOW", ".jpg").otherwise(".txt")
+    files = table(spark, d, "orders").select(F.concat(F.lit("f"), (F.col("o_custkey") % 100).cast("string")).alias("folder"), F.concat(F.lit("img"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), ext).alias("file"))
+    return images.majority_format(files)
+
+
+@query("fraction_limits", "SELECT o_orderkey AS seq, CAST(least(floor(0.25 * n), n - 1) AS BIGINT) AS first, CAST(least(floor(0.9 * n - 1), n - 1) AS BIGINT) AS last FROM (SELECT o_orderkey, 1 + o_custkey % 500 AS n FROM orders)")
+def fraction_limits(spark, d):
+    x = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), names.fraction_limits(F.lit(0.25), F.lit(0.9), 1 + F.col("o_custkey") % 500).alias("l"))
+    return x.select("seq", "l.first", "l.last")
+
+
+@query("shape_check", "SELECT o_custkey AS folder, count(DISTINCT o_orderpriority || o_orderstatus) AS n_shapes, count(DISTINCT o_orderpriority || o_orderstatus) = 1 AS uniform FROM orders GROUP BY 1")
+def shape_check(spark, d):
+    x = table(spark, d, "orders").select(F.col("o_custkey").alias("folder"), F.col("o_orderpriority").alias("h"), F.col("o_orderstatus").alias("w"))
+    return images.shape_check(x, "folder")
+
+
+@query("session_times", "SELECT row_number() OVER (ORDER BY time) - 1 AS frame, time FROM (SELECT DISTINCT CAST(unnest([o_orderkey % 97, o_custkey % 113]) AS DOUBLE) / 4 AS time FROM orders WHERE o_orderkey % 3 = 0)")
+def session_times(spark, d):
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "times").otherwise("area")
+    q = lambda c, n: (F.col(c) % n / 4.0).cast("string")
+    lines = table(spark, d, "orders").select(F.concat_ws(",", kind, q("o_orderkey", 97), q("o_custkey", 113)).alias("value"))
+    return folders.session_times(lines).select("frame", "time")
+
+
+@query(
+    "abs_time_order",
+    f"WITH {NAMES_SQL}, {DIGITS}, m AS (SELECT name, seq, {CLOCK12} AS t FROM clock) SELECT name, seq, row_number() OVER (ORDER BY t, seq) - 1 AS frame, CAST(floor(t / 60) AS BIGINT) AS hour, CAST(floor(t % 60) AS BIGINT) AS minute, round(t, 6) AS abstime FROM m",
+)
+def abs_time_order(spark, d):
+    x = folders.measurements(named(spark, d))
+    return x.select("name", "seq", "frame", *whole("hour", "minute"), r("abstime").alias("abstime"))
+
+
+@query("relative_time", f"WITH {NAMES_SQL}, {DIGITS}, m AS (SELECT seq, {CLOCK12} AS t FROM clock) SELECT seq, round(t - min(t) OVER (), 6) AS time, CAST(trunc(t - min(t) OVER ()) AS BIGINT) AS whole_time FROM m")
+def relative_time(spark, d):
+    x = series.relative_times(folders.measurements(named(spark, d)))
+    return x.select("seq", r("time").alias("time"), F.col("time").cast("long").alias("whole_time"))
+
+
+@query("delete_frame", f"WITH {PIXELS_SQL} SELECT CAST(CASE WHEN frame > 2 THEN frame - 1 ELSE frame END AS BIGINT) AS frame, count(*) AS n FROM pixels WHERE frame <> 2 GROUP BY 1")
+def delete_frame(spark, d):
+    return folders.drop_frame(pixels(spark, d), 2).groupBy("frame").agg(F.count("*").alias("n")).select(*whole("frame"), "n")
+
+
+# ---- labels
+
+RELABEL = "SELECT CAST(frame AS BIGINT) AS frame, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST(CASE WHEN label = 0 THEN 0 ELSE dense_rank() OVER (PARTITION BY frame ORDER BY CASE WHEN label = 0 THEN -1 ELSE label END) - max(CASE WHEN label = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY frame) END AS BIGINT) AS label FROM {}"
+YXL = ["frame", "y", "x", "label"]
+
+
+@query("relabel_contiguous", f"WITH {PIXELS_SQL}, e AS (SELECT * REPLACE (CASE WHEN label IN (2, 5) THEN 0 ELSE label END AS label) FROM pixels) {RELABEL.format('e')}")
+def relabel_contiguous(spark, d):
+    x = pixels(spark, d).withColumn("label", F.when(F.col("label").isin(2, 5), F.lit(0).cast("long")).otherwise(F.col("label")))
+    return labels.relabel(x).select(*whole(*YXL))
+
+
+PICKED = "(SELECT max(label) FROM pixels WHERE frame = 1 AND y = 7 AND x = 9)"
+
+
+@query("delete_label", f"WITH {PIXELS_SQL}, e AS (SELECT * REPLACE (CASE WHEN frame = 1 AND label = {PICKED} THEN 0 ELSE label END AS label) FROM pixels) {RELABEL.format('e')}")
+def delete_label(spark, d):
+    return labels.change(pixels(spark, d), 1, 7, 9, 0).select(*whole(*YXL))
+
+
+@query("change_label", f"WITH {PIXELS_SQL}, e AS (SELECT * REPLACE (CASE WHEN frame = 1 AND label <> 0 AND label = {PICKED} THEN 12 ELSE label END AS label) FROM pixels) {RELABEL.format('e')}")
+def change_label(spark, d):
+    return labels.change(pixels(spark, d), 1, 7, 9, 12).select(*whole(*YXL))
+
+
+@query("paint", f"WITH {PIXELS_SQL} SELECT CAST(frame AS BIGINT) AS frame, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST(CASE WHEN frame = 3 AND y BETWEEN 8 AND 14 AND x BETWEEN 17 AND 23 THEN 10 ELSE label END AS BIGINT) AS label FROM pixels")
+def paint(spark, d):
+    return labels.paint(pixels(spark, d), labels.square(spark, 3, 11, 20, 3, 10)).select(*whole(*YXL))
+
+
+@query("label_count", f"WITH {PIXELS_SQL} SELECT CAST(frame AS BIGINT) AS frame, count(DISTINCT label) AS n_labels FROM pixels GROUP BY 1")
+def label_count(spark, d):
+    return labels.count_labels(pixels(spark, d)).select(*whole("frame"), "n_labels")
+
+
+@query("pick_label", f"WITH {PIXELS_SQL} SELECT CAST(label AS BIGINT) AS label FROM pixels WHERE frame = 1 AND y = 7 AND x = 9")
+def pick_label(spark, d):
+    return labels.pick(pixels(spark, d), 1, 7, 9).select(*whole("label"))
+
+
+CELLS_SQL = "cells AS (SELECT frame, label, avg(y) AS com_y, avg(x) AS com_x, count(*) AS area FROM pixels WHERE label <> 0 GROUP BY 1, 2)"
+
+
+@query("label_area_com", f"WITH {PIXELS_SQL}, {CELLS_SQL} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, round(com_y, 6) AS com_y, round(com_x, 6) AS com_x, area FROM cells")
+def label_area_com(spark, d):
+    return labels.shape_stats(pixels(spark, d)).select(*whole("frame", "label"), r("com_y").alias("com_y"), r("com_x").alias("com_x"), "area")
+
+
+def _stats_sql(v: str, digits: int) -> str:
+    return f"WITH {PIXELS_SQL} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, round(avg({v}), {digits}) AS {v}_mean, round(min({v}), {digits}) AS {v}_min, round(max({v}), {digits}) AS {v}_max FROM pixels WHERE label <> 0 GROUP BY 1, 2"
+
+
+def _stats(spark, d, v: str, digits: int):
+    return labels.intensity_stats(pixels(spark, d), v).select(*whole("frame", "label"), *[r(c, digits).alias(c) for c in (f"{v}_mean", f"{v}_min", f"{v}_max")])
+
+
+@query("label_dc_stats", _stats_sql("dc", 4))
+def label_dc_stats(spark, d):
+    return _stats(spark, d, "dc", 4)
+
+
+@query("label_ac_stats", _stats_sql("ac", 6))
+def label_ac_stats(spark, d):
+    return _stats(spark, d, "ac", 6)
+
+
+@query("background_mean", f"WITH {PIXELS_SQL} SELECT CAST(frame AS BIGINT) AS frame, round(avg(CASE WHEN label = 0 THEN ac END), 6) AS background FROM pixels GROUP BY 1")
+def background_mean(spark, d):
+    return labels.background(pixels(spark, d)).select(*whole("frame"), r("background").alias("background"))
+
+
+MOMENTS = "mom AS (SELECT frame, label, var_pop(y) AS vy, var_pop(x) AS vx, covar_pop(y, x) AS vxy FROM pixels WHERE label <> 0 GROUP BY 1, 2), ell AS (SELECT frame, label, (vy + vx) / 2 AS mid, sqrt(pow((vy - vx) / 2, 2) + pow(vxy, 2)) AS gap, 0.5 * degrees(atan2(2 * vxy, vx - vy)) AS angle FROM mom)"
+
+
+@query("moment_ellipse", f"WITH {PIXELS_SQL}, {MOMENTS} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, round(4 * sqrt(mid + gap), 5) AS major, round(4 * sqrt(greatest(mid - gap, 0)), 5) AS minor, round(angle, 5) + 0.0 AS angle FROM ell")
+def moment_ellipse(spark, d):
+    return labels.moment_ellipse(pixels(spark, d)).select(*whole("frame", "label"), r("major", 5).alias("major"), r("minor", 5).alias("minor"), r("angle", 5).alias("angle"))
+
+
+#: ac is rounded first: a value that lies on a bin's edge would else fall to either side by its last bit.
+OTSU = """ends AS (SELECT frame, label, min(ac) AS lo, max(ac) AS hi FROM pix WHERE label <> 0 GROUP BY 1, 2 HAVING max(ac) > min(ac)),
+binned AS (SELECT p.*, CAST(floor((ac - lo) / (hi - lo) * 255) AS INTEGER) AS bin FROM pix p JOIN ends USING (frame, label)),
+hist AS (SELECT frame, label, bin, CAST(count(*) AS DOUBLE) AS n FROM binned GROUP BY 1, 2, 3),
+cum AS (SELECT *, sum(n) OVER u AS w0, sum(n * bin) OVER u AS s0, sum(n) OVER w AS w, sum(n * bin) OVER w AS s FROM hist WINDOW u AS (PARTITION BY frame, label ORDER BY bin), w AS (PARTITION BY frame, label)),
+var AS (SELECT frame, label, bin, round(w0 * (w - w0) * pow(s0 / w0 - (s - s0) / (w - w0), 2), 6) AS between_ FROM cum WHERE w > w0),
+otsu AS (SELECT frame, label, bin AS threshold FROM var QUALIFY row_number() OVER (PARTITION BY frame, label ORDER BY between_ DESC, bin) = 1)"""
+PIX = "pix AS (SELECT * REPLACE (round(ac, 8) AS ac) FROM pixels)"
+
+
+def _rounded(spark, d):
+    return pixels(spark, d).withColumn("ac", F.round("ac", 8))
+
+
+@query("otsu_threshold", f"WITH {PIXELS_SQL}, {PIX}, {OTSU} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, CAST(threshold AS BIGINT) AS threshold FROM otsu")
+def otsu_threshold(spark, d):
+    return labels.otsu(labels.bins(_rounded(spark, d))).select(*whole("frame", "label", "threshold"))
+
+
+@query(
+    "interior_contrast",
+    f"""WITH {PIXELS_SQL}, {PIX}, {OTSU}, ins AS (SELECT b.frame, b.label, b.y, b.x FROM binned b JOIN otsu USING (frame, label) WHERE bin >= threshold),
+p AS (SELECT a.*, i.y IS NOT NULL AS inside FROM pix a LEFT JOIN ins i USING (frame, label, y, x) WHERE label <> 0),
+g AS (SELECT frame, label, count(*) AS area, avg(dc) AS dcm, count(*) FILTER (WHERE inside) AS ia, avg(ac) FILTER (WHERE inside) AS im, coalesce(avg(ac) FILTER (WHERE NOT inside), 0) AS cm FROM p GROUP BY 1, 2),
+b AS (SELECT frame, avg(ac) FILTER (WHERE label = 0) AS bg FROM pix GROUP BY 1)
+SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, ia AS interior_area, round(coalesce(im, 0), 6) AS interior_mean, round(cm, 6) AS contour_mean,
+round(CASE WHEN im + bg <> 0 THEN (im - bg) / (im + bg) ELSE 0 END, 6) + 0.0 AS back_contrast, round(CASE WHEN im + cm <> 0 THEN (im - cm) / (im + cm) ELSE 0 END, 6) + 0.0 AS contour_contrast,
+round(CASE WHEN im IS NOT NULL AND dcm <> 0 THEN im / dcm ELSE 0 END, 12) AS ac_dc_ratio, round(ia / area, 6) AS solidity FROM g JOIN b USING (frame)""",
+)
+def interior_contrast(spark, d):
+    x = labels.interior_features(_rounded(spark, d))
+    rest = [r(c).alias(c) for c in ("interior_mean", "contour_mean", "back_contrast", "contour_contrast")]
+    return x.select(*whole("frame", "label"), "interior_area", *rest, r("ac_dc_ratio", 12).alias("ac_dc_ratio"), r("solidity").alias("solidity"))
+
+
+# ---- tracking
+
+OVERLAPS = "common AS (SELECT a.frame, a.label, b.label AS next_label, count(*) AS common FROM pixels a JOIN pixels b ON b.frame = a.frame + 1 AND b.y = a.y AND b.x = a.x WHERE a.label <> 0 AND b.label <> 0 GROUP BY 1, 2, 3)"
+FWD = "fwd AS (SELECT frame, label, next_label, common / area AS frac FROM common JOIN cells USING (frame, label) WHERE area > 1)"
+BACK = "back AS (SELECT c.frame + 1 AS frame, c.next_label AS label, c.label AS prev_label, c.common / k.area AS frac FROM common c JOIN cells k ON k.frame = c.frame + 1 AND k.label = c.next_label)"
+CAST3 = "CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, CAST(next_label AS BIGINT) AS next_label"
+ALL = f"WITH RECURSIVE {PIXELS_SQL}, {CELLS_SQL}, {OVERLAPS}, {FWD}, {BACK}"
+DIST = "sqrt(pow(a.com_y - b.com_y, 2) + pow(a.com_x - b.com_x, 2))"
+PAIRED = "FROM cells a JOIN cells b ON b.frame = a.frame + 1"
+SCORED = f"""scored AS (SELECT f.frame, f.label, f.next_label, f.frac, (f.frac + least(1, 2 * f.frac) + ra + least(1, 2 * ra) + least(1, 1 / CASE WHEN dist = 0 THEN 1e-4 ELSE dist END)) / 8 AS score
+FROM fwd f JOIN (SELECT a.frame, a.label, b.label AS next_label, {DIST} AS dist, CASE WHEN b.area / a.area > 1 THEN a.area / b.area ELSE b.area / a.area END AS ra {PAIRED}) d USING (frame, label, next_label) WHERE f.frac > 0.10)"""
+KEPT = "kept AS (SELECT * FROM scored WHERE score > 0.3)"
+BEST = """best AS (SELECT frame, label, prev_label FROM back QUALIFY row_number() OVER (PARTITION BY frame, label ORDER BY frac DESC, prev_label) = 1),
+edges AS (SELECT k.* FROM (SELECT *, count(*) OVER (PARTITION BY frame, next_label) AS parents FROM kept) k LEFT JOIN best b ON b.frame = k.frame + 1 AND b.label = k.next_label WHERE parents = 1 OR b.prev_label = k.label)"""
+ROOTS = "tops AS (SELECT frame, label, 'Cell_' || (row_number() OVER (ORDER BY frame, label) - 1) AS track, row_number() OVER (ORDER BY frame, label) - 1 AS k FROM cells c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.frame + 1 = c.frame AND e.next_label = c.label))"
+WALK = """steps AS (SELECT frame, label, next_label, row_number() OVER (PARTITION BY frame, label ORDER BY next_label) - 1 AS place, count(*) OVER (PARTITION BY frame, label) AS siblings FROM edges),
+walk AS (SELECT track, frame, label, lpad('' || k, 9, '0') AS path FROM tops UNION ALL SELECT CASE WHEN siblings = 1 THEN w.track ELSE w.track || '_' || place END, w.frame + 1, s.next_label, w.path || '.' || lpad('' || place, 4, '0') FROM walk w JOIN steps s ON w.frame = s.frame AND w.label = s.label)"""
+NET = f"{ALL}, {SCORED}, {KEPT}, {BEST}, {ROOTS}, {WALK}"
+
+
+def _cells(spark, d):
+    p = pixels(spark, d)
+    return p, labels.shape_stats(p)
+
+
+def _edges(spark, d):
+    p, c = _cells(spark, d)
+    return p, c, tracking.network(p, c)
+
+
+def _walk(spark, d):
+    p, c, e = _edges(spark, d)
+    return p, c, e, tracking.lineages(c, e)
+
+
+@query("forward_overlap", f"{ALL} SELECT {CAST3}, round(frac, 6) AS frac FROM fwd")
+def forward_overlap(spark, d):
+    p, c = _cells(spark, d)
+    return tracking.forward(tracking.overlaps(p), c).select(*whole("frame", "label", "next_label"), r("frac").alias("frac"))
+
+
+@query("back_overlap", f"{ALL} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, CAST(prev_label AS BIGINT) AS prev_label, round(frac, 6) AS frac FROM back")
+def back_overlap(spark, d):
+    p, c = _cells(spark, d)
+    return tracking.backward(tracking.overlaps(p), c).select(*whole("frame", "label", "prev_label"), r("frac").alias("frac"))
+
+
+@query("inverse_distance", f"{ALL} SELECT CAST(a.frame AS BIGINT) AS frame, CAST(a.label AS BIGINT) AS label, CAST(b.label AS BIGINT) AS next_label, round({DIST}, 6) AS distance, round(least(1, 1 / CASE WHEN {DIST} = 0 THEN 1e-4 ELSE {DIST} END), 6) AS nearness {PAIRED}")
+def inverse_distance(spark, d):
+    _, c = _cells(spark, d)
+    x = tracking.successive(tracking.frame_pairs(c), c)
+    return x.select(*whole("frame", "label", "next_label"), r(tracking.distance()).alias("distance"), r(tracking.inverse_distance()).alias("nearness"))
+
+
+@query("ratio_scores", f"{ALL} SELECT CAST(a.frame AS BIGINT) AS frame, CAST(a.label AS BIGINT) AS label, CAST(b.label AS BIGINT) AS next_label, round(CASE WHEN a.area = 0 THEN 0 WHEN b.area / a.area > 1 THEN a.area / b.area ELSE b.area / a.area END, 6) AS area_ratio {PAIRED}")
+def ratio_scores(spark, d):
+    _, c = _cells(spark, d)
+    x = tracking.successive(tracking.frame_pairs(c), c)
+    return x.select(*whole("frame", "label", "next_label"), r(tracking.ratio_score("area")).alias("area_ratio"))
+
+
+@query("candidate_scores", f"{ALL}, {SCORED} SELECT {CAST3}, round(score, 6) AS score FROM scored")
+def candidate_scores(spark, d):
+    p, c = _cells(spark, d)
+    return tracking.candidates(tracking.forward(tracking.overlaps(p), c), c).select(*whole("frame", "label", "next_label"), r("score").alias("score"))
+
+
+@query("edges_thresholded", f"{ALL}, {SCORED}, {KEPT} SELECT {CAST3}, round(score, 6) AS score FROM kept")
+def edges_thresholded(spark, d):
+    p, c = _cells(spark, d)
+    return tracking.threshold(tracking.candidates(tracking.forward(tracking.overlaps(p), c), c)).select(*whole("frame", "label", "next_label"), r("score").alias("score"))
+
+
+@query("candidate_lists", f"{ALL}, {SCORED} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, string_agg('' || next_label, ',' ORDER BY round(score, 9), next_label) AS candidates FROM scored GROUP BY 1, 2")
+def candidate_lists(spark, d):
+    p, c = _cells(spark, d)
+    x = tracking.candidates(tracking.forward(tracking.overlaps(p), c), c)
+    best = F.array_sort(F.collect_list(F.struct(F.round("score", 9).alias("score"), F.col("next_label").cast("long").alias("next_label"))))
+    return x.groupBy(*whole("frame", "label")).agg(F.array_join(F.transform(best, lambda s: s["next_label"].cast("string")), ",").alias("candidates"))
+
+
+@query("best_parent_edges", f"{ALL}, {SCORED}, {KEPT}, {BEST} SELECT {CAST3}, round(score, 6) AS score FROM edges")
+def best_parent_edges(spark, d):
+    return _edges(spark, d)[2].select(*whole("frame", "label", "next_label"), r("score").alias("score"))
+
+
+@query("roots", f"{ALL}, {SCORED}, {KEPT}, {BEST}, {ROOTS} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, track FROM tops")
+def roots(spark, d):
+    _, c, e = _edges(spark, d)
+    return tracking.roots(c, e).select(*whole("frame", "label"), "track")
+
+
+@query("lineages", f"{NET} SELECT track, CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label FROM walk")
+def lineages(spark, d):
+    return _walk(spark, d)[3].select("track", *whole("frame", "label"))
+
+
+@query("virtual_coords", f"{NET} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, row_number() OVER (PARTITION BY frame ORDER BY path) AS row FROM walk")
+def virtual_coords(spark, d):
+    return tracking.virtual_rows(_walk(spark, d)[3]).select(*whole("frame", "label", "row"))
+
+
+NODES = "nodes AS (SELECT row_number() OVER (ORDER BY frame, label) - 1 AS id, frame, label, row_number() OVER (PARTITION BY frame ORDER BY path) AS row, track FROM walk), arcs AS (SELECT a.id AS a, b.id AS b FROM edges e JOIN nodes a ON a.frame = e.frame AND a.label = e.label JOIN nodes b ON b.frame = e.frame + 1 AND b.label = e.next_label)"
+
+
+@query("export_graph", f"{NET}, {NODES} SELECT a.id AS a, a.track AS a_track, b.id AS b, b.track AS b_track FROM arcs JOIN nodes a ON a.id = arcs.a JOIN nodes b ON b.id = arcs.b")
+def export_graph(spark, d):
+    _, c, e, w = _walk(spark, d)
+    nodes, arcs = tracking.export_graph(c, e, w)
+    side = lambda s: nodes.select(F.col("id").alias(s), F.col("track").alias(f"{s}_track"))
+    return arcs.join(side("a"), "a").join(side("b"), "b").select(*whole("a"), "a_track", *whole("b"), "b_track")
+
+
+@query("graph_moves", f'{NET}, {NODES} SELECT id, (SELECT min(b) FROM arcs WHERE a = id) AS "right", (SELECT min(a) FROM arcs WHERE b = id) AS "left", lead(id) OVER (PARTITION BY frame ORDER BY row) AS above, lag(id) OVER (PARTITION BY frame ORDER BY row) AS below FROM nodes')
+def graph_moves(spark, d):
+    _, c, e, w = _walk(spark, d)
+    return tracking.neighbours(*tracking.export_graph(c, e, w)).select(*whole("id", "right", "left", "above", "below"))
+
+
+@query("filter_area", f"WITH {PIXELS_SQL}, {CELLS_SQL} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label FROM cells WHERE area < 100")
+def filter_area(spark, d):
+    return _cells(spark, d)[1].filter("area < 100").select(*whole("frame", "label"))
+
+
+@query("filter_aspect", f"WITH {PIXELS_SQL}, {MOMENTS} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label FROM ell WHERE mid - gap > 0 AND sqrt((mid + gap) / (mid - gap)) < 1.1")
+def filter_aspect(spark, d):
+    return labels.moment_ellipse(pixels(spark, d)).filter((F.col("minor") > 0) & (F.col("major") / F.col("minor") < 1.1)).select(*whole("frame", "label"))
+
+
+@query("filter_lineage", f"{NET} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label FROM walk WHERE contains(track, 'Cell_1') AND split_part(track, '_', 2) = '1'")
+def filter_lineage(spark, d):
+    return tracking.of_lineage(_walk(spark, d)[3], "Cell_1").select(*whole("frame", "label"))
+
+
+@query("apply_filter", f"WITH {PIXELS_SQL}, {CELLS_SQL}, e AS (SELECT p.* REPLACE (CASE WHEN c.area < 260 THEN 0 ELSE p.label END AS label) FROM pixels p LEFT JOIN cells c USING (frame, label)) {RELABEL.format('e')}")
+def apply_filter(spark, d):
+    p, c = _cells(spark, d)
+    return labels.relabel(tracking.remove(p, c.filter("area < 260"))).select(*whole(*YXL))
+
+
+@query("delete_node", f"WITH {PIXELS_SQL} SELECT CAST(frame AS BIGINT) AS frame, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST(CASE WHEN frame = 2 AND label = 3 THEN 0 WHEN frame = 2 AND label > 3 THEN label - 1 ELSE label END AS BIGINT) AS label FROM pixels")
+def delete_node(spark, d):
+    return tracking.delete_node(pixels(spark, d), 2, 3).select(*whole(*YXL))
+
+
+@query(
+    "edit_link_unlink",
+    f"{ALL}, {SCORED}, {KEPT}, {BEST}, a AS (SELECT frame, label, frame + 1 AS next_frame, next_label FROM edges WHERE NOT (frame + 1 = 4 AND next_label = 2) UNION ALL SELECT 1, 3, 4, 2), b AS (SELECT * FROM a WHERE NOT (next_frame = 2 AND next_label = 5)) SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, CAST(next_frame AS BIGINT) AS next_frame, CAST(next_label AS BIGINT) AS next_label FROM b",
+)
+def edit_link_unlink(spark, d):
+    e = _edges(spark, d)[2].select("frame", "label", "next_label")
+    return tracking.unlink(tracking.link(e, (4, 2), (1, 3)), (2, 5), "l").select(*whole("frame", "label", "next_frame", "next_label"))
+
+
+# ---- series
+
+FEATURES = "feat AS (SELECT frame, label, count(*) AS area, avg(dc) AS dc_mean, avg(ac) AS ac_mean FROM pixels WHERE label <> 0 AND NOT (frame = 1 AND label = 4) GROUP BY 1, 2)"
+
+
+def _series(spark, d):
+    p, c, e, w = _walk(spark, d)
+    f = p.filter("label <> 0 AND NOT (frame = 1 AND label = 4)").groupBy("frame", "label").agg(F.count("*").alias("area"), F.avg("dc").alias("dc_mean"), F.avg("ac").alias("ac_mean"))
+    return series.with_features(w.select("track", "frame", "label"), f)
+
+
+@query("lineage_features", f"{NET}, {FEATURES} SELECT track, CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, area, round(dc_mean, 4) AS dc_mean, round(ac_mean, 6) AS ac_mean, area IS NULL AS missing FROM walk LEFT JOIN feat USING (frame, label)")
+def lineage_features(spark, d):
+    return _series(spark, d).select("track", *whole("frame", "label"), "area", r("dc_mean", 4).alias("dc_mean"), r("ac_mean").alias("ac_mean"), "missing")
+
+
+@query("cell_series", f"{NET}, {FEATURES} SELECT track, string_agg('' || frame, ',' ORDER BY frame) AS frames, string_agg('' || area, ',' ORDER BY frame) AS areas FROM walk JOIN feat USING (frame, label) GROUP BY track")
+def cell_series(spark, d):
+    x = series.collected(_series(spark, d).filter("not missing"), ["area"])
+    return x.select("track", F.array_join(F.col("frame").cast("array<string>"), ",").alias("frames"), F.array_join(F.col("area").cast("array<string>"), ",").alias("areas"))
+
+
+@query("export_rows", f"{NET}, {FEATURES}, g AS (SELECT track, string_agg('' || area || '.000000', ',' ORDER BY frame) AS areas FROM walk JOIN feat USING (frame, label) GROUP BY track) SELECT track, CAST(unnest([0, 1, 2]) AS BIGINT) AS row, unnest([track, 'area,' || areas, '']) AS line FROM g")
+def export_rows(spark, d):
+    return series.export_rows(_series(spark, d).filter("not missing"), ["area"]).select("track", *whole("row"), "line")
+
+
+@query("feature_unpivot", f"{NET}, {FEATURES}, j AS (SELECT track, CAST(frame AS BIGINT) AS frame, CAST(area AS DOUBLE) AS area, ac_mean FROM walk JOIN feat USING (frame, label)) SELECT track, frame, 'area' AS feature, round(area, 6) AS value FROM j UNION ALL SELECT track, frame, 'ac_mean', round(ac_mean, 6) FROM j")
+def feature_unpivot(spark, d):
+    x = _series(spark, d).filter("not missing").withColumn("area", F.col("area").cast("double"))
+    return series.unpivoted(x, ["area", "ac_mean"]).select("track", *whole("frame"), "feature", r("value").alias("value"))
+
+
+@query("lineage_select", f"{NET} SELECT DISTINCT track, split_part(track, '_', 2) AS root FROM walk WHERE contains(track, 'Cell_1') OR contains(track, 'Cell_3_')")
+def lineage_select(spark, d):
+    x = _walk(spark, d)[3].filter(series.selects("track", ["Cell_1", "Cell_3_"]))
+    return x.select("track", names.root_of(F.col("track")).alias("root")).distinct()
+
+
+@query("track_series", f"{NET}, {FEATURES} SELECT CAST(frame AS BIGINT) AS frame, area FROM walk JOIN feat USING (frame, label) WHERE track = 'Cell_0'")
+def track_series(spark, d):
+    return _series(spark, d).filter("not missing AND track = 'Cell_0'").select(*whole("frame"), "area")
+
+
+@query("time_range", f"WITH {SAMPLES_SQL} SELECT round(min(minute), 6) AS first_time, round(max(minute), 6) AS last_time FROM samples")
+def time_range(spark, d):
+    x = series.time_range(samples(spark, d).withColumn("time", F.col("minute")))
+    return x.select(r("first_time").alias("first_time"), r("last_time").alias("last_time"))
+
+
+NEAR = "near AS (SELECT lane, i, minute, value, abs(minute - 20000.0) AS off FROM samples WHERE minute BETWEEN 20000.0 - 60 AND 20000.0 + 60)"
+
+
+@query("nearest_time_tolerance", f"WITH {SAMPLES_SQL}, {NEAR} SELECT lane, i, round(value, 6) AS value FROM near QUALIFY row_number() OVER (PARTITION BY lane ORDER BY off, i) = 1")
+def nearest_time_tolerance(spark, d):
+    x = series.at_time(samples(spark, d), "lane", 20000.0, "minute", "i", 60.0)
+    return x.select("lane", *whole("i"), r("value").alias("value"))
+
+
+@query(
+    "nearest_time_join",
+    f'WITH {SAMPLES_SQL}, q AS (SELECT DISTINCT lane, unnest([1000.0, 9000.5, 25000.25]) AS pt FROM samples), j AS (SELECT q.lane, q.pt, s.i, s.value, abs(s.minute - q.pt) AS off FROM q JOIN samples s ON s.lane = q.lane AND abs(s.minute - q.pt) <= 90) SELECT lane, CAST(pt AS DOUBLE) AS "at", i, round(value, 6) AS value FROM j QUALIFY row_number() OVER (PARTITION BY lane, pt ORDER BY off, i) = 1',
+)
+def nearest_time_join(spark, d):
+    s = samples(spark, d)
+    q = s.select("lane").distinct().select("lane", F.explode(F.array(*map(F.lit, (1000.0, 9000.5, 25000.25)))).alias("at"))
+    x = series.nearest_times(q, s, "lane", "minute", "i", 90.0)
+    return x.select("lane", "at", *whole("i"), r("value").alias("value"))
+
+
+# ---- geometry and stabilisation on drawn shapes
+
+#: Frame, label, first and last row, first and last column of drawn rectangles.
+RECTANGLES = ((0, 1, 2, 9, 3, 12), (0, 2, 12, 18, 3, 9), (1, 1, 3, 10, 4, 7), (1, 2, 3, 10, 9, 13), (1, 3, 13, 19, 4, 10), (2, 1, 4, 11, 5, 8), (2, 2, 4, 11, 10, 14), (2, 3, 14, 20, 5, 5), (2, 4, 22, 22, 22, 22))
+SIDE = 26
+
+
+def drawn(spark: SparkSession) -> DataFrame:
+    """frame, y, x, label, dc, ac: the rectangles on an empty ground, brighter towards their middles."""
+    boxes = spark.createDataFrame([*RECTANGLES], "frame long, label long, y0 long, y1 long, x0 long, x1 long")
+    ground = spark.range(3 * SIDE * SIDE).select(F.expr(f"id div {SIDE * SIDE}").alias("frame"), F.expr(f"id % {SIDE * SIDE} div {SIDE}").alias("y"), F.expr(f"id % {SIDE}").alias("x"))
+    inside = (F.col("g.frame") == F.col("b.frame")) & F.col("y").between(F.col("y0"), F.col("y1")) & F.col("x").between(F.col("x0"), F.col("x1"))
+    x = ground.alias("g").join(F.broadcast(boxes).alias("b"), inside, "left")
+    edge = F.least(F.col("y") - F.col("y0"), F.col("y1") - F.col("y"), F.col("x") - F.col("x0"), F.col("x1") - F.col("x"))
+    bright = F.coalesce(10.0 + 20.0 * F.least(edge, F.lit(2)), F.lit(1.0))
+    return x.select("g.frame", "y", "x", F.coalesce("label", F.lit(0)).cast("long").alias("label"), (5.0 * bright + F.col("y") * 0.25 + F.col("x") * 0.125).alias("dc"), bright.alias("ac"))
+
+
+@query("contours")
+def contours(spark, d):
+    return geometry.contours(drawn(spark))
+
+
+@query("ellipse_fit")
+def ellipse_fit(spark, d):
+    return geometry.ellipses(drawn(spark))
+
+
+@query("convexity")
+def convexity(spark, d):
+    return geometry.convexity(drawn(spark))
+
+
+@query("interior_regions")
+def interior_regions(spark, d):
+    p = drawn(spark)
+    return labels.interior_features(p, geometry.interiors(p))
+
+
+@query("segment_default")
+def segment_default(spark, d):
+    return geometry.segment(drawn(spark)).groupBy("frame", "label").agg(F.count("*").alias("n"))
+
+
+@query("stabilise_shift")
+def stabilise_shift(spark, d):
+    return stabilise.shifts(drawn(spark))
+
+
+#: Dx, dy of the frames after the first, for the tables of shifts below.
+SHIFTS = ((1, 1.4, -2.2), (2, 0.7, 3.6))
+SHIFTS_SQL = "warps(frame, dx, dy) AS (VALUES (1, 1.4, -2.2), (2, 0.7, 3.6)), bk AS (SELECT CAST(frame AS BIGINT) AS frame, CAST(-sum(dx) OVER (ORDER BY frame) AS DOUBLE) AS dx, CAST(-sum(dy) OVER (ORDER BY frame) AS DOUBLE) AS dy FROM warps)"
+
+
+def _back(spark):
+    return stabilise.back_to_first(spark.createDataFrame([*SHIFTS], "frame long, dx double, dy double"))
+
+
+@query("cumulative_shift", f"WITH {SHIFTS_SQL} SELECT frame, round(dx, 6) AS dx, round(dy, 6) AS dy FROM bk")
+def cumulative_shift(spark, d):
+    return _back(spark).select("frame", r("dx").alias("dx"), r("dy").alias("dy"))
+
+
+PADS = 'pads AS (SELECT CAST(floor(greatest(0, -min(dy))) AS BIGINT) AS top, CAST(greatest(0, floor(greatest(0, max(dy) + 48)) - 48) AS BIGINT) AS bottom, CAST(floor(greatest(0, -min(dx))) AS BIGINT) AS "left", CAST(greatest(0, floor(greatest(0, max(dx) + 48)) - 48) AS BIGINT) AS "right" FROM bk)'
+
+
+@query("pad_bounds", f"WITH {SHIFTS_SQL}, {PADS} SELECT * FROM pads")
+def pad_bounds(spark, d):
+    return stabilise.pads(_back(spark), 48, 48)
+
+
+@query(
+    "warp_nearest",
+    f"""WITH {PIXELS_SQL}, {SHIFTS_SQL}, {PADS}, im AS (SELECT * FROM pixels WHERE frame < 3),
+moved AS (SELECT im.frame, CAST(y + floor(coalesce(dy, 0) + 0.5) + top AS BIGINT) AS y, CAST(x + floor(coalesce(dx, 0) + 0.5) + "left" AS BIGINT) AS x, label FROM im LEFT JOIN bk ON bk.frame = im.frame, pads),
+canvas AS (SELECT f.frame, a.y, b.x FROM (SELECT DISTINCT frame FROM im) f, pads, range(0, 48 + top + bottom) a(y), range(0, 48 + "left" + "right") b(x))
+SELECT CAST(c.frame AS BIGINT) AS frame, c.y, c.x, CAST(coalesce(label, 0) AS BIGINT) AS label FROM canvas c LEFT JOIN moved m ON m.frame = c.frame AND m.y = c.y AND m.x = c.x""",
+)
+def warp_nearest(spark, d):
+    p = pixels(spark, d).filter("frame < 3").select("frame", "y", "x", "label")
+    return stabilise.warp(p, _back(spark), 48, 48, None).select(*whole(*YXL))
