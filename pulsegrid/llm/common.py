@@ -1,12 +1,14 @@
-"""What the operators of this subpackage share: table reading and tables written to the cluster's shared folder."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pulsegrid.sources.saved import shared_dir, written
+
+__all__ = ["SPACE", "row_key", "shared_dir", "table", "take_rows", "text_or_empty", "written"]
 
 #: Bytes between words, as the regular expression class [\x20\x09-\x0D]; bytes.split() splits at exactly these.
 SPACE = r"\x20\x09-\x0D"
@@ -16,41 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where the session names none (tests), a temporary one for this process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="pulsegrid-")
-        shared_dir.own = root
-    return root
-
-
-def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/pulsegrid-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def parts_for(spark: SparkSession, units: float, unit: float) -> int:
-    """Partitions for `units` of work at `unit` each, at least the session's own number of shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(units // unit) + 1)
+def row_key(df: DataFrame) -> list[Column]:
+    """128 bits that equal rows share, as the columns _pg_k1 and _pg_k2. Columns of this subpackage's own start with _pg_."""
 
+    def plain(field: T.StructField) -> Column:
+        c = F.col(f"`{field.name}`")
+        return F.array_sort(F.map_entries(c)) if isinstance(field.dataType, T.MapType) else c
 
-def row_key(columns: list[str]) -> list[Column]:
-    """128 bits that equal rows share, as the columns _k1 and _k2."""
-    cols = [F.col(f"`{c}`") for c in columns]
-    return [F.xxhash64(*cols).alias("_k1"), F.xxhash64(F.lit("second"), *cols).alias("_k2")]
+    cols = [plain(f) for f in df.schema.fields]
+    return [F.xxhash64(*cols).alias("_pg_k1"), F.xxhash64(F.lit("second"), *cols).alias("_pg_k2")]
 
 
 def take_rows(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """The rows of docs, in as many copies as copies(_k1, _k2, copies) says for their key; a row per key there, equal rows count as one.
+    """The rows of docs, in as many copies as copies(_pg_k1, _pg_k2, _pg_copies) says for their key; a row per key there, equal rows count as one.
 
     The join leaves rows sorted and partitioned by the key, so dropping what repeats needs no further shuffle."""
-    keyed = docs.select("*", *row_key(docs.columns))
-    one = keyed.join(copies.filter("copies > 0"), ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
-    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select("*", *row_key(docs))
+    one = keyed.join(copies.filter("_pg_copies > 0"), ["_pg_k1", "_pg_k2"]).dropDuplicates(["_pg_k1", "_pg_k2"])
+    again = F.explode(F.sequence(F.lit(1), F.col("_pg_copies").cast("int")))
+    return one.withColumn("_pg_copy", again).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -150,9 +150,9 @@ def kept(text: str, bitmap: bytes | None) -> tuple[str, int, int]:
 
 
 def with_bitmaps(docs: DataFrame, min_chars: int) -> DataFrame:
-    bits = keep_bitmaps(docs, min_chars).withColumnsRenamed({"doc": "_doc", "row_hash": "_row", "keep": "_keep"})
-    x = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_row", F.xxhash64(text_or_empty()))
-    return x.join(bits, ["_doc", "_row"], "left")
+    bits = keep_bitmaps(docs, min_chars).withColumnsRenamed({"doc": "_pg_doc", "row_hash": "_pg_row", "keep": "_pg_keep"})
+    x = docs.withColumn("_pg_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_pg_row", F.xxhash64(text_or_empty()))
+    return x.join(bits, ["_pg_doc", "_pg_row"], "left")
 
 
 def line_report(docs: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -166,7 +166,7 @@ def line_report(docs: DataFrame, min_chars: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     x = with_bitmaps(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), min_chars)
-    return x.select("doc_id", "text", "_keep").mapInArrow(report, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return x.select("doc_id", "text", "_pg_keep").mapInArrow(report, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def dedup_rows(docs: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -176,7 +176,7 @@ def dedup_rows(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     def reduced(text: pd.Series, bitmap: pd.Series) -> pd.Series:
         return pd.Series([kept(t, k)[0] for t, k in zip(text, bitmap, strict=True)], dtype=object)
 
-    x = with_bitmaps(docs, min_chars).withColumn("text", F.when(F.col("text").isNotNull(), reduced(text_or_empty(), "_keep")))
+    x = with_bitmaps(docs, min_chars).withColumn("text", F.when(F.col("text").isNotNull(), reduced(text_or_empty(), "_pg_keep")))
     if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.when(F.col("_keep").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        x = x.withColumn("n_chars", F.when(F.col("_pg_keep").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return x.select(*[F.col(f"`{c}`") for c in docs.columns])

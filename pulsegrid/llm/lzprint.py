@@ -117,7 +117,7 @@ def edited_pairs(docs: DataFrame, keep: int = 64, longest: int = 32) -> DataFram
 
     ordered = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    streamed = written(ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(stream, kinds), "lz-stream")
+    streamed = written(ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(stream, kinds), "lz-stream", "zstd")
     # One first and one last row for each partition: the k-th partition's last row is followed by the next one's first.
     w = Window.orderBy("part")
     heads = streamed.filter("kind = 1").select("part")

@@ -147,6 +147,6 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs(doc_id, text, source, ...) in as many copies as the mix takes of them."""
-    rows = written(docs.select("doc_id", "source", n_words().alias("size"), *row_key(docs.columns)), "mix-rows")
-    copies = mix_rows(rows, **how).groupBy("_k1", "_k2").agg(F.sum("copies").alias("copies"))
+    rows = written(docs.select("doc_id", "source", n_words().alias("size"), *row_key(docs)), "mix-rows")
+    copies = mix_rows(rows, **how).groupBy("_pg_k1", "_pg_k2").agg(F.sum("copies").alias("_pg_copies"))
     return take_rows(docs, copies)

@@ -232,6 +232,6 @@ def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
 
 def one_of_each(docs: DataFrame, most: int = 3) -> DataFrame:
     """A row of docs for each group of near-duplicates: the one of the least doc_id, ties by the row's hash."""
-    rows = written(docs.select("doc_id", fingerprint_column().alias("fp"), *row_key(docs.columns)), "simhash-rows")
-    best = group_rows(rows, most).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")).alias("x"))
-    return take_rows(docs, best.select("x._k1", "x._k2", F.lit(1).alias("copies")))
+    rows = written(docs.select("doc_id", fingerprint_column().alias("fp"), *row_key(docs)), "simhash-rows")
+    best = group_rows(rows, most).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_pg_k1", "_pg_k2")).alias("x"))
+    return take_rows(docs, best.select("x._pg_k1", "x._pg_k2", F.lit(1).alias("_pg_copies")))
