@@ -8,15 +8,27 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import written
 
 
+SALTS = 4
+
+
+def _join_least(rows: DataFrame, key: str, least: DataFrame) -> DataFrame:
+    """rows with m of least(node, m) for their key. A hot node's rows are dealt over several tasks, and since both sides are
+    shuffled for this join alone, adaptive execution may split them further."""
+    many = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int"))
+    return salted.join(many, (salted[key] == many["node"]) & (salted["salt"] == many["salt"])).select("a", "b", "m")
+
+
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """large: each node links its larger neighbours to its least neighbour; small: its smaller neighbours and itself."""
+    """large: each node links its larger neighbours to its least neighbour or itself; small: its smaller neighbours and itself.
+
+    edges(a, b) have a > b."""
+    least = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
     if large:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        return both.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        # The nodes with a smaller neighbour hand it to their larger ones; at all others the edges stay as they are.
+        own = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("m"))
+        return _join_least(edges, "b", own.unionByName(least).groupBy("node").agg(F.min("m").alias("m"))).select("a", F.col("m").alias("b"))
+    return _join_least(edges, "a", least).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("node").alias("a"), F.col("m").alias("b")))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
