@@ -81,7 +81,7 @@ def pivot(sizes: np.ndarray, fractions: np.ndarray, seed: list[int]) -> tuple[np
     return took, left, q
 
 
-def mix_rows(rows: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, bucket: int = 16384, fan_in: int = 256, seed: int = 3) -> DataFrame:
+def mix_rows(rows: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, bucket: int = 2048, fan_in: int = 256, seed: int = 3) -> DataFrame:
     """rows(row_key..., source, size) with source_size, target, copies. rows must have doc_id; other columns are kept."""
     sums = written(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), "mix-sources")
     goal = targets(sums.select("source", "source_size"), share, most, weights)
