@@ -2,9 +2,9 @@
 
 A source's target is its share of the mix's size, stopped at `most` times its own size (the excess goes to the other
 sources by weight). Each of its documents should then be copied target / source_size times. The whole part is taken; the fractional
-parts are rounded in pairs: mass moves at random between two documents, in units of words, so that the expected copies and the
-pair's words stay as they are, until one of them is integral. Each bounded bucket of a source leaves
-one fractional document at most; these are rounded against each other in a reduction tree, level by level; the last
+parts are rounded in pairs: mass moves at random between the two sides, in units of words, so that the expected copies and the
+pair's words stay as they are, until one side is integral. Within a bounded bucket of a source a document is paired with
+the pool of the smaller ones, which share one fraction. Each bucket leaves one fractional document at most; these are rounded against each other in a reduction tree, level by level; the last
 one of a source takes the nearer count.
 
 Random numbers depend on the seed, the bucket and the order by doc_id and size only, so reruns agree however rows are laid out.
@@ -16,6 +16,8 @@ ignored by mix() and kept by mixed_rows().
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -81,6 +83,32 @@ def pivot(sizes: np.ndarray, fractions: np.ndarray, seed: list[int]) -> tuple[np
     return took, left, q
 
 
+def pivot_pool(sizes: np.ndarray, p: float, seed: list[int]) -> tuple[np.ndarray, int, float]:
+    """As pivot(), for documents that share one fraction p, by descending size.
+
+    Each document is paired with the pool of all after it, whose common fraction gives or takes the words that move. Large ones are settled
+    while the pool can still make up for them, so what is left over in the end is small."""
+    took = np.zeros(len(sizes), np.int32)
+    s = sizes[sizes > 0].tolist()
+    draws = np.random.Generator(np.random.PCG64(seed)).random(len(s)).tolist()
+    rest = sum(s)
+    for i, (a, u) in enumerate(zip(s, draws, strict=True)):
+        rest -= a
+        if p < 1e-12 or p > 1 - 1e-12:
+            took[i : len(s)] = round(p)
+            break
+        if not rest:
+            return took, i, p
+        up, down = min((1 - p) * a, p * rest), min(p * a, (1 - p) * rest)
+        move = up if u * (up + down) < down else -down
+        q, p = p + move / a, p - move / rest
+        if 1e-12 < q < 1 - 1e-12:  # the pool is integral, this document is not
+            took[i + 1 : len(s)] = round(p)
+            return took, i, q
+        took[i] = round(q)
+    return took, -1, 0.0
+
+
 def mix_rows(rows: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, bucket: int = 2048, fan_in: int = 256, seed: int = 3) -> DataFrame:
     """rows(row_key..., source, size) with source_size, target, copies. rows must have doc_id; other columns are kept."""
     sums = written(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), "mix-sources")
@@ -98,13 +126,14 @@ def mix_rows(rows: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     shape = joined.withColumn("copies", F.lit(0)).withColumn("left", F.lit(0.0)).select(*names, "copies", "left").schema
 
     def level_0(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["size", "doc_id"], ascending=False, ignore_index=True)  # so that a small document is left over
-        whole = np.floor(x["want"].to_numpy() + 1e-12)
-        took, left, q = pivot(x["size"].to_numpy(), np.clip(x["want"].to_numpy() - whole, 0, 1), [seed, 0, *map(int, key)])
+        x = x.sort_values(["size", "doc_id"], ascending=False, ignore_index=True)
+        want = float(x["want"].iloc[0])  # one for all documents of a source
+        whole = math.floor(want + 1e-12)
+        took, left, q = pivot_pool(x["size"].to_numpy(), min(max(want - whole, 0.0), 1.0), [seed, 0, *map(int, key)])
         rest = np.full(len(x), -1.0)
         if left >= 0:
             rest[left] = q
-        return x.assign(copies=np.where(x["size"] > 0, whole.astype(np.int32) + took, 0).astype(np.int32), left=rest)[[*names, "copies", "left"]]
+        return x.assign(copies=np.where(x["size"] > 0, whole + took, 0).astype(np.int32), left=rest)[[*names, "copies", "left"]]
 
     first = written(joined.groupBy("place", "bucket").applyInPandas(level_0, shape), "mix-first")
     level, width = 1, goal.agg(F.max("n_buckets")).first()[0] or 1

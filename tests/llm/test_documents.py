@@ -135,6 +135,20 @@ def test_pivot_keeps_the_sum():
     assert np.all(mean <= np.array([0.2, 0.5, 0.7, 0.4]) + 0.05)
 
 
+def test_pool_keeps_sum_and_expectation():
+    rng = np.random.default_rng(11)
+    for k in range(50):
+        sizes, p = np.sort(rng.integers(0, 50, 100))[::-1], float(rng.random())
+        took, left, q = mixing.pivot_pool(sizes, p, [k])
+        assert set(took.tolist()) <= {0, 1}
+        assert abs((sizes * took).sum() + (sizes[left] * q if left >= 0 else 0) - p * sizes.sum()) < 1e-6
+    runs = [mixing.pivot_pool(np.array([90, 7, 5, 5, 2, 1]), 0.3, [k]) for k in range(6000)]
+    mean = np.mean([t + (q * (np.arange(6) == left) if left >= 0 else 0) for t, left, q in runs], axis=0)
+    assert np.allclose(mean, 0.3, atol=0.03)
+    for p in (0.0, 1.0):
+        assert mixing.pivot_pool(np.array([3, 2, 0]), p, [1])[0].tolist() == [int(p), int(p), 0]
+
+
 def test_mixed_rows_are_whole(crowded):
     got = mixing.mixed_rows(crowded)
     assert got.columns == crowded.columns
