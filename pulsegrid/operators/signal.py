@@ -126,6 +126,31 @@ def nearest_sample(samples: DataFrame, key: str, at: float, time: str, index: st
     return samples.groupBy(key).agg(F.min_by(F.col(index), F.struct(F.abs(F.col(time) - at), F.col(index))).alias(index))
 
 
+def region_limits(mean: DataFrame, left: float, right: float, fps: float, offset: int = 0) -> DataFrame:
+    """first, last: the samples nearest to two times (the first ones of equals), the second moved one up, counted from an offset."""
+    time = F.col("t") / fps
+    nearest = lambda at: F.min_by("t", F.struct(F.abs(time - at), F.col("t")))
+    return mean.agg((nearest(left) + offset).cast("long").alias("first"), (nearest(right) + 1 + offset).cast("long").alias("last"))
+
+
+def frequency_limits(low: str, high: str, top: float, default: tuple[float, float] = (0.1, 6.0)) -> tuple[float, float]:
+    """Two typed frequencies within 0 and the spectrum's end; the default pair if one can't be read."""
+    try:
+        return max(float(low), 0.0), min(float(high), top)
+    except ValueError:
+        return default
+
+
+def view(stack: DataFrame, first: int, last: int) -> DataFrame:
+    """t, y, x, v of the frames of a stack from first to last, both included."""
+    return to_frames(stack).filter(F.col("t").between(first, last))
+
+
+def read_point(stack: DataFrame, t: int, y: int, x: int) -> DataFrame:
+    """v at a point; no row outside the stack."""
+    return stack.filter((F.col("y") == y) & (F.col("x") == x) & (F.size("signal") > t) & F.lit(t >= 0)).select(F.element_at("signal", t + 1).alias("v"))
+
+
 def random_stack(spark, frames: int = 400, height: int = 300, width: int = 300, seed: int = 0) -> DataFrame:
     """y, x, signal of uniform noise, as a stack to start with."""
     pixels = spark.range(height * width).select(F.expr(f"id div {width}").alias("y"), F.expr(f"id % {width}").alias("x"))

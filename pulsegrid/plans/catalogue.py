@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import lanes as L
 from pulsegrid.functions import names
-from pulsegrid.operators import geometry, labels, series, signal, stabilise, tracking
+from pulsegrid.operators import geometry, labels, measure, series, signal, stabilise, tracking
 from pulsegrid.sources import folders, images
 from pulsegrid.sources.tables import LANES_SQL, PIXELS_SQL, SAMPLES_SQL, lanes, pixels, samples, table
 
@@ -206,6 +206,21 @@ def nearest_sample(spark, d):
     return signal.nearest_sample(samples(spark, d), "lane", 20000.0, "minute").select("lane", *whole("i"))
 
 
+@query("region_limits", f"WITH {LANES_SQL}, {MEAN} SELECT (SELECT t FROM mean ORDER BY abs(t / {FPS} - 0.71), t LIMIT 1) + 2 AS first, (SELECT t FROM mean ORDER BY abs(t / {FPS} - 2.5), t LIMIT 1) + 3 AS last")
+def region_limits(spark, d):
+    return signal.region_limits(signal.mean_signal(lanes(spark, d)), 0.71, 2.5, FPS, 2)
+
+
+@query("viewer_slice", f"WITH {LANES_SQL} SELECT vec_id, t, round(v, 6) + 0.0 AS v FROM lane WHERE t BETWEEN 10 AND 12")
+def viewer_slice(spark, d):
+    return signal.view(lanes(spark, d), 10, 12).select("vec_id", *whole("t"), r("v").alias("v"))
+
+
+@query("point_read", f"WITH {LANES_SQL} SELECT round(v, 6) + 0.0 AS v FROM lane WHERE y = 3 AND x = 4 AND t = 17")
+def point_read(spark, d):
+    return signal.read_point(lanes(spark, d), 17, 3, 4).select(r("v").alias("v"))
+
+
 # ---- names, folders, measurements
 
 NAMES_SQL = """named AS (SELECT o_orderkey AS seq, 'exp_x' || (o_orderkey % 7) || '_' || (10 + o_orderkey % 15) || CASE WHEN o_orderkey % 3 = 0 THEN 'fps' ELSE 'v' || (o_orderkey % 10) || 'fps' END || '_' ||
@@ -688,6 +703,17 @@ def interior_regions(spark, d):
     return labels.interior_features(p, geometry.interiors(p))
 
 
+@query("cell_features")
+def cell_features(spark, d):
+    return measure.features(drawn(spark), with_outlines=True)
+
+
+@query("measured_series")
+def measured_series(spark, d):
+    times = spark.createDataFrame([(0, 600.0), (1, 610.5), (2, 622.0)], "frame long, abstime double")
+    return measure.measure(drawn(spark), times)
+
+
 @query("segment_default")
 def segment_default(spark, d):
     return geometry.segment(drawn(spark)).groupBy("frame", "label").agg(F.count("*").alias("n"))

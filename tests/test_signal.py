@@ -114,3 +114,14 @@ def test_random_stack(spark):
     v = [x for r in s.collect() for x in r.signal]
     assert len(v) == 240 and 0 <= min(v) and max(v) < 1 and abs(np.mean(v) - 0.5) < 0.1
     assert s.collect() == signal.random_stack(spark, 20, 3, 4).collect()
+
+
+def test_typed_frequencies():
+    assert signal.frequency_limits("-1", "99", 8.0) == (0.0, 8.0) and signal.frequency_limits("x", "2", 8.0) == (0.1, 6.0)
+
+
+def test_points_and_views(spark):
+    s = stack(spark, [[1, 2, 3], [4, 5, 6]])
+    assert signal.read_point(s, 2, 0, 1).first().v == 6
+    assert signal.read_point(s, 3, 0, 1).count() == 0 and signal.read_point(s, -1, 0, 1).count() == 0 and signal.read_point(s, 0, 9, 9).count() == 0
+    assert signal.view(s, 1, 2).count() == 4

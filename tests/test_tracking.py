@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import geometry, labels, series, stabilise, tracking
+from pulsegrid.operators import geometry, labels, measure, series, stabilise, tracking
 from pulsegrid.plans.catalogue import drawn
 
 
@@ -188,3 +188,15 @@ def test_warp_brings_frames_together(spark):
     assert where(0) == where(1) and len(where(0)) == 9
     empty = w.filter("frame = 0 AND y = 0 AND x = 0").first()
     assert empty.dc == pytest.approx(15.0) and w.filter("frame = 1 AND x = 0 AND y = 17").count() == 1
+
+
+def test_whole_measurement(spark):
+    times = spark.createDataFrame([(0, 600.0), (1, 610.5), (2, 622.0)], "frame long, abstime double")
+    rows = measure.measure(drawn(spark), times).collect()
+    got = {(r.frame, r.label): r for r in rows}
+    assert len(rows) == 9 and got[0, 1].track == "Cell_0" and got[0, 1].time == 0 and got[2, 1].time == 22
+    assert got[1, 1].track == "Cell_0_0" and got[1, 2].track == "Cell_0_1" and got[2, 4].track.count("_") == 1
+    assert got[0, 1].area == 80 and got[0, 1].ac_max == 50 and not any(r.missing for r in rows)
+    full = measure.features(drawn(spark), with_outlines=True).filter("frame = 0 AND label = 1").first()
+    assert len(full.total) == 33 and full.total[0] == full.total[-1] and len(full.interior) == 1
+    assert series.attributes(measure.features(drawn(spark), with_outlines=True)) == measure.FEATURES
