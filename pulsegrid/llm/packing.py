@@ -112,12 +112,12 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, group: int = 8192,
     whole = pieces.filter(F.col("length") == size).select(*cols, (F.col("piece") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < size)
     groups = max(1, math.ceil(rest.count() / group))
-    per_group = 1 << 40  # room for the bins of a group between two groups' first ids
+    room = 1 << 32  # of ids for each group; ids of whole sequences are odd, these are even
 
     def fill(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("piece", ignore_index=True)
         bins, offsets = first_fit_decreasing(x["length"].to_numpy(), size)
-        return x[cols].assign(sequence_id=2 * (key[0] * (per_group >> 8) + bins), offset=offsets)
+        return x[cols].assign(sequence_id=2 * (int(key[0]) * room + bins), offset=offsets)
 
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     packed = rest.withColumn("grp", F.pmod(F.xxhash64("piece", F.lit(seed)), F.lit(groups))).groupBy("grp").applyInPandas(fill, kinds)

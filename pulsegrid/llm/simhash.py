@@ -220,7 +220,8 @@ def group_rows(rows: DataFrame, most: int = 3) -> DataFrame:
     found = components(links(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
     of = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of = written(of, "simhash-roots")
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that both sides of the join are shuffled for it and a component of very many fingerprints can be split.
+    least = written(of.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-components")
     return rows.join(of.select("fp", "root").join(least, "root"), "fp")
 
 

@@ -26,7 +26,7 @@ def rows() -> list[tuple]:
     out += [(None, "a null id has a text of its own", "en", "s2", None), (None, None, None, None, None)]
     out += [(105, body[7], "en", "s3", 9)] * 2 + [(106, "one id, two texts of it", "en", "s3", 1), (106, "another text of the id", "en", "s3", 1)]
     out += [(107, " ".join(texts(3000, 2)), "en", "s0", 1), (108, "x" * 70_000, "en", "s2", 1), (109, "été über 😀 <|endoftext|> \x1c \x85 \xa0 naïve\x0bword\x0cend\r\n" + body[5], "de", "s\u00e9", 1)]
-    out += [(110, body[9].upper(), "en", "S0", 2), (111, body[9] + " tail", "en", "s0", 3)]
+    out += [(110, body[9].upper(), "en", "S0", 2), (111, body[9] + " tail", "en", "s0", 3), ((1 << 60) + 1, "a very large id", "en", "s2", 3)]
     return out
 
 
