@@ -17,8 +17,20 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+_paths: list[str] = []
+
+
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder, read again."""
     path = f"{shared_dir(df.sparkSession)}/pulsegrid-{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that this process has written. DataFrames that still read them can't be used afterwards."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    while _paths:
+        path = path_of(_paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

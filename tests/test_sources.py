@@ -124,3 +124,16 @@ def test_stream_of_lanes(spark, tmp_path):
         assert spark.table("activity").count() == 12
     finally:
         q.stop()
+
+
+def test_written_tables_are_cleared(spark):
+    from pathlib import Path
+
+    from pulsegrid.sources import saved
+
+    saved.clear(spark)
+    t = saved.written(spark.range(5), "five")
+    files = [Path(f.removeprefix("file://")) for f in t.inputFiles()]
+    assert t.count() == 5 and all(f.exists() for f in files)
+    saved.clear(spark)
+    assert not any(f.exists() for f in files)
