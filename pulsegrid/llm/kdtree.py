@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import written
 
+NO_FLOOR = -(1 << 62)
+
 
 class Tree:
     """Nodes in arrays: box, children, and the leaf's slice of the reordered vectors."""
@@ -116,8 +118,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sha
     batches = max(1, -(-n // (every * batch)))
     queries = queries.withColumn("batch", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(batches)).cast("int")).select("vec_id", "dim", "v", "row", "batch")
     # A shard meets the queries of a batch in one group; both sides of it are bounded.
+    none = F.lit(NO_FLOOR)  # in place of null, since pandas would make the column one of floats
     places = F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))
-    sent = index.select("shard", places.alias("batch"), F.lit(False).alias("asks"), "vec_id", "dim", "v", F.col("row"), F.lit(None).cast("long").alias("floor"))
+    sent = index.select("shard", places.alias("batch"), F.lit(False).alias("asks"), "vec_id", "dim", "v", F.col("row"), none.alias("floor"))
 
     def meet(asked: DataFrame, only_best: bool) -> DataFrame:
         copies = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "batch", F.lit(True).alias("asks"), "vec_id", "dim", "v", "row", "floor")
@@ -130,9 +133,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sha
                     continue
                 both = _vectors(pd.concat([have["v"], ask["v"]]))
                 tree = Tree(have["vec_id"].to_numpy(), both[: len(have)], leaf)
-                floors = ask["floor"].astype("object").where(ask["floor"].notna(), -(1 << 62))
-                for own, row, q, floor in zip(ask["vec_id"].tolist(), ask["row"].tolist(), both[len(have) :], floors, strict=True):
-                    out += [(own, row, -i, s) for s, i in tree.search(own, q, k, int(floor), only_best)]
+                for own, row, q, floor in zip(ask["vec_id"].tolist(), ask["row"].tolist(), both[len(have) :], ask["floor"].tolist(), strict=True):
+                    out += [(own, row, -i, s) for s, i in tree.search(own, q, k, floor, only_best)]
             return pd.DataFrame(out, columns=["query_id", "row", "vec_id", "score"]).astype("int64")
 
         tasks = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), max(1, shards * batches))
@@ -140,7 +142,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sha
         return both.repartition(tasks, "shard", "batch").groupBy("shard", "batch").applyInPandas(search, "query_id long, row long, vec_id long, score long")
 
     best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
-    nearest = written(meet(queries.withColumn("floor", F.lit(None).cast("long")), True), "kd-first")
+    nearest = written(meet(queries.withColumn("floor", none), True), "kd-first")
     floors = nearest.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("row", F.col("score").alias("floor"))
-    found = meet(queries.join(floors, "row", "left"), False)
+    found = meet(queries.join(floors, "row", "left").withColumn("floor", F.coalesce("floor", none)), False)
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

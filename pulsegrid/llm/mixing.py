@@ -20,6 +20,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,17 +126,20 @@ def mix_rows(rows: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     names = joined.columns
     shape = joined.withColumn("copies", F.lit(0)).withColumn("left", F.lit(0.0)).select(*names, "copies", "left").schema
 
-    def level_0(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["size", "doc_id"], ascending=False, ignore_index=True)
-        want = float(x["want"].iloc[0])  # one for all documents of a source
+    order = [(c, "descending") for c in ("size", "doc_id", *(n for n in names if n.startswith("_pg_")))]
+
+    def level_0(key: tuple, x: pa.Table) -> pa.Table:
+        x = x.sort_by(order)
+        sizes, want = x["size"].to_numpy(), x["want"][0].as_py()  # one for all documents of a source
         whole = math.floor(want + 1e-12)
-        took, left, q = pivot_pool(x["size"].to_numpy(), min(max(want - whole, 0.0), 1.0), [seed, 0, *map(int, key)])
-        rest = np.full(len(x), -1.0)
+        took, left, q = pivot_pool(sizes, min(max(want - whole, 0.0), 1.0), [seed, 0, key[0].as_py(), key[1].as_py()])
+        rest = np.full(len(sizes), -1.0)
         if left >= 0:
             rest[left] = q
-        return x.assign(copies=np.where(x["size"] > 0, whole + took, 0).astype(np.int32), left=rest)[[*names, "copies", "left"]]
+        copies = np.where(sizes > 0, whole + took, 0).astype(np.int32)
+        return x.select(names).append_column("copies", pa.array(copies)).append_column("left", pa.array(rest))
 
-    first = written(joined.groupBy("place", "bucket").applyInPandas(level_0, shape), "mix-first")
+    first = written(joined.groupBy("place", "bucket").applyInArrow(level_0, shape), "mix-first")
     level, width = 1, goal.agg(F.max("n_buckets")).first()[0] or 1
     rest = first.filter("left >= 0").select("place", "bucket", "size", "left", F.col("bucket").alias("node"))
     done = None

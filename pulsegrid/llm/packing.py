@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,11 +113,11 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, group: int = 8192,
     groups = max(1, math.ceil(rest.count() / group))
     room = 1 << 32  # of ids for each group; ids of whole sequences are odd, these are even
 
-    def fill(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("piece", ignore_index=True)
+    def fill(key: tuple, x: pa.Table) -> pa.Table:
+        x = x.sort_by("piece")
         bins, offsets = first_fit_decreasing(x["length"].to_numpy(), size)
-        return x[cols].assign(sequence_id=2 * (int(key[0]) * room + bins), offset=offsets)
+        return x.select(cols).append_column("sequence_id", pa.array(2 * (key[0].as_py() * room + bins))).append_column("offset", pa.array(offsets))
 
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    packed = rest.withColumn("grp", F.pmod(F.xxhash64("piece", F.lit(seed)), F.lit(groups))).groupBy("grp").applyInPandas(fill, kinds)
+    packed = rest.withColumn("grp", F.pmod(F.xxhash64("piece", F.lit(seed)), F.lit(groups))).groupBy("grp").applyInArrow(fill, kinds)
     return whole.unionByName(packed)
