@@ -35,7 +35,7 @@ def pair_up(z: np.ndarray) -> list[tuple[complex, complex]]:
     return [(complex(p), complex(np.conj(p))) for p in upper] + [(complex(a), complex(b)) for a, b in zip(real[::2], real[1::2], strict=True)]
 
 
-def butter_bandpass(order: int, low: float, high: float, fps: float) -> np.ndarray:
+def band_pass_sections(order: int, low: float, high: float, fps: float) -> np.ndarray:
     """[order, 6]: b0, b1, b2, a0, a1, a2 of each section, a0 = 1; gain 1 in the middle of the band."""
     if not 0 < low < high or high >= fps / 2:
         raise ValueError("a band needs 0 < low < high < fps / 2")

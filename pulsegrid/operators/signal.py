@@ -31,7 +31,7 @@ class Analysis:
         return float(math.floor(self.fps + 0.5)) if self.interpolate else self.fps
 
     def sections(self):
-        return filters.butter_bandpass(self.order, *filters.clamp_band(self.low, self.high, self.frequency, self.final_fps), self.final_fps)
+        return filters.band_pass_sections(self.order, *filters.clamp_band(self.low, self.high, self.frequency, self.final_fps), self.final_fps)
 
 
 def to_lanes(frames: DataFrame, keys: list[str]) -> DataFrame:

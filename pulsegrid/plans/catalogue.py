@@ -141,7 +141,7 @@ i AS (SELECT vec_id, s, n, cnt, unnest(range(cnt)) AS t FROM c),
 k AS (SELECT *, t * ((n - 1) / greatest(cnt - 1, 1)::DOUBLE) AS pos FROM i),
 u AS (SELECT *, CAST(floor(pos) AS INTEGER) AS k, pos - floor(pos) AS u FROM k),
 q AS (SELECT vec_id, t, cnt, u, s[least(greatest(k - 1, 0), n - 1) + 1] AS a, s[least(k, n - 1) + 1] AS b, s[least(k + 1, n - 1) + 1] AS c, s[least(k + 2, n - 1) + 1] AS d FROM u),
-fine AS (SELECT vec_id, t, cnt, (-a / 2 + 3 * b / 2 - 3 * c / 2 + d / 2) * u * u * u + (a - 5 * b / 2 + 2 * c - d / 2) * u * u + (c / 2 - a / 2) * u + b AS v FROM q)"""
+fine AS (SELECT vec_id, t, cnt, (2 * pow(u, 3) - 3 * u * u + 1) * b + (pow(u, 3) - 2 * u * u + u) * (c - a) / 2 + (3 * u * u - 2 * pow(u, 3)) * c + (pow(u, 3) - u * u) * (d - b) / 2 AS v FROM q)"""
 
 
 @query("resample_cubic", f"WITH {RESAMPLED} SELECT vec_id, t, round(v, 6) + 0.0 AS v FROM fine")

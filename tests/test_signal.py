@@ -30,7 +30,7 @@ def test_last_sample_is_left_out_of_the_sum(spark):
 
 
 def test_band_edges():
-    s = filters.butter_bandpass(4, 0.1, 6.0, FPS)
+    s = filters.band_pass_sections(4, 0.1, 6.0, FPS)
     at = lambda f: abs(filters.response(s, np.exp(2j * math.pi * f / FPS)))
     assert s.shape == (4, 6)
     assert at(0.1) == pytest.approx(2**-0.5, rel=1e-6) and at(6.0) == pytest.approx(2**-0.5, rel=1e-6)
@@ -38,7 +38,7 @@ def test_band_edges():
 
 
 def test_filter_is_its_response(spark):
-    s = filters.butter_bandpass(4, 0.5, 4.0, FPS)
+    s = filters.band_pass_sections(4, 0.5, 4.0, FPS)
     n = 2048
     got = np.array(stack(spark, [np.eye(1, n)[0], np.eye(1, 7)[0]]).select(lanes.sos_filter(s)("signal").alias("y")).collect()[0].y)
     spectrum = np.fft.rfft(got)
@@ -51,7 +51,7 @@ def test_band_is_clamped_or_refused():
     with pytest.raises(ValueError):
         filters.clamp_band(0, 6, 1, FPS)
     with pytest.raises(ValueError):
-        filters.butter_bandpass(4, 1, 9, 16.7)
+        filters.band_pass_sections(4, 1, 9, 16.7)
 
 
 def mean_of(spark, values):
