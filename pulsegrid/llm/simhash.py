@@ -8,14 +8,20 @@ task returns the edges that joined something, not all pairs.
 
 The directory of chunks has at most about `directory` entries whatever the input (chunks grow instead), so it may be broadcast.
 
+near_duplicates() links fingerprints of word shingles and nothing else. one_of_each() is about texts: two of them are near copies if their sets of five-word
+shingles have a likeness of 0.8 or more, by 128 min-hashes. It looks for them with several SimHashes of a text's distinct words, which an edit moves
+by few bits, so that the index prunes well; a pair within the allowed number of bits in any of them is compared, unless it is joined already.
+
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and is linked like any other; fewer than three words make one
 shingle; component_id is the least doc_id that is not null among the component's (null if all are); repeated rows and doc_ids are rows of
-their own; an empty table gives an empty result; other input columns are ignored by near_duplicates() and kept by one_of_each().
+their own; an empty table gives an empty result; other input columns are ignored by near_duplicates() and kept by one_of_each(). For one_of_each() texts of the
+same words in the same order are copies, so are all without words, and fewer than five words make one shingle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -52,6 +58,61 @@ def fingerprint_column(shingle: int = 3, seed: int = 42):
     return compute(text_or_empty())
 
 
+SKETCH = 128  # min-hashes of a sketch, four bits of each
+DIFFER = 24  # of them differ at a likeness of 0.8, where a sixteenth of those that differ look equal
+_DRAWN = np.random.default_rng(6)
+FACTORS, TERMS = _DRAWN.integers(1 << 31, size=SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1), _DRAWN.integers(1 << 32, size=SKETCH, dtype=np.uint32)
+
+
+def sketch(words: list[bytes], shingle: int = 5) -> bytes:
+    """Four bits of each of SKETCH min-hashes of the set of shingles."""
+    digest, n = xxhash.xxh3_64_intdigest, max(1, len(words) - shingle + 1)
+    hashes = np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle])) for i in range(n)), np.uint64, n).astype(np.uint32))
+    least = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * FACTORS + TERMS).min(axis=0), out=least)
+    bits = ((least * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint8)
+    return (bits[::2] << 4 | bits[1::2]).tobytes()
+
+
+def alike(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the sketches (rows of 64-bit words) at i and j show a likeness of 0.8 or more."""
+    x = sketches[i] ^ sketches[j]
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1) <= DIFFER
+
+
+def word_fingerprints(words: list[bytes], tables: int) -> list[int]:
+    """SimHashes of the distinct words, each of its own hash."""
+    if not words:
+        return [0] * tables
+    types = sorted(set(words))
+    out = []
+    for t in range(tables):
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, t) for w in types), np.uint64, len(types)).astype("<u8")
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(types), 8192):
+            ones += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(types), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def marks_column(tables: int):
+    """node (equal for texts of the same words in the same order), fps and sketch of a text."""
+
+    @F.pandas_udf("node long, fps array<long>, sketch binary")
+    def compute(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            words = t.encode().lower().split()
+            node = np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).astype(np.int64)
+            out.append((node, word_fingerprints(words, tables), sketch(words)))
+        return pd.DataFrame(out, columns=["node", "fps", "sketch"])
+
+    return compute(text_or_empty())
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """The place of each 64-bit word in the order of the reflected Gray code."""
     x = x.astype(np.uint64)
@@ -105,8 +166,8 @@ class Forest:
         return made
 
 
-def linked(a: np.ndarray, b: np.ndarray | None, most: int, block: int = 1 << 19) -> list[tuple[int, int]]:
-    """Edges that connect what is within `most` bits among the words a (b None), or between a and b, both in Gray order.
+def linked(a: np.ndarray, b: np.ndarray | None, most: int, sketches: np.ndarray | None = None, block: int = 1 << 19) -> list[tuple[int, int]]:
+    """Edges that connect what is within `most` bits (and alike by its sketches, if given) among the words a (b None), or between a and b, both in Gray order.
 
     Places count through a and then b. Not every link is returned, but its two ends are connected by those that are, or by links
     within a or b."""
@@ -117,6 +178,17 @@ def linked(a: np.ndarray, b: np.ndarray | None, most: int, block: int = 1 << 19)
     forest, edges = Forest(len(words)), []
 
     def close(i: np.ndarray, j: np.ndarray) -> None:
+        if sketches is None:
+            merge(i, j)
+            return
+        for at in range(0, len(i), 1 << 15):
+            x, y, roots = i[at : at + (1 << 15)], j[at : at + (1 << 15)], forest.roots()
+            apart = roots[x] != roots[y]
+            x, y = x[apart], y[apart]
+            good = alike(sketches, x, y)
+            merge(x[good], y[good])
+
+    def merge(i: np.ndarray, j: np.ndarray) -> None:
         """Joins pairs of places, first one partner for each left place, then what is still apart."""
         while len(i):
             roots = forest.roots()
@@ -169,31 +241,39 @@ def linked(a: np.ndarray, b: np.ndarray | None, most: int, block: int = 1 << 19)
     return edges
 
 
-def links(distinct: DataFrame, most: int = 3, parts: int = 64, least: int = 2048, largest: int = 131_072, directory: int = 65_536) -> DataFrame:
-    """a, b: edges that connect the fingerprints of distinct(fp) as all pairs within `most` bits would."""
-    spark = distinct.sparkSession
-    n = distinct.count()
+def links(nodes: DataFrame, most: int = 3, parts: int = 64, least: int = 2048, largest: int = 131_072, directory: int = 65_536) -> DataFrame:
+    """a, b: edges that connect nodes(fp) as all pairs within `most` bits would, or nodes(fp, node, sketch) as those of them would whose sketches are alike."""
+    spark = nodes.sparkSession
+    own = ["node", "sketch"] if "sketch" in nodes.columns else []
+    entry_of = np.dtype([("fp", "<i8"), *([("node", "<i8"), ("sketch", "<u8", SKETCH // 16)] if own else [])])
+    n = nodes.count()
     size = max(min(max(n // parts, least), largest), n // directory)
-    sorted_ = distinct.select(_rank_column("fp").alias("rank"), "fp")
-    unsigned = F.col("rank").bitwiseXOR(F.lit(-(1 << 63)))  # the order of unsigned words, for signed ones
-    sorted_ = sorted_.select("fp", unsigned.alias("rank")).repartitionByRange(max(1, min(parts, n // size + 1)), "rank").sortWithinPartitions("rank")
+    order = ["rank", *own[:1]]
+    unsigned = _rank_column("fp").bitwiseXOR(F.lit(-(1 << 63)))  # the order of unsigned words, for signed ones
+    sorted_ = nodes.select("fp", *own, unsigned.alias("rank")).repartitionByRange(max(1, min(parts, n // size + 1)), *order).sortWithinPartitions(*order)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, k = np.zeros(0, np.int64), 0
+        held, k = np.zeros(0, entry_of), 0
 
         def chunk(x: np.ndarray) -> pd.DataFrame:
-            mask, pattern = shared(x, len(x))
-            return pd.DataFrame({"k": [k], "mask": mask, "pattern": pattern, "words": [x.astype("<i8").tobytes()]})
+            mask, pattern = shared(x["fp"], len(x))
+            return pd.DataFrame({"k": [k], "mask": mask, "pattern": pattern, "entries": [x.tobytes()]})
 
         for x in frames:
-            held = np.concatenate([held, x["fp"].to_numpy()])
+            more = np.zeros(len(x), entry_of)
+            more["fp"] = x["fp"].to_numpy()
+            if own:
+                more["node"] = x["node"].to_numpy()
+                more["sketch"] = np.frombuffer(b"".join(x["sketch"]), "<u8").reshape(len(x), -1)
+            held = np.concatenate([held, more])
             while len(held) >= 2 * size:
                 yield chunk(held[:size])
                 held, k = held[size:], k + 1
         if len(held):
             yield chunk(held)
 
-    chunks = written(sorted_.select("fp").mapInPandas(cut, "k int, mask long, pattern long, words binary").select(F.struct(F.spark_partition_id().alias("part"), "k").alias("chunk"), "mask", "pattern", "words"), "gray-chunks")
+    chunks = sorted_.select("fp", *own).mapInPandas(cut, "k int, mask long, pattern long, entries binary")
+    chunks = written(chunks.select(F.struct(F.spark_partition_id().alias("part"), "k").alias("chunk"), "mask", "pattern", "entries"), "gray-chunks")
     entry = chunks.select("chunk", "mask", "pattern")
     other = F.broadcast(entry.select(F.col("chunk").alias("chunk2"), F.col("mask").alias("mask2"), F.col("pattern").alias("pattern2")))
     differ = F.bit_count(F.col("pattern").bitwiseXOR(F.col("pattern2")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask2")))
@@ -201,38 +281,56 @@ def links(distinct: DataFrame, most: int = 3, parts: int = 64, least: int = 2048
     pair = F.struct("chunk", "chunk2")
     sides = F.explode(F.when(F.col("chunk") == F.col("chunk2"), F.array("chunk")).otherwise(F.array("chunk", "chunk2")))
     sides = written(pairs.select(pair.alias("pair"), sides.alias("chunk")), "gray-pairs")
-    sent = sides.join(chunks.select("chunk", "words"), "chunk").select(F.xxhash64("pair").alias("pair_id"), "chunk.part", "chunk.k", "words")
+    sent = sides.join(chunks.select("chunk", "entries"), "chunk").select(F.xxhash64("pair").alias("pair_id"), "chunk.part", "chunk.k", "entries")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts)
 
     def search(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["part", "k"])
-        a, *b = (np.frombuffer(w, "<i8") for w in x["words"])
-        got = np.array(linked(a, b[0] if b else None, most), np.int64).reshape(-1, 2)
-        words = np.concatenate([a, *b])
-        return pd.DataFrame({"a": words[got[:, 0]], "b": words[got[:, 1]]})
+        a, *b = (np.frombuffer(e, entry_of) for e in x["entries"])
+        both = np.concatenate([a, *b])
+        words = np.ascontiguousarray(both["fp"])
+        got = np.array(linked(words[: len(a)], words[len(a) :] if b else None, most, np.ascontiguousarray(both["sketch"]) if own else None), np.int64).reshape(-1, 2)
+        ids = both["node"] if own else words
+        return pd.DataFrame({"a": ids[got[:, 0]], "b": ids[got[:, 1]]})
 
     return sent.repartition(tasks, "pair_id").groupBy("pair_id").applyInPandas(search, "a long, b long")
 
 
-def group_rows(rows: DataFrame, most: int = 3) -> DataFrame:
-    """rows(doc_id, fp, ...) with component_id, and root: a fingerprint of the component."""
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = components(links(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
-    of = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def group_rows(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows(doc_id, node, ...) with component_id, and root: a node of the component; edges(a, b) of nodes."""
+    distinct = written(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    of = distinct.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     of = written(of, "simhash-roots")
-    # Written, so that both sides of the join are shuffled for it and a component of very many fingerprints can be split.
+    # Written, so that both sides of the join are shuffled for it and a component of very many nodes can be split.
     least = written(of.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-components")
-    return rows.join(of.select("fp", "root").join(least, "root"), "fp")
+    return rows.join(of.select("node", "root").join(least, "root"), "node")
 
 
 def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of docs(doc_id, text)."""
-    rows = written(docs.select("doc_id", fingerprint_column().alias("fp")), "simhash-rows")
-    return group_rows(rows, most).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, most: int = 3) -> DataFrame:
-    """A row of docs for each group of near-duplicates: the one of the least doc_id, ties by the row's hash."""
-    rows = written(docs.select("doc_id", fingerprint_column().alias("fp"), *row_key(docs)), "simhash-rows")
-    best = group_rows(rows, most).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_pg_k1", "_pg_k2")).alias("x"))
+    rows = written(docs.select("doc_id", fingerprint_column().alias("node")), "simhash-rows")
+    distinct = written(rows.select(F.col("node").alias("fp")).distinct(), "simhash-fingerprints")
+    return group_rows(rows, links(distinct, most)).select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_copies(nodes: DataFrame, most: int, tables: int) -> DataFrame:
+    """a, b: edges that connect nodes(node, fps, sketch) as all alike pairs within `most` bits in any of the `tables` fingerprints would.
+
+    Most texts have no neighbour within these bits; sketches move only for those that the index finds to have one."""
+    edges = []
+    for t in range(tables):
+        of = nodes.select(F.col("fps")[t].alias("fp"), "node", "sketch")
+        words = written(of.groupBy("fp").agg(F.count("*").alias("n")), "simhash-words")
+        found = written(links(words.select("fp"), most), "simhash-near")
+        near = found.select(F.col("a").alias("fp")).union(found.select("b")).union(words.filter("n > 1").select("fp")).distinct()
+        edges.append(links(written(of.join(near, "fp"), "simhash-candidates"), most))
+    return reduce(DataFrame.union, edges)
+
+
+def one_of_each(docs: DataFrame, most: int = 4, tables: int = 4) -> DataFrame:
+    """A row of docs for each group of near copies: the one of the least doc_id, ties by the row's hash."""
+    rows = written(docs.select("doc_id", marks_column(tables).alias("m"), *row_key(docs)), "simhash-rows")
+    nodes = written(rows.groupBy("m.node").agg(F.any_value("m.fps").alias("fps"), F.any_value("m.sketch").alias("sketch")), "simhash-nodes")
+    slim = rows.select("doc_id", "m.node", "_pg_k1", "_pg_k2")
+    best = group_rows(slim, near_copies(nodes, most, tables)).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_pg_k1", "_pg_k2")).alias("x"))
     return take_rows(docs, best.select("x._pg_k1", "x._pg_k2", F.lit(1).alias("_pg_copies")))

@@ -276,12 +276,53 @@ def test_links_over_many_chunks(spark):
 def test_one_of_each(crowded):
     got = simhash.one_of_each(crowded)
     assert got.columns == crowded.columns
-    kept = got.collect()
-    data = [(i, t, fingerprint(t or "")) for i, t, *_ in rows()]
-    roots = closure([x[2] for x in data])
-    assert len(kept) == len(set(roots))
-    group = {(i, t): r for (i, t, _), r in zip(data, roots, strict=True)}
-    assert len({group[r.doc_id, r.text] for r in kept}) == len(kept)
+    assert one_of_each_group([(i, t) for i, t, *_ in rows()], got.collect())
+
+
+def five_words(text: str | None) -> frozenset[tuple[str, ...]]:
+    words = WORD.findall((text or "").translate(LOWER))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def one_of_each_group(data: list[tuple], kept: list) -> bool:
+    """Whether `kept` has one row, of the least doc_id, for each group that a likeness of 0.8 or more connects."""
+    sets = [five_words(t) for _, t in data]
+    forest = simhash.Forest(len(data))
+    pairs = [(i, j) for i in range(len(data)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    forest.join(*np.array(pairs, np.int64).reshape(-1, 2).T)
+    least = {}
+    for (i, _), r in zip(data, forest.roots().tolist(), strict=True):
+        least[r] = min(least.get(r, (True, 0)), (i is None, i or 0))
+    return sorted(least.values()) == sorted((r.doc_id is None, r.doc_id or 0) for r in kept)
+
+
+def test_one_of_each_of_edited_copies(spark):
+    rng = np.random.default_rng(4)
+    data = []
+    for base in range(12):
+        words = [f"w{x}" for x in rng.zipf(1.3, 300) % 5000]
+        for copy in range(6):
+            edited = list(words)
+            for _ in range(copy):  # copies 0 to 5: by so many words, at places of their own
+                edited[10 + 25 * copy + 50 * int(rng.integers(0, 3))] = f"new{rng.integers(0, 1 << 40)}"
+            data.append((base * 100 + copy, " ".join(edited)))
+        data.append((base * 100 + 50, " ".join(rng.permutation(words))))  # its words in another order are another text
+        data.append((base * 100 + 60, " ".join(words[:150] + [f"v{x}" for x in rng.integers(0, 5000, 150)])))
+    got = simhash.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert one_of_each_group(data, got) and len(got) == 36
+
+
+def test_sketches_tell_likeness():
+    rng = np.random.default_rng(2)
+    found = {0.6: [], 0.7: [], 0.9: [], 1.0: []}
+    for share in found:
+        for _ in range(200):
+            n = int(rng.integers(40, 3000))
+            common = int(round(2 * n * share / (1 + share)))
+            own = [[b"%d" % k for k in range(common)] + [b"%s-%d" % (side, k) for k in range(n - common)] for side in (b"a", b"b")]
+            a, b = (np.frombuffer(simhash.sketch(x, 1), "<u8") for x in own)
+            found[share].append(bool(simhash.alike(np.stack([a, b]), np.array([0]), np.array([1]))[0]))
+    assert np.mean(found[0.6]) == 0 and np.mean(found[0.7]) < 0.05 and np.mean(found[0.9]) > 0.97 and all(found[1.0])
 
 
 def test_components_of_long_chains(spark):
