@@ -250,7 +250,9 @@ def links(nodes: DataFrame, most: int = 3, parts: int = 64, least: int = 2048, l
     size = max(min(max(n // parts, least), largest), n // directory)
     order = ["rank", *own[:1]]
     unsigned = _rank_column("fp").bitwiseXOR(F.lit(-(1 << 63)))  # the order of unsigned words, for signed ones
-    sorted_ = nodes.select("fp", *own, unsigned.alias("rank")).repartitionByRange(max(1, min(parts, n // size + 1)), *order).sortWithinPartitions(*order)
+    ranked = nodes.select("fp", *own, unsigned.alias("rank"))
+    ranked = ranked.repartition(1) if n < 2 * size else ranked.repartitionByRange(min(parts, n // size + 1), *order)  # what fits one chunk needs no ranges
+    sorted_ = ranked.sortWithinPartitions(*order)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, k = np.zeros(0, entry_of), 0
@@ -323,7 +325,7 @@ def near_copies(nodes: DataFrame, most: int, tables: int) -> DataFrame:
         words = written(of.groupBy("fp").agg(F.count("*").alias("n")), "simhash-words")
         found = written(links(words.select("fp"), most), "simhash-near")
         near = found.select(F.col("a").alias("fp")).union(found.select("b")).union(words.filter("n > 1").select("fp")).distinct()
-        edges.append(links(written(of.join(near, "fp"), "simhash-candidates"), most))
+        edges.append(links(written(of.join(near, "fp"), "simhash-candidates"), most, least=16_384))
     return reduce(DataFrame.union, edges)
 
 
