@@ -9,8 +9,11 @@ task returns the edges that joined something, not all pairs.
 The directory of chunks has at most about `directory` entries whatever the input (chunks grow instead), so it may be broadcast.
 
 near_duplicates() links fingerprints of word shingles and nothing else. one_of_each() is about texts: two of them are near copies if their sets of five-word
-shingles have a likeness of 0.8 or more, by 128 min-hashes. It looks for them with several SimHashes of a text's distinct words, which an edit moves
-by few bits, so that the index prunes well; a pair within the allowed number of bits in any of them is compared, unless it is joined already.
+shingles have a likeness of 0.8 or more. A first search uses several SimHashes of a text's distinct words, which scattered edits move
+by few bits, so that the index prunes well; a pair within the allowed number of bits in any of them is compared by 128 min-hashes, unless it is joined already.
+A second search is exact: with all shingles in one order, rare ones first, two texts of that likeness share one among the first fifth (and one more) of
+each text's shingles, whatever the edit. So texts meet on these; only those that the first search hasn't brought together become pairs, less those whose
+sketches are far apart (at a likeness of 0.8, 3 in 10^9). What the second search finds is an edge only if the two whole sets of shingle hashes (64 bits) have a likeness of 0.8.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and is linked like any other; fewer than three words make one
 shingle; component_id is the least doc_id that is not null among the component's (null if all are); repeated rows and doc_ids are rows of
@@ -26,7 +29,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import row_key, take_rows, text_or_empty, written
@@ -60,14 +63,24 @@ def fingerprint_column(shingle: int = 3, seed: int = 42):
 
 SKETCH = 128  # min-hashes of a sketch, four bits of each
 DIFFER = 24  # of them differ at a likeness of 0.8, where a sixteenth of those that differ look equal
+FAR = 52  # more differ with a chance of 3e-9 at a likeness of 0.8
 _DRAWN = np.random.default_rng(6)
 FACTORS, TERMS = _DRAWN.integers(1 << 31, size=SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1), _DRAWN.integers(1 << 32, size=SKETCH, dtype=np.uint32)
 
 
+def shingles(words: list[bytes], shingle: int = 5) -> np.ndarray:
+    """Distinct hashes of the runs of words, ascending."""
+    digest, n = xxhash.xxh3_64_intdigest, max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle])) for i in range(n)), np.uint64, n))
+
+
 def sketch(words: list[bytes], shingle: int = 5) -> bytes:
     """Four bits of each of SKETCH min-hashes of the set of shingles."""
-    digest, n = xxhash.xxh3_64_intdigest, max(1, len(words) - shingle + 1)
-    hashes = np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle])) for i in range(n)), np.uint64, n).astype(np.uint32))
+    return sketch_of(shingles(words, shingle))
+
+
+def sketch_of(hashes: np.ndarray) -> bytes:
+    hashes = np.unique(hashes.astype(np.uint32))
     least = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(hashes), 1024):
         np.minimum(least, (hashes[at : at + 1024, None] * FACTORS + TERMS).min(axis=0), out=least)
@@ -75,12 +88,22 @@ def sketch(words: list[bytes], shingle: int = 5) -> bytes:
     return (bits[::2] << 4 | bits[1::2]).tobytes()
 
 
-def alike(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def alike(sketches: np.ndarray, i: np.ndarray, j: np.ndarray, differ: int = DIFFER) -> np.ndarray:
     """Whether the sketches (rows of 64-bit words) at i and j show a likeness of 0.8 or more."""
     x = sketches[i] ^ sketches[j]
     x |= x >> np.uint64(2)
     x |= x >> np.uint64(1)
-    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1) <= DIFFER
+    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1) <= differ
+
+
+def not_far_column():
+    @F.pandas_udf("boolean")
+    def compute(a: pd.Series, b: pd.Series) -> pd.Series:
+        both = np.frombuffer(b"".join([*a, *b]), "<u8").reshape(-1, SKETCH // 16)
+        at = np.arange(len(a))
+        return pd.Series(alike(both, at, at + len(a), FAR))
+
+    return compute("s", "t")
 
 
 def word_fingerprints(words: list[bytes], tables: int) -> list[int]:
@@ -98,17 +121,46 @@ def word_fingerprints(words: list[bytes], tables: int) -> list[int]:
     return out
 
 
-def marks_column(tables: int):
-    """node (equal for texts of the same words in the same order), fps and sketch of a text."""
+def first_fifth(hashes: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first shingles, at least one of which two texts of a likeness of 0.8 share: those not in `common` (ascending) first, then by times; ties by hash."""
+    n = len(hashes)
+    often = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        often = np.where(common[at] == hashes, times[at], 0)
+    return hashes[np.lexsort((hashes, often))[: n - (4 * n + 4) // 5 + 1]]
+
+
+def common_shingles(docs: DataFrame, sample: int = 16_384, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, that occur twice or more in about `sample` different texts, and how often; `most` of them at most.
 
-    @F.pandas_udf("node long, fps array<long>, sketch binary")
+    They only decide the order in which first_fifth() takes shingles: any order finds the same pairs, this one with fewer others."""
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t.encode().lower().split()).astype(np.int64) for t in texts], dtype=object)
+
+    text = text_or_empty()
+    some = docs.filter(F.pmod(F.xxhash64(text), F.lit(docs.count() // sample + 1)) == 0).select(text.alias("text")).distinct()
+    counted = some.select(F.explode(hashes(F.col("text"))).alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    got = counted.orderBy(F.desc("n"), "key").limit(most).toArrow()
+    key, n = got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+def marks_column(tables: int, common: np.ndarray, times: np.ndarray):
+    """node (equal for texts of the same words in the same order), fps and sketch of a text, its number of shingles and the first of them."""
+
+    @F.pandas_udf("node long, fps array<long>, sketch binary, n long, keys array<long>")
     def compute(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             words = t.encode().lower().split()
             node = np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).astype(np.int64)
-            out.append((node, word_fingerprints(words, tables), sketch(words)))
-        return pd.DataFrame(out, columns=["node", "fps", "sketch"])
+            own = shingles(words)
+            out.append((node, word_fingerprints(words, tables), sketch_of(own), len(own), first_fifth(own, common, times).astype(np.int64)))
+        return pd.DataFrame(out, columns=["node", "fps", "sketch", "n", "keys"])
 
     return compute(text_or_empty())
 
@@ -329,10 +381,45 @@ def near_copies(nodes: DataFrame, most: int, tables: int) -> DataFrame:
     return reduce(DataFrame.union, edges)
 
 
+def unjoined(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: all pairs of nodes(node, sketch, n, keys) that share a key, have sizes that allow a likeness of 0.8, and have different roots by roots(node, root)."""
+    keyed = nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
+    w = Window.partitionBy("key")
+    met = keyed.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).filter("low < high")
+    met = written(met.select("key", "node", "n", "root"), "simhash-met")
+    x, y = met.alias("x"), met.alias("y")
+    fits = (F.col("x.n") * 5 >= F.col("y.n") * 4) & (F.col("y.n") * 5 >= F.col("x.n") * 4)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits)
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b")
+    return pairs.filter(not_far_column()).select("a", "b")
+
+
+def really_alike(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs(a, b) of nodes whose sets of five-word shingles have a likeness of 0.8 or more; rows(node, _pg_k1, _pg_k2) of docs."""
+
+    @F.pandas_udf("array<long>")
+    def own(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t.encode().lower().split()).astype(np.int64) for t in texts], dtype=object)
+
+    pairs = written(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
+    wanted = rows.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node")
+    wanted = written(wanted.groupBy("node").agg(F.min(F.struct("_pg_k1", "_pg_k2")).alias("x")).select("node", "x.*"), "simhash-wanted")  # small, so that texts needn't be shuffled for it
+    texts = docs.select(text_or_empty().alias("text"), *row_key(docs)).join(wanted, ["_pg_k1", "_pg_k2"]).dropDuplicates(["_pg_k1", "_pg_k2"])
+    sets = written(texts.select("node", own("text").alias("set")), "simhash-shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    # The likeness is common / (x + y - common).
+    return written(both.filter(F.size(F.array_intersect("x", "y")) * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b"), "simhash-alike")
+
+
 def one_of_each(docs: DataFrame, most: int = 4, tables: int = 4) -> DataFrame:
     """A row of docs for each group of near copies: the one of the least doc_id, ties by the row's hash."""
-    rows = written(docs.select("doc_id", marks_column(tables).alias("m"), *row_key(docs)), "simhash-rows")
-    nodes = written(rows.groupBy("m.node").agg(F.any_value("m.fps").alias("fps"), F.any_value("m.sketch").alias("sketch")), "simhash-nodes")
+    marks = marks_column(tables, *common_shingles(docs))
+    rows = written(docs.select("doc_id", marks.alias("m"), *row_key(docs)), "simhash-rows")
+    any_of = [F.any_value(f"m.{c}").alias(c) for c in ("fps", "sketch", "n", "keys")]
+    nodes = written(rows.groupBy("m.node").agg(*any_of), "simhash-nodes")
     slim = rows.select("doc_id", "m.node", "_pg_k1", "_pg_k2")
-    best = group_rows(slim, near_copies(nodes, most, tables)).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_pg_k1", "_pg_k2")).alias("x"))
+    roots = written(components(near_copies(nodes, most, tables)), "simhash-first")
+    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(really_alike(unjoined(nodes, roots), docs, slim))
+    best = group_rows(slim, edges).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_pg_k1", "_pg_k2")).alias("x"))
     return take_rows(docs, best.select("x._pg_k1", "x._pg_k2", F.lit(1).alias("_pg_copies")))

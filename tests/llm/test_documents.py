@@ -312,6 +312,24 @@ def test_one_of_each_of_edited_copies(spark):
     assert one_of_each_group(data, got) and len(got) == 36
 
 
+def test_one_of_each_of_every_kind_of_edit(spark):
+    """Copies of likeness 0.80 to 0.85 with a run of new words before or after, a part cut off, or edits far apart; the index alone misses most."""
+    rng = np.random.default_rng(7)
+    data = []
+    for base in range(40):
+        n = 200 + 10 * base
+        words = [f"w{x}" for x in rng.zipf(1.3, n) % 50_000]
+        least, part = 0.8 + 0.04 * rng.random(), [f"new{base}-{x}" for x in range(n)]
+        more, less = int((n - 4) * (1 / least - 1)), n - int((n - 4) * (1 - least))
+        spread = list(words)
+        for k in range(int((n - 4) * (1 - least) / (1 + least) / 5)):  # each of them takes five shingles
+            spread[7 + 6 * k] = part[k]
+        edited = ([*part[:more], *words], [*words, *part[:more]], words[:less], spread)[base % 4]
+        data += [(base * 10, " ".join(words)), (base * 10 + 1, " ".join(edited))]
+    got = simhash.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert one_of_each_group(data, got) and len(got) == 40
+
+
 def test_sketches_tell_likeness():
     rng = np.random.default_rng(2)
     found = {0.6: [], 0.7: [], 0.9: [], 1.0: []}
