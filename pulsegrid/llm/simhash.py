@@ -13,7 +13,7 @@ shingles have a likeness of 0.8 or more. A first search uses several SimHashes o
 by few bits, so that the index prunes well; a pair within the allowed number of bits in any of them is compared by 128 min-hashes, unless it is joined already.
 A second search is exact: with all shingles in one order, rare ones first, two texts of that likeness share one among the first fifth (and one more) of
 each text's shingles, whatever the edit. So texts meet on these; only those that the first search hasn't brought together become pairs, less those whose
-sketches are far apart (at a likeness of 0.8, 3 in 10^9). What the second search finds is an edge only if the two whole sets of shingle hashes (64 bits) have a likeness of 0.8.
+sketches are far apart (at a likeness of 0.8, 3 in 10^9). What either search finds is an edge only if the two whole sets of shingle hashes (64 bits) have a likeness of 0.8.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and is linked like any other; fewer than three words make one
 shingle; component_id is the least doc_id that is not null among the component's (null if all are); repeated rows and doc_ids are rows of
@@ -419,7 +419,7 @@ def one_of_each(docs: DataFrame, most: int = 4, tables: int = 4) -> DataFrame:
     any_of = [F.any_value(f"m.{c}").alias(c) for c in ("fps", "sketch", "n", "keys")]
     nodes = written(rows.groupBy("m.node").agg(*any_of), "simhash-nodes")
     slim = rows.select("doc_id", "m.node", "_pg_k1", "_pg_k2")
-    roots = written(components(near_copies(nodes, most, tables)), "simhash-first")
+    roots = written(components(really_alike(near_copies(nodes, most, tables), docs, slim)), "simhash-first")
     edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(really_alike(unjoined(nodes, roots), docs, slim))
     best = group_rows(slim, edges).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_pg_k1", "_pg_k2")).alias("x"))
     return take_rows(docs, best.select("x._pg_k1", "x._pg_k2", F.lit(1).alias("_pg_copies")))

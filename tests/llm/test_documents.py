@@ -330,6 +330,17 @@ def test_one_of_each_of_every_kind_of_edit(spark):
     assert one_of_each_group(data, got) and len(got) == 40
 
 
+def test_one_of_each_below_the_likeness(spark):
+    """The rule is 0.8 itself: by one word more or less put after them, texts are copies or aren't, which sketches can't tell."""
+    data = []
+    for base in range(40):
+        n = 154 + 4 * base  # words, so n - 4 shingles
+        words = [f"b{base}-{x}" for x in range(n)]
+        data += [(base * 10, " ".join(words)), (base * 10 + 1, " ".join([*words, *[f"more{base}-{x}" for x in range((n - 4) // 4 + base % 2)]]))]
+    got = simhash.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert one_of_each_group(data, got) and len(got) == 60
+
+
 def test_sketches_tell_likeness():
     rng = np.random.default_rng(2)
     found = {0.6: [], 0.7: [], 0.9: [], 1.0: []}
