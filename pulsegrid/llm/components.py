@@ -1,11 +1,14 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table by alternating large-star and small-star steps.
+
+Defined cases: loops and repeated edges count as none and one; the order of an edge's ends doesn't matter; null ends don't occur (nodes are hashes);
+without edges there are no rows; other columns are ignored. A round's table is deleted when the next one stands."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import written
+from pulsegrid.llm.common import drop, written
 
 
 SALTS = 4
@@ -36,7 +39,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
-        now = written(_stars(_stars(now, True), False).filter("a <> b").distinct(), "stars")
+        before, now = now, written(_stars(_stars(now, True), False).filter("a <> b").distinct(), "stars")
+        drop(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
