@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm import linededup, mixing, packing, quality, simhash
-from pulsegrid.llm.common import table, written
+from pulsegrid.llm.common import drop, scratch, table, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +52,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.split()[0].lower())
+        before = docs
+        with scratch(spark) as keep:  # what a stage wrote on its way goes when its result stands
+            docs = keep(written(stage(spark, before, sf_dir), name.split()[0].lower()))
+        drop(before)
     return docs
