@@ -188,25 +188,145 @@ def test_scores_use_contexts(spark):
 
 def test_predictions_add_up_to_one():
     rng = np.random.default_rng(5)
-    word, context = np.divmod(np.arange(60 * 4), 4)
+    parent = np.concatenate([np.arange(hpylm.CLASSES), [0, 0, 1]])
+    every = np.array([0, 1, 256, 257, 258])
+    word, context = np.repeat(np.arange(60), len(every)), np.tile(every, 60)
     counts = rng.geometric(0.2, len(word)) * (rng.random(len(word)) < 0.7)
-    keep = np.flatnonzero(counts)
-    s = hpylm.Seating(word[keep], context[keep], counts[keep], 60)
+    counts[word == 59] = 0  # the unknown word
+    s = hpylm.Seating(word, context, counts, 60, parent)
     words = int(s.known.sum())
-    customers = np.bincount(context, counts, hpylm.CONTEXTS)
-    totals = hpylm.Totals(int(counts.sum()), words, customers, np.bincount(context[keep], minlength=hpylm.CONTEXTS).astype(float), float(len(keep)), float(words), 0.6, 0.7)
+    customers = np.bincount(context[context > 255], counts[context > 255], hpylm.WIDTH)
+    own, shared, tables, roots, top = s.sums(s.start())
+    level = lambda d, t, *x: hpylm.Level(d, t, *map(np.asarray, x))
+    totals = hpylm.Totals(int(counts.sum()), words, level(0.6, 2.0, customers, own), level(0.7, 1.0, shared, tables), level(0.5, 3.0, roots, top))
     for _ in range(40):
-        for seated, root_customers, root_tables, _ in s.sweeps(totals, 1, rng):
-            totals = hpylm.Totals(totals.tokens, words, customers, np.bincount(s.context, seated, hpylm.CONTEXTS), float(root_customers.sum()), float(root_tables.sum()), 0.6, 0.7)
-    root = totals.root(root_customers, root_tables, s.known)
-    unknown = float(totals.root(np.zeros(1), np.zeros(1), np.array([False]))[0])
-    assert abs(root[s.known].sum() + unknown - 1) < 1e-9
-    for c in range(4):
-        p = totals.weight(np.array([c]))[0] * np.append(root[s.known], unknown).sum()
-        here = s.context == c
-        p += (s.counts[here] - totals.discount * seated[here]).sum()
-        assert abs(p / (totals.strength + customers[c]) - 1) < 1e-9
-    assert np.all(seated >= 1) and np.all(seated <= s.counts)
+        for state in s.sweeps(totals, 1, rng):
+            own, shared, tables, roots, top = s.sums(state)
+            totals = hpylm.Totals(totals.tokens, words, level(0.6, 2.0, customers, own), level(0.7, 1.0, shared, tables), level(0.5, 3.0, roots, top))
+    assert np.all(state[0] >= np.minimum(s.counts, 1)) and np.all(state[0] <= s.counts)
+    # One unknown word stands for all: known ones and it make up each restaurant.
+    assert abs(s.root(totals, state)[[*np.flatnonzero(s.known), 59]].sum() - 1) < 1e-9
+    p = s.dishes(totals, state)
+    for c in every:
+        assert abs(p[(context == c) & (s.known[word] | (word == 59))].sum() - 1) < 1e-9
+
+
+def test_strength_is_drawn_from_its_posterior():
+    """Against the density on a grid: gamma prior times the chance of so many tables for so many customers."""
+    rng = np.random.default_rng(3)
+    customers, tables, discount = np.array([40.0, 7.0, 1.0, 300.0]), np.array([12.0, 3.0, 1.0, 60.0]), 0.4
+    grid = np.linspace(0.01, 60, 6000)
+    logp = -grid
+    for c, t in zip(customers, tables, strict=True):
+        logp = logp + sum(np.log(grid + discount * k) for k in range(1, int(t))) - sum(np.log(grid + k) for k in range(1, int(c)))
+    weight = np.exp(logp - logp.max())
+    want = (grid * weight).sum() / weight.sum()
+    strength, drawn = 1.0, []
+    for _ in range(6000):
+        strength = hpylm.sample_strength(strength, discount, customers, tables, rng)
+        drawn.append(strength)
+    assert abs(np.mean(drawn[500:]) / want - 1) < 0.05
+
+
+class ByHand:
+    """The same model with every customer at a table of a list, taken out and seated again one at a time: nothing in common with the module but the definition."""
+
+    def __init__(self, seed: int, discounts, strengths, words: int):
+        self.rng, self.d, self.theta, self.words = np.random.default_rng(seed), discounts, strengths, words
+        self.tables = defaultdict(lambda: defaultdict(list))  # restaurant -> word -> customers by table
+        self.customers, self.count = Counter(), Counter()
+
+    def up(self, r):
+        return None if r == () else () if len(r) == 1 else r[:1]
+
+    def level(self, r):
+        return {2: 0, 1: 1, 0: 2}[len(r)]
+
+    def p(self, r, w):
+        if r is None:
+            return 0.5 / self.words if w is not None else 0.5
+        d, theta = self.d[self.level(r)], self.theta[self.level(r)]
+        mine = self.tables[r].get(w, [])
+        return (sum(mine) - d * len(mine) + (theta + d * self.count[r]) * self.p(self.up(r), w)) / (theta + self.customers[r])
+
+    def add(self, r, w):
+        if r is None:
+            return
+        d, theta = self.d[self.level(r)], self.theta[self.level(r)]
+        mine = self.tables[r][w]
+        weights = np.array([n - d for n in mine] + [(theta + d * self.count[r]) * self.p(self.up(r), w)])
+        k = int(self.rng.choice(len(weights), p=weights / weights.sum()))
+        self.customers[r] += 1
+        if k == len(mine):
+            mine.append(1)
+            self.count[r] += 1
+            self.add(self.up(r), w)
+        else:
+            mine[k] += 1
+
+    def take(self, r, w):
+        if r is None:
+            return
+        mine = self.tables[r][w]
+        k = int(self.rng.choice(len(mine), p=np.array(mine) / sum(mine)))
+        self.customers[r] -= 1
+        mine[k] -= 1
+        if not mine[k]:
+            mine.pop(k)
+            self.count[r] -= 1
+            self.take(self.up(r), w)
+
+
+def test_scores_against_a_sampler_by_hand(spark):
+    """Mean log probability a token of each text, averaged over samples."""
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{k}{c}" for k in range(12) for c in "abc"]
+    texts = []
+    for i in range(70):
+        now, words = int(rng.integers(36)), []
+        for _ in range(30):
+            now = int((now * 5 + rng.integers(0, 3)) % 36) if rng.random() < 0.8 else int(rng.zipf(1.5) % 36)
+            words.append(vocabulary[now])
+        if i % 10 == 0:
+            words[5] = f"rare{i}"
+        texts.append((i, " ".join(words)))
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    strengths = (2.0, 1.5, 1.0)
+    got = {r.doc_id: r.score / r.n_tokens for r in hpylm.score(spark.createDataFrame(texts, "doc_id long, text string"), hpylm.held_out(), rounds=4, samples=30, block=4000, bucket=5000, contexts=40, strengths=strengths).collect()}
+    tokens = {i: [*t.split(), "\n"] for i, t in texts}
+    train = [w for i, ws in tokens.items() if not held(i) for w in ws]
+    n = Counter(train)
+    assert max(n.values()) > len(train) / 40
+    # Words that make up a fortieth of a block's tokens; blocks here are single texts' worth, so take the list from the module.
+    own, _ = hpylm.frequent(spark.createDataFrame(texts, "doc_id long, text string"), hpylm.held_out(), 40, 4000)
+    has = {w for w in n if xxhash.xxh3_64_intdigest(w.encode()) in set(own.tolist())}
+    assert len(has) > 5
+    place = lambda before: (before[-1], before) if before in has else (before[-1],)
+    runs = [(place(a), w) for i, ws in tokens.items() if not held(i) for a, w in zip(["\n", *ws], ws, strict=False)]
+    pairs = Counter(runs)
+    share = lambda counts: float(np.clip(sum(c == 1 for c in counts) / max(1, sum(c == 1 for c in counts) + 2 * sum(c == 2 for c in counts)), 0.1, 0.95))
+    middle = Counter()
+    for (r, w), c in pairs.items():
+        middle[r[0], w] += 1 if len(r) == 2 else c
+    top = Counter(w for _, w in middle)
+    m = ByHand(4, (share([c for (r, _), c in pairs.items() if len(r) == 2]), share(middle.values()), share(top.values())), strengths, len(n))
+    for r, w in runs:
+        m.add(r, w)
+    sums, taken = Counter(), 0
+    every = [(i, place(a), w if w in n else None) for i, ws in tokens.items() for a, w in zip(["\n", *ws], ws, strict=False)]
+    chance = defaultdict(float)
+    for sweep in range(14):
+        for r, w in runs:
+            m.take(r, w)
+            m.add(r, w)
+        if sweep >= 4:
+            taken += 1
+            for r, w in {(r, w) for _, r, w in every}:
+                chance[r, w] += m.p(r, w)
+    for i, r, w in every:
+        sums[i] += math.log10(chance[r, w] / taken)
+    off = np.array([got[i] - sums[i] / len(tokens[i]) for i in tokens])
+    assert abs(off.mean()) < 0.01 and np.abs(off).max() < 0.06, (off.mean(), np.abs(off).max())
 
 
 def fingerprint(text: str) -> int:
