@@ -9,7 +9,9 @@ BELOW_NYQUIST = 0.999
 
 
 def clamp_band(low: float, high: float, frequency: float, fps: float) -> tuple[float, float]:
-    """The band a filter may have: within 0 and Nyquist, and holding the frequency looked for."""
+    """The band a filter may have: within 0 and Nyquist, and holding the frequency looked for.
+
+    A band that then begins at 0 or below is refused: its design would have no centre. (Setting it to 0 and going on gives no number.)"""
     low, high = min(max(low, 0.0), frequency), min(high, fps / 2 * BELOW_NYQUIST)
     if not 0 < low < high:
         raise ValueError(f"no band is left between {low} and {high} Hz at {fps} frames a second")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,14 +11,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once for a row, though lambdas inside f use it for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def mean(signal: Column) -> Column:
     return F.aggregate(signal, F.lit(0.0), lambda a, v: a + v) / F.size(signal)
 
 
 def detrend(signal: Column, centre: Column) -> Column:
+    """signal less a centre, which should be a column: an expression would be computed for every sample."""
     return F.transform(signal, lambda v: v - centre)
 
 
+def centred(signal: Column) -> Column:
+    """signal less its mean, which is computed once. (Not for a Python function's argument: Spark can't take such a function out of nested lambdas.)"""
+    return once(F.struct(signal.alias("s"), mean(signal).alias("c")), lambda x: F.transform(x["s"], lambda v: v - x["c"]))
+
+
 def cut(signal: Column, start: Column | int, end: Column | int) -> Column:
     """Samples start to end, both included."""
     start, end = (F.lit(x) if isinstance(x, int) else x for x in (start, end))

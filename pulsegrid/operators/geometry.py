@@ -191,7 +191,7 @@ def convexity(pixels: DataFrame) -> DataFrame:
     def f(x: pd.DataFrame) -> tuple:
         c, mask, *_ = _first_contour(x)
         h = hull(c)
-        return (float(mask.sum() / (filled(h, mask.shape).sum() if len(h) > 2 else len(c))),)
+        return (float(mask.sum() / filled(h, mask.shape).sum()),)
 
     return by_cell(pixels, [], "convexity double", f)
 

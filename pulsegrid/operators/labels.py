@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 def relabel(pixels: DataFrame) -> DataFrame:
     """Labels 1..k without gaps in each frame, in the old order; background stays 0.
 
-    The map has a row per label and frame and is joined back; pixels aren't sorted."""
-    names = pixels.filter("label <> 0").select("frame", "label").distinct()
+    The map has a row per label and frame and is joined back; pixels aren't sorted, and the background, often most of a frame, isn't joined."""
+    cells = pixels.filter("label <> 0")
+    names = cells.select("frame", "label").distinct()
     names = names.withColumn("new", F.dense_rank().over(Window.partitionBy("frame").orderBy("label")))
-    x = pixels.join(names, ["frame", "label"], "left")
-    return x.withColumn("label", F.coalesce("new", F.lit(0)).cast(pixels.schema["label"].dataType)).select(pixels.columns)
+    x = cells.join(names, ["frame", "label"])
+    x = x.withColumn("label", F.col("new").cast(pixels.schema["label"].dataType)).select(pixels.columns)
+    return x.union(pixels.filter("label IS NULL OR label = 0").withColumn("label", F.lit(0).cast(pixels.schema["label"].dataType)).select(pixels.columns))
 
 
 def at_pixel(frame: int, y: int, x: int) -> Column:
@@ -56,11 +58,19 @@ def shape_stats(pixels: DataFrame) -> DataFrame:
 
 def moment_ellipse(pixels: DataFrame) -> DataFrame:
     """frame, label, major, minor, angle of the ellipse with the region's second moments (not a contour fit)."""
-    m = pixels.filter("label <> 0").groupBy("frame", "label").agg(F.var_pop("y").alias("vy"), F.var_pop("x").alias("vx"), F.covar_pop("y", "x").alias("vxy"))
+    m = pixels.filter("label <> 0").groupBy("frame", "label").agg(*[F.round(c, 9).alias(n) for n, c in (("vy", F.var_pop("y")), ("vx", F.var_pop("x")), ("vxy", F.covar_pop("y", "x")))])
     mid, gap = (F.col("vy") + F.col("vx")) / 2, F.sqrt(F.pow((F.col("vy") - F.col("vx")) / 2, 2.0) + F.pow("vxy", 2.0))
     return m.select("frame", "label", (4 * F.sqrt(mid + gap)).alias("major"), (4 * F.sqrt(F.greatest(mid - gap, F.lit(0.0)))).alias("minor"), (0.5 * F.degrees(F.atan2(2 * F.col("vxy"), F.col("vx") - F.col("vy")))).alias("angle"))
 
 
+def tracked_shapes(pixels: DataFrame) -> DataFrame:
+    """shape_stats() with angle (0 to 180) and ar of the moment ellipse, rounded to five digits so that a line's minor axis is 0; ar is 0 for such cells."""
+    e = moment_ellipse(pixels).select("frame", "label", F.round("angle", 5).alias("angle"), F.round("major", 5).alias("major"), F.round("minor", 5).alias("minor"))
+    turned = F.when(F.col("angle") < 0, F.col("angle") + 180).otherwise(F.col("angle"))
+    e = e.select("frame", "label", turned.alias("angle"), F.when(F.col("minor") == 0, 0.0).otherwise(F.col("major") / F.col("minor")).alias("ar"))
+    return shape_stats(pixels).join(e, ["frame", "label"])
+
+
 def intensity_stats(pixels: DataFrame, value: str) -> DataFrame:
     """frame, label, mean, low, high of a value over each label."""
     return pixels.filter("label <> 0").groupBy("frame", "label").agg(F.avg(value).alias(f"{value}_mean"), F.min(value).alias(f"{value}_min"), F.max(value).alias(f"{value}_max"))

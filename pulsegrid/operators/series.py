@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.names import root_of
@@ -19,8 +19,9 @@ def with_features(lineage: DataFrame, features: DataFrame) -> DataFrame:
 
 def relative_times(measurements: DataFrame, whole: bool = False) -> DataFrame:
     """measurements(frame, abstime) with time since the first, in whole minutes if asked."""
-    t = F.col("abstime") - F.min("abstime").over(Window.partitionBy())
-    return measurements.withColumn("time", t.cast("int").cast("double") if whole else t)
+    first = measurements.agg(F.min("abstime").alias("_first"))  # one row
+    t = F.col("abstime") - F.col("_first")
+    return measurements.crossJoin(F.broadcast(first)).withColumn("time", t.cast("int").cast("double") if whole else t).drop("_first")
 
 
 def collected(series: DataFrame, features: list[str]) -> DataFrame:

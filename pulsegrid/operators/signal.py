@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ class Analysis:
     low: float = 0.1
     high: float = 6.0
     order: int = 4
+    ceiling_axis: bool = False  # the time axis after interpolation at the rate rounded up, not at that of the samples
 
     def changed(self, **what) -> Analysis:
         return replace(self, **what)
@@ -30,6 +32,10 @@ class Analysis:
     def final_fps(self) -> float:
         return float(math.floor(self.fps + 0.5)) if self.interpolate else self.fps
 
+    @property
+    def axis_fps(self) -> float:
+        return float(math.ceil(self.fps)) if self.interpolate and self.ceiling_axis else self.final_fps
+
     def sections(self):
         return filters.band_pass_sections(self.order, *filters.clamp_band(self.low, self.high, self.frequency, self.final_fps), self.final_fps)
 
@@ -40,17 +46,30 @@ def to_lanes(frames: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def to_frames(stack: DataFrame) -> DataFrame:
-    """The other way: a row per sample, t and v for signal."""
-    return stack.select(*[c for c in stack.columns if c != "signal"], F.posexplode("signal").alias("t", "v"))
+    """The other way: a row per sample, t and v for signal; none for a lane without samples.
+
+    The outer form, since for the other one Spark infers a filter that computes the whole lane a second time."""
+    rows = stack.select(*[c for c in stack.columns if c != "signal"], F.posexplode_outer("signal").alias("t", "v"))
+    return rows.filter(F.col("t").isNotNull())
 
 
 def in_region(y: tuple[int, int], x: tuple[int, int]) -> Column:
     return F.col("y").between(*y) & F.col("x").between(*x)
 
 
-def mean_signal(stack: DataFrame, where: Column | None = None) -> DataFrame:
-    """t, m: the mean over all pixels, or those of a region."""
-    return to_frames(stack if where is None else stack.filter(where)).groupBy("t").agg(F.avg("v").alias("m"))
+def mean_signal(stack: DataFrame, where: Column | None = None, n: int | None = None, together: int = 100) -> DataFrame:
+    """t, m: the mean over all pixels, or those of a region.
+
+    With the number of frames n, lanes stay whole: one aggregate a frame, `together` of them in one pass; else a row per sample is aggregated."""
+    stack = stack if where is None else stack.filter(where)
+    if n is None:
+        return to_frames(stack).groupBy("t").agg(F.avg("v").alias("m"))
+    parts = []
+    for first in range(0, n, together):
+        frames = range(first, min(n, first + together))
+        row = stack.agg(*[F.avg(F.get("signal", F.lit(t))).alias(f"m{t}") for t in frames])
+        parts.append(row.select(F.inline(F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"m{t}").alias("m")) for t in frames]))))
+    return reduce(DataFrame.union, parts).filter("m IS NOT NULL")
 
 
 def steps(mean: DataFrame, sigmas: float = 2.0) -> DataFrame:
@@ -101,11 +120,16 @@ def process(stack: DataFrame, how: Analysis) -> DataFrame:
     return x.withColumn("ac", lanes.ac(F.col("signal"), how.frequency, how.final_fps))
 
 
+def time_axis(stack: DataFrame, how: Analysis) -> DataFrame:
+    """process()ed stack with times, one for each sample of signal."""
+    return stack.withColumn("times", lanes.times(F.col("signal"), how.axis_fps))
+
+
 def extract(stack: DataFrame, how: Analysis, n: int, start: int = 0, end: int | None = None, periods: int | None = None) -> DataFrame:
     """The whole extraction: limits from the mean signal (or, with `periods`, those given), trimming, then process(). Adds first and last."""
     end = n - 1 if end is None else end
     if periods is None:
-        limits = clean_limits(mean_signal(stack), start, end, how.frequency, how.fps)
+        limits = clean_limits(mean_signal(stack, n=n), start, end, how.frequency, how.fps)
     else:
         limits = stack.sparkSession.createDataFrame([(start, end, periods)], "first long, last long, periods long")
     limits = trim_to_periods(limits, n, how.frequency, how.fps)

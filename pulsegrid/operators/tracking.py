@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.sources.saved import written
+from pulsegrid.sources.saved import drop, written
 
 
 def overlaps(pixels: DataFrame) -> DataFrame:
@@ -99,12 +99,19 @@ def next_frame(edges: DataFrame) -> Column:
     return F.col("next_frame") if "next_frame" in edges.columns else F.col("frame") + 1
 
 
+def in_order(cells: DataFrame, name: str) -> DataFrame:
+    """cells with their number from 0 in order of frame and label. They are ranked within frames; only a row per frame passes through one task."""
+    up_to = Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = cells.groupBy("frame").agg(F.count("*").alias("_n")).select("frame", (F.sum("_n").over(up_to) - F.col("_n")).alias("_before"))
+    x = cells.withColumn(name, F.row_number().over(Window.partitionBy("frame").orderBy("label")) - 1).join(before, "frame")
+    return x.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_before")
+
+
 def roots(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """frame, label, track: cells without a parent, named Cell_i in order of frame and label."""
     child = edges.select(next_frame(edges).alias("frame"), F.col("next_label").alias("label")).distinct()
-    w = Window.orderBy("frame", "label")
-    x = cells.select("frame", "label").join(child, ["frame", "label"], "left_anti")
-    return x.withColumn("track", F.concat(F.lit("Cell_"), (F.row_number().over(w) - 1).cast("string")))
+    x = in_order(cells.select("frame", "label").join(child, ["frame", "label"], "left_anti"), "k")
+    return x.select("frame", "label", F.concat(F.lit("Cell_"), F.col("k").cast("string")).alias("track"))
 
 
 def _ranked(edges: DataFrame) -> DataFrame:
@@ -138,7 +145,8 @@ def lineages(cells: DataFrame, edges: DataFrame) -> DataFrame:
         up = now.select(F.col("frame").alias("f"), F.col("label").alias("l"), F.col("up_frame").alias("uf"), F.col("up_label").alias("ul"), F.col("track").alias("t"), F.col("path").alias("p"))
         x = now.filter("up_frame IS NOT NULL").join(up, (F.col("up_frame") == F.col("f")) & (F.col("up_label") == F.col("l")))
         x = x.select("frame", "label", F.col("uf").alias("up_frame"), F.col("ul").alias("up_label"), F.concat("t", "track").alias("track"), F.concat("p", "path").alias("path"))
-        now = written(now.filter("up_frame IS NULL").unionByName(x), "lineage")
+        before, now = now, written(now.filter("up_frame IS NULL").unionByName(x), "lineage")
+        drop(before)
     return now.select("track", "frame", "label", "path")
 
 
@@ -150,7 +158,7 @@ def virtual_rows(walk: DataFrame) -> DataFrame:
 def export_graph(cells: DataFrame, edges: DataFrame, walk: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes(id, frame, label, row, track) in order of frame and label, and arcs(a, b) between their ids."""
     rows = virtual_rows(walk).join(walk.select("frame", "label", "track"), ["frame", "label"])
-    nodes = rows.withColumn("id", F.row_number().over(Window.orderBy("frame", "label")) - 1).select("id", "frame", "label", "row", "track")
+    nodes = in_order(rows, "id").select("id", "frame", "label", "row", "track")
     a = nodes.select(F.col("id").alias("a"), "frame", "label")
     b = nodes.select(F.col("id").alias("b"), F.col("frame").alias("next_frame"), F.col("label").alias("next_label"))
     x = edges.withColumn("next_frame", next_frame(edges))

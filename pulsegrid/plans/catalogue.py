@@ -6,6 +6,7 @@ Doubles are rounded on both sides, since the two engines add in different orders
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import lanes as L
 from pulsegrid.functions import names
 from pulsegrid.operators import geometry, labels, measure, series, signal, stabilise, tracking
-from pulsegrid.sources import folders, images
-from pulsegrid.sources.tables import LANES_SQL, PIXELS_SQL, SAMPLES_SQL, lanes, pixels, samples, table
+from pulsegrid.sources import folders, images, sessions, tables
+from pulsegrid.sources.saved import shared_dir
+from pulsegrid.sources.tables import BOXES_SQL, LANES_SQL, PIXELS_SQL, SAMPLES_SQL, SHAPES_SQL, lanes, pixels, samples, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,6 +49,11 @@ def r(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits) + 0.0
 
 
+def nudge(digits: int) -> float:
+    """Added to means of whole cents before rounding: else a mean that ends in 5 would fall to either side by its last bit."""
+    return 0.123 * 10.0**-digits
+
+
 def whole(*names_: str) -> list[Column]:
     return [F.col(n).cast("long").alias(n) for n in names_]
 
@@ -71,7 +78,7 @@ def power_at_bin(spark, d):
 
 @query("detrend_lane", f"WITH {LANES_SQL} SELECT vec_id, t, round(v - avg(v) OVER (PARTITION BY vec_id), 6) + 0.0 AS v FROM lane")
 def detrend_lane(spark, d):
-    x = lanes(spark, d).select("vec_id", L.detrend(F.col("signal"), L.mean(F.col("signal"))).alias("signal"))
+    x = lanes(spark, d).select("vec_id", L.centred(F.col("signal")).alias("signal"))
     return signal.to_frames(x).select("vec_id", *whole("t"), r("v").alias("v"))
 
 
@@ -81,6 +88,13 @@ def time_axis(spark, d):
     return x.select("vec_id", *whole("t"), r("time").alias("time"))
 
 
+@query("time_axis_interpolated", "WITH c AS (SELECT vec_id, CAST(floor((len(embedding) - 1) * (16.0 / 16.2) + 1e-9) AS INTEGER) + 1 AS cnt FROM embeddings) SELECT vec_id, cnt AS n, round((cnt - 1) / 17.0, 6) AS last_time FROM c")
+def time_axis_interpolated(spark, d):
+    how = signal.Analysis(fps=16.2, interpolate=True, ceiling_axis=True)
+    x = signal.time_axis(signal.process(lanes(spark, d), how), how)
+    return x.select("vec_id", F.size("times").alias("n"), r(F.array_max("times")).alias("last_time"))
+
+
 @query("lane_slice", f"WITH {LANES_SQL} SELECT vec_id, t - 5 AS t, round(v, 6) + 0.0 AS v FROM lane WHERE t BETWEEN 5 AND 40")
 def lane_slice(spark, d):
     x = lanes(spark, d).select("vec_id", L.cut(F.col("signal"), 5, 40).alias("signal"))
@@ -98,12 +112,12 @@ MEAN = "mean AS (SELECT t, avg(v) AS m FROM lane GROUP BY t)"
 
 @query("spatial_mean_signal", f"WITH {LANES_SQL}, {MEAN} SELECT t, round(m, 6) + 0.0 AS m FROM mean")
 def spatial_mean_signal(spark, d):
-    return signal.mean_signal(lanes(spark, d)).select(*whole("t"), r("m").alias("m"))
+    return signal.mean_signal(lanes(spark, d), n=N).select(*whole("t"), r("m").alias("m"))
 
 
 @query("roi_mean_signal", f"WITH {LANES_SQL} SELECT t, round(avg(v), 6) + 0.0 AS m FROM lane WHERE y BETWEEN 2 AND 9 AND x BETWEEN 3 AND 17 GROUP BY t")
 def roi_mean_signal(spark, d):
-    return signal.mean_signal(lanes(spark, d), signal.in_region((2, 9), (3, 17))).select(*whole("t"), r("m").alias("m"))
+    return signal.mean_signal(lanes(spark, d), signal.in_region((2, 9), (3, 17)), n=N).select(*whole("t"), r("m").alias("m"))
 
 
 STEPS = "st AS (SELECT t, lead(m) OVER (ORDER BY t) - m AS d, stddev_pop(m) OVER () AS sd FROM mean), steps AS (SELECT t, d, abs(d) > 2 * sd AS outlier FROM st WHERE d IS NOT NULL)"
@@ -111,7 +125,7 @@ STEPS = "st AS (SELECT t, lead(m) OVER (ORDER BY t) - m AS d, stddev_pop(m) OVER
 
 @query("signal_diff_outliers", f"WITH {LANES_SQL}, {MEAN}, {STEPS} SELECT t, round(d, 6) + 0.0 AS d, outlier FROM steps")
 def signal_diff_outliers(spark, d):
-    return signal.steps(signal.mean_signal(lanes(spark, d))).select(*whole("t"), r("d").alias("d"), "outlier")
+    return signal.steps(signal.mean_signal(lanes(spark, d), n=N)).select(*whole("t"), r("d").alias("d"), "outlier")
 
 
 LIMITS = f"""o AS (SELECT CAST(t AS BIGINT) AS pt FROM steps WHERE outlier), e AS (SELECT pt FROM o UNION ALL SELECT 0 UNION ALL SELECT {N - 1}),
@@ -123,7 +137,7 @@ limits AS (SELECT CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last,
 
 @query("clean_limits", f"WITH {LANES_SQL}, {MEAN}, {STEPS}, {LIMITS} SELECT first, last, periods FROM limits")
 def clean_limits(spark, d):
-    return signal.clean_limits(signal.mean_signal(lanes(spark, d)), 0, N - 1, F0, FPS)
+    return signal.clean_limits(signal.mean_signal(lanes(spark, d), n=N), 0, N - 1, F0, FPS)
 
 
 TRIM = f"""p AS (SELECT first, last, periods, coalesce((SELECT max(k) FROM range(0, 200) q(k) WHERE k <= periods AND floor(k / {F0} * {FPS} + 0.5) + first <= last), 0) AS p FROM limits),
@@ -133,7 +147,7 @@ trimmed AS (SELECT CASE WHEN first >= last THEN 0 ELSE first END AS first, CASE
 
 @query("period_trim", f"WITH {LANES_SQL}, {MEAN}, {STEPS}, {LIMITS}, {TRIM} SELECT first, last FROM trimmed")
 def period_trim(spark, d):
-    return signal.trim_to_periods(signal.clean_limits(signal.mean_signal(lanes(spark, d)), 0, N - 1, F0, FPS), N, F0, FPS)
+    return signal.trim_to_periods(signal.clean_limits(signal.mean_signal(lanes(spark, d), n=N), 0, N - 1, F0, FPS), N, F0, FPS)
 
 
 RESAMPLED = f"""c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS s, len(embedding) AS n, CAST(floor((len(embedding) - 1) * (17.0 / {FPS}) + 1e-9) AS INTEGER) + 1 AS cnt FROM embeddings),
@@ -152,13 +166,22 @@ def resample_cubic(spark, d):
 
 @query("spectrum_one_sided", f"WITH {LANES_SQL}, {MEAN}, k AS (SELECT unnest(range({N // 2})) AS k) SELECT k, round(k * {FPS} / {N}, 8) AS freq, round(sqrt(pow(sum(m * cos(2 * {PI} / {N} * k * t)), 2) + pow(sum(m * sin(2 * {PI} / {N} * k * t)), 2)) * 2 / {N}, 6) AS amp FROM k, mean GROUP BY k")
 def spectrum_one_sided(spark, d):
-    x = signal.spectrum(signal.mean_signal(lanes(spark, d)), N, FPS)
+    x = signal.spectrum(signal.mean_signal(lanes(spark, d), n=N), N, FPS)
     return x.select(*whole("k"), r("freq", 8).alias("freq"), r("amp").alias("amp"))
 
 
-def _cascade_sql(source: str, how: signal.Analysis) -> str:
+#: Gain, and a1 and a2 of each section, of the band-pass of order 4 from 0.1 to 6 Hz, by frame rate. They come from the Butterworth polynomial (1, 2 cos(pi / 8), 1) * (1,
+#: 2 cos(3 pi / 8), 1) by substituting the band-pass and bilinear transforms as polynomials and taking the denominator's roots, not from the design under test.
+SECTIONS = {
+    16.7: (0.28407711641496947, (0.726574361339, 0.163141055119), (0.979030409012, 0.548071554963), (-1.930597488052, 0.93200737975), (-1.970572106101, 0.971974755227)),
+    17.0: (0.2678542068742584, (0.680095494118, 0.147976569932), (0.923804558583, 0.537203345783), (-1.931776514985, 0.933139300502), (-1.97111991503, 0.97247406699)),
+}
+
+
+def _cascade_sql(source: str, fps: float) -> str:
     """A recursion over time: each step runs the four sections in turn on the next sample."""
-    sections = how.sections().tolist()
+    gain, *parts = SECTIONS[fps]
+    sections = [(g, 0.0, -g, 1.0, a1, a2) for g, (a1, a2) in zip((gain, 1.0, 1.0, 1.0), parts, strict=True)]
     value, steps = "x", []
     for k, (b0, b1, b2, _, a1, a2) in enumerate(sections):
         new = f"y{k}"
@@ -176,7 +199,7 @@ def _cascade_sql(source: str, how: signal.Analysis) -> str:
 BAND = signal.Analysis(band_pass=True)
 
 
-@query("bandpass_sos", f"{_cascade_sql(f'{LANES_SQL}, centred AS (SELECT vec_id, t, v - avg(v) OVER (PARTITION BY vec_id) AS v FROM lane)', BAND)} SELECT vec_id, t, round(v, 6) + 0.0 AS v FROM iir WHERE t >= 0")
+@query("bandpass_sos", f"{_cascade_sql(f'{LANES_SQL}, centred AS (SELECT vec_id, t, v - avg(v) OVER (PARTITION BY vec_id) AS v FROM lane)', 16.7)} SELECT vec_id, t, round(v, 6) + 0.0 AS v FROM iir WHERE t >= 0")
 def bandpass_sos(spark, d):
     return signal.to_frames(signal.process(lanes(spark, d), BAND).select("vec_id", "signal")).select("vec_id", *whole("t"), r("v").alias("v"))
 
@@ -186,7 +209,7 @@ FULL = signal.Analysis(band_pass=True, interpolate=True)
 
 @query(
     "process_stack",
-    f"{_cascade_sql(f'{RESAMPLED}, centred AS (SELECT vec_id, t, v - avg(v) OVER (PARTITION BY vec_id) AS v, avg(v) OVER (PARTITION BY vec_id) AS dc, cnt FROM fine)', FULL)} "
+    f"{_cascade_sql(f'{RESAMPLED}, centred AS (SELECT vec_id, t, v - avg(v) OVER (PARTITION BY vec_id) AS v, avg(v) OVER (PARTITION BY vec_id) AS dc, cnt FROM fine)', 17.0)} "
     f"SELECT vec_id, round(max(dc), 6) + 0.0 AS dc, round(sqrt(pow(sum(CASE WHEN t < cnt - 1 THEN i.v * cos(2 * {PI} * {F0} / 17.0 * t) ELSE 0 END), 2) + pow(sum(CASE WHEN t < cnt - 1 THEN i.v * sin(2 * {PI} * {F0} / 17.0 * t) ELSE 0 END), 2)) * 2 / max(cnt), 6) + 0.0 AS ac FROM iir i JOIN centred c USING (vec_id, t) GROUP BY vec_id",
 )
 def process_stack(spark, d):
@@ -201,6 +224,18 @@ def extract_trimmed(spark, d):
     return signal.extract(lanes(spark, d), signal.Analysis(), N).select("vec_id", r("dc").alias("dc"), r("ac").alias("ac"))
 
 
+HARD = "limits AS (SELECT CAST(5 AS BIGINT) AS first, CAST(60 AS BIGINT) AS last, CAST(3 AS BIGINT) AS periods)"
+
+
+@query(
+    "extract_hard_limits",
+    f"WITH {LANES_SQL}, {HARD}, {TRIM}, cut AS (SELECT vec_id, t - first AS t, v, last - first + 1 AS n FROM lane, trimmed WHERE t BETWEEN first AND last), m AS (SELECT *, avg(v) OVER (PARTITION BY vec_id) AS dc FROM cut) SELECT vec_id, max(n) AS n, round(max(dc), 6) + 0.0 AS dc, round({GOERTZEL}, 6) + 0.0 AS ac FROM m GROUP BY vec_id",
+)
+def extract_hard_limits(spark, d):
+    x = signal.extract(lanes(spark, d), signal.Analysis(), N, 5, 60, periods=3)
+    return x.select("vec_id", F.size("signal").cast("long").alias("n"), r("dc").alias("dc"), r("ac").alias("ac"))
+
+
 @query("nearest_sample", f"WITH {SAMPLES_SQL} SELECT lane, arg_min(i, abs(minute - 20000.0) * 1e6 + i * 1e-6) AS i FROM samples GROUP BY lane")
 def nearest_sample(spark, d):
     return signal.nearest_sample(samples(spark, d), "lane", 20000.0, "minute").select("lane", *whole("i"))
@@ -208,7 +243,7 @@ def nearest_sample(spark, d):
 
 @query("region_limits", f"WITH {LANES_SQL}, {MEAN} SELECT (SELECT t FROM mean ORDER BY abs(t / {FPS} - 0.71), t LIMIT 1) + 2 AS first, (SELECT t FROM mean ORDER BY abs(t / {FPS} - 2.5), t LIMIT 1) + 3 AS last")
 def region_limits(spark, d):
-    return signal.region_limits(signal.mean_signal(lanes(spark, d)), 0.71, 2.5, FPS, 2)
+    return signal.region_limits(signal.mean_signal(lanes(spark, d), n=N), 0.71, 2.5, FPS, 2)
 
 
 @query("viewer_slice", f"WITH {LANES_SQL} SELECT vec_id, t, round(v, 6) + 0.0 AS v FROM lane WHERE t BETWEEN 10 AND 12")
@@ -223,7 +258,7 @@ def point_read(spark, d):
 
 # ---- names, folders, measurements
 
-NAMES_SQL = """named AS (SELECT o_orderkey AS seq, 'exp_x' || (o_orderkey % 7) || '_' || (10 + o_orderkey % 15) || CASE WHEN o_orderkey % 3 = 0 THEN 'fps' ELSE 'v' || (o_orderkey % 10) || 'fps' END || '_' ||
+NAMES_SQL = """named AS (SELECT o_orderkey AS seq, 'exp_x' || (o_orderkey % 7) || '_' || (10 + o_orderkey % 15) || CASE WHEN o_orderkey % 3 = 0 THEN 'fps' ELSE 'v' || CASE WHEN o_orderkey % 3 = 1 THEN lpad('' || (o_orderkey % 100), 2, '0') ELSE '' || (o_orderkey % 10) END || 'fps' END || '_' ||
  CASE WHEN (o_orderkey // 60) % 12 < 9 THEN '' || ((o_orderkey // 60) % 12 + 1) ELSE '' || ((o_orderkey // 60) % 12 + 1) END || lpad('' || (o_orderkey % 60), 2, '0') || lpad('' || (o_orderkey % 59), 2, '0') ||
  CASE WHEN o_orderkey % 2 = 0 THEN ' AM' ELSE ' PM' END AS name FROM orders)"""
 
@@ -232,7 +267,7 @@ def named(spark, d):
     k = F.col("o_orderkey")
     text = lambda c: c.cast("string")
     hour = F.expr("(o_orderkey div 60) % 12 + 1")
-    rate = F.when(k % 3 == 0, F.lit("fps")).otherwise(F.concat(F.lit("v"), text(k % 10), F.lit("fps")))
+    rate = F.when(k % 3 == 0, F.lit("fps")).otherwise(F.concat(F.lit("v"), F.when(k % 3 == 1, F.lpad(text(k % 100), 2, "0")).otherwise(text(k % 10)), F.lit("fps")))
     half = F.when(k % 2 == 0, " AM").otherwise(" PM")
     name = F.concat(F.lit("exp_x"), text(k % 7), F.lit("_"), text(10 + k % 15), rate, F.lit("_"), text(hour), F.lpad(text(k % 60), 2, "0"), F.lpad(text(k % 59), 2, "0"), half)
     return table(spark, d, "orders").select(k.alias("seq"), name.alias("name"))
@@ -243,7 +278,15 @@ LEGACY = "CASE WHEN half = 'PM' AND length(dg) = 5 THEN 60.0 * (CAST(dg[1:1] AS
 CLOCK12 = "60.0 * (CAST(lpad(dg, 6, '0')[1:2] AS DOUBLE) % 12 + CASE WHEN half = 'PM' THEN 12 ELSE 0 END) + CAST(lpad(dg, 6, '0')[3:4] AS DOUBLE) + CAST(lpad(dg, 6, '0')[5:6] AS DOUBLE) / 60"
 
 
-@query("parse_fps", f"WITH {NAMES_SQL} SELECT seq, round(CASE WHEN contains(p, 'v') THEN CAST(split_part(p, 'v', 1) AS DOUBLE) + CAST(split_part(p, 'v', 2) AS DOUBLE) / 10 ELSE CAST(p AS DOUBLE) END, 6) AS fps FROM (SELECT seq, replace(split_part(name, '_', 3), 'fps', '') AS p FROM named)")
+FPS_SQL = "WITH {} SELECT seq, round(CASE WHEN contains(p, 'v') THEN CAST(split_part(p, 'v', 1) AS DOUBLE) + CAST(split_part(p, 'v', 2) AS DOUBLE) / {} ELSE CAST(p AS DOUBLE) END, 6) AS fps FROM (SELECT seq, replace(split_part(name, '_', 3), 'fps', '') AS p FROM named)"
+
+
+@query("parse_fps_tenths", FPS_SQL.format(NAMES_SQL, "10"))
+def parse_fps_tenths(spark, d):
+    return named(spark, d).select("seq", r(names.fps_tenths(F.col("name"))).alias("fps"))
+
+
+@query("parse_fps", FPS_SQL.format(NAMES_SQL, "pow(10, length(split_part(p, 'v', 2)))"))
 def parse_fps(spark, d):
     return named(spark, d).select("seq", r(names.fps(F.col("name"))).alias("fps"))
 
@@ -315,6 +358,15 @@ def abs_time_order(spark, d):
     return x.select("name", "seq", "frame", *whole("hour", "minute"), r("abstime").alias("abstime"))
 
 
+@query(
+    "add_measurements",
+    f"WITH {NAMES_SQL}, {DIGITS}, m AS (SELECT name, seq, {CLOCK12} AS t FROM clock) SELECT seq, row_number() OVER (ORDER BY t, seq) - 1 AS frame FROM m",
+)
+def add_measurements(spark, d):
+    x = named(spark, d)
+    return folders.add(folders.measurements(x.filter("seq % 2 = 0")), folders.measurements(x.filter("seq % 2 = 1"))).select("seq", "frame")
+
+
 @query("relative_time", f"WITH {NAMES_SQL}, {DIGITS}, m AS (SELECT seq, {CLOCK12} AS t FROM clock) SELECT seq, round(t - min(t) OVER (), 6) AS time, CAST(trunc(t - min(t) OVER ()) AS BIGINT) AS whole_time FROM m")
 def relative_time(spark, d):
     x = series.relative_times(folders.measurements(named(spark, d)))
@@ -366,7 +418,9 @@ def pick_label(spark, d):
     return labels.pick(pixels(spark, d), 1, 7, 9).select(*whole("label"))
 
 
-CELLS_SQL = "cells AS (SELECT frame, label, avg(y) AS com_y, avg(x) AS com_x, count(*) AS area FROM pixels WHERE label <> 0 GROUP BY 1, 2)"
+CELLS_SQL = """shape AS (SELECT frame, label, avg(y) AS com_y, avg(x) AS com_x, count(*) AS area, round(var_pop(y), 9) AS vy, round(var_pop(x), 9) AS vx, round(covar_pop(y, x), 9) AS vxy FROM pixels WHERE label <> 0 GROUP BY 1, 2),
+axes AS (SELECT *, round(0.5 * degrees(atan2(2 * vxy, vx - vy)), 5) AS turn, (vy + vx) / 2 AS mid, sqrt(pow((vy - vx) / 2, 2) + pow(vxy, 2)) AS gap FROM shape),
+cells AS (SELECT frame, label, com_y, com_x, area, CASE WHEN turn < 0 THEN turn + 180 ELSE turn END AS angle, CASE WHEN round(4 * sqrt(greatest(mid - gap, 0)), 5) = 0 THEN 0 ELSE round(4 * sqrt(mid + gap), 5) / round(4 * sqrt(greatest(mid - gap, 0)), 5) END AS ar FROM axes)"""
 
 
 @query("label_area_com", f"WITH {PIXELS_SQL}, {CELLS_SQL} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, round(com_y, 6) AS com_y, round(com_x, 6) AS com_x, area FROM cells")
@@ -375,11 +429,11 @@ def label_area_com(spark, d):
 
 
 def _stats_sql(v: str, digits: int) -> str:
-    return f"WITH {PIXELS_SQL} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, round(avg({v}), {digits}) AS {v}_mean, round(min({v}), {digits}) AS {v}_min, round(max({v}), {digits}) AS {v}_max FROM pixels WHERE label <> 0 GROUP BY 1, 2"
+    return f"WITH {PIXELS_SQL} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, round(avg({v}) + {nudge(digits)!r}, {digits}) AS {v}_mean, round(min({v}), {digits}) AS {v}_min, round(max({v}), {digits}) AS {v}_max FROM pixels WHERE label <> 0 GROUP BY 1, 2"
 
 
 def _stats(spark, d, v: str, digits: int):
-    return labels.intensity_stats(pixels(spark, d), v).select(*whole("frame", "label"), *[r(c, digits).alias(c) for c in (f"{v}_mean", f"{v}_min", f"{v}_max")])
+    return labels.intensity_stats(pixels(spark, d), v).select(*whole("frame", "label"), r(F.col(f"{v}_mean") + nudge(digits), digits).alias(f"{v}_mean"), *[r(c, digits).alias(c) for c in (f"{v}_min", f"{v}_max")])
 
 
 @query("label_dc_stats", _stats_sql("dc", 4))
@@ -397,7 +451,7 @@ def background_mean(spark, d):
     return labels.background(pixels(spark, d)).select(*whole("frame"), r("background").alias("background"))
 
 
-MOMENTS = "mom AS (SELECT frame, label, var_pop(y) AS vy, var_pop(x) AS vx, covar_pop(y, x) AS vxy FROM pixels WHERE label <> 0 GROUP BY 1, 2), ell AS (SELECT frame, label, (vy + vx) / 2 AS mid, sqrt(pow((vy - vx) / 2, 2) + pow(vxy, 2)) AS gap, 0.5 * degrees(atan2(2 * vxy, vx - vy)) AS angle FROM mom)"
+MOMENTS = "mom AS (SELECT frame, label, round(var_pop(y), 9) AS vy, round(var_pop(x), 9) AS vx, round(covar_pop(y, x), 9) AS vxy FROM pixels WHERE label <> 0 GROUP BY 1, 2), ell AS (SELECT frame, label, (vy + vx) / 2 AS mid, sqrt(pow((vy - vx) / 2, 2) + pow(vxy, 2)) AS gap, 0.5 * degrees(atan2(2 * vxy, vx - vy)) AS angle FROM mom)"
 
 
 @query("moment_ellipse", f"WITH {PIXELS_SQL}, {MOMENTS} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, round(4 * sqrt(mid + gap), 5) AS major, round(4 * sqrt(greatest(mid - gap, 0)), 5) AS minor, round(angle, 5) + 0.0 AS angle FROM ell")
@@ -424,20 +478,24 @@ def otsu_threshold(spark, d):
     return labels.otsu(labels.bins(_rounded(spark, d))).select(*whole("frame", "label", "threshold"))
 
 
-@query(
-    "interior_contrast",
-    f"""WITH {PIXELS_SQL}, {PIX}, {OTSU}, ins AS (SELECT b.frame, b.label, b.y, b.x FROM binned b JOIN otsu USING (frame, label) WHERE bin >= threshold),
+def _interior_sql(source: str, also: str = "true") -> str:
+    return f"""WITH {source}, {PIX}, {OTSU}, ins AS (SELECT b.frame, b.label, b.y, b.x FROM binned b JOIN otsu USING (frame, label) WHERE bin >= threshold AND {also}),
 p AS (SELECT a.*, i.y IS NOT NULL AS inside FROM pix a LEFT JOIN ins i USING (frame, label, y, x) WHERE label <> 0),
 g AS (SELECT frame, label, count(*) AS area, avg(dc) AS dcm, count(*) FILTER (WHERE inside) AS ia, avg(ac) FILTER (WHERE inside) AS im, coalesce(avg(ac) FILTER (WHERE NOT inside), 0) AS cm FROM p GROUP BY 1, 2),
 b AS (SELECT frame, avg(ac) FILTER (WHERE label = 0) AS bg FROM pix GROUP BY 1)
-SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, ia AS interior_area, round(coalesce(im, 0), 6) AS interior_mean, round(cm, 6) AS contour_mean,
-round(CASE WHEN im + bg <> 0 THEN (im - bg) / (im + bg) ELSE 0 END, 6) + 0.0 AS back_contrast, round(CASE WHEN im + cm <> 0 THEN (im - cm) / (im + cm) ELSE 0 END, 6) + 0.0 AS contour_contrast,
-round(CASE WHEN im IS NOT NULL AND dcm <> 0 THEN im / dcm ELSE 0 END, 12) AS ac_dc_ratio, round(ia / area, 6) AS solidity FROM g JOIN b USING (frame)""",
-)
+SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, ia AS interior_area, round(coalesce(im, 0) + {nudge(6)!r}, 6) AS interior_mean, round(cm + {nudge(6)!r}, 6) AS contour_mean,
+round(CASE WHEN im + bg <> 0 THEN (im - bg) / (im + bg) ELSE 0 END + {nudge(6)!r}, 6) + 0.0 AS back_contrast, round(CASE WHEN im + cm <> 0 THEN (im - cm) / (im + cm) ELSE 0 END + {nudge(6)!r}, 6) + 0.0 AS contour_contrast,
+round(CASE WHEN im IS NOT NULL AND dcm <> 0 THEN im / dcm ELSE 0 END, 12) AS ac_dc_ratio, round(ia / area + {nudge(6)!r}, 6) AS solidity FROM g JOIN b USING (frame)"""
+
+
+def _interior(x: DataFrame) -> DataFrame:
+    rest = [r(F.col(c) + nudge(6)).alias(c) for c in ("interior_mean", "contour_mean", "back_contrast", "contour_contrast")]
+    return x.select(*whole("frame", "label"), "interior_area", *rest, r("ac_dc_ratio", 12).alias("ac_dc_ratio"), r(F.col("solidity") + nudge(6)).alias("solidity"))
+
+
+@query("interior_contrast", _interior_sql(PIXELS_SQL))
 def interior_contrast(spark, d):
-    x = labels.interior_features(_rounded(spark, d))
-    rest = [r(c).alias(c) for c in ("interior_mean", "contour_mean", "back_contrast", "contour_contrast")]
-    return x.select(*whole("frame", "label"), "interior_area", *rest, r("ac_dc_ratio", 12).alias("ac_dc_ratio"), r("solidity").alias("solidity"))
+    return _interior(labels.interior_features(_rounded(spark, d)))
 
 
 # ---- tracking
@@ -449,8 +507,9 @@ CAST3 = "CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, CAST(ne
 ALL = f"WITH RECURSIVE {PIXELS_SQL}, {CELLS_SQL}, {OVERLAPS}, {FWD}, {BACK}"
 DIST = "sqrt(pow(a.com_y - b.com_y, 2) + pow(a.com_x - b.com_x, 2))"
 PAIRED = "FROM cells a JOIN cells b ON b.frame = a.frame + 1"
-SCORED = f"""scored AS (SELECT f.frame, f.label, f.next_label, f.frac, (f.frac + least(1, 2 * f.frac) + ra + least(1, 2 * ra) + least(1, 1 / CASE WHEN dist = 0 THEN 1e-4 ELSE dist END)) / 8 AS score
-FROM fwd f JOIN (SELECT a.frame, a.label, b.label AS next_label, {DIST} AS dist, CASE WHEN b.area / a.area > 1 THEN a.area / b.area ELSE b.area / a.area END AS ra {PAIRED}) d USING (frame, label, next_label) WHERE f.frac > 0.10)"""
+RATIO = "CASE WHEN a.{0} = 0 THEN 0 WHEN b.{0} / a.{0} > 1 THEN a.{0} / b.{0} ELSE b.{0} / a.{0} END"
+SCORED = f"""scored AS (SELECT f.frame, f.label, f.next_label, f.frac, (f.frac + least(1, 2 * f.frac) + turn + ra + least(1, 2 * ra) + rr + least(1, 2 * rr) + least(1, 1 / CASE WHEN dist = 0 THEN 1e-4 ELSE dist END)) / 8 AS score
+FROM fwd f JOIN (SELECT a.frame, a.label, b.label AS next_label, {DIST} AS dist, {RATIO.format("angle")} AS turn, {RATIO.format("area")} AS ra, {RATIO.format("ar")} AS rr {PAIRED}) d USING (frame, label, next_label) WHERE f.frac > 0.10)"""
 KEPT = "kept AS (SELECT * FROM scored WHERE score > 0.3)"
 BEST = """best AS (SELECT frame, label, prev_label FROM back QUALIFY row_number() OVER (PARTITION BY frame, label ORDER BY frac DESC, prev_label) = 1),
 edges AS (SELECT k.* FROM (SELECT *, count(*) OVER (PARTITION BY frame, next_label) AS parents FROM kept) k LEFT JOIN best b ON b.frame = k.frame + 1 AND b.label = k.next_label WHERE parents = 1 OR b.prev_label = k.label)"""
@@ -462,7 +521,7 @@ NET = f"{ALL}, {SCORED}, {KEPT}, {BEST}, {ROOTS}, {WALK}"
 
 def _cells(spark, d):
     p = pixels(spark, d)
-    return p, labels.shape_stats(p)
+    return p, labels.tracked_shapes(p)
 
 
 def _edges(spark, d):
@@ -494,11 +553,11 @@ def inverse_distance(spark, d):
     return x.select(*whole("frame", "label", "next_label"), r(tracking.distance()).alias("distance"), r(tracking.inverse_distance()).alias("nearness"))
 
 
-@query("ratio_scores", f"{ALL} SELECT CAST(a.frame AS BIGINT) AS frame, CAST(a.label AS BIGINT) AS label, CAST(b.label AS BIGINT) AS next_label, round(CASE WHEN a.area = 0 THEN 0 WHEN b.area / a.area > 1 THEN a.area / b.area ELSE b.area / a.area END, 6) AS area_ratio {PAIRED}")
+@query("ratio_scores", f"{ALL} SELECT CAST(a.frame AS BIGINT) AS frame, CAST(a.label AS BIGINT) AS label, CAST(b.label AS BIGINT) AS next_label, " + ", ".join(f"round({RATIO.format(c)}, 6) AS {c}_ratio" for c in ("area", "angle", "ar")) + f" {PAIRED}")
 def ratio_scores(spark, d):
     _, c = _cells(spark, d)
     x = tracking.successive(tracking.frame_pairs(c), c)
-    return x.select(*whole("frame", "label", "next_label"), r(tracking.ratio_score("area")).alias("area_ratio"))
+    return x.select(*whole("frame", "label", "next_label"), *[r(tracking.ratio_score(k)).alias(f"{k}_ratio") for k in ("area", "angle", "ar")])
 
 
 @query("candidate_scores", f"{ALL}, {SCORED} SELECT {CAST3}, round(score, 6) AS score FROM scored")
@@ -574,10 +633,10 @@ def filter_lineage(spark, d):
     return tracking.of_lineage(_walk(spark, d)[3], "Cell_1").select(*whole("frame", "label"))
 
 
-@query("apply_filter", f"WITH {PIXELS_SQL}, {CELLS_SQL}, e AS (SELECT p.* REPLACE (CASE WHEN c.area < 260 THEN 0 ELSE p.label END AS label) FROM pixels p LEFT JOIN cells c USING (frame, label)) {RELABEL.format('e')}")
+@query("apply_filter", f"WITH {PIXELS_SQL}, {CELLS_SQL}, e AS (SELECT p.* REPLACE (CASE WHEN c.area < 100 THEN 0 ELSE p.label END AS label) FROM pixels p LEFT JOIN cells c USING (frame, label)) {RELABEL.format('e')}")
 def apply_filter(spark, d):
     p, c = _cells(spark, d)
-    return labels.relabel(tracking.remove(p, c.filter("area < 260"))).select(*whole(*YXL))
+    return labels.relabel(tracking.remove(p, c.filter("area < 100"))).select(*whole(*YXL))
 
 
 @query("delete_node", f"WITH {PIXELS_SQL} SELECT CAST(frame AS BIGINT) AS frame, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, CAST(CASE WHEN frame = 2 AND label = 3 THEN 0 WHEN frame = 2 AND label > 3 THEN label - 1 ELSE label END AS BIGINT) AS label FROM pixels")
@@ -594,6 +653,24 @@ def edit_link_unlink(spark, d):
     return tracking.unlink(tracking.link(e, (4, 2), (1, 3)), (2, 5), "l").select(*whole("frame", "label", "next_frame", "next_label"))
 
 
+@query("unlink_children", f"{ALL}, {SCORED}, {KEPT}, {BEST} SELECT {CAST3} FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges o WHERE o.frame = 2 AND o.label = 5 AND e.frame = 2 AND e.next_label = o.next_label)")
+def unlink_children(spark, d):
+    return tracking.unlink(_edges(spark, d)[2].select("frame", "label", "next_label"), (2, 5), "r").select(*whole("frame", "label", "next_label"))
+
+
+EDITED = f"""WITH RECURSIVE {PIXELS_SQL.replace("pixels AS", "raw AS")}, small AS (SELECT frame, label FROM raw WHERE label <> 0 GROUP BY 1, 2 HAVING count(*) < 100),
+e AS (SELECT r.* REPLACE (CASE WHEN s.label IS NOT NULL THEN 0 ELSE r.label END AS label) FROM raw r LEFT JOIN small s USING (frame, label)), pixels AS ({RELABEL.format("e")})"""
+
+
+@query("relinked", f"{EDITED}, {CELLS_SQL}, {OVERLAPS}, {FWD}, {BACK}, {SCORED}, {KEPT}, {BEST}, {ROOTS}, {WALK} SELECT track, CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label FROM walk")
+def relinked(spark, d):
+    """Small cells are removed, labels made contiguous, and the network and its lineages made anew."""
+    p, c = _cells(spark, d)
+    p = labels.relabel(tracking.remove(p, c.filter("area < 100")))
+    c = labels.tracked_shapes(p)
+    return tracking.lineages(c, tracking.network(p, c)).select("track", *whole("frame", "label"))
+
+
 # ---- series
 
 FEATURES = "feat AS (SELECT frame, label, count(*) AS area, avg(dc) AS dc_mean, avg(ac) AS ac_mean FROM pixels WHERE label <> 0 AND NOT (frame = 1 AND label = 4) GROUP BY 1, 2)"
@@ -605,9 +682,9 @@ def _series(spark, d):
     return series.with_features(w.select("track", "frame", "label"), f)
 
 
-@query("lineage_features", f"{NET}, {FEATURES} SELECT track, CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, area, round(dc_mean, 4) AS dc_mean, round(ac_mean, 6) AS ac_mean, area IS NULL AS missing FROM walk LEFT JOIN feat USING (frame, label)")
+@query("lineage_features", f"{NET}, {FEATURES} SELECT track, CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, area, round(dc_mean + {nudge(4)!r}, 4) AS dc_mean, round(ac_mean + {nudge(6)!r}, 6) AS ac_mean, area IS NULL AS missing FROM walk LEFT JOIN feat USING (frame, label)")
 def lineage_features(spark, d):
-    return _series(spark, d).select("track", *whole("frame", "label"), "area", r("dc_mean", 4).alias("dc_mean"), r("ac_mean").alias("ac_mean"), "missing")
+    return _series(spark, d).select("track", *whole("frame", "label"), "area", r(F.col("dc_mean") + nudge(4), 4).alias("dc_mean"), r(F.col("ac_mean") + nudge(6)).alias("ac_mean"), "missing")
 
 
 @query("cell_series", f"{NET}, {FEATURES} SELECT track, string_agg('' || frame, ',' ORDER BY frame) AS frames, string_agg('' || area, ',' ORDER BY frame) AS areas FROM walk JOIN feat USING (frame, label) GROUP BY track")
@@ -664,95 +741,129 @@ def nearest_time_join(spark, d):
     return x.select("lane", "at", *whole("i"), r("value").alias("value"))
 
 
-# ---- geometry and stabilisation on drawn shapes
+# ---- geometry and stabilisation, on rectangles and a moving scene, whose outlines, ellipses, interiors and shifts have closed forms
 
-#: Frame, label, first and last row, first and last column of drawn rectangles.
-RECTANGLES = ((0, 1, 2, 9, 3, 12), (0, 2, 12, 18, 3, 9), (1, 1, 3, 10, 4, 7), (1, 2, 3, 10, 9, 13), (1, 3, 13, 19, 4, 10), (2, 1, 4, 11, 5, 8), (2, 2, 4, 11, 10, 14), (2, 3, 14, 20, 5, 5), (2, 4, 22, 22, 22, 22))
-SIDE = 26
+POINTS = "CASE WHEN h = 1 THEN 2 * (w - 1) ELSE 2 * (h + w) - 4 END"
 
 
-def drawn(spark: SparkSession) -> DataFrame:
-    """frame, y, x, label, dc, ac: the rectangles on an empty ground, brighter towards their middles."""
-    boxes = spark.createDataFrame([*RECTANGLES], "frame long, label long, y0 long, y1 long, x0 long, x1 long")
-    ground = spark.range(3 * SIDE * SIDE).select(F.expr(f"id div {SIDE * SIDE}").alias("frame"), F.expr(f"id % {SIDE * SIDE} div {SIDE}").alias("y"), F.expr(f"id % {SIDE}").alias("x"))
-    inside = (F.col("g.frame") == F.col("b.frame")) & F.col("y").between(F.col("y0"), F.col("y1")) & F.col("x").between(F.col("x0"), F.col("x1"))
-    x = ground.alias("g").join(F.broadcast(boxes).alias("b"), inside, "left")
-    edge = F.least(F.col("y") - F.col("y0"), F.col("y1") - F.col("y"), F.col("x") - F.col("x0"), F.col("x1") - F.col("x"))
-    bright = F.coalesce(10.0 + 20.0 * F.least(edge, F.lit(2)), F.lit(1.0))
-    return x.select("g.frame", "y", "x", F.coalesce("label", F.lit(0)).cast("long").alias("label"), (5.0 * bright + F.col("y") * 0.25 + F.col("x") * 0.125).alias("dc"), bright.alias("ac"))
+@query("contours", f"WITH {BOXES_SQL} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, CAST({POINTS} AS BIGINT) AS n_points, CAST((h - 1) * (w - 1) AS DOUBLE) AS area, CAST({POINTS} + 1 AS BIGINT) AS n_closed, CAST(x0 AS BIGINT) AS x_first, CAST(y0 AS BIGINT) AS y_first, CAST(x0 + w - 1 AS BIGINT) AS x_last, CAST(y0 + h - 1 AS BIGINT) AS y_last FROM boxes")
+def contours(spark, d):
+    x = geometry.contours(tables.shapes(spark, d))
+    ends = {"x_first": F.element_at("xs", 1), "y_first": F.element_at("ys", 1), "x_last": F.array_max("xs"), "y_last": F.array_max("ys")}
+    return x.select(*whole("frame", "label", "n_points"), r("area").alias("area"), F.size("xs").cast("long").alias("n_closed"), *[c.cast("long").alias(n) for n, c in ends.items()])
 
 
-@query("contours")
-def contours(spark, d):
-    return geometry.contours(drawn(spark))
+#: The conic a u**2 + c v**2 = 1 of least error over a rectangle's border, centred: c / a is the root of the ratio of the two squares' own sums of squares about their means.
+ELLIPSE_SQL = """rim AS (SELECT frame, label, i - (w - 1) / 2.0 AS u, j - (h - 1) / 2.0 AS v FROM spread WHERE h > 1 AND (i = 0 OR j = 0 OR i = w - 1 OR j = h - 1)),
+sums AS (SELECT frame, label, count(*) AS n, sum(u * u) AS su, sum(v * v) AS sv, sqrt((sum(pow(u, 4)) - pow(sum(u * u), 2) / count(*)) / (sum(pow(v, 4)) - pow(sum(v * v), 2) / count(*))) AS q FROM rim GROUP BY 1, 2),
+halves AS (SELECT frame, label, sqrt((su + q * sv) / n) AS across, sqrt((su / q + sv) / n) AS down FROM sums),
+fitted AS (SELECT b.frame, b.label, CASE WHEN across IS NULL OR across - down > -1e-6 THEN 0.0 ELSE 90.0 END AS angle, coalesce(2 * greatest(across, down), 1) AS major, coalesce(2 * least(across, down), 1) AS minor FROM boxes b LEFT JOIN halves USING (frame, label))"""
 
 
-@query("ellipse_fit")
+@query("ellipse_fit", f"WITH {SHAPES_SQL}, {ELLIPSE_SQL} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, angle, round(major, 5) AS major, round(minor, 5) AS minor, round(major / minor, 5) AS ar FROM fitted")
 def ellipse_fit(spark, d):
-    return geometry.ellipses(drawn(spark))
+    x = geometry.ellipses(tables.shapes(spark, d))
+    angle = F.when(F.col("major") - F.col("minor") < 1e-6, 0.0).otherwise(F.round("angle", 4) % 180)  # a circle has none
+    return x.select("frame", "label", (angle + 0.0).alias("angle"), r("major", 5).alias("major"), r("minor", 5).alias("minor"), r("ar", 5).alias("ar"))
+
+
+HULLS = "SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, round(CASE WHEN k % 4 = 0 AND h > 1 THEN (2 * (h + w) - 4) / (h * w) ELSE 1 END, 6) AS convexity FROM boxes"
 
 
-@query("convexity")
+@query("convexity", f"WITH {BOXES_SQL} {HULLS}")
 def convexity(spark, d):
-    return geometry.convexity(drawn(spark))
+    return geometry.convexity(tables.shapes(spark, d, rings=True)).select("frame", "label", r("convexity").alias("convexity"))
 
 
-@query("interior_regions")
+@query("filter_convexity", f"WITH {BOXES_SQL}, c AS ({HULLS}) SELECT frame, label FROM c WHERE convexity < 0.8")
+def filter_convexity(spark, d):
+    return geometry.convexity(tables.shapes(spark, d, rings=True)).filter("convexity < 0.8").select("frame", "label")
+
+
+#: The brighter right part of a rectangle is one part, of an outline within the band; a line has no outline of that area.
+WIDE = "(b.frame, b.label) NOT IN (SELECT (frame, label) FROM boxes WHERE h = 1)"
+
+
+@query("interior_regions", _interior_sql(SHAPES_SQL, WIDE))
 def interior_regions(spark, d):
-    p = drawn(spark)
-    return labels.interior_features(p, geometry.interiors(p))
+    p = tables.shapes(spark, d)
+    return _interior(labels.interior_features(p, geometry.interiors(p)))
 
 
 @query("cell_features")
 def cell_features(spark, d):
-    return measure.features(drawn(spark), with_outlines=True)
+    return measure.features(tables.shapes(spark, d), with_outlines=True)
 
 
 @query("measured_series")
 def measured_series(spark, d):
-    times = spark.createDataFrame([(0, 600.0), (1, 610.5), (2, 622.0)], "frame long, abstime double")
-    return measure.measure(drawn(spark), times)
+    p = tables.shapes(spark, d)
+    times = p.select("frame").distinct().select("frame", (600.0 + 10.5 * F.col("frame")).alias("abstime"))
+    return measure.measure(p, times)
 
 
-@query("segment_default")
+@query(
+    "segment_default",
+    f"WITH {BOXES_SQL} SELECT CAST(frame AS BIGINT) AS frame, row_number() OVER (PARTITION BY frame ORDER BY y0, x0) AS label, CAST(h * w AS BIGINT) AS n FROM boxes UNION ALL SELECT CAST(frame AS BIGINT), 0, CAST({tables.SIDE * tables.SIDE} - sum(h * w) AS BIGINT) FROM boxes GROUP BY frame",
+)
 def segment_default(spark, d):
-    return geometry.segment(drawn(spark)).groupBy("frame", "label").agg(F.count("*").alias("n"))
+    return geometry.segment(tables.images(spark, d)).groupBy("frame", "label").agg(F.count("*").alias("n"))
 
 
-@query("stabilise_shift")
+@query(
+    "stabilise_shift",
+    f"WITH w AS (SELECT f, CAST({tables.DRIFT['sx']} AS DOUBLE) AS sx, CAST({tables.DRIFT['sy']} AS DOUBLE) AS sy FROM (SELECT DISTINCT s_suppkey // 10 AS f FROM supplier)) SELECT CAST(b.f AS BIGINT) AS frame, round(b.sx - a.sx, 1) + 0.0 AS dx, round(b.sy - a.sy, 1) + 0.0 AS dy FROM w a JOIN w b ON b.f = a.f + 1",
+)
 def stabilise_shift(spark, d):
-    return stabilise.shifts(drawn(spark))
+    return stabilise.shifts(tables.drifting(spark, d)).select("frame", r("dx", 1).alias("dx"), r("dy", 1).alias("dy"))
 
 
-#: Dx, dy of the frames after the first, for the tables of shifts below.
-SHIFTS = ((1, 1.4, -2.2), (2, 0.7, 3.6))
-SHIFTS_SQL = "warps(frame, dx, dy) AS (VALUES (1, 1.4, -2.2), (2, 0.7, 3.6)), bk AS (SELECT CAST(frame AS BIGINT) AS frame, CAST(-sum(dx) OVER (ORDER BY frame) AS DOUBLE) AS dx, CAST(-sum(dy) OVER (ORDER BY frame) AS DOUBLE) AS dy FROM warps)"
+WARPS = {"dx": "(frame * 5 % 7 - 3) * 0.613", "dy": "(frame * 3 % 5 - 2) * 0.829"}
+SHIFTS_SQL = f"{PIXELS_SQL}, warps AS (SELECT frame, CAST({WARPS['dx']} AS DOUBLE) AS dx, CAST({WARPS['dy']} AS DOUBLE) AS dy FROM (SELECT DISTINCT frame FROM pixels WHERE frame > 0)), bk AS (SELECT CAST(frame AS BIGINT) AS frame, -sum(dx) OVER (ORDER BY frame) AS dx, -sum(dy) OVER (ORDER BY frame) AS dy FROM warps)"
 
 
-def _back(spark):
-    return stabilise.back_to_first(spark.createDataFrame([*SHIFTS], "frame long, dx double, dy double"))
+def _back(p: DataFrame) -> DataFrame:
+    """A shift for every frame of the table but the first, summed and undone."""
+    frames = p.select(F.col("frame").cast("long").alias("frame")).distinct().filter("frame > 0")
+    return stabilise.back_to_first(frames.select("frame", *[F.expr(e).cast("double").alias(n) for n, e in WARPS.items()]))
 
 
 @query("cumulative_shift", f"WITH {SHIFTS_SQL} SELECT frame, round(dx, 6) AS dx, round(dy, 6) AS dy FROM bk")
 def cumulative_shift(spark, d):
-    return _back(spark).select("frame", r("dx").alias("dx"), r("dy").alias("dy"))
+    return _back(pixels(spark, d)).select("frame", r("dx").alias("dx"), r("dy").alias("dy"))
 
 
-PADS = 'pads AS (SELECT CAST(floor(greatest(0, -min(dy))) AS BIGINT) AS top, CAST(greatest(0, floor(greatest(0, max(dy) + 48)) - 48) AS BIGINT) AS bottom, CAST(floor(greatest(0, -min(dx))) AS BIGINT) AS "left", CAST(greatest(0, floor(greatest(0, max(dx) + 48)) - 48) AS BIGINT) AS "right" FROM bk)'
+PADS = 'pads AS (SELECT CAST(floor(greatest(0, -min(dy))) AS BIGINT) AS top, CAST(greatest(0, floor(greatest(0, max(dy) + max(side))) - max(side)) AS BIGINT) AS bottom, CAST(floor(greatest(0, -min(dx))) AS BIGINT) AS "left", CAST(greatest(0, floor(greatest(0, max(dx) + max(side))) - max(side)) AS BIGINT) AS "right" FROM bk, dims)'
 
 
 @query("pad_bounds", f"WITH {SHIFTS_SQL}, {PADS} SELECT * FROM pads")
 def pad_bounds(spark, d):
-    return stabilise.pads(_back(spark), 48, 48)
+    side, _ = tables.grid(spark, d)
+    return stabilise.pads(_back(pixels(spark, d)), side, side)
 
 
 @query(
     "warp_nearest",
-    f"""WITH {PIXELS_SQL}, {SHIFTS_SQL}, {PADS}, im AS (SELECT * FROM pixels WHERE frame < 3),
-moved AS (SELECT im.frame, CAST(y + floor(coalesce(dy, 0) + 0.5) + top AS BIGINT) AS y, CAST(x + floor(coalesce(dx, 0) + 0.5) + "left" AS BIGINT) AS x, label FROM im LEFT JOIN bk ON bk.frame = im.frame, pads),
-canvas AS (SELECT f.frame, a.y, b.x FROM (SELECT DISTINCT frame FROM im) f, pads, range(0, 48 + top + bottom) a(y), range(0, 48 + "left" + "right") b(x))
+    f"""WITH {SHIFTS_SQL}, {PADS},
+moved AS (SELECT im.frame, CAST(y + floor(coalesce(dy, 0) + 0.5) + top AS BIGINT) AS y, CAST(x + floor(coalesce(dx, 0) + 0.5) + "left" AS BIGINT) AS x, label FROM pixels im LEFT JOIN bk ON bk.frame = im.frame, pads),
+canvas AS (SELECT f.frame, a.y, b.x FROM (SELECT DISTINCT frame FROM pixels) f, (SELECT unnest(range(0, side + top + bottom)) AS y FROM pads, dims) a, (SELECT unnest(range(0, side + "left" + "right")) AS x FROM pads, dims) b)
 SELECT CAST(c.frame AS BIGINT) AS frame, c.y, c.x, CAST(coalesce(label, 0) AS BIGINT) AS label FROM canvas c LEFT JOIN moved m ON m.frame = c.frame AND m.y = c.y AND m.x = c.x""",
 )
 def warp_nearest(spark, d):
-    p = pixels(spark, d).filter("frame < 3").select("frame", "y", "x", "label")
-    return stabilise.warp(p, _back(spark), 48, 48, None).select(*whole(*YXL))
+    p, (side, _) = pixels(spark, d).select("frame", "y", "x", "label"), tables.grid(spark, d)
+    return stabilise.warp(p, _back(p), side, side, None).select(*whole(*YXL))
+
+
+@query(
+    "session_import",
+    f"""WITH {PIXELS_SQL}, ends AS (SELECT max(y) AS h, max(x) AS w FROM pixels), f AS (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS page FROM (SELECT DISTINCT frame FROM pixels)),
+canvas AS (SELECT frame, page, unnest(range(0, h + 1)) AS y, w FROM f, ends), full_ AS (SELECT frame, page, y, unnest(range(0, w + 1)) AS x FROM canvas)
+SELECT page AS frame, c.y, c.x, CAST(coalesce(label, 0) AS BIGINT) AS label, round(coalesce(ac, 0), 6) AS ac, round(coalesce(dc, 0), 4) AS dc FROM full_ c LEFT JOIN pixels p USING (frame, y, x)""",
+)
+def session_import(spark, d):
+    """The table as a session's three files, read back."""
+    p, folder = pixels(spark, d), f"{shared_dir(spark)}/pulsegrid-session-{uuid.uuid4().hex}"
+    sessions.make_folder(spark, folder)
+    for file, (column, dtype) in sessions.STACKS.items():
+        sessions.write_stack(p, column, dtype, f"{folder}/{file}")
+    return sessions.read_pixels(spark, folder).select(*whole(*YXL), r("ac").alias("ac"), r("dc", 4).alias("dc"))

@@ -6,20 +6,29 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import names
+from pulsegrid.sources.saved import written
 
 
 def day_folders(folders: DataFrame, minutes: Column, start: int = 0, stride: int = 1, holds: str = "") -> DataFrame:
-    """folders(name) of a day's measurements: those with `_` and `x` in the name, by time; then those that hold a string, every stride-th from start.
-
-    One day is one small list; the window over it is not over pixel data."""
+    """folders(name) of a day's measurements: those with `_` and `x` in the name, by time; then those that hold a string, every stride-th from start."""
     x = folders.filter(F.contains("name", F.lit("_")) & F.contains("name", F.lit("x"))).withColumn("minutes", minutes)
-    x = x.withColumn("minutes", F.col("minutes") - F.min("minutes").over(Window.partitionBy()))
+    first = x.agg(F.min("minutes").alias("_first"))  # one row
+    x = x.crossJoin(F.broadcast(first)).withColumn("minutes", F.col("minutes") - F.col("_first")).drop("_first")
     if holds:
         x = x.filter(F.contains("name", F.lit(holds)))
-    x = x.withColumn("place", F.row_number().over(Window.orderBy("minutes", "name")) - 1)
+    x = in_order(x, "place", "minutes", "name")
     return x.filter((F.col("place") >= start) & ((F.col("place") - start) % stride == 0))
 
 
+def in_order(x: DataFrame, name: str, *order: str) -> DataFrame:
+    """x with its rows' numbers from 0 in this order. Rows are range-partitioned and written, then numbered within partitions; a row per partition is summed in one task."""
+    parts = written(x.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered")
+    up_to = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", (F.sum("_n").over(up_to) - F.col("_n")).alias("_before"))
+    ranked = parts.withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    return ranked.join(before, "_part").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_part", "_before")
+
+
 def ini_shapes(spark: SparkSession, path: str) -> DataFrame:
     """path, h, w from the settings files' lines AOIHeight= and AOIWidth=."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.split("value", "=").alias("kv"))
@@ -38,7 +47,7 @@ def spool_name(created: Column) -> Column:
 def session_times(lines: DataFrame) -> DataFrame:
     """frame, time: the sorted distinct times of all `times` lines of lines(value) of a session's CSV."""
     x = lines.filter(F.startswith("value", F.lit("times"))).select(F.explode(F.split("value", ",")).alias("p")).select(F.col("p").try_cast("double").alias("time")).filter("time IS NOT NULL").distinct()
-    return x.withColumn("frame", (F.row_number().over(Window.orderBy("time")) - 1).cast("long"))
+    return in_order(x, "frame", "time")
 
 
 def measurements(named: DataFrame, legacy: bool = False) -> DataFrame:
@@ -51,7 +60,7 @@ def measurements(named: DataFrame, legacy: bool = False) -> DataFrame:
 
 def numbered(x: DataFrame) -> DataFrame:
     """frame from 0 in order of abstime, ties by seq. A row per measurement."""
-    return x.drop("frame").withColumn("frame", (F.row_number().over(Window.orderBy("abstime", "seq")) - 1).cast("long"))
+    return in_order(x.drop("frame"), "frame", "abstime", "seq")
 
 
 def add(old: DataFrame, new: DataFrame) -> DataFrame:

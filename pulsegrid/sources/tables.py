@@ -1,21 +1,26 @@
 """The domain's tables as views of the test tables.
 
 lanes   vec_id, y, x, label, signal: a pixel's time signal (embeddings)
-pixels  frame, y, x, label, dc, ac: labelled images (lineitem)
+pixels  frame, y, x, label, dc, ac: labelled images (lineitem); their side and number grow with the table, and so do the labels, eight to a square of 32 pixels
 signal  lane, i, ts, value: irregular samples (events)
+shapes  frame, y, x, label, dc, ac: a rectangle for each supplier, 64 to a frame, for what needs outlines
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LANES_SQL = "lane AS (SELECT vec_id, vec_id // 25 AS y, vec_id % 25 AS x, label, CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS t, len(embedding) AS n FROM embeddings)"
-PIXELS_SQL = (
-    "pixels AS (SELECT l_linenumber - 1 AS frame, l_orderkey % 48 AS y, l_partkey % 48 AS x, max(l_suppkey % 9) AS label, "
-    "sum(l_extendedprice) AS dc, avg(l_discount) AS ac FROM lineitem GROUP BY 1, 2, 3)"
-)
+PIXELS_SQL = """dims AS (SELECT CAST(greatest(1, floor(sqrt(n / (26 * parts)))) AS BIGINT) AS side, parts FROM (SELECT count(*) AS n, 1 + count(*) // 250000 AS parts FROM lineitem)),
+drawn AS (SELECT l_linenumber - 1 + 7 * (l_orderkey % parts) AS frame, (l_orderkey // parts) % side AS y, l_partkey % side AS x, max(l_suppkey % 9) AS base, any_value(side) AS side, sum(l_extendedprice) AS dc, avg(l_discount) AS ac FROM lineitem, dims GROUP BY 1, 2, 3),
+pixels AS (SELECT frame, y, x, CASE WHEN base = 0 THEN 0 ELSE (y // 32 * (side // 32 + 1) + x // 32) * 8 + base END AS label, dc, ac FROM drawn)"""
+BOXES_SQL = """boxes AS (SELECT s_suppkey AS k, s_suppkey // 64 AS frame, s_suppkey % 64 + 1 AS label, s_suppkey % 64 // 8 * 24 + 2 + s_suppkey % 5 AS y0, s_suppkey % 8 * 24 + 2 + s_suppkey % 3 AS x0,
+CASE WHEN s_suppkey % 10 = 0 THEN 1 ELSE 5 + s_suppkey % 8 END AS h, 8 + s_suppkey * 7 % 9 AS w FROM supplier)"""
+SIDE = 192  # of an image of eight by eight tiles
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +33,65 @@ def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def grid(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """The side of an image and how many times seven frames there are; the row count is in the files' footers."""
+    n = table(spark, sf_dir, "lineitem").count()
+    parts = 1 + n // 250_000
+    return max(1, int(math.sqrt(n / (26 * parts)))), parts
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side, parts = grid(spark, sf_dir)
+    key = F.col("l_orderkey")
     x = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_linenumber") - 1).alias("frame"), (F.col("l_orderkey") % 48).alias("y"), (F.col("l_partkey") % 48).alias("x"), (F.col("l_suppkey") % 9).alias("label"), "l_extendedprice", "l_discount"
+        (F.col("l_linenumber") - 1 + 7 * (key % parts)).alias("frame"), F.expr(f"(l_orderkey div {parts}) % {side}").alias("y"), (F.col("l_partkey") % side).alias("x"), (F.col("l_suppkey") % 9).alias("base"), "l_extendedprice", "l_discount"
     )
-    return x.groupBy("frame", "y", "x").agg(F.max("label").alias("label"), F.sum("l_extendedprice").alias("dc"), F.avg("l_discount").alias("ac"))
+    x = x.groupBy("frame", "y", "x").agg(F.max("base").alias("base"), F.sum("l_extendedprice").alias("dc"), F.avg("l_discount").alias("ac"))
+    label = F.when(F.col("base") == 0, F.lit(0).cast("long")).otherwise(F.expr(f"(y div 32 * {side // 32 + 1} + x div 32) * 8 + base"))
+    return x.select("frame", "y", "x", label.alias("label"), "dc", "ac")
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, frame, label, y0, x0, h, w: rectangles on tiles of their own, every tenth a line of one row."""
+    place = {"frame": "s_suppkey div 64", "label": "s_suppkey % 64 + 1", "y0": "s_suppkey % 64 div 8 * 24 + 2 + s_suppkey % 5", "x0": "s_suppkey % 8 * 24 + 2 + s_suppkey % 3"}
+    size = {"h": "CASE WHEN s_suppkey % 10 = 0 THEN 1 ELSE 5 + s_suppkey % 8 END", "w": "8 + s_suppkey * 7 % 9"}
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), *[F.expr(e).cast("long").alias(n) for n, e in (place | size).items()])
+
+
+def shapes(spark: SparkSession, sf_dir: str, rings: bool = False) -> DataFrame:
+    """frame, y, x, label, dc, ac: the rectangles, brighter to the right, and a pixel of background beside each. With rings, every fourth has its rim only."""
+    b = boxes(spark, sf_dir)
+    x = b.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    if rings:
+        rim = F.col("i").isin(0) | F.col("j").isin(0) | (F.col("i") == F.col("w") - 1) | (F.col("j") == F.col("h") - 1)
+        x = x.filter((F.col("k") % 4 != 0) | rim)
+    inside = x.select("frame", (F.col("y0") + F.col("j")).alias("y"), (F.col("x0") + F.col("i")).alias("x"), "label", (40.0 + F.col("j")).alias("dc"), (10.0 + 3.0 * F.col("i")).alias("ac"))
+    ground = b.select("frame", (F.col("y0") - 1).alias("y"), (F.col("x0") - 1).alias("x"), F.lit(0).cast("long").alias("label"), F.lit(2.0).alias("dc"), (1.0 + F.col("k") % 4).alias("ac"))
+    return inside.unionByName(ground)
+
+
+SHAPES_SQL = f"""{BOXES_SQL}, across AS (SELECT *, unnest(range(w)) AS i FROM boxes), spread AS (SELECT *, unnest(range(h)) AS j FROM across),
+pixels AS (SELECT frame, y0 + j AS y, x0 + i AS x, label, CAST(40 + j AS DOUBLE) AS dc, CAST(10 + 3 * i AS DOUBLE) AS ac FROM spread UNION ALL SELECT frame, y0 - 1, x0 - 1, 0, 2.0, CAST(1 + k % 4 AS DOUBLE) FROM boxes)"""
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame, y, x, label, dc: the rectangles as whole images of 50 on 1, unlabelled."""
+    on = shapes(spark, sf_dir).filter("label <> 0").select("frame", "y", "x", F.lit(50.0).alias("on"))
+    ground = boxes(spark, sf_dir).select("frame").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1)).cast("array<long>"))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1)).cast("array<long>")))
+    return ground.join(on, ["frame", "y", "x"], "left").select("frame", "y", "x", F.lit(0).cast("long").alias("label"), F.coalesce("on", F.lit(1.0)).alias("dc"))
+
+
+#: The way of a drifting scene: where it stands in frame f (a frame for every ten suppliers).
+DRIFT = {"sx": "(f * 3 % 5 - 2) * 0.5", "sy": "(f * 2 % 7 - 3) * 0.5"}
+
+
+def drifting(spark: SparkSession, sf_dir: str, side: int = 48) -> DataFrame:
+    """frame, y, x, dc: three soft spots that move as a whole."""
+    frames = table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 10").alias("f")).distinct().select(F.col("f").cast("long").alias("frame"), *[F.expr(e).cast("double").alias(n) for n, e in DRIFT.items()])
+    every = F.sequence(F.lit(0), F.lit(side - 1)).cast("array<long>")
+    x = frames.withColumn("y", F.explode(every)).withColumn("x", F.explode(every))
+    spot = lambda cy, cx: 100.0 * F.exp(-(F.pow(F.col("y") - cy - F.col("sy"), 2.0) + F.pow(F.col("x") - cx - F.col("sx"), 2.0)) / 50.0)
+    return x.select("frame", "y", "x", (spot(14, 16) + spot(33, 30) + spot(36, 18)).alias("dc"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
