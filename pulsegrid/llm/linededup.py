@@ -10,6 +10,7 @@ Defined cases: a null or empty text is one empty line; a line's key is the line
 under `min_chars` code points are kept always; documents with one doc_id are one document, a null doc_id is one document,
 last in order; repeated rows get the same lines; an empty table gives an empty result; columns besides doc_id and
 text are ignored by keep_bitmaps() and kept by dedup_rows().
+A very long text is streamed line by line; of equal doc_ids that hold a line first, all keep it.
 """
 
 from __future__ import annotations

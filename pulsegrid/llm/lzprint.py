@@ -3,7 +3,7 @@
 A text is parsed into the phrases of an LZ78 dictionary over its words: each phrase is the longest one known followed by one more word. The set of
 phrases is hashed and its `keep` smallest hashes are the fingerprint; the likeness of two fingerprints is the share of
 common hashes among the `keep` smallest of both together, an estimate of the phrase sets' Jaccard likeness (exact for small
-sets). Words over `longest` characters, as in scripts without spaces, are cut into runs of that length.
+sets). Words over `longest` bytes, as in scripts without spaces, are cut into runs of so many bytes, which may part a character: only bytes are compared.
 
 edited_pairs() also needs each document's successor by doc_id. Texts are range-partitioned by doc_id once and streamed in order;
 the only successors that aren't in the same partition are those of the partitions' last rows, which are matched with the next

@@ -9,6 +9,7 @@ which is about six times as fast; tests compare the two.
 
 Defined cases: a null or empty text is one piece, the end id; null or repeated doc_ids and repeated rows are packed as
 documents of their own; an empty table gives an empty result; other input columns are ignored.
+A very long text fills whole sequences and one rest; rests of equal length keep their order.
 """
 
 from __future__ import annotations

@@ -594,6 +594,113 @@ def test_quality_learns(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
 
 
+def features_by_hand(text: str) -> list[float]:
+    raw = text.encode()
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", low) if w]
+    n, k = max(1, len(raw)), max(1, len(words))
+    upper = sum(65 <= c <= 90 for c in raw)
+    digit = sum(48 <= c <= 57 for c in raw)
+    letter = sum(65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in raw)
+    symbol = sum(not (65 <= c <= 90 or 97 <= c <= 122 or c >= 128 or 48 <= c <= 57 or c in b" \t\n\x0b\x0c\r.,'-") for c in raw)
+    sizes = [len(w) for w in words] or [0]
+    mean = sum(sizes) / len(sizes)
+    lines, distinct = raw.split(b"\n"), len(set(words))
+    out = [math.log(1 + len(words)), upper / max(1, letter), symbol / n, symbol / k, raw.count(b"!") / n, digit / n, sum(c >= 128 for c in raw) / n, max(1, letter) / n]
+    out += [mean, math.sqrt(sum((x - mean) ** 2 for x in sizes) / len(sizes)), distinct / k, math.log(k / max(1, distinct)), sum(a == b for a, b in zip(words, words[1:], strict=False)) / k]
+    out += [1 - len(set(lines)) / len(lines), math.log(1 + len(lines)), raw.count(b".") / k, raw.count(b",") / k]
+    by_word, by_run = [0] * 256, [0] * 256
+    for w in words:
+        by_word[xxhash.xxh32_intdigest(w) % 256] += 1
+    for i in range(len(low) - 2):
+        by_run[int.from_bytes(low[i : i + 3], "big") * 2654435761 % (1 << 32) >> 24] += 1
+    return out + [math.sqrt(x / k) for x in by_word] + [math.sqrt(x / max(1, len(low) - 2)) for x in by_run]
+
+
+def test_quality_by_hand(table, labels):
+    """The ranking fitted by plain descent on the same pairs."""
+    known = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            known[r.doc_id] = min(r.quality, known.get(r.doc_id, 1))
+    data = {i: t or "" for i, t, *_ in rows() if i in known}
+    ids = sorted(data)
+    x = np.array([features_by_hand(data[i]) for i in ids], np.float32).astype(np.float64)
+    label = np.array([known[i] for i in ids])
+    center, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale <= 1e-9] = 1
+    z = np.clip((x - center) / scale, -20, 20)
+    better, worse = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    pairs = 200
+    d = z[np.random.default_rng(10).choice(better, pairs)] - z[worse[np.arange(pairs) % len(worse)]]
+    w, rate = np.zeros(z.shape[1]), 1 / (np.linalg.norm(d, 2) ** 2 / pairs / 4 + 1e-3)
+    before = w
+    for k in range(60_000):  # accelerated descent
+        ahead = w + k / (k + 3) * (w - before)
+        gradient = 1e-3 * ahead - d.T @ (1 / (1 + np.exp(d @ ahead))) / pairs
+        before, w = w, ahead - rate * gradient
+        if np.abs(gradient).max() < 1e-9:
+            break
+    shift = math.log(0.3 / 0.7) - float(np.quantile(np.sort(z @ w), len(worse) / len(ids), method="midpoint"))
+    got = quality.quality_scores(table, labels, pairs=pairs).collect()
+    texts_ = defaultdict(set)
+    for i, t, *_ in rows():
+        texts_[i].add(t or "")
+    for r in got:
+        want = [1 / (1 + math.exp(-min(500, max(-500, float(np.clip((np.array(features_by_hand(t), np.float32) - center) / scale, -20, 20) @ w + shift))))) for t in texts_[r.doc_id]]
+        assert min(abs(r.score - v) for v in want) < 1e-4
+
+
+def prints_by_hand(text: str) -> set[int]:
+    """Phrases as tuples of words cut at 32 bytes: the longest known one and a word more; the last may be unfinished."""
+    words = []
+    for w in re.split(rb"[\x20\x09-\x0d]+", text.encode()):
+        while len(w) > 32:
+            words.append(w[:32])
+            w = w[32:]
+        if w:
+            words.append(w)
+    known, at, phrases = set(), 0, set()
+    while at < len(words):
+        n = 1
+        while at + n <= len(words) and tuple(words[at : at + n]) in known:
+            n += 1
+        phrase = tuple(words[at : at + n])
+        if phrase in known:  # the text ends within it
+            phrases.add(b"".join(b" " + w for w in phrase) + b" ")
+        else:
+            known.add(phrase)
+            phrases.add(b"".join(b" " + w for w in phrase))
+        at += n
+    return {xxhash.xxh32_intdigest(p) for p in phrases}
+
+
+def test_prints_by_hand(spark):
+    """The whole query over rows in order of doc_id, nulls and repeated ids apart, against sets of phrases."""
+    data = [(i, t) for i, t, *_ in rows() if i is not None and i not in (105, 106)]
+    data.sort()
+    got = {r.doc_id: r for r in lzprint.edited_pairs(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    few = lambda s: sorted(s)[:64]
+
+    def near(a: set, b: set) -> float:
+        a, b = set(few(a)), set(few(b))
+        if not a or not b:
+            return float(a == b)
+        both = few(a | b)
+        return sum(x in a and x in b for x in both) / len(both)
+
+    assert len(got) == len(data)
+    for k, (i, text) in enumerate(data):
+        text, following = text or "", data[(k + 1) % len(data)][1] or ""
+        n = len(text) // 4
+        new = text[: len(text) - n] + following[:n]
+        own, its, after = map(prints_by_hand, (text, new, following))
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(new.encode()).hexdigest())
+        assert r.fingerprint == "".join(f"{x:08x}" for x in few(own)) and r.edited_fingerprint == "".join(f"{x:08x}" for x in few(its))
+        assert abs(r.near_edited - near(own, its)) < 1e-12 and abs(r.near_next - near(own, after)) < 1e-12
+
+
 def test_empty_tables(nothing, labels):
     assert sharding.shard_by_bytes(nothing).count() == 0
     assert packing.pack(nothing).count() == 0
