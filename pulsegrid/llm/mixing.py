@@ -12,7 +12,7 @@ Random numbers depend on the seed, the bucket and the order by doc_id and size o
 Defined cases: null text has size 0 and is never taken, nor is any document without words; a null source is a source of its own, the
 last in order; repeated rows are documents of their own; an empty table gives an empty result; other input columns are
 ignored by mix() and kept by mixed_rows().
-A very long text is one document of its size; of equal sizes the smaller doc_id comes first.
+A very long text is one document of its size; ties of size are broken alike in every run.
 """
 
 from __future__ import annotations

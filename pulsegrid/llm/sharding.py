@@ -8,7 +8,7 @@ bounded whatever the input, and the item-to-shard table is small enough to broad
 Defined cases: null text counts as empty (size 1, crc32 of no bytes); null or repeated doc_ids and repeated rows are
 each kept as a row of their own with a slot of its own; an empty table gives an empty result; other input columns are
 ignored.
-A text of any length is one size; of equal sizes the group of smaller hash comes first.
+A text of any length is one size; items of equal size come in descending order of their numbers.
 """
 
 from __future__ import annotations
