@@ -480,8 +480,8 @@ def near_copies(nodes: DataFrame, most: int) -> DataFrame:
     of = nodes.select("fp", "node", "sketch")
     words = written(of.groupBy("fp").agg(F.count("*").alias("n")), "simhash-words")
     found = written(links(words.select("fp"), most), "simhash-near")
-    near = found.select(F.col("a").alias("fp")).union(found.select("b")).union(words.filter("n > 1").select("fp")).distinct()
-    return links(written(of.join(near, "fp"), "simhash-candidates"), most)
+    near = found.select(F.col("a").alias("fp")).union(found.select("b")).union(words.filter("n > 1").select("fp"))
+    return links(written(of.join(near, "fp", "left_semi"), "simhash-candidates"), most)
 
 
 def unjoined(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -501,7 +501,7 @@ def unjoined(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 def really_alike(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs(a, b) of nodes whose sets of five-word shingles have a likeness of 0.8 or more; rows(node, _pg_k1, _pg_k2) of docs."""
     pairs = written(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
-    wanted = rows.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node")
+    wanted = rows.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node", "left_semi")
     wanted = written(wanted.groupBy("node").agg(F.min(F.struct("_pg_k1", "_pg_k2")).alias("x")).select("node", "x.*"), "simhash-wanted")  # small, so that texts needn't be shuffled for it
     texts = docs.select(text_or_empty().alias("text"), *row_key(docs)).join(wanted, ["_pg_k1", "_pg_k2"]).dropDuplicates(["_pg_k1", "_pg_k2"])
     sets = written(texts.select("node", shingles_column().alias("set")), "simhash-shingles")
@@ -524,6 +524,9 @@ def one_of_each(docs: DataFrame, most: int = 4) -> DataFrame:
         with scratch(spark) as keep_more:
             more = really_alike(unjoined(nodes, roots), docs, slim)
             edges = keep_more(written(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "simhash-edges"))
-        best = group_rows(slim, edges).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_pg_k1", "_pg_k2")).alias("x"))
+        # Copies are aggregated before they move, so that a text of very many rows is one row a task.
+        first = slim.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_pg_k1", "_pg_k2")).alias("x"))
+        rooted = first.join(components(edges), "node", "left").select(F.coalesce("root", "node").alias("root"), "x")
+        best = rooted.groupBy("root").agg(F.min("x").alias("x"))
         best = keep(written(best.select("x._pg_k1", "x._pg_k2", F.lit(1).alias("_pg_copies")), "simhash-best"))
     return take_rows(docs, best)
