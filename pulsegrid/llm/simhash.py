@@ -11,7 +11,8 @@ near_duplicates() links fingerprints of word shingles and nothing else. one_of_e
 shingles have a likeness of 0.8 or more. A first search uses the index on SimHashes of a text's distinct words, which scattered edits move
 by few bits; a pair within the allowed number of bits is compared by 64 min-hashes, unless it is joined already.
 A second search is exact: with all shingles in one order, rare ones first, two texts of that likeness share one among the first fifth (and one more) of
-each text's shingles, whatever the edit. So texts meet on these; only those that the first search hasn't brought together become pairs, less those whose
+each text's shingles, whatever the edit. So texts meet on these: first with two drawn hubs of each such shingle, which brings most of a large group together in a
+number of pairs that grows with the texts, and then all those that are still apart become pairs, less those whose
 sketches are far apart (at a likeness of 0.8, one in 10^6). What either search finds is an edge only if the two whole sets of shingle hashes (64 bits) have a likeness of 0.8.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and is linked like any other; fewer than three words make one
@@ -484,25 +485,51 @@ def near_copies(nodes: DataFrame, most: int) -> DataFrame:
     return links(written(of.join(near, "fp", "left_semi"), "simhash-candidates"), most)
 
 
-def unjoined(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b: all pairs of nodes(node, sketch, n, keys) that share a key, have sizes that allow a likeness of 0.8, and have different roots by roots(node, root)."""
+def meetings(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, n, root of nodes(node, n, keys) for the keys that nodes of different roots share, by roots(node, root)."""
     keyed = nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
     # Aggregated in part before it moves, so that a key of very many texts is one row a task; most keys are of one text.
     shared_ = written(keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key"), "simhash-shared")
-    met = written(keyed.join(shared_, "key"), "simhash-met")
+    return written(keyed.join(shared_, "key"), "simhash-met")
+
+
+def sizes_fit():
+    return (F.col("x.n") * 5 >= F.col("y.n") * 4) & (F.col("y.n") * 5 >= F.col("x.n") * 4)
+
+
+def not_far(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct pairs(a, b) but for those whose sketches are far apart."""
+    sketch = nodes.select("node", "sketch")
+    pairs = pairs.distinct().join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a")
+    return pairs.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b").filter(not_far_column()).select("a", "b")
+
+
+def with_hubs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: every node with two hubs of each key that it shares, one row a node, key and hub, so as many as there are keys.
+
+    Hubs are drawn anew for each key (the least and the greatest hash), so members of a large group meet many others of it and mostly join
+    into one component before all pairs of different roots are made."""
+    met = meetings(nodes, roots)
+    drawn = F.struct(F.xxhash64("key", "node").alias("h"), "node", "n", "root")
+    hubs = met.groupBy("key").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high"))
+    x, y = met.alias("x"), written(hubs.select("key", F.explode(F.array("low", "high")).alias("hub")).select("key", "hub.node", "hub.n", "hub.root"), "simhash-hubs").alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & sizes_fit())
+    return not_far(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), nodes)
+
+
+def unjoined(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: all pairs of nodes(node, sketch, n, keys) that share a key, have sizes that allow a likeness of 0.8, and have different roots by roots(node, root)."""
+    met = meetings(nodes, roots)
     x, y = met.alias("x"), met.alias("y")
-    fits = (F.col("x.n") * 5 >= F.col("y.n") * 4) & (F.col("y.n") * 5 >= F.col("x.n") * 4)
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & fits)
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b")
-    return pairs.filter(not_far_column()).select("a", "b")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & sizes_fit())
+    return not_far(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), nodes)
 
 
-def really_alike(pairs: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs(a, b) of nodes whose sets of five-word shingles have a likeness of 0.8 or more; rows(node, _pg_k1, _pg_k2) of docs."""
+def really_alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs(a, b) of nodes whose sets of five-word shingles have a likeness of 0.8 or more; nodes(node, best) name a row of docs each."""
     pairs = written(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
-    wanted = rows.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node", "left_semi")
-    wanted = written(wanted.groupBy("node").agg(F.min(F.struct("_pg_k1", "_pg_k2")).alias("x")).select("node", "x.*"), "simhash-wanted")  # small, so that texts needn't be shuffled for it
+    wanted = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node", "left_semi")
+    wanted = written(wanted.select("node", "best._pg_k1", "best._pg_k2"), "simhash-wanted")  # small, so that texts needn't be shuffled for it
     texts = docs.select(text_or_empty().alias("text"), *row_key(docs)).join(wanted, ["_pg_k1", "_pg_k2"]).dropDuplicates(["_pg_k1", "_pg_k2"])
     sets = written(texts.select("node", shingles_column().alias("set")), "simhash-shingles")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
@@ -515,18 +542,16 @@ def one_of_each(docs: DataFrame, most: int = 4) -> DataFrame:
     spark = docs.sparkSession
     with scratch(spark) as keep:
         rows = written(docs.select("doc_id", marks_column(*common_shingles(docs)).alias("m"), *row_key(docs)), "simhash-rows")
-        any_of = [F.any_value(f"m.{c}").alias(c) for c in ("fp", "sketch", "n", "keys")]
-        nodes = written(rows.groupBy("m.node").agg(*any_of), "simhash-nodes")
-        slim = written(rows.select("doc_id", "m.node", "_pg_k1", "_pg_k2"), "simhash-slim")
+        # Copies are aggregated before they move, so that a text of very many rows is one row a task.
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_pg_k1", "_pg_k2")).alias("best")
+        nodes = written(rows.groupBy("m.node").agg(*[F.any_value(f"m.{c}").alias(c) for c in ("fp", "sketch", "n", "keys")], best), "simhash-nodes")
         drop(rows)
         with scratch(spark) as keep_roots:
-            roots = keep_roots(written(components(really_alike(near_copies(nodes, most), docs, slim)), "simhash-first"))
-        with scratch(spark) as keep_more:
-            more = really_alike(unjoined(nodes, roots), docs, slim)
-            edges = keep_more(written(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "simhash-edges"))
-        # Copies are aggregated before they move, so that a text of very many rows is one row a task.
-        first = slim.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_pg_k1", "_pg_k2")).alias("x"))
-        rooted = first.join(components(edges), "node", "left").select(F.coalesce("root", "node").alias("root"), "x")
-        best = rooted.groupBy("root").agg(F.min("x").alias("x"))
-        best = keep(written(best.select("x._pg_k1", "x._pg_k2", F.lit(1).alias("_pg_copies")), "simhash-best"))
-    return take_rows(docs, best)
+            roots = keep_roots(written(components(really_alike(near_copies(nodes, most), docs, nodes)), "simhash-first"))
+        for search in (with_hubs, unjoined):
+            with scratch(spark) as keep_roots:
+                more = really_alike(search(nodes, roots), docs, nodes)
+                roots = keep_roots(written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), f"simhash-{search.__name__}"))
+        of = nodes.select("node", "best").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+        kept = keep(written(of.select("best._pg_k1", "best._pg_k2", F.lit(1).alias("_pg_copies")), "simhash-best"))
+    return take_rows(docs, kept)
