@@ -12,7 +12,8 @@ shingles have a likeness of 0.8 or more. A first search uses the index on SimHas
 by few bits; a pair within the allowed number of bits is compared by 64 min-hashes, unless it is joined already.
 A second search is exact: with all shingles in one order, rare ones first, two texts of that likeness share one among the first fifth (and one more) of
 each text's shingles, whatever the edit. So texts meet on these: first with two drawn hubs of each such shingle, which brings most of a large group together in a
-number of pairs that grows with the texts, and then all those that are still apart become pairs, less those whose
+number of pairs that grows with the texts, and then all those that are still apart become pairs, less those that can't be alike by three exact bounds (sizes, the places of
+the first shingle that they share, parities of their sets) or whose
 sketches are far apart (at a likeness of 0.8, one in 10^6). What either search finds is an edge only if the two whole sets of shingle hashes (64 bits) have a likeness of 0.8.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and is linked like any other; fewer than three words make one
@@ -145,6 +146,15 @@ def sketch_of(hashes: np.ndarray) -> bytes:
     return (bits[::2] << 4 | bits[1::2]).tobytes()
 
 
+def parities(hashes: np.ndarray) -> list[int]:
+    """256 bits, as four signed words: whether an odd number of a set's hashes falls on each. Two sets differ in as many hashes as bits at least."""
+    odd = np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+PARITY = ("p0", "p1", "p2", "p3")
+
+
 def alike(sketches: np.ndarray, i: np.ndarray, j: np.ndarray, differ: int = DIFFER) -> np.ndarray:
     """Whether at most `differ` min-hashes of the sketches (rows of 64-bit words) at i and j look different."""
     x = sketches[i] ^ sketches[j]
@@ -195,17 +205,17 @@ def common_shingles(docs: DataFrame, sample: int = 16_384, most: int = 1 << 17)
 
 
 def marks_column(common: np.ndarray, times: np.ndarray):
-    """node (equal for texts of the same words in the same order), fp and sketch of a text, its number of shingles and the first of them."""
+    """node (equal for texts of the same words in the same order), fp and sketch of a text, the number, the parities and the first of its shingles."""
 
-    @F.pandas_udf("node long, fp long, sketch binary, n long, keys array<long>")
+    @F.pandas_udf("node long, fp long, sketch binary, n long, p0 long, p1 long, p2 long, p3 long, keys array<long>")
     def compute(texts: pd.Series) -> pd.DataFrame:
         out = []
         for part in in_parts(texts.tolist()):
             words = Words(part)
             for ws, fp, own in zip(words.texts, words.fingerprints().tolist(), words.shingles(), strict=True):
                 node = np.uint64(xxhash.xxh3_64_intdigest(b" ".join(ws))).astype(np.int64)
-                out.append((node, fp, sketch_of(own), len(own), first_fifth(own, common, times).astype(np.int64)))
-        return pd.DataFrame(out, columns=["node", "fp", "sketch", "n", "keys"])
+                out.append((node, fp, sketch_of(own), len(own), *parities(own), first_fifth(own, common, times).astype(np.int64)))
+        return pd.DataFrame(out, columns=["node", "fp", "sketch", "n", *PARITY, "keys"])
 
     return compute(text_or_empty())
 
@@ -486,15 +496,22 @@ def near_copies(nodes: DataFrame, most: int) -> DataFrame:
 
 
 def meetings(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, node, n, root of nodes(node, n, keys) for the keys that nodes of different roots share, by roots(node, root)."""
-    keyed = nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), F.explode("keys").alias("key"))
+    """key, node, n, parities, root of nodes(node, n, keys) for the keys that nodes of different roots share, by roots(node, root); at: the keys before it."""
+    keyed = nodes.join(roots, "node", "left").select("node", "n", *PARITY, F.coalesce("root", "node").alias("root"), F.posexplode("keys").alias("at", "key"))
     # Aggregated in part before it moves, so that a key of very many texts is one row a task; most keys are of one text.
     shared_ = written(keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key"), "simhash-shared")
     return written(keyed.join(shared_, "key"), "simhash-met")
 
 
-def sizes_fit():
-    return (F.col("x.n") * 5 >= F.col("y.n") * 4) & (F.col("y.n") * 5 >= F.col("x.n") * 4)
+def may_be_alike():
+    """Whether x and y, if this key is the first that they share, can have a likeness of 0.8; never false for a pair that has, at that key.
+
+    The likeness is common / (x.n + y.n - common), so they need 4/9 of x.n + y.n in common, and differ in a ninth at most. Keys are in one order for all texts:
+    what a text has before the first shared one isn't in the other. Parities differ in no more bits than the sets do in shingles."""
+    both = F.col("x.n") + F.col("y.n")
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    odd = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in PARITY), F.lit(0))
+    return (left * 9 >= both * 4) & (odd * 9 <= both)
 
 
 def not_far(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -510,18 +527,18 @@ def with_hubs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     Hubs are drawn anew for each key (the least and the greatest hash), so members of a large group meet many others of it and mostly join
     into one component before all pairs of different roots are made."""
     met = meetings(nodes, roots)
-    drawn = F.struct(F.xxhash64("key", "node").alias("h"), "node", "n", "root")
+    drawn = F.struct(F.xxhash64("key", "node").alias("h"), "node", "n", "at", *PARITY, "root")
     hubs = met.groupBy("key").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high"))
-    x, y = met.alias("x"), written(hubs.select("key", F.explode(F.array("low", "high")).alias("hub")).select("key", "hub.node", "hub.n", "hub.root"), "simhash-hubs").alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & sizes_fit())
+    x, y = met.alias("x"), written(hubs.select("key", F.explode(F.array("low", "high")).alias("hub")).select("key", "hub.*"), "simhash-hubs").alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & may_be_alike())
     return not_far(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), nodes)
 
 
 def unjoined(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b: all pairs of nodes(node, sketch, n, keys) that share a key, have sizes that allow a likeness of 0.8, and have different roots by roots(node, root)."""
+    """a, b: all pairs of nodes(node, sketch, n, keys) that share a key, may be alike, and have different roots by roots(node, root)."""
     met = meetings(nodes, roots)
     x, y = met.alias("x"), met.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & sizes_fit())
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & may_be_alike())
     return not_far(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), nodes)
 
 
@@ -544,7 +561,7 @@ def one_of_each(docs: DataFrame, most: int = 4) -> DataFrame:
         rows = written(docs.select("doc_id", marks_column(*common_shingles(docs)).alias("m"), *row_key(docs)), "simhash-rows")
         # Copies are aggregated before they move, so that a text of very many rows is one row a task.
         best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_pg_k1", "_pg_k2")).alias("best")
-        nodes = written(rows.groupBy("m.node").agg(*[F.any_value(f"m.{c}").alias(c) for c in ("fp", "sketch", "n", "keys")], best), "simhash-nodes")
+        nodes = written(rows.groupBy("m.node").agg(*[F.any_value(f"m.{c}").alias(c) for c in ("fp", "sketch", "n", *PARITY, "keys")], best), "simhash-nodes")
         drop(rows)
         with scratch(spark) as keep_roots:
             roots = keep_roots(written(components(really_alike(near_copies(nodes, most), docs, nodes)), "simhash-first"))

@@ -462,6 +462,29 @@ def test_one_of_each_below_the_likeness(spark):
     assert one_of_each_group(data, got) and len(got) == 60
 
 
+def test_one_of_each_of_a_template(spark):
+    """Many texts with up to five edits of one template, so that most pairs share shingles and lie around 0.8."""
+    rng = np.random.default_rng(11)
+    words = [f"w{x}" for x in range(150)]
+    data = []
+    for copy in range(160):
+        edited = list(words)
+        for at in rng.choice(150, copy % 6, replace=False):
+            edited[at] = f"new{copy}-{at}"
+        data.append((copy, " ".join(edited[: 150 - copy % 4])))
+    got = simhash.one_of_each(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert one_of_each_group(data, got) and len(got) > 10
+
+
+def test_parities_differ_no_more_than_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 60, 700):
+        for k in (0, 1, 9, n):
+            x = rng.integers(1 << 63, size=n + k, dtype=np.uint64)
+            odd = [np.array(simhash.parities(part), np.int64) for part in (x[:n], x[k:])]
+            assert np.bitwise_count((odd[0] ^ odd[1]).view(np.uint64)).sum() <= 2 * k
+
+
 def test_sketches_tell_likeness():
     rng = np.random.default_rng(2)
     found = {0.6: [], 0.9: [], 1.0: []}
