@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import hpylm, kdtree, linededup, lzprint, mixing, packing, quality, sharding, simhash, urlfilter
+from pulsegrid.llm import crosspolytope, divergence, hardneg, hpylm, kdtree, linededup, lzprint, mixing, packing, quality, sharding, simhash, urlfilter
 from pulsegrid.llm.common import table
 
 
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": lambda s, d: linededup.line_report(table(s, d, "documents")),
         "op9_kd_tree_top_k": lambda s, d: kdtree.top_k(table(s, d, "embeddings")),
         "op10_bradley_terry_quality": lambda s, d: quality.quality_scores(table(s, d, "documents"), table(s, d, "labels")),
+        "op11_full_sort_hard_negatives": lambda s, d: hardneg.mine(hardneg.with_some_relabelled(table(s, d, "embeddings"))),
+        "op12_cross_polytope_neighbours": lambda s, d: crosspolytope.nearest(table(s, d, "embeddings")),
+        "op13_source_divergence": lambda s, d: divergence.audit(table(s, d, "documents")),
     }
 
 
@@ -58,6 +61,36 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
+NEGATIVE_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, v.label <> a.label AS other, CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score
+      FROM v a JOIN v ON v.vec_id <> a.vec_id AND len(v.e) = len(a.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE NOT other QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.other AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 10
+"""
+
+AUDIT_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT lang, source, doc, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS all_n FROM w GROUP BY ALL HAVING count(DISTINCT doc) >= 30),
+l AS (SELECT lang, sum(all_n) + 5 * count(*) AS all_total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+x AS (SELECT g.lang, g.source, k.term, k.all_n, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+t AS (SELECT lang, source, sum(n) + 5 * count(*) AS total FROM x GROUP BY ALL),
+p AS (SELECT x.*, 1 + CAST(1000000000 AS HUGEINT) * (n + 5) // total AS p, 1 + CAST(1000000000 AS HUGEINT) * (all_n + 5) // all_total AS q
+      FROM x JOIN t ON t.lang = x.lang AND t.source = x.source JOIN l ON l.lang = x.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u
+QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_kd_tree_top_k": TOP_SQL, "op4_wildcard_url_filter": URL_SQL, "op8_line_dedup": LINE_SQL}
+    return {"op11_full_sort_hard_negatives": NEGATIVE_SQL, "op13_source_divergence": AUDIT_SQL, "op9_kd_tree_top_k": TOP_SQL, "op4_wildcard_url_filter": URL_SQL, "op8_line_dedup": LINE_SQL}

@@ -24,4 +24,4 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_a_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
