@@ -112,12 +112,12 @@ MEAN = "mean AS (SELECT t, avg(v) AS m FROM lane GROUP BY t)"
 
 @query("spatial_mean_signal", f"WITH {LANES_SQL}, {MEAN} SELECT t, round(m, 6) + 0.0 AS m FROM mean")
 def spatial_mean_signal(spark, d):
-    return signal.mean_signal(lanes(spark, d), n=N).select(*whole("t"), r("m").alias("m"))
+    return signal.mean_signal(lanes(spark, d)).select(*whole("t"), r("m").alias("m"))
 
 
 @query("roi_mean_signal", f"WITH {LANES_SQL} SELECT t, round(avg(v), 6) + 0.0 AS m FROM lane WHERE y BETWEEN 2 AND 9 AND x BETWEEN 3 AND 17 GROUP BY t")
 def roi_mean_signal(spark, d):
-    return signal.mean_signal(lanes(spark, d), signal.in_region((2, 9), (3, 17)), n=N).select(*whole("t"), r("m").alias("m"))
+    return signal.mean_signal(lanes(spark, d), signal.in_region((2, 9), (3, 17))).select(*whole("t"), r("m").alias("m"))
 
 
 STEPS = "st AS (SELECT t, lead(m) OVER (ORDER BY t) - m AS d, stddev_pop(m) OVER () AS sd FROM mean), steps AS (SELECT t, d, abs(d) > 2 * sd AS outlier FROM st WHERE d IS NOT NULL)"
@@ -125,7 +125,7 @@ STEPS = "st AS (SELECT t, lead(m) OVER (ORDER BY t) - m AS d, stddev_pop(m) OVER
 
 @query("signal_diff_outliers", f"WITH {LANES_SQL}, {MEAN}, {STEPS} SELECT t, round(d, 6) + 0.0 AS d, outlier FROM steps")
 def signal_diff_outliers(spark, d):
-    return signal.steps(signal.mean_signal(lanes(spark, d), n=N)).select(*whole("t"), r("d").alias("d"), "outlier")
+    return signal.steps(signal.mean_signal(lanes(spark, d))).select(*whole("t"), r("d").alias("d"), "outlier")
 
 
 LIMITS = f"""o AS (SELECT CAST(t AS BIGINT) AS pt FROM steps WHERE outlier), e AS (SELECT pt FROM o UNION ALL SELECT 0 UNION ALL SELECT {N - 1}),
@@ -137,7 +137,7 @@ limits AS (SELECT CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last,
 
 @query("clean_limits", f"WITH {LANES_SQL}, {MEAN}, {STEPS}, {LIMITS} SELECT first, last, periods FROM limits")
 def clean_limits(spark, d):
-    return signal.clean_limits(signal.mean_signal(lanes(spark, d), n=N), 0, N - 1, F0, FPS)
+    return signal.clean_limits(signal.mean_signal(lanes(spark, d)), 0, N - 1, F0, FPS)
 
 
 TRIM = f"""p AS (SELECT first, last, periods, coalesce((SELECT max(k) FROM range(0, 200) q(k) WHERE k <= periods AND floor(k / {F0} * {FPS} + 0.5) + first <= last), 0) AS p FROM limits),
@@ -147,7 +147,7 @@ trimmed AS (SELECT CASE WHEN first >= last THEN 0 ELSE first END AS first, CASE
 
 @query("period_trim", f"WITH {LANES_SQL}, {MEAN}, {STEPS}, {LIMITS}, {TRIM} SELECT first, last FROM trimmed")
 def period_trim(spark, d):
-    return signal.trim_to_periods(signal.clean_limits(signal.mean_signal(lanes(spark, d), n=N), 0, N - 1, F0, FPS), N, F0, FPS)
+    return signal.trim_to_periods(signal.clean_limits(signal.mean_signal(lanes(spark, d)), 0, N - 1, F0, FPS), N, F0, FPS)
 
 
 RESAMPLED = f"""c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS s, len(embedding) AS n, CAST(floor((len(embedding) - 1) * (17.0 / {FPS}) + 1e-9) AS INTEGER) + 1 AS cnt FROM embeddings),
@@ -166,7 +166,7 @@ def resample_cubic(spark, d):
 
 @query("spectrum_one_sided", f"WITH {LANES_SQL}, {MEAN}, k AS (SELECT unnest(range({N // 2})) AS k) SELECT k, round(k * {FPS} / {N}, 8) AS freq, round(sqrt(pow(sum(m * cos(2 * {PI} / {N} * k * t)), 2) + pow(sum(m * sin(2 * {PI} / {N} * k * t)), 2)) * 2 / {N}, 6) AS amp FROM k, mean GROUP BY k")
 def spectrum_one_sided(spark, d):
-    x = signal.spectrum(signal.mean_signal(lanes(spark, d), n=N), N, FPS)
+    x = signal.spectrum(signal.mean_signal(lanes(spark, d)), N, FPS)
     return x.select(*whole("k"), r("freq", 8).alias("freq"), r("amp").alias("amp"))
 
 
@@ -221,7 +221,7 @@ def process_stack(spark, d):
     f"WITH {LANES_SQL}, {MEAN}, {STEPS}, {LIMITS}, {TRIM}, cut AS (SELECT vec_id, t - first AS t, v, last - first + 1 AS n FROM lane, trimmed WHERE t BETWEEN first AND last), m AS (SELECT *, avg(v) OVER (PARTITION BY vec_id) AS dc FROM cut) SELECT vec_id, round(max(dc), 6) + 0.0 AS dc, round({GOERTZEL}, 6) + 0.0 AS ac FROM m GROUP BY vec_id",
 )
 def extract_trimmed(spark, d):
-    return signal.extract(lanes(spark, d), signal.Analysis(), N).select("vec_id", r("dc").alias("dc"), r("ac").alias("ac"))
+    return signal.extract(lanes(spark, d), signal.Analysis()).select("vec_id", r("dc").alias("dc"), r("ac").alias("ac"))
 
 
 HARD = "limits AS (SELECT CAST(5 AS BIGINT) AS first, CAST(60 AS BIGINT) AS last, CAST(3 AS BIGINT) AS periods)"
@@ -232,7 +232,46 @@ HARD = "limits AS (SELECT CAST(5 AS BIGINT) AS first, CAST(60 AS BIGINT) AS last
     f"WITH {LANES_SQL}, {HARD}, {TRIM}, cut AS (SELECT vec_id, t - first AS t, v, last - first + 1 AS n FROM lane, trimmed WHERE t BETWEEN first AND last), m AS (SELECT *, avg(v) OVER (PARTITION BY vec_id) AS dc FROM cut) SELECT vec_id, max(n) AS n, round(max(dc), 6) + 0.0 AS dc, round({GOERTZEL}, 6) + 0.0 AS ac FROM m GROUP BY vec_id",
 )
 def extract_hard_limits(spark, d):
-    x = signal.extract(lanes(spark, d), signal.Analysis(), N, 5, 60, periods=3)
+    x = signal.extract(lanes(spark, d), signal.Analysis(), 5, 60, periods=3)
+    return x.select("vec_id", F.size("signal").cast("long").alias("n"), r("dc").alias("dc"), r("ac").alias("ac"))
+
+
+# Labels stand for measurements here, each with a rate of its own, and with limits from shares of its length.
+BY_MEASUREMENT = f"""lanes_at AS (SELECT *, 10.0 + label AS fps FROM lane), mean AS (SELECT label, any_value(fps) AS fps, t, avg(v) AS m FROM lanes_at GROUP BY label, t),
+sized AS (SELECT *, max(t) OVER (PARTITION BY label) + 1 AS n FROM mean),
+st AS (SELECT *, lead(m) OVER (PARTITION BY label ORDER BY t) - m AS d, stddev_pop(m) OVER (PARTITION BY label) AS sd FROM sized),
+each AS (SELECT label, any_value(fps) AS fps, any_value(n) AS n, CAST(least(floor(0.05 * any_value(n)), any_value(n) - 1) AS BIGINT) AS a, CAST(least(floor(0.95 * any_value(n) - 1), any_value(n) - 1) AS BIGINT) AS b FROM sized GROUP BY label),
+points AS (SELECT label, CAST(t AS BIGINT) AS pt, 1 AS found FROM st WHERE abs(d) > 2 * sd UNION ALL SELECT label, a, 0 FROM each UNION ALL SELECT label, b, 0 FROM each),
+gaps AS (SELECT label, pt AS hi, lag(pt) OVER w AS lo, row_number() OVER w AS k, sum(found) OVER (PARTITION BY label) AS outliers FROM points WINDOW w AS (PARTITION BY label ORDER BY pt)),
+best AS (SELECT * FROM gaps WHERE lo IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label ORDER BY hi - lo DESC, k DESC) = 1),
+l AS (SELECT label, fps, n, CASE WHEN outliers = 0 THEN a ELSE lo + 1 END AS first, CASE WHEN outliers = 0 THEN least(b, n - 1) ELSE hi - 1 END AS last FROM best JOIN each USING (label)),
+limits AS (SELECT *, CAST(floor((last - first + 1) * ({F0} / fps)) AS BIGINT) AS periods FROM l),
+p AS (SELECT *, coalesce((SELECT max(k) FROM range(0, 200) q(k) WHERE k <= periods AND floor(k / {F0} * fps + 0.5) + first <= last), 0) AS p FROM limits),
+raw AS (SELECT label, fps, n, first, CAST(least(n - 1, CASE WHEN periods < 1 THEN greatest(last, n - 1) ELSE first + least(floor(p / {F0} * fps + 0.5), n - 1 - first) END) AS BIGINT) AS last FROM p),
+trimmed AS (SELECT label, fps, CAST(n AS BIGINT) AS n, CASE WHEN first >= last THEN 0 ELSE first END AS first, CASE WHEN first >= last THEN n - 1 ELSE last END AS last FROM raw)"""
+
+
+def _measurements(spark, d) -> tuple[DataFrame, signal.Analysis]:
+    return lanes(spark, d).withColumn("fps", F.lit(10.0) + F.col("label")), signal.Analysis(fps="fps")
+
+
+@query("limits_by_measurement", f"WITH {LANES_SQL}, {BY_MEASUREMENT} SELECT label, n, CAST(first AS BIGINT) AS first, CAST(last AS BIGINT) AS last FROM trimmed")
+def limits_by_measurement(spark, d):
+    return signal.limits(*_measurements(spark, d), keys=["label"], fractions=(0.05, 0.95))
+
+
+@query("mean_by_measurement", f"WITH {LANES_SQL} SELECT label, t, round(avg(v), 6) + 0.0 AS m FROM lane GROUP BY label, t")
+def mean_by_measurement(spark, d):
+    return signal.mean_signal(lanes(spark, d), keys=["label"]).select("label", *whole("t"), r("m").alias("m"))
+
+
+@query(
+    "extract_by_measurement",
+    f"WITH {LANES_SQL}, {BY_MEASUREMENT}, cut AS (SELECT vec_id, fps, t - first AS t, v, last - first + 1 AS n FROM lane JOIN trimmed USING (label) WHERE t BETWEEN first AND last), m AS (SELECT *, avg(v) OVER (PARTITION BY vec_id) AS dc FROM cut) "
+    f"SELECT vec_id, max(n) AS n, round(max(dc), 6) + 0.0 AS dc, round({GOERTZEL.replace(str(FPS), 'fps')}, 6) + 0.0 AS ac FROM m GROUP BY vec_id",
+)
+def extract_by_measurement(spark, d):
+    x = signal.extract(*_measurements(spark, d), keys=["label"], fractions=(0.05, 0.95))
     return x.select("vec_id", F.size("signal").cast("long").alias("n"), r("dc").alias("dc"), r("ac").alias("ac"))
 
 
@@ -243,7 +282,7 @@ def nearest_sample(spark, d):
 
 @query("region_limits", f"WITH {LANES_SQL}, {MEAN} SELECT (SELECT t FROM mean ORDER BY abs(t / {FPS} - 0.71), t LIMIT 1) + 2 AS first, (SELECT t FROM mean ORDER BY abs(t / {FPS} - 2.5), t LIMIT 1) + 3 AS last")
 def region_limits(spark, d):
-    return signal.region_limits(signal.mean_signal(lanes(spark, d), n=N), 0.71, 2.5, FPS, 2)
+    return signal.region_limits(signal.mean_signal(lanes(spark, d)), 0.71, 2.5, FPS, 2)
 
 
 @query("viewer_slice", f"WITH {LANES_SQL} SELECT vec_id, t, round(v, 6) + 0.0 AS v FROM lane WHERE t BETWEEN 10 AND 12")

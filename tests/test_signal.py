@@ -86,7 +86,7 @@ def test_whole_periods(spark):
 
 
 def test_given_limits(spark):
-    x = signal.extract(stack(spark, [np.arange(100)]), signal.Analysis(fps=10.0), 100, 5, 94, periods=2).first()
+    x = signal.extract(stack(spark, [np.arange(100)]), signal.Analysis(fps=10.0), 5, 94, periods=2).first()
     assert (x["first"], x["last"]) == (5, 25) and x.dc == pytest.approx(15)
 
 
@@ -125,3 +125,70 @@ def test_points_and_views(spark):
     assert signal.read_point(s, 2, 0, 1).first().v == 6
     assert signal.read_point(s, 3, 0, 1).count() == 0 and signal.read_point(s, -1, 0, 1).count() == 0 and signal.read_point(s, 0, 9, 9).count() == 0
     assert signal.view(s, 1, 2).count() == 4
+
+
+def measured(spark, seed=4):
+    """Three measurements of unequal lengths and rates, with steps in their signals, and one that is a single frame."""
+    rng, rows = np.random.default_rng(seed), []
+    for m, (n, fps) in {"a": (120, 10.0), "b": (90, 12.5), "c": (150, 20.0), "d": (1, 9.0)}.items():
+        for k in range(7):
+            v = rng.normal(0, 0.3, n) + np.sin(2 * math.pi * np.arange(n) / fps)
+            if m != "a":
+                v[n // 3 :] += 40
+            rows.append((m, fps, 0, k, v.tolist()))
+    return spark.createDataFrame(rows, "meas_id string, fps double, y int, x int, signal array<double>")
+
+
+@pytest.mark.parametrize("more", [{}, {"interpolate": True, "band_pass": True, "high": 3.0}, {"interpolate": True, "ceiling_axis": True}])
+def test_measurements_together_as_one_at_a_time(spark, more):
+    stacks = measured(spark).filter("meas_id <> 'd'")
+    how = signal.Analysis(fps="fps", **more)
+    together = {(r.meas_id, r.x): r for r in signal.time_axis(signal.extract(stacks, how, keys=["meas_id"], fractions=(0.1, 0.9)), how).collect()}
+    assert len(together) == 21
+    for m, fps, n in (("a", 10.0, 120), ("b", 12.5, 90), ("c", 20.0, 150)):
+        one = how.changed(fps=fps)
+        alone = signal.time_axis(signal.extract(stacks.filter(F.col("meas_id") == m).drop("meas_id", "fps"), one, int(0.1 * n), int(0.9 * n - 1)), one).collect()
+        assert len(alone) == 7
+        for r in alone:
+            t = together[m, r.x]
+            assert (t["first"], t["last"]) == (r["first"], r["last"]) and (t.dc, t.ac) == pytest.approx((r.dc, r.ac))
+            assert np.allclose(t.signal, r.signal) and np.allclose(t.times, r.times)
+
+
+def test_limits_of_each_measurement(spark):
+    found = {r.meas_id: tuple(r)[1:] for r in signal.limits(measured(spark), signal.Analysis(fps="fps"), keys=["meas_id"]).collect()}
+    assert found["a"] == (120, 0, 110) and found["d"] == (1, 0, 0)
+    assert found["c"][0] == 150 and 50 <= found["c"][1] and (found["c"][2] - found["c"][1]) % 20 == 0
+    given = {r.meas_id: tuple(r)[1:] for r in signal.limits(measured(spark), signal.Analysis(fps="fps"), 5, 60, periods=2, keys=["meas_id"]).collect()}
+    assert given["a"] == (120, 5, 25) and given["b"] == (90, 5, 30)
+
+
+def test_mean_is_one_scan_of_any_length(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(3)), [None if rng.random() < 0.1 else float(x) for x in rng.normal(size=int(n))]) for n in rng.integers(0, 400, 60)] + [(1, None), (2, [])]
+    stack = spark.createDataFrame(rows, "k int, signal array<double>").repartition(5)
+    want = {}
+    for k, v in rows:
+        for t, x in enumerate(v or []):
+            if x is not None:
+                want.setdefault((k, t), []).append(x)
+    got = {(r.k, r.t): r.m for r in signal.mean_signal(stack, keys=["k"]).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(np.mean(v)) for k, v in want.items())
+    every = {r.t: r.m for r in signal.mean_signal(stack).collect()}
+    assert every == pytest.approx({t: np.mean([x for (_, u), v in want.items() if u == t for x in v]) for t in {t for _, t in want}})
+    plan = signal.mean_signal(stack)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1
+    assert signal.mean_signal(stack.limit(0)).count() == 0
+
+
+def test_filter_from_a_state(spark):
+    s = filters.band_pass_sections(4, 0.5, 4.0, FPS)
+    rng = np.random.default_rng(8)
+    lanes_ = [rng.normal(size=n).tolist() for n in (50, 31, 9)]
+    whole = stack(spark, lanes_).select("x", lanes.sos_filter(s)("signal").alias("y"))
+    run = lanes.sos_filter_from(s)
+    first = stack(spark, [v[:7] for v in lanes_]).select("x", run("signal", F.lit(None).cast("array<double>")).alias("a"))
+    rest = stack(spark, [v[7:] for v in lanes_]).join(first, "x").select("x", "a", run("signal", F.col("a.state")).alias("b"))
+    want = {r.x: r.y for r in whole.collect()}
+    for r in rest.collect():
+        assert np.allclose(r.a.signal + r.b.signal, want[r.x], atol=1e-12) and len(r.b.state) == 8
