@@ -1,10 +1,11 @@
 """Image folders as tables: files by Spark's binaryFile source, decoded in their partitions.
 
-Built-in decoders: PNG (grey, 8 or 16 bits, not interlaced) and TIFF (one uncompressed grey sample per pixel, several pages). Other formats
+Built-in decoders: PNG (grey, 8 or 16 bits, not interlaced) and TIFF (grey, several pages, as in tiff.py). Other formats
 need a decoder given by the caller."""
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import names
+from pulsegrid.sources import tiff
 
 #: Formats in the order that breaks ties.
 FORMATS = ("png", "tif", "jpg")
@@ -58,39 +60,22 @@ def read_png(raw: bytes) -> list[np.ndarray]:
 
 
 def read_tiff(raw: bytes) -> list[np.ndarray]:
-    order = "<" if raw[:2] == b"II" else ">"
-    sizes = {1: "B", 3: "H", 4: "I"}
-    pages, at = [], struct.unpack(order + "I", raw[4:8])[0]
-    while at:
-        n = struct.unpack(order + "H", raw[at : at + 2])[0]
-        tags = {}
-        for k in range(n):
-            tag, kind, count = struct.unpack(order + "HHI", raw[at + 2 + 12 * k : at + 10 + 12 * k])
-            if kind in sizes:
-                size = struct.calcsize(sizes[kind]) * count
-                where = at + 10 + 12 * k if size <= 4 else struct.unpack(order + "I", raw[at + 10 + 12 * k : at + 14 + 12 * k])[0]
-                tags[tag] = struct.unpack(order + sizes[kind] * count, raw[where : where + size])
-        if tags.get(259, (1,))[0] != 1 or tags.get(277, (1,))[0] != 1:
-            raise ValueError("only uncompressed TIFF of one sample can be read")
-        data = b"".join(raw[a : a + b] for a, b in zip(tags[273], tags[279], strict=True))
-        bits, form = tags.get(258, (8,))[0], tags.get(339, (1,))[0]
-        pages.append(np.frombuffer(data, f"{order}{'uif'[form - 1]}{bits // 8}").reshape(tags[257][0], tags[256][0]))
-        at = struct.unpack(order + "I", raw[at + 2 + 12 * n : at + 6 + 12 * n])[0]
-    return pages
+    file = io.BytesIO(raw)
+    return [tiff.rows_of(file, p, 0, p.height) for p in list(tiff.pages(file))]
 
 
 def write_tiff(pages: list[np.ndarray]) -> bytes:
-    """A multipage little-endian TIFF of one strip per page."""
-    out, link = bytearray(struct.pack("<2sHI", b"II", 42, 0)), 4
-    for p in pages:
-        p = np.ascontiguousarray(p, p.dtype.newbyteorder("<"))
-        data = len(out)
-        out += p.tobytes() + b"\0" * (len(p.tobytes()) % 2)
-        struct.pack_into("<I", out, link, len(out))
-        tags = ((256, p.shape[1]), (257, p.shape[0]), (258, p.dtype.itemsize * 8), (259, 1), (262, 1), (273, data), (277, 1), (278, p.shape[0]), (279, p.nbytes), (339, "uif".index(p.dtype.kind) + 1))
-        out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in tags)
-        link = len(out)
-        out += struct.pack("<I", 0)
+    """A multipage TIFF of one strip per page, in which pages may differ."""
+    out = bytearray(tiff.head(False))
+    for k, p in enumerate(pages):
+        start, dtype = len(out), p.dtype.newbyteorder("<")
+        raw = np.ascontiguousarray(p, dtype).tobytes()
+        out += tiff.page_bytes(raw, p.shape, dtype.str, 0, False, False)
+        size = len(out) - start
+        shift = start - len(tiff.head(False))
+        entry = start + 2 + 5 * 12 + 8  # where the strip lies, and then where the next page does
+        struct.pack_into("<I", out, entry, struct.unpack_from("<I", out, entry)[0] + shift)
+        struct.pack_into("<I", out, start + 2 + 10 * 12, 0 if k == len(pages) - 1 else start + size)
     return bytes(out)
 
 
