@@ -1,6 +1,6 @@
 """How sources of a language differ in their use of terms, by dense tiles of groups by terms.
 
-Terms are counted within tasks, a table of bounded size at a time, and summed by (lang, source, term). Each language's kept terms fall into blocks by hash, and its sources into
+Terms are counted within tasks, some megabytes of text at a time, and summed by (lang, source, term). Each language's kept terms fall into blocks by hash, and its sources into
 blocks by hash; a task gets a term block with two source blocks, makes dense matrices of 64-bit integers, sources by terms, and compares all pairs of
 sources by broadcasting. The partial sums of pairs are added up over the term blocks. For the best terms of a source each tile has a heap's worth, and these are merged.
 
@@ -10,54 +10,76 @@ A text of any length is counted whole; counts may reach 9 * 10**15."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import written
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+#: Bytes of terms: letters, and all of characters beyond ASCII.
+OF_TERMS = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: What shares are counted in.
 UNIT = 1_000_000_000
 MORE = 5
-
-
-def term_counts(docs: DataFrame, together: int = 200_000) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents with it) of docs(text, lang, source); a row with the term null for every group and task.
-
-    A task hands on its counts when it holds `together` of them."""
+#: Rows of languages up to which they are sent to all tasks.
+SENT_LANGS = 100_000
+
+
+def tally(texts: pa.StringArray, groups: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """words, and for each (group, word) that occurs: group, word's place, occurrences, texts with it. A byte tells whether it belongs to a term, since all beyond ASCII do."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = texts.buffers()[2].to_pybytes()[ends[0] : ends[-1]] if texts.buffers()[2] is not None else b""
+    data, ends = np.frombuffer(raw.translate(LOWER), np.uint8), ends - ends[0]
+    inside = OF_TERMS[data]
+    edge = np.zeros(len(data) + 1, bool)  # where a text begins, one before it has ended
+    edge[ends] = True
+    first = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])[: len(inside)]))
+    last = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]])[: len(inside)]))
+    offsets = np.concatenate([[0], np.cumsum(last - first + 1)]).astype(np.int32)
+    terms = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data[inside])).dictionary_encode()
+    words, word = terms.dictionary, terms.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(first, ends)))
+    both, n = np.unique(of * max(1, len(words)) + word, return_counts=True)
+    of, word = np.divmod(both, max(1, len(words)))
+    key = groups[of] * max(1, len(words)) + word
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    within = np.diff(np.concatenate([starts, [len(key)]]))
+    group, word = np.divmod(key[starts], max(1, len(words)))
+    return words, group, word, np.add.reduceat(n, starts) if len(starts) else n, within
+
+
+def term_counts(docs: DataFrame, together: int = 1 << 23) -> DataFrame:
+    """lang, source, term, n (occurrences), docs (documents with it) of docs(text, lang, source); and for every group a row without a term.
+
+    A task tallies texts of about `together` bytes at a time."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        times: Counter = Counter()
-        within: Counter = Counter()
-        groups = set()
-
-        def handed() -> pd.DataFrame:
-            rows = [(*g, t, n, within[g, t]) for (g, t), n in times.items()]
-            times.clear()
-            within.clear()
-            return pd.DataFrame(rows, columns=["lang", "source", "term", "n", "docs"])
-
-        for x in frames:
-            for text, lang, source in x.itertuples(index=False, name=None):
-                group = lang, source
-                groups.add(group)
-                for term, n in Counter(TERM.findall(text.encode().translate(LOWER).decode())).items():
-                    times[group, term] += n
-                    within[group, term] += 1
-                if len(times) >= together:
-                    yield handed()
-        yield handed()
-        yield pd.DataFrame([(*g, None, 0, 0) for g in groups], columns=["lang", "source", "term", "n", "docs"])
-
-    each = docs.select(blank("text"), blank("lang"), blank("source")).mapInPandas(count, "lang string, source string, term string, n long, docs long")
+    kind = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.string())
+            places: dict[tuple, int] = {}
+            groups = np.array([places.setdefault(g, len(places)) for g in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)], np.int64)
+            lang, source = (pa.array([g[i] for g in places], pa.string()) for i in (0, 1))
+            none = pa.array(np.zeros(len(places), np.int64))
+            yield pa.RecordBatch.from_arrays([lang, source, pa.nulls(len(places), pa.string()), none, none], schema=kind)
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+            a = 0
+            while a < len(texts):
+                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + together, "right")))
+                words, group, word, n, within = tally(texts.slice(a, b - a), groups[a:b])
+                yield pa.RecordBatch.from_arrays([lang.take(pa.array(group)), source.take(pa.array(group)), words.take(pa.array(word)), pa.array(n.astype(np.int64)), pa.array(within.astype(np.int64))], schema=kind)
+                a = b
+
+    each = docs.select(blank("text"), blank("lang"), blank("source")).mapInArrow(count, "lang string, source string, term string, n long, docs long")
     return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -90,6 +112,8 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50, terms: int = 512, sou
     langs = counts.filter("term IS NULL").groupBy("lang").agg(F.count("*").alias("sources"))
     langs = langs.join(kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all_n").alias("all_total")), "lang", "left").na.fill(0)
     langs = langs.select("lang", "v", (F.col("all_total") + MORE * F.col("v")).alias("all_total"), F.ceil(F.col("sources") / sources).cast("int").alias("s_blocks"), F.greatest(F.ceil(F.col("v") / terms), F.lit(1)).cast("int").alias("t_blocks"))
+    langs = written(langs, "audit-langs")
+    langs = F.broadcast(langs) if langs.count() <= SENT_LANGS else langs
     used = counts.join(kept, ["lang", "term"])
     totals = used.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     # A row per group, language, or (language, term block): small beside the counts.
