@@ -9,7 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from conftest import key, rows
+from conftest import key, rows, texts
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import hpylm, linededup, lzprint, mixing, packing, quality, sharding, simhash
 
@@ -297,7 +298,7 @@ def test_scores_against_a_sampler_by_hand(spark):
     train = [w for i, ws in tokens.items() if not held(i) for w in ws]
     n = Counter(train)
     assert max(n.values()) > len(train) / 40
-    # Words that make up a fortieth of a block's tokens; blocks here are single texts' worth, so take the list from the module.
+    # Words that make up a fortieth of all tokens.
     own, _ = hpylm.frequent(spark.createDataFrame(texts, "doc_id long, text string"), hpylm.held_out(), 40, 4000)
     has = {w for w in n if xxhash.xxh3_64_intdigest(w.encode()) in set(own.tolist())}
     assert len(has) > 5
@@ -744,3 +745,19 @@ def test_no_training_rows(spark):
 def test_single_document_follows_itself(spark):
     r = lzprint.edited_pairs(spark.createDataFrame([(5, "abcdefgh")], "doc_id long, text string")).first()
     assert r.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and r.near_next == 1.0
+
+
+def test_language_model_is_one_however_rows_lie(spark):
+    """The same scores and the same restaurants from one, four and sixteen partitions, in another order, in blocks of another size; words are as frequent as counted by hand."""
+    data = [(i, t) for i, t in enumerate(texts(400, 9))] + [(1000 + i, "topic " * 40 + texts(1, i)[0]) for i in range(12)]  # a word of one corner of the table
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    layouts = [df.coalesce(1), df.repartition(4, "text"), df.repartitionByRange(16, F.desc("doc_id")), df.coalesce(1)]
+    counts = Counter(w for i, t in data if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*t.lower().split(), "\n"])
+    n = sum(counts.values())
+    seen, words = [], []
+    for x, block in zip(layouts, (9000, 9000, 9000, 2000), strict=True):
+        words.append(hpylm.frequent(x, hpylm.held_out(), 150, block))
+        seen.append(sorted(tuple(r) for r in hpylm.score(x, hpylm.held_out(), block=block, bucket=4000, contexts=150).collect()))
+    assert seen[0] == seen[1] == seen[2] == seen[3]
+    want = sorted(xxhash.xxh3_64_intdigest(w.encode()) for w, c in counts.items() if c * 150 >= n)
+    assert all(w.tolist() == want for w, _ in words) and len(want) > 5
