@@ -59,8 +59,9 @@ class Analysis:
 
 
 def to_lanes(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """frames(keys…, t, v) to keys…, signal."""
-    return frames.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda s: s["v"].cast("double")).alias("signal"))
+    """frames(keys…, t[, page], v) to keys…, signal."""
+    place = ["t", "page"] if "page" in frames.columns else ["t"]
+    return frames.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*place, "v"))), lambda s: s["v"].cast("double")).alias("signal"))
 
 
 def to_frames(stack: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from pulsegrid.sources.saved import written
 
 
 def day_folders(folders: DataFrame, minutes: Column, start: int = 0, stride: int = 1, holds: str = "") -> DataFrame:
-    """folders(name) of a day's measurements: those with `_` and `x` in the name, by time; then those that hold a string, every stride-th from start."""
-    x = folders.filter(F.contains("name", F.lit("_")) & F.contains("name", F.lit("x"))).withColumn("minutes", minutes)
+    """folders(name) of a day's measurements: those with `_` and `x` or `X` in the name, by time; then those that hold a string, every stride-th from start."""
+    x = folders.filter(F.contains("name", F.lit("_")) & F.contains(F.lower("name"), F.lit("x"))).withColumn("minutes", minutes)
     first = x.agg(F.min("minutes").alias("_first"))  # one row
     x = x.crossJoin(F.broadcast(first)).withColumn("minutes", F.col("minutes") - F.col("_first")).drop("_first")
     if holds:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import names
 from pulsegrid.sources import tiff
+from pulsegrid.sources.saved import written
 
 #: Formats in the order that breaks ties.
 FORMATS = ("png", "tif", "jpg")
@@ -40,20 +41,23 @@ def read_png(raw: bytes) -> list[np.ndarray]:
     out, above = np.zeros((height, width * step), np.int64), np.zeros(width * step, np.int64)
     for y, row in enumerate(rows.astype(np.int64)):
         how, line = int(row[0]), row[1:].copy()
-        if how == 2:
+        if how == 1:
+            line = np.add.accumulate(line.reshape(-1, step), axis=0).ravel() % 256
+        elif how == 2:
             line = (line + above) % 256
         elif how:
-            for x in range(len(line)):
-                left, up = (line[x - step] if x >= step else 0), above[x]
-                corner = above[x - step] if x >= step else 0
-                if how == 1:
-                    guess = left
-                elif how == 3:
-                    guess = (left + up) // 2
+            left, corner, up = [0] * step, [0] * step, above.tolist()
+            plain = line.tolist()
+            for x, v in enumerate(plain):
+                a, b, c = left[x % step], up[x], corner[x % step]
+                if how == 3:
+                    guess = (a + b) // 2
                 else:
-                    ends = [abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)]
-                    guess = (left, up, corner)[ends.index(min(ends))]
-                line[x] = (line[x] + guess) % 256
+                    ends = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+                    guess = (a, b, c)[ends.index(min(ends))]
+                plain[x] = left[x % step] = (v + guess) % 256
+                corner[x % step] = b
+            line = np.array(plain, np.int64)
         out[y] = above = line
     flat = out.astype(np.uint8)
     return [flat if step == 1 else flat.reshape(height, -1).view(">u2").astype(np.uint16)]
@@ -87,19 +91,34 @@ def majority_format(files: DataFrame) -> DataFrame:
     return x.drop("place").join(best, ["folder", "format"]).select("folder", "file", "format")
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """path, folder, file, frame, content of a folder's images in its majority format; frames by number, then name."""
-    x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+#: Files up to which a listing (some 100 bytes each) is sent to all tasks, so that contents aren't shuffled.
+SENT_FILES = 1_000_000
+
+
+def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """path, folder, file of all files below a folder. Contents aren't read."""
+    x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     piece = F.split("path", "/")
-    x = x.withColumn("file", F.element_at(piece, -1)).withColumn("folder", F.element_at(piece, -2)).filter("file <> '.DS_Store'")
-    kept = majority_format(x.select("folder", "file"))
+    return x.select("path", F.element_at(piece, -2).alias("folder"), F.element_at(piece, -1).alias("file"), *(["content"] if glob != "*" else [])).filter("file <> '.DS_Store'")
+
+
+def scan(spark: SparkSession, folder: str, only: DataFrame | None = None) -> DataFrame:
+    """path, folder, file, frame, format, content of a folder's images in its majority format; frames by number, then name. only(folder): the folders to take.
+
+    What is taken is decided on the listing; then the contents of these formats are read and joined with it."""
+    files = listing(spark, folder)
+    if only is not None:
+        files = files.join(only.select("folder"), "folder", "left_semi")
     w = Window.partitionBy("folder").orderBy(F.coalesce(names.frame_number(F.col("file")), F.lit(0)), "file")
-    number = kept.withColumn("frame", F.row_number().over(w) - 1)
-    return x.join(number, ["folder", "file"]).select("path", "folder", "file", "frame", "format", "content")
+    kept = files.select("path", "folder", "file").join(majority_format(files.select("folder", "file")), ["folder", "file"])
+    kept = written(kept.withColumn("frame", F.row_number().over(w) - 1), "listing")
+    formats = sorted(r.format for r in kept.select("format").distinct().collect())  # of FORMATS
+    contents = listing(spark, folder, f"*.{{{','.join(formats or FORMATS)}}}").select("path", "content")
+    return contents.join(F.broadcast(kept) if kept.count() <= SENT_FILES else kept, "path").select("path", "folder", "file", "frame", "format", "content")
 
 
 def decode(files: DataFrame, decoders: dict[str, Decoder] | None = None) -> DataFrame:
-    """meas_id, t, y, x, v of scanned files; the pages of a file follow each other."""
+    """meas_id, t, page, y, x, v of scanned files, t being the file's frame; a file's pages follow each other."""
     known = {"png": read_png, "tif": read_tiff} | (decoders or {})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,9 +126,9 @@ def decode(files: DataFrame, decoders: dict[str, Decoder] | None = None) -> Data
             for folder, frame, kind, raw in x[["folder", "frame", "format", "content"]].itertuples(index=False, name=None):
                 for k, page in enumerate(known[kind](raw)):
                     y, c = np.indices(page.shape)
-                    yield pd.DataFrame({"meas_id": folder, "t": int(frame) + k, "y": y.ravel(), "x": c.ravel(), "v": page.ravel().astype(float)})
+                    yield pd.DataFrame({"meas_id": folder, "t": int(frame), "page": k, "y": y.ravel(), "x": c.ravel(), "v": page.ravel().astype(float)})
 
-    return files.select("folder", "frame", "format", "content").mapInPandas(run, "meas_id string, t long, y long, x long, v double")
+    return files.select("folder", "frame", "format", "content").mapInPandas(run, "meas_id string, t long, page int, y long, x long, v double")
 
 
 def write_stack(pixels: DataFrame, value: str, folder: str) -> None:

@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import names
@@ -137,3 +138,39 @@ def test_written_tables_are_cleared(spark):
     assert t.count() == 5 and all(f.exists() for f in files)
     saved.clear(spark)
     assert not any(f.exists() for f in files)
+
+
+def test_a_day_from_names_to_amplitudes(spark, tmp_path):
+    from pulsegrid.sources import days
+
+    rng, stacks = np.random.default_rng(5), {}
+    for name, n in {"a_x1_10fps_10600 PM": 64, "b_X2_12v5fps_114500 AM": 80, "c_x1_20fps_20000 PM": 90, "d_x1_9fps_30000 PM": 20, "no mark_10fps_10000 AM": 5}.items():
+        stacks[name] = (100 + 50 * np.sin(np.arange(n)[:, None, None] / 3) + rng.integers(0, 30, (n, 2, 3))).astype(np.uint8)
+        (tmp_path / name).mkdir()
+        if name[0] == "c":  # several pages a file
+            for k in range(3):
+                (tmp_path / name / f"s{2 - k}.tif").write_bytes(images.write_tiff(list(stacks[name][30 * (2 - k) : 30 * (3 - k)])))
+        else:
+            for k, image in enumerate(stacks[name]):
+                (tmp_path / name / f"i{k:04d}.png").write_bytes(png(image, k % 5))
+    (tmp_path / "a_x1_10fps_10600 PM" / "i0000.tif").write_bytes(b"refused")
+    how = signal.Analysis(frequency=1.0)
+    day, got = days.extract(spark, str(tmp_path), how, fractions=(0.1, 0.9))
+    assert [(r.name[0], r.fps) for r in day.orderBy("place").collect()] == [("b", 12.5), ("a", 10.0), ("c", 20.0), ("d", 9.0)]
+    rows = {(r.meas_id, r.y, r.x): r for r in got.collect()}
+    assert len(rows) == 4 * 6
+    for r in day.collect():
+        s = stacks[r.name]
+        n = len(s)
+        alone = spark.createDataFrame([(y, x, s[:, y, x].astype(float).tolist()) for y in range(2) for x in range(3)], "y int, x int, signal array<double>")
+        for one in signal.extract(alone, how.changed(fps=r.fps), int(0.1 * n), int(0.9 * n - 1)).collect():
+            mine = rows[r.name, one.y, one.x]
+            assert (mine["first"], mine["last"]) == (one["first"], one["last"]) and np.allclose((mine.dc, mine.ac), (one.dc, one.ac))
+    few, _ = days.extract(spark, str(tmp_path), how, start=1, stride=2, holds="x1")
+    assert [r.name[0] for r in few.collect()] == ["c"]
+    for bad in ({"start": 9}, {"holds": "zz"}):
+        with pytest.raises(ValueError, match="left"):
+            days.extract(spark, str(tmp_path), how, **bad)
+    (tmp_path / "a_x1_10fps_10600 PM" / "i9999.png").write_bytes(png(np.zeros((3, 3), np.uint8), 0))
+    with pytest.raises(ValueError, match="different sizes in a_x1"):
+        days.extract(spark, str(tmp_path), how)
