@@ -94,7 +94,8 @@ def cascade(x: np.ndarray, lengths: np.ndarray, sections: np.ndarray, state: np.
         state[:, k, 0], state[:, k, 1] = z1, z2
 
 
-def _padded(lanes: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+def padded(lanes: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """[lanes, samples] with zeros behind the shorter ones, and their lengths."""
     lengths = lanes.map(len).to_numpy(np.int64)
     x = np.zeros((len(lanes), int(lengths.max(initial=0))))
     for i, v in enumerate(lanes):
@@ -102,7 +103,7 @@ def _padded(lanes: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return x, lengths
 
 
-def _cut_back(x: np.ndarray, lengths: np.ndarray) -> pd.Series:
+def cut_back(x: np.ndarray, lengths: np.ndarray) -> pd.Series:
     return pd.Series([row[:n] for row, n in zip(x, lengths, strict=True)], dtype=object)
 
 
@@ -114,7 +115,7 @@ def sos_filter(sections: np.ndarray | Callable[[float], np.ndarray]):
         def run_at(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             designs: dict[float, np.ndarray] = {}
             for lanes, rates in frames:
-                x, lengths = _padded(lanes)
+                x, lengths = padded(lanes)
                 for rate in pd.unique(rates):
                     if rate not in designs:
                         designs[rate] = sections(float(rate))
@@ -123,7 +124,7 @@ def sos_filter(sections: np.ndarray | Callable[[float], np.ndarray]):
                     part = x[own]
                     cascade(part, lengths[own], fixed, np.zeros((len(own), len(fixed), 2)))
                     x[own] = part
-                yield _cut_back(x, lengths)
+                yield cut_back(x, lengths)
 
         return run_at
     fixed = np.asarray(sections, np.float64)
@@ -131,9 +132,9 @@ def sos_filter(sections: np.ndarray | Callable[[float], np.ndarray]):
     @F.pandas_udf("array<double>")
     def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for lanes in frames:
-            x, lengths = _padded(lanes)
+            x, lengths = padded(lanes)
             cascade(x, lengths, fixed, np.zeros((len(x), len(fixed), 2)))
-            yield _cut_back(x, lengths)
+            yield cut_back(x, lengths)
 
     return run
 
@@ -145,12 +146,12 @@ def sos_filter_from(sections: np.ndarray):
     @F.pandas_udf("signal array<double>, state array<double>")
     def run(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for lanes, states in frames:
-            x, lengths = _padded(lanes)
+            x, lengths = padded(lanes)
             state = np.zeros((len(x), len(fixed), 2))
             for i, z in enumerate(states):
                 if z is not None:
                     state[i] = np.asarray(z, float).reshape(len(fixed), 2)
             cascade(x, lengths, fixed, state)
-            yield pd.DataFrame({"signal": _cut_back(x, lengths), "state": list(state.reshape(len(x), -1))})
+            yield pd.DataFrame({"signal": cut_back(x, lengths), "state": list(state.reshape(len(x), -1))})
 
     return run
