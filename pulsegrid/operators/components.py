@@ -1,0 +1,57 @@
+"""Connected components of an edge table by alternating large-star and small-star steps.
+
+Nodes are of any type with an order. Loops and repeated edges count as none and one; the order of an edge's ends doesn't matter; null ends don't occur;
+without edges there are no rows; other columns are ignored. A round's table is deleted when the next one stands."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pulsegrid.sources.saved import drop, written
+
+SALTS = 4
+
+
+def _join_least(rows: DataFrame, key: str, least: DataFrame) -> DataFrame:
+    """rows with m of least(node, m) for their key. A hot node's rows are dealt over several tasks, and since both sides are
+    shuffled for this join alone, adaptive execution may split them further."""
+    many = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(SALTS)).cast("int"))
+    return salted.join(many, (salted[key] == many["node"]) & (salted["salt"] == many["salt"])).select("a", "b", "m")
+
+
+def _both_ends(edges: DataFrame, forth: list, back: list) -> DataFrame:
+    return edges.select(F.explode(F.array(F.struct(*forth), F.struct(*back))).alias("x")).select("x.*")
+
+
+def _stars(edges: DataFrame, large: bool) -> DataFrame:
+    """large: each node links its larger neighbours to its least neighbour or itself; small: its smaller neighbours and itself.
+
+    edges(a, b) have a > b."""
+    a, b = F.col("a"), F.col("b")
+    if large:
+        # A node that is some edge's b counts itself, so one aggregate has what every b hands to its larger neighbours.
+        seen = _both_ends(edges, [a.alias("node"), b.alias("m")], [b.alias("node"), b.alias("m")])
+        return _join_least(edges, "b", seen.groupBy("node").agg(F.min("m").alias("m"))).select("a", F.col("m").alias("b"))
+    least = edges.groupBy(a.alias("node")).agg(F.min("b").alias("m"))
+    return _join_least(edges, "a", least).select(b.alias("a"), F.col("m").alias("b")).union(least.select(F.col("node").alias("a"), F.col("m").alias("b")))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges(a, b), distinct and a > b, are stars already: every a has one b, and no b is an a. Each b is then the least node of its component."""
+    one, none = F.lit(1), F.lit(0)
+    ends = _both_ends(edges, [F.col("a").alias("node"), one.alias("up"), none.alias("down")], [F.col("b").alias("node"), none.alias("up"), one.alias("down")])
+    ups = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ups.filter("up > 1 or up = 1 and down = 1").agg(F.count("*")).first()[0] == 0
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """node, root (the least node reachable) of every node of edges(a, b) that isn't its own root."""
+    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    for _ in range(max_rounds):
+        if _settled(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before, now = now, written(_stars(_stars(now, True), False).filter("a <> b").distinct(), "stars")
+        drop(before)
+    raise RuntimeError(f"the components did not settle in {max_rounds} rounds")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import labels, parts
+
 # The eight neighbours clockwise from east, as (dy, dx).
 AROUND = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
 
@@ -27,21 +29,9 @@ def grid(y: np.ndarray, x: np.ndarray, on: np.ndarray | None = None) -> tuple[np
 
 
 def components(mask: np.ndarray) -> list[np.ndarray]:
-    """8-connected parts of a mask as masks, in row order of their first pixels: least labels spread until nothing changes."""
-    h, w = mask.shape
-    label = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
-    big = h * w + 2
-    while True:
-        padded = np.pad(np.where(mask, label, big), 1, constant_values=big)
-        least = np.min([padded[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy, dx in (*AROUND, (0, 0))], axis=0)
-        new = np.where(mask, least, 0)
-        flat = np.concatenate([[0], np.arange(1, h * w + 1)])
-        flat[label[mask]] = np.minimum(flat[label[mask]], new[mask])
-        new = np.where(mask, flat[new], 0)
-        if (new == label).all():
-            break
-        label = new
-    return [label == k for k in np.unique(label[mask])] if mask.any() else []
+    """8-connected parts of a mask as masks, in row order of their first pixels."""
+    label = parts.run_labels(mask)
+    return [label == k for k in range(1, int(label.max(initial=0)) + 1)]
 
 
 def trace(mask: np.ndarray) -> np.ndarray:
@@ -248,25 +238,23 @@ def interiors(pixels: DataFrame, value: str = "ac") -> DataFrame:
     return by_cell(pixels, [value], "y long, x long", f)
 
 
-def segment(images: DataFrame, model: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """images(frame, y, x, dc) with label from model(image) -> labels, a frame at a time.
-
-    Without a model: Otsu's threshold and connected parts, numbered in row order."""
+def segment(images: DataFrame, model: Callable[[np.ndarray], np.ndarray] | None = None, tile: int = 512) -> DataFrame:
+    """images(frame, y, x, dc) with label. With a model(image) -> labels, a frame is a task.
 
-    def plain(image: np.ndarray) -> np.ndarray:
-        low, high = image.min(), image.max()
-        out = np.zeros(image.shape, np.int64)
-        if high > low:
-            eight = ((image - low) / (high - low) * 255).astype(np.int64)
-            for k, part in enumerate(components(np.pad(eight > otsu_of(eight.ravel()), 1))):
-                out[part[1:-1, 1:-1]] = k + 1
-        return out
+    Without one: pixels over Otsu's threshold of the frame, in connected parts, numbered in row order. Thresholds come from histograms, and parts from tiles, so a frame of any size is many tasks."""
+    if model is None:
+        rest = images.drop("label")
+        ends = rest.groupBy("frame").agg(F.min("dc").alias("_lo"), F.max("dc").alias("_hi"))
+        x = rest.join(ends, "frame").withColumn("_bin", F.floor(F.when(F.col("_hi") > F.col("_lo"), (F.col("dc") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 255)).cast("int"))
+        found = labels.otsu(x.filter("_bin IS NOT NULL").select("frame", F.lit(0).alias("label"), F.col("_bin").alias("bin"))).select("frame", "threshold")
+        on = x.join(found, "frame", "left").withColumn("_on", F.coalesce(F.col("_bin") > F.col("threshold"), F.lit(False))).drop("_lo", "_hi", "_bin", "threshold")
+        return parts.labelled(on, "_on", tile=tile).drop("_on")
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         y, c = x["y"].to_numpy(), x["x"].to_numpy()
         image = np.full((y.max() - y.min() + 1, c.max() - c.min() + 1), x["dc"].min(), float)
         image[y - y.min(), c - c.min()] = x["dc"]
-        return x.assign(label=(model or plain)(image)[y - y.min(), c - c.min()].astype("int64"))
+        return x.assign(label=model(image)[y - y.min(), c - c.min()].astype("int64"))
 
     keep = images.drop("label").withColumn("label", F.lit(0).cast("long"))
     return keep.groupBy("frame").applyInPandas(run, keep.schema)
