@@ -6,6 +6,8 @@ carry next_frame.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +97,17 @@ def network(pixels: DataFrame, cells: DataFrame, least: float = 0.10, score: flo
     return best_parents(threshold(candidates(forward(common, cells), cells, least), score), backward(common, cells))
 
 
+def relinked(pixels: DataFrame, cells: DataFrame, edges: DataFrame, touched: list[int], shapes: Callable[[DataFrame], DataFrame], least: float = 0.10, score: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """cells and edges after the pixels of some frames were edited, as if all were made anew: the edited frames' cells by shapes(pixels), and the edges into and out of these frames.
+
+    Only those frames and their neighbours are read of the pixels, which as files should be partitioned by frame."""
+    near = sorted({f + k for f in touched for k in (-1, 0, 1)})
+    pairs = sorted({f + k for f in touched for k in (-1, 0)})
+    now = cells.filter(~F.col("frame").isin(touched)).unionByName(shapes(pixels.filter(F.col("frame").isin(touched))).select(cells.columns))
+    part = network(pixels.filter(F.col("frame").isin(near)), now.filter(F.col("frame").isin(near)), least, score)
+    return now, edges.filter(~F.col("frame").isin(pairs)).unionByName(part.filter(F.col("frame").isin(pairs)).select(edges.columns))
+
+
 def next_frame(edges: DataFrame) -> Column:
     return F.col("next_frame") if "next_frame" in edges.columns else F.col("frame") + 1
 
@@ -174,6 +187,25 @@ def neighbours(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     return x.select("id", "above", "below").join(out, "id", "left").join(into, "id", "left")
 
 
+def clicked(nodes: DataFrame, clicks: DataFrame, radius: float = 0.5) -> DataFrame:
+    """clicks(click, at_frame, at_row, …) with the id, frame and label of the node nearest to each on the plane of frames and rows (of equally near ones the smaller id), null if none is within the radius.
+
+    Points meet nodes of their own and the eight neighbouring squares of side `radius`, so any number of points goes through one equi-join."""
+    square = lambda c, n: F.floor(F.col(c) / radius).alias(n)
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    q = clicks.select("click", "at_frame", "at_row", square("at_frame", "_f"), square("at_row", "_r"), F.explode(around).alias("_s"))
+    q = q.select("click", "at_frame", "at_row", (F.col("_f") + F.col("_s.a")).alias("_f"), (F.col("_r") + F.col("_s.b")).alias("_r"))
+    x = q.join(nodes.select("id", "frame", "label", "row", square("frame", "_f"), square("row", "_r")), ["_f", "_r"])
+    far = F.pow(F.col("frame") - F.col("at_frame"), 2.0) + F.pow(F.col("row") - F.col("at_row"), 2.0)
+    best = x.filter(far <= radius * radius).groupBy("click").agg(F.min_by(F.struct("id", "frame", "label"), F.struct(far, F.col("id"))).alias("n"))
+    return clicks.join(best, "click", "left").select(*clicks.columns, "n.id", "n.frame", "n.label")
+
+
+def node_at(nodes: DataFrame, cells: DataFrame) -> DataFrame:
+    """The nodes of cells(frame, label), as an image's picked labels are found in the graph."""
+    return nodes.join(cells.select("frame", "label").distinct(), ["frame", "label"], "left_semi")
+
+
 def of_lineage(walk: DataFrame, track: str) -> DataFrame:
     """frame, label of tracks that hold the name and have its root."""
     root = track.split("_")[1] if "_" in track else ""

@@ -669,6 +669,19 @@ def graph_moves(spark, d):
     return tracking.neighbours(*tracking.export_graph(c, e, w)).select(*whole("id", "right", "left", "above", "below"))
 
 
+# A point beside every third node, and one far from all for every fifth.
+CLICKS = "clicks AS (SELECT id AS click, frame + CASE WHEN id % 5 = 0 THEN -300.5 ELSE 0.3 END AS at_frame, row + (id % 7 - 3) * 0.125 AS at_row FROM nodes WHERE id % 3 = 0)"
+
+
+@query("clicked_nodes", f"{NET}, {NODES}, {CLICKS}, near AS (SELECT c.click, n.id, n.frame, n.label FROM clicks c JOIN nodes n ON pow(n.frame - c.at_frame, 2) + pow(n.row - c.at_row, 2) <= 0.25 QUALIFY row_number() OVER (PARTITION BY c.click ORDER BY pow(n.frame - c.at_frame, 2) + pow(n.row - c.at_row, 2), n.id) = 1) SELECT c.click, n.id, CAST(n.frame AS BIGINT) AS frame, CAST(n.label AS BIGINT) AS label FROM clicks c LEFT JOIN near n USING (click)")
+def clicked_nodes(spark, d):
+    _, c, e, w = _walk(spark, d)
+    nodes = tracking.export_graph(c, e, w)[0]
+    i = F.col("id")
+    clicks = nodes.filter(i % 3 == 0).select(i.alias("click"), (F.col("frame") + F.when(i % 5 == 0, -300.5).otherwise(0.3)).alias("at_frame"), (F.col("row") + (i % 7 - 3) * 0.125).alias("at_row"))
+    return tracking.clicked(nodes, clicks).select(*whole("click", "id", "frame", "label"))
+
+
 @query("filter_area", f"WITH {PIXELS_SQL}, {CELLS_SQL} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label FROM cells WHERE area < 100")
 def filter_area(spark, d):
     return _cells(spark, d)[1].filter("area < 100").select(*whole("frame", "label"))
@@ -727,6 +740,15 @@ def relinked(spark, d):
 FEATURES = "feat AS (SELECT frame, label, count(*) AS area, avg(dc) AS dc_mean, avg(ac) AS ac_mean FROM pixels WHERE label <> 0 AND NOT (frame = 1 AND label = 4) GROUP BY 1, 2)"
 
 
+@query("relinked_frames", f"WITH RECURSIVE {PIXELS_SQL.replace('pixels AS', 'raw AS')}, pixels AS (SELECT * REPLACE (CASE WHEN frame IN (2, 5) AND label % 3 = 1 THEN 0 ELSE label END AS label) FROM raw), {CELLS_SQL}, {OVERLAPS}, {FWD}, {BACK}, {SCORED}, {KEPT}, {BEST} SELECT {CAST3}, round(score, 6) AS score FROM edges")
+def relinked_frames(spark, d):
+    """Two frames lose cells; their edges alone are made anew."""
+    p, c, e = _edges(spark, d)
+    gone = F.col("frame").isin(2, 5) & (F.col("label") % 3 == 1)
+    edited = p.withColumn("label", F.when(gone, F.lit(0).cast("long")).otherwise(F.col("label")))
+    return tracking.relinked(edited, c, e, [2, 5], labels.tracked_shapes)[1].select(*whole("frame", "label", "next_label"), r("score").alias("score"))
+
+
 def _series(spark, d):
     p, c, e, w = _walk(spark, d)
     f = p.filter("label <> 0 AND NOT (frame = 1 AND label = 4)").groupBy("frame", "label").agg(F.count("*").alias("area"), F.avg("dc").alias("dc_mean"), F.avg("ac").alias("ac_mean"))
@@ -861,14 +883,21 @@ def segment_default(spark, d):
     return geometry.segment(tables.images(spark, d)).groupBy("frame", "label").agg(F.count("*").alias("n"))
 
 
-@query(
-    "stabilise_shift",
-    f"WITH w AS (SELECT f, CAST({tables.DRIFT['sx']} AS DOUBLE) AS sx, CAST({tables.DRIFT['sy']} AS DOUBLE) AS sy FROM (SELECT DISTINCT s_suppkey // 10 AS f FROM supplier)) SELECT CAST(b.f AS BIGINT) AS frame, round(b.sx - a.sx, 1) + 0.0 AS dx, round(b.sy - a.sy, 1) + 0.0 AS dy FROM w a JOIN w b ON b.f = a.f + 1",
-)
+def _drift_sql(times: float) -> str:
+    return f"WITH w AS (SELECT f, {times} * {tables.DRIFT['sx']} AS sx, {times} * {tables.DRIFT['sy']} AS sy FROM (SELECT DISTINCT s_suppkey // 10 AS f FROM supplier)) SELECT CAST(b.f AS BIGINT) AS frame, round(CAST(b.sx - a.sx AS DOUBLE), 1) + 0.0 AS dx, round(CAST(b.sy - a.sy AS DOUBLE), 1) + 0.0 AS dy FROM w a JOIN w b ON b.f = a.f + 1"
+
+
+@query("stabilise_shift", _drift_sql(1.0))
 def stabilise_shift(spark, d):
     return stabilise.shifts(tables.drifting(spark, d)).select("frame", r("dx", 1).alias("dx"), r("dy", 1).alias("dy"))
 
 
+@query("stabilise_large_shift", _drift_sql(8.0))
+def stabilise_large_shift(spark, d):
+    """Steps of up to 16 of 48 pixels."""
+    return stabilise.shifts(tables.drifting(spark, d, times=8.0)).select("frame", r("dx", 1).alias("dx"), r("dy", 1).alias("dy"))
+
+
 WARPS = {"dx": "(frame * 5 % 7 - 3) * 0.613", "dy": "(frame * 3 % 5 - 2) * 0.829"}
 SHIFTS_SQL = f"{PIXELS_SQL}, warps AS (SELECT frame, CAST({WARPS['dx']} AS DOUBLE) AS dx, CAST({WARPS['dy']} AS DOUBLE) AS dy FROM (SELECT DISTINCT frame FROM pixels WHERE frame > 0)), bk AS (SELECT CAST(frame AS BIGINT) AS frame, -sum(dx) OVER (ORDER BY frame) AS dx, -sum(dy) OVER (ORDER BY frame) AS dy FROM warps)"
 

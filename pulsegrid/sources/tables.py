@@ -85,9 +85,9 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 DRIFT = {"sx": "(f * 3 % 5 - 2) * 0.5", "sy": "(f * 2 % 7 - 3) * 0.5"}
 
 
-def drifting(spark: SparkSession, sf_dir: str, side: int = 48) -> DataFrame:
-    """frame, y, x, dc: three soft spots that move as a whole."""
-    frames = table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 10").alias("f")).distinct().select(F.col("f").cast("long").alias("frame"), *[F.expr(e).cast("double").alias(n) for n, e in DRIFT.items()])
+def drifting(spark: SparkSession, sf_dir: str, side: int = 48, times: float = 1.0) -> DataFrame:
+    """frame, y, x, dc: three soft spots that move as a whole; `times` multiplies their ways."""
+    frames = table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 10").alias("f")).distinct().select(F.col("f").cast("long").alias("frame"), *[(F.expr(e).cast("double") * times).alias(n) for n, e in DRIFT.items()])
     every = F.sequence(F.lit(0), F.lit(side - 1)).cast("array<long>")
     x = frames.withColumn("y", F.explode(every)).withColumn("x", F.explode(every))
     spot = lambda cy, cx: 100.0 * F.exp(-(F.pow(F.col("y") - cy - F.col("sy"), 2.0) + F.pow(F.col("x") - cx - F.col("sx"), 2.0)) / 50.0)

@@ -214,3 +214,64 @@ def test_whole_measurement(spark):
     full = measure.features(drawn(spark), with_outlines=True).filter("frame = 0 AND label = 1").first()
     assert len(full.total) == 33 and full.total[0] == full.total[-1] and len(full.interior) == 1
     assert series.attributes(measure.features(drawn(spark), with_outlines=True)) == measure.FEATURES
+
+
+def textured(seed: int, side: int = 160):
+    """An image of many soft spots."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    yy, xx = np.mgrid[:side, :side]
+    return sum(float(a) * np.exp(-((yy - y) ** 2 + (xx - x) ** 2) / float(w)) for y, x, a, w in zip(*rng.uniform(0, side, (2, 120)), rng.uniform(20, 90, 120), rng.uniform(4, 30, 120), strict=True)) + rng.normal(0, 1.0, (side, side))
+
+
+@pytest.mark.parametrize("dx, dy", [(32, -29), (-33, 31), (0, 32), (5, -2), (0, 0), (-40, -40)])
+def test_shifts_of_a_third_of_the_image(dx, dy):
+    whole = textured(7, 180)
+    fixed, moving = whole[42:138, 42:138], whole[42 - dy : 138 - dy, 42 - dx : 138 - dx]
+    start = stabilise.coarse_shift(fixed, moving)
+    assert start == (dx, dy)
+    assert stabilise.ecc_shift(fixed, moving, start=start) == pytest.approx((dx, dy), abs=0.05)
+    if abs(dx) + abs(dy) > 20:  # from nothing, Gauss-Newton alone ends elsewhere
+        assert max(abs(a - b) for a, b in zip(stabilise.ecc_shift(fixed, moving), (dx, dy), strict=True)) > 3
+
+
+def test_images_without_contrast_stay():
+    import numpy as np
+
+    flat = np.full((20, 30), 4.0)
+    assert stabilise.coarse_shift(flat, flat) == (0, 0) and stabilise.ecc_shift(flat, flat, start=(0, 0)) == (0.0, 0.0)
+
+
+def test_relinking_of_touched_frames(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for f in range(8):
+        for k in range(6):
+            y, x = 12 * (k // 3) + rng.integers(0, 3), 12 * (k % 3) + rng.integers(0, 3)
+            rows += [(f, int(y + a), int(x + b), k + 1, 1.0, 1.0) for a in range(rng.integers(5, 9)) for b in range(rng.integers(5, 9))]
+    p = spark.createDataFrame(rows, "frame long, y long, x long, label long, dc double, ac double").dropDuplicates(["frame", "y", "x"])
+    cells = labels.tracked_shapes(p)
+    edges = tracking.network(p, cells)
+    edited = p.withColumn("label", F.when(F.col("frame").isin(0, 4) & (F.col("label") == 2), 0).when((F.col("frame") == 4) & (F.col("x") > 20), 1).otherwise(F.col("label")).cast("long"))
+    edited.write.partitionBy("frame").parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p")).select(p.columns)
+    now, links = tracking.relinked(stored, cells, edges, [0, 4], labels.tracked_shapes)
+    flat = lambda x: sorted((tuple(round(float(v), 6) for v in r) for r in x.collect()))
+    want = labels.tracked_shapes(edited)
+    assert flat(now.select(sorted(now.columns))) == flat(want.select(sorted(want.columns)))
+    assert flat(links) == flat(tracking.network(edited, want)) != flat(edges)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    import re
+
+    pruned = [x for x in re.findall(r"PartitionFilters: \[([^\]]*)\]", plan)]
+    assert pruned and all(re.search(r"frame.* IN \(", x) for x in pruned)
+
+
+def test_clicks(spark):
+    nodes = spark.createDataFrame([(0, 0, 1, 1), (1, 0, 2, 2), (2, 1, 1, 1), (3, 5, 9, 40)], "id long, frame long, label long, row long")
+    clicks = spark.createDataFrame([("a", 0.2, 1.1), ("b", 0.0, 1.5), ("c", 3.0, 3.0), ("d", 5.4, 40.0), ("e", -0.4, 0.9), ("f", None, 1.0)], "click string, at_frame double, at_row double")
+    assert {r.click: (r.id, r.label) for r in tracking.clicked(nodes, clicks).collect()} == {"a": (0, 1), "b": (0, 1), "c": (None, None), "d": (3, 9), "e": (0, 1), "f": (None, None)}
+    assert [r.id for r in tracking.node_at(nodes, spark.createDataFrame([(0, 2), (7, 7)], "frame long, label long")).collect()] == [1]
