@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import lanes as L
 from pulsegrid.functions import names
 from pulsegrid.operators import geometry, labels, measure, series, signal, stabilise, tracking
-from pulsegrid.sources import folders, images, sessions, tables
+from pulsegrid.sources import folders, images, journal, sessions, spools, tables
 from pulsegrid.sources.saved import shared_dir
 from pulsegrid.sources.tables import BOXES_SQL, LANES_SQL, PIXELS_SQL, SAMPLES_SQL, SHAPES_SQL, lanes, pixels, samples, table
 
@@ -386,6 +386,23 @@ def fraction_limits(spark, d):
     return x.select("seq", "l.first", "l.last")
 
 
+# Days of spools, most with one file of each kind, some days with spools of two sizes or without one.
+SPOOLS_SQL = """days AS (SELECT o_custkey % 50 AS day, 's' || o_orderkey AS spool, o_orderkey AS k FROM orders),
+have AS (SELECT day, spool, CASE WHEN k % 97 = 0 THEN 2 ELSE 1 END AS n_ini, CASE WHEN k % 89 = 0 THEN 0 ELSE 1 END AS n_sifx, CASE WHEN k % 101 = 0 THEN NULL WHEN day % 3 = 0 THEN 512 + k % 2 ELSE 512 END AS h, 640 AS w FROM days),
+sized AS (SELECT *, n_ini = 1 AND n_sifx = 1 AS whole FROM have), ends AS (SELECT *, min(h) FILTER (WHERE whole) OVER (PARTITION BY day) AS a, max(h) FILTER (WHERE whole) OVER (PARTITION BY day) AS b FROM sized)"""
+
+
+@query("spool_folders", f"WITH {SPOOLS_SQL} SELECT CAST(day AS BIGINT) AS day, spool, CAST(n_ini AS BIGINT) AS n_ini, CAST(n_sifx AS BIGINT) AS n_sifx, CAST(h AS BIGINT) AS h, CASE WHEN NOT whole THEN 'files' WHEN h IS NULL THEN 'no size' WHEN a <> b THEN 'sizes' END AS reason FROM ends")
+def spool_folders(spark, d):
+    k = F.col("o_orderkey")
+    spool = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("day"), F.concat(F.lit("s"), k.cast("string")).alias("spool"), k.alias("k"))
+    k = F.col("k")
+    named_ = F.array_compact(F.array(F.lit("a.ini"), F.when(k % 97 == 0, "b.ini"), F.when(k % 89 != 0, "a.sifx"), F.lit("1.dat"), F.lit("2.dat")))
+    size = F.when(k % 101 == 0, None).when(F.col("day") % 3 == 0, 512 + k % 2).otherwise(512)
+    x = spools.checked(spool.select("day", "spool", F.explode(named_).alias("file")), spool.select("day", "spool", size.alias("h"), F.lit(640).alias("w")), ("day",))
+    return x.select(*whole("day"), "spool", *whole("n_ini", "n_sifx", "h"), "reason")
+
+
 @query("shape_check", "SELECT o_custkey AS folder, count(DISTINCT o_orderpriority || o_orderstatus) AS n_shapes, count(DISTINCT o_orderpriority || o_orderstatus) = 1 AS uniform FROM orders GROUP BY 1")
 def shape_check(spark, d):
     x = table(spark, d, "orders").select(F.col("o_custkey").alias("folder"), F.col("o_orderpriority").alias("h"), F.col("o_orderstatus").alias("w"))
@@ -459,6 +476,25 @@ def paint(spark, d):
     return labels.paint(pixels(spark, d), labels.square(spark, 3, 11, 20, 3, 10)).select(*whole(*YXL))
 
 
+# Orders stand for edits: three of four paint a pixel, the others delete a label of a frame.
+EDITS_SQL = """ed AS (SELECT o_orderkey AS seq, o_custkey % 7 AS frame, o_orderkey % 4 = 0 AS deletes, o_orderkey // 4 % 20 AS y, o_custkey % 20 AS x, o_orderkey % 12 AS v FROM orders),
+painted AS (SELECT frame, y, x, arg_max(v, seq) AS v, max(seq) AS seq FROM ed WHERE NOT deletes GROUP BY ALL), gone AS (SELECT frame, v AS label, max(seq) AS seq FROM ed WHERE deletes GROUP BY ALL)"""
+
+
+@query(
+    "journal_masks",
+    f"WITH {PIXELS_SQL}, {EDITS_SQL}, n AS (SELECT p.frame, p.y, p.x, coalesce(e.v, p.label) AS label, coalesce(e.seq, -1) AS seq FROM pixels p LEFT JOIN painted e USING (frame, y, x)) "
+    "SELECT CAST(n.frame AS BIGINT) AS frame, CAST(n.y AS BIGINT) AS y, CAST(n.x AS BIGINT) AS x, CAST(CASE WHEN g.seq > n.seq THEN 0 ELSE n.label END AS BIGINT) AS label FROM n LEFT JOIN gone g ON g.frame = n.frame AND g.label = n.label",
+)
+def journal_masks(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    deletes, value = k % 4 == 0, (k % 12).cast("long")
+    edits = table(spark, d, "orders").select(
+        k.alias("seq"), F.when(deletes, "change").otherwise("paint").alias("kind"), (c % 7).alias("frame"), F.when(deletes, value).alias("label"), F.expr("o_orderkey div 4 % 20").alias("y"), (c % 20).alias("x"), F.when(deletes, 0).otherwise(value).alias("value")
+    )
+    return journal.replay_pixels(pixels(spark, d), edits).select(*whole(*YXL))
+
+
 @query("label_count", f"WITH {PIXELS_SQL} SELECT CAST(frame AS BIGINT) AS frame, count(DISTINCT label) AS n_labels FROM pixels GROUP BY 1")
 def label_count(spark, d):
     return labels.count_labels(pixels(spark, d)).select(*whole("frame"), "n_labels")
