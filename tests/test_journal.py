@@ -140,7 +140,7 @@ def spool(folder, name, h=4, w=3, n=6, files=("a.ini", "a.sifx"), cycle=0.1):
     d.mkdir(parents=True)
     for f in files:
         (d / f).write_bytes(f"[data]\r\nAOIHeight = {h}\r\nAOIWidth={w}\r\nCycleTime = {cycle}\r\nnote=a=b\r\nbare\r\n".encode() if f.endswith(".ini") else b"x")
-    frames = rng.integers(0, 1000, (n, h, w)).astype("<u2")
+    frames = rng.integers(0, 1000, (n, 4 if h == "?" else h, w)).astype("<u2")
     for k in range(0, n, 2):
         (d / f"{k:05d}.dat").write_bytes(frames[k : k + 2].tobytes())
     return frames
