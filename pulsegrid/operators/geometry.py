@@ -66,16 +66,19 @@ def shoelace(points: np.ndarray) -> float:
 
 
 def filled(points: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    """Pixels inside a polygon of pixel centres or on its border."""
-    yy, xx = np.mgrid[: shape[0], : shape[1]].astype(float)
-    inside = np.zeros(shape, bool)
-    edge = np.zeros(shape, bool)
-    for (x0, y0), (x1, y1) in zip(points.astype(float), np.roll(points, -1, axis=0).astype(float), strict=True):
-        cross = (x1 - x0) * (yy - y0) - (y1 - y0) * (xx - x0)
-        edge |= (np.abs(cross) < 1e-9) & (xx >= min(x0, x1)) & (xx <= max(x0, x1)) & (yy >= min(y0, y1)) & (yy <= max(y0, y1))
+    """Pixels inside a polygon of pixel centres or on its border, line by line: each edge is met where it crosses a row, and spans between crossings are filled."""
+    starts = np.zeros((shape[0], shape[1] + 1), np.int64)  # how many crossings lie left of a pixel, as differences
+    border = np.zeros(shape, bool)
+    for (x0, y0), (x1, y1) in zip(points.tolist(), np.roll(points, -1, axis=0).tolist(), strict=True):
+        n = int(np.gcd(abs(x1 - x0), abs(y1 - y0))) or 1  # pixel centres that lie on the edge
+        k = np.arange(n + 1)
+        border[y0 + k * ((y1 - y0) // n), x0 + k * ((x1 - x0) // n)] = True
         if y0 != y1:
-            inside ^= ((y0 > yy) != (y1 > yy)) & (xx < (x1 - x0) * (yy - y0) / (y1 - y0) + x0)
-    return inside | edge
+            low, high, sign = (y0, y1, 1) if y0 < y1 else (y1, y0, -1)
+            rows = np.arange(low, high)
+            across = x0 + (x1 - x0) * (rows - y0) / (y1 - y0)
+            np.add.at(starts, (rows, np.clip(np.floor(across).astype(int) + 1, 0, shape[1])), sign)
+    return (np.cumsum(starts, axis=1)[:, :-1] % 2 == 1) | border
 
 
 def hull(points: np.ndarray) -> np.ndarray:
@@ -127,7 +130,9 @@ def fit_ellipse(points: np.ndarray) -> tuple[float, float, float] | None:
         return None
     half = np.sqrt(abs(level) / values) * scale
     long = int(half.argmax())
-    return float(np.degrees(np.arctan2(axes[1, long], axes[0, long])) % 180), float(2 * half.max()), float(2 * half.min())
+    # Rounded, lest an axis along x is at 0 or at 180 by its last bit; a circle has none.
+    angle = 0.0 if half.max() - half.min() <= 1e-9 * half.max() else float(np.round(np.degrees(np.arctan2(axes[1, long], axes[0, long])), 9) % 180)
+    return angle, float(2 * half.max()), float(2 * half.min())
 
 
 def by_cell(pixels: DataFrame, columns: list[str], schema: str, f: Callable[[pd.DataFrame], tuple | list[tuple]]) -> DataFrame:
@@ -159,17 +164,18 @@ def contours(pixels: DataFrame) -> DataFrame:
     return by_cell(pixels, [], "n_points int, area double, xs array<int>, ys array<int>", f)
 
 
-def ellipses(pixels: DataFrame, tracking: bool = True) -> DataFrame:
-    """frame, label, angle, major, minor, ar of the ellipse fitted to the first contour.
+def ellipse_of(contour: np.ndarray, pixels: int, tracking: bool) -> tuple[float, float, float]:
+    """fit_ellipse() of a contour; with four points or fewer (or points on a line): angle 0, axes 1, 1 for tracking and 0, 0 (1, 1 for a single pixel) for measurement."""
+    e = fit_ellipse(contour) if len(contour) > 4 else None
+    side = 1.0 if tracking or pixels == 1 else 0.0
+    return e or (0.0, side, side)
+
 
-    With four contour points or fewer (or points on a line): angle 0, axes 1, 1 for tracking and 0, 0 (1, 1 for a single pixel) for measurement."""
+def ellipses(pixels: DataFrame, tracking: bool = True) -> DataFrame:
+    """frame, label, angle, major, minor, ar of the ellipse fitted to the first contour, as ellipse_of() says."""
 
     def f(x: pd.DataFrame) -> tuple:
-        c, *_ = _first_contour(x)
-        e = fit_ellipse(c) if len(c) > 4 else None
-        if e is None:
-            side = 1.0 if tracking or len(x) == 1 else 0.0
-            e = (0.0, side, side)
+        e = ellipse_of(_first_contour(x)[0], len(x), tracking)
         return (*e, e[1] / e[2] if e[2] else 0.0)
 
     return by_cell(pixels, [], "angle double, major double, minor double, ar double", f)

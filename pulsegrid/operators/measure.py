@@ -17,8 +17,9 @@ FEATURES = (
 ).split()
 
 
-def outlines(pixels: DataFrame) -> DataFrame:
-    """frame, label, total, interior: the closed contour of the cell and those of its interior parts."""
+def shapes(pixels: DataFrame) -> DataFrame:
+    """frame, label, angle, major, minor of the measuring ellipse; interior_area, interior_mean (null without an interior), contour_mean; total, interior: the closed contour of the cell and those
+    of its interior parts. One grouping of the pixels gives all."""
 
     def points(c: np.ndarray, y0: int, x0: int) -> list[dict]:
         return [{"x": int(x) + x0, "y": int(y) + y0} for x, y in np.concatenate([c, c[:1]])]
@@ -28,32 +29,45 @@ def outlines(pixels: DataFrame) -> DataFrame:
         mask, y0, x0 = geometry.grid(ys, xs)
         values = np.zeros(mask.shape)
         values[ys - y0, xs - x0] = x["ac"]
-        _, inner = geometry.interior_of(mask, values)
-        return points(geometry.trace(mask), y0, x0), [points(c, y0, x0) for c in inner]
+        contour = geometry.trace(mask)
+        found, inner = geometry.interior_of(mask, values)
+        inside, rest = values[found & mask], values[mask & ~found]
+        return (
+            *geometry.ellipse_of(contour, len(x), False),
+            len(inside),
+            float(inside.mean()) if len(inside) else None,
+            float(rest.mean()) if len(rest) else 0.0,
+            points(contour, y0, x0),
+            [points(c, y0, x0) for c in inner],
+        )
 
-    return geometry.by_cell(pixels, ["ac"], f"total {POINTS}, interior array<{POINTS}>", f)
+    return geometry.by_cell(pixels, ["ac"], f"angle double, major double, minor double, interior_area long, interior_mean double, contour_mean double, total {POINTS}, interior array<{POINTS}>", f)
 
 
 def features(pixels: DataFrame, with_outlines: bool = False) -> DataFrame:
-    """frame, label, com_y, com_x and FEATURES of every cell. The joined tables have a row per cell each."""
+    """frame, label, com_y, com_x and FEATURES of every cell. Pixels are grouped twice by cell (what Spark aggregates, what needs the shape); the joined tables have a row per cell each."""
     keys = ["frame", "label"]
-    out = labels.shape_stats(pixels).select(*[F.col(k).cast("long").alias(k) for k in keys], "com_y", "com_x", "area")
-    parts = [
-        geometry.ellipses(pixels, tracking=False).drop("ar"),
-        labels.intensity_stats(pixels, "dc"),
-        labels.intensity_stats(pixels, "ac"),
-        labels.interior_features(pixels, geometry.interiors(pixels)),
-    ]
-    for part in [*parts, *([outlines(pixels)] if with_outlines else [])]:
-        out = out.join(part, keys, "left")
+    sums = [F.avg("y").alias("com_y"), F.avg("x").alias("com_x"), F.count("*").alias("area")]
+    sums += [f(v).alias(f"{v}_{n}") for v in ("dc", "ac") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+    out = pixels.filter("label <> 0").groupBy(*[F.col(k).cast("long").alias(k) for k in keys]).agg(*sums)
+    out = out.join(shapes(pixels), keys, "left").join(labels.background(pixels).select(F.col("frame").cast("long").alias("frame"), "background"), "frame")
+    mean = F.col("interior_mean")
+    out = out.withColumns(
+        {
+            "back_contrast": labels.ratio("interior_mean", "background"),
+            "contour_contrast": labels.ratio("interior_mean", "contour_mean"),
+            "ac_dc_ratio": F.when(mean.isNotNull() & (F.col("dc_mean") != 0), mean / F.col("dc_mean")).otherwise(0.0),
+            "solidity": F.col("interior_area") / F.col("area"),
+        }
+    ).withColumn("interior_mean", F.coalesce(mean, F.lit(0.0)))
     return out.select(*keys, "com_y", "com_x", *FEATURES, *(["total", "interior"] if with_outlines else []))
 
 
 def measure(pixels: DataFrame, measurements: DataFrame) -> DataFrame:
     """The series of all tracks: masks are linked with ellipse angles and aspect ratios in the scores, and joined with features and
     measurements(frame, abstime). Sorted by track and frame."""
-    shapes = labels.shape_stats(pixels).select(F.col("frame").cast("long").alias("frame"), F.col("label").cast("long").alias("label"), "com_y", "com_x", "area")
-    cells = shapes.join(geometry.ellipses(pixels).select("frame", "label", "angle", "ar"), ["frame", "label"])
+    places = labels.shape_stats(pixels).select(F.col("frame").cast("long").alias("frame"), F.col("label").cast("long").alias("label"), "com_y", "com_x", "area")
+    cells = places.join(geometry.ellipses(pixels).select("frame", "label", "angle", "ar"), ["frame", "label"])
     walk = tracking.lineages(cells, tracking.network(pixels, cells)).drop("path")
     times = series.relative_times(measurements).select(F.col("frame").cast("long").alias("frame"), "time")
     return series.with_features(walk, features(pixels)).join(times, "frame", "left").orderBy("track", "frame")

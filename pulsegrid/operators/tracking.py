@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 from pulsegrid.sources.saved import drop, written
 
 
+def empty_frames(pixels: DataFrame) -> DataFrame:
+    """frame: those without a labelled pixel, which can't be tracked through."""
+    return pixels.groupBy("frame").agg(F.max(F.when(F.col("label") != 0, 1)).alias("some")).filter("some IS NULL").select("frame")
+
+
 def overlaps(pixels: DataFrame) -> DataFrame:
     """frame, label, next_label, common: pixels that two labels of successive frames share.
 

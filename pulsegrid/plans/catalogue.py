@@ -95,6 +95,13 @@ def time_axis_interpolated(spark, d):
     return x.select("vec_id", F.size("times").alias("n"), r(F.array_max("times")).alias("last_time"))
 
 
+@query("reanalysed", f"WITH {LANES_SQL}, m AS (SELECT *, avg(v) OVER (PARTITION BY vec_id) AS dc FROM lane) SELECT vec_id, round(max(dc), 6) + 0.0 AS dc, round({GOERTZEL.replace(f'{PI} * {F0} / {FPS}', f'{PI} * 2.5 / 20.0')}, 6) + 0.0 AS ac FROM m GROUP BY vec_id")
+def reanalysed(spark, d):
+    """The same stack with another frequency and rate."""
+    how = signal.Analysis().changed(frequency=2.5, fps=20.0)
+    return signal.process(lanes(spark, d), how).select("vec_id", r("dc").alias("dc"), r("ac").alias("ac"))
+
+
 @query("lane_slice", f"WITH {LANES_SQL} SELECT vec_id, t - 5 AS t, round(v, 6) + 0.0 AS v FROM lane WHERE t BETWEEN 5 AND 40")
 def lane_slice(spark, d):
     x = lanes(spark, d).select("vec_id", L.cut(F.col("signal"), 5, 40).alias("signal"))
@@ -495,6 +502,13 @@ def journal_masks(spark, d):
     return journal.replay_pixels(pixels(spark, d), edits).select(*whole(*YXL))
 
 
+@query("empty_frames", f"WITH {PIXELS_SQL} SELECT CAST(frame AS BIGINT) AS frame FROM pixels GROUP BY frame HAVING count(*) FILTER (WHERE label <> 0 AND frame % 3 <> 1) = 0")
+def empty_frames(spark, d):
+    """Every third frame has lost its labels."""
+    p = pixels(spark, d)
+    return tracking.empty_frames(p.withColumn("label", F.when(F.col("frame") % 3 == 1, 0).otherwise(F.col("label")))).select(*whole("frame"))
+
+
 @query("label_count", f"WITH {PIXELS_SQL} SELECT CAST(frame AS BIGINT) AS frame, count(DISTINCT label) AS n_labels FROM pixels GROUP BY 1")
 def label_count(spark, d):
     return labels.count_labels(pixels(spark, d)).select(*whole("frame"), "n_labels")
@@ -899,16 +913,49 @@ def interior_regions(spark, d):
     return _interior(labels.interior_features(p, geometry.interiors(p)))
 
 
-@query("cell_features")
+#: A cell's rim at 0, its inside at 5, a pixel at 10 beside two at 255, counted from the least: the threshold of 10 finds nothing large enough, and lower ones come down to the inside.
+@query("interior_fallback", f"WITH {BOXES_SQL} SELECT CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, CAST((h - 2) * (w - 2) AS BIGINT) AS n FROM boxes WHERE h > 1")
+def interior_fallback(spark, d):
+    b = tables.boxes(spark, d)
+    x = b.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    i, j = F.col("i"), F.col("j")
+    rim = i.isin(0) | j.isin(0) | (i == F.col("w") - 1) | (j == F.col("h") - 1)
+    level = F.when(rim, 1.0).when((j == 2) & i.isin(2, 3), 256.0).when((j == 2) & (i == 4), 11.0).otherwise(6.0)
+    p = x.select("frame", (F.col("y0") + j).alias("y"), (F.col("x0") + i).alias("x"), "label", level.alias("ac"))
+    return geometry.interiors(p).groupBy("frame", "label").agg(F.count("*").alias("n"))
+
+
+ROUNDED = {"com_y": 6, "com_x": 6, "angle": 6, "major": 5, "minor": 5, "dc_mean": 6, "dc_min": 6, "dc_max": 6, "ac_mean": 6, "ac_min": 6, "ac_max": 6, "interior_mean": 6, "contour_mean": 6, "back_contrast": 6, "contour_contrast": 6, "ac_dc_ratio": 12, "solidity": 6}
+NUDGED = ("interior_mean", "contour_mean", "back_contrast", "contour_contrast", "solidity")
+#: The ellipse of measurement: axes of 0 for lines.
+MEASURED = f"""{ELLIPSE_SQL}, stats AS (SELECT frame, label, avg(y) AS com_y, avg(x) AS com_x, count(*) AS area, avg(dc) AS dc_mean, min(dc) AS dc_min, max(dc) AS dc_max, avg(ac) AS ac_mean, min(ac) AS ac_min, max(ac) AS ac_max FROM pixels WHERE label <> 0 GROUP BY 1, 2),
+core AS ({_interior_sql(SHAPES_SQL, WIDE)}),
+features AS (SELECT b.frame, b.label, area, round(com_y, 6) AS com_y, round(com_x, 6) AS com_x, angle, round(CASE WHEN h = 1 THEN 0 ELSE major END, 5) AS major, round(CASE WHEN h = 1 THEN 0 ELSE minor END, 5) AS minor,
+{", ".join(f"round({c}, 6) AS {c}" for c in ("dc_mean", "dc_min", "dc_max", "ac_mean", "ac_min", "ac_max"))}, interior_area, interior_mean, contour_mean, back_contrast, contour_contrast, ac_dc_ratio, solidity,
+CAST({POINTS} + 1 AS BIGINT) AS n_total, CAST(CASE WHEN h > 1 THEN 1 ELSE 0 END AS BIGINT) AS n_interior FROM boxes b JOIN stats USING (frame, label) JOIN fitted USING (frame, label) JOIN core USING (frame, label))"""
+COLUMNS = f"CAST(frame AS BIGINT) AS frame, CAST(label AS BIGINT) AS label, area, interior_area, {', '.join(ROUNDED)}"
+
+
+def _features(x: DataFrame) -> DataFrame:
+    return x.select(*[c for c in x.columns if c not in ROUNDED], *[r(F.col(c) + nudge(6) if c in NUDGED else F.col(c), n).alias(c) for c, n in ROUNDED.items()])
+
+
+@query("cell_features", f"WITH {SHAPES_SQL}, {MEASURED} SELECT {COLUMNS}, n_total, n_interior FROM features")
 def cell_features(spark, d):
-    return measure.features(tables.shapes(spark, d), with_outlines=True)
+    x = _features(measure.features(tables.shapes(spark, d), with_outlines=True))
+    return x.withColumn("n_total", F.size("total").cast("long")).withColumn("n_interior", F.size("interior").cast("long")).drop("total", "interior")
 
 
-@query("measured_series")
+@query(
+    "measured_series",
+    f"WITH RECURSIVE {SHAPES_SQL}, {MEASURED}, cells AS (SELECT s.frame, s.label, s.com_y, s.com_x, s.area, f.angle, f.major / f.minor AS ar FROM stats s JOIN fitted f USING (frame, label)), {OVERLAPS}, {FWD}, {BACK}, {SCORED}, {KEPT}, {BEST}, {ROOTS}, {WALK} "
+    f"SELECT track, round(10.5 * (frame - (SELECT min(frame) FROM boxes)), 6) AS time, false AS missing, {COLUMNS} FROM walk JOIN features USING (frame, label)",
+)
 def measured_series(spark, d):
     p = tables.shapes(spark, d)
     times = p.select("frame").distinct().select("frame", (600.0 + 10.5 * F.col("frame")).alias("abstime"))
-    return measure.measure(p, times)
+    x = _features(measure.measure(p, times))
+    return x.withColumn("time", r("time"))
 
 
 @query(
