@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import geometry, labels, series, tracking
+from pulsegrid.sources.saved import written
 
 POINTS = "array<struct<x:int,y:int>>"
 
@@ -67,7 +68,7 @@ def measure(pixels: DataFrame, measurements: DataFrame) -> DataFrame:
     """The series of all tracks: masks are linked with ellipse angles and aspect ratios in the scores, and joined with features and
     measurements(frame, abstime). Sorted by track and frame."""
     places = labels.shape_stats(pixels).select(F.col("frame").cast("long").alias("frame"), F.col("label").cast("long").alias("label"), "com_y", "com_x", "area")
-    cells = places.join(geometry.ellipses(pixels).select("frame", "label", "angle", "ar"), ["frame", "label"])
+    cells = written(places.join(geometry.ellipses(pixels).select("frame", "label", "angle", "ar"), ["frame", "label"]), "cells")  # shapes are worked out once
     walk = tracking.lineages(cells, tracking.network(pixels, cells)).drop("path")
     times = series.relative_times(measurements).select(F.col("frame").cast("long").alias("frame"), "time")
     return series.with_features(walk, features(pixels)).join(times, "frame", "left").orderBy("track", "frame")

@@ -7,6 +7,7 @@ carry next_frame.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,6 +147,7 @@ def lineages(cells: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each cell points to its parent and holds its own piece of the name; joining the pointers with themselves doubles the
     reach, so the rounds are as many as the longest lineage has binary digits, whatever the recursion limits."""
+    cells, edges = written(cells.select("frame", "label"), "cells"), written(edges, "links")  # each is read several times
     tops = roots(cells, edges)
     none = F.lit(None).cast("long")
     first = tops.select(*[F.col(c).cast("long").alias(c) for c in ("frame", "label")], none.alias("up_frame"), none.alias("up_label"), "track", F.lpad(F.element_at(F.split("track", "_"), 2), 9, "0").alias("path"))
@@ -158,14 +160,17 @@ def lineages(cells: DataFrame, edges: DataFrame) -> DataFrame:
         F.when(alone, "").otherwise(F.concat(F.lit("_"), F.col("place").cast("string"))).alias("track"),
         F.when(alone, "").otherwise(F.concat(F.lit("."), F.lpad(F.col("place").cast("string"), 4, "0"))).alias("path"),
     )
-    now = written(first.unionByName(steps), "lineage")
-    while not now.filter("up_frame IS NOT NULL").isEmpty():
-        up = now.select(F.col("frame").alias("f"), F.col("label").alias("l"), F.col("up_frame").alias("uf"), F.col("up_label").alias("ul"), F.col("track").alias("t"), F.col("path").alias("p"))
-        x = now.filter("up_frame IS NOT NULL").join(up, (F.col("up_frame") == F.col("f")) & (F.col("up_label") == F.col("l")))
-        x = x.select("frame", "label", F.col("uf").alias("up_frame"), F.col("ul").alias("up_label"), F.concat("t", "track").alias("track"), F.concat("p", "path").alias("path"))
-        before, now = now, written(now.filter("up_frame IS NULL").unionByName(x), "lineage")
-        drop(before)
-    return now.select("track", "frame", "label", "path")
+    now, settled = written(first.unionByName(steps), "lineage"), []
+    drop(cells, edges)
+    while True:
+        moving, root = now.filter("up_frame IS NOT NULL"), F.col("up_frame").isNull()
+        settled.append(now.filter(root))
+        if moving.isEmpty():
+            return reduce(DataFrame.unionByName, settled).select("track", "frame", "label", "path")
+        up = reduce(DataFrame.unionByName, [*settled, moving]).select(F.col("frame").alias("f"), F.col("label").alias("l"), F.col("up_frame").alias("uf"), F.col("up_label").alias("ul"), F.col("track").alias("t"), F.col("path").alias("p"))
+        x = moving.join(up, (F.col("up_frame") == F.col("f")) & (F.col("up_label") == F.col("l")))
+        # Only what moved is written again.
+        now = written(x.select("frame", "label", F.col("uf").alias("up_frame"), F.col("ul").alias("up_label"), F.concat("t", "track").alias("track"), F.concat("p", "path").alias("path")), "lineage")
 
 
 def virtual_rows(walk: DataFrame) -> DataFrame:
