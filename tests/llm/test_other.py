@@ -75,6 +75,23 @@ def test_tree_is_exact_with_large_components():
         assert tree.search(-1, q, 5, -(1 << 62)) == want
 
 
+def test_cells_and_skipped_shards(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(c, 3, (300, 3)) for c in ((0, 0, 0), (90, 0, 0), (0, 90, 0), (-90, 0, 60))]).astype(np.int64)
+    cells = kdtree.Cells(x, 9)
+    of = cells.of(x)
+    assert cells.count == 9 and np.bincount(of, minlength=9).min() > 60
+    assert kdtree.Cells(np.zeros((20, 2)), 8).count == 1 and kdtree.Cells(x[:0], 4).of(x).tolist() == [0] * len(x)
+    known = {3: (np.arange(9), np.full(9, 2), np.array([x[of == c].min(axis=0) for c in range(9)]), np.array([x[of == c].max(axis=0) for c in range(9)]))}
+    asked = [(int(i), 3, x[i].tobytes(), int(i), int(np.sort(x @ x[i])[-5])) for i in range(0, 1200, 40)]
+    df = spark.createDataFrame(asked, "vec_id long, dim int, v binary, row long, floor long")
+    far = kdtree.routes(df, known, np.float64, False, 7).collect()
+    assert len(far) < 0.6 * 2 * 9 * len(asked)  # shards of cells out of reach see nothing
+    visited = {(r.row, r.cell) for r in far}
+    assert all((int(i), int(of[j])) in visited for i, *_, floor in asked for j in np.flatnonzero(x @ x[i] >= floor))
+    assert len(kdtree.routes(df, known, np.float64, True, 7).collect()) == 2 * len(asked)
+
+
 @pytest.fixture
 def folder(tmp_path, docs, labels):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
