@@ -275,3 +275,40 @@ def test_clicks(spark):
     clicks = spark.createDataFrame([("a", 0.2, 1.1), ("b", 0.0, 1.5), ("c", 3.0, 3.0), ("d", 5.4, 40.0), ("e", -0.4, 0.9), ("f", None, 1.0)], "click string, at_frame double, at_row double")
     assert {r.click: (r.id, r.label) for r in tracking.clicked(nodes, clicks).collect()} == {"a": (0, 1), "b": (0, 1), "c": (None, None), "d": (3, 9), "e": (0, 1), "f": (None, None)}
     assert [r.id for r in tracking.node_at(nodes, spark.createDataFrame([(0, 2), (7, 7)], "frame long, label long")).collect()] == [1]
+
+
+def test_filled_polygons_by_hand():
+    """Star-shaped polygons against a test of each pixel."""
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    for _ in range(30):
+        turn = np.sort(rng.uniform(0, 2 * np.pi, rng.integers(3, 12)))
+        far = rng.uniform(3, 14, len(turn))
+        points = np.stack([15 + np.round(far * np.cos(turn)), 15 + np.round(far * np.sin(turn))], axis=1).astype(int)
+        got, want = geometry.filled(points, (31, 31)), np.zeros((31, 31), bool)
+        for y in range(31):
+            for x in range(31):
+                inside = False
+                for (x0, y0), (x1, y1) in zip(points.tolist(), np.roll(points, -1, axis=0).tolist(), strict=True):
+                    cross = (x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)
+                    if cross == 0 and min(x0, x1) <= x <= max(x0, x1) and min(y0, y1) <= y <= max(y0, y1):
+                        want[y, x] = True
+                    if (y0 > y) != (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0:
+                        inside = not inside
+                want[y, x] |= inside
+        assert (got == want).all()
+
+
+def test_shapes_that_are_no_rectangles(spark):
+    """An L, a ring, and two parts of one label."""
+    rows = [(0, y, x, 1) for y in range(2, 12) for x in range(2, 12) if y >= 8 or x <= 4]
+    rows += [(0, y, x, 2) for y in range(2, 12) for x in range(20, 30) if y in (2, 11) or x in (20, 29)]
+    rows += [(0, y, x, 3) for y in range(20, 24) for x in range(2, 6)] + [(0, y, x, 3) for y in range(26, 29) for x in range(8, 11)]
+    p = spark.createDataFrame(rows, "frame long, y long, x long, label long")
+    found = {r.label: r for r in geometry.contours(p).collect()}
+    assert (found[1].n_points, found[1].area) == (35, 39.5) and (found[2].n_points, found[2].area) == (36, 81.0) and (found[3].n_points, found[3].area) == (12, 9.0)
+    convex = {r.label: r.convexity for r in geometry.convexity(p).collect()}
+    assert convex[1] == pytest.approx(58 / 73) and convex[2] == pytest.approx(36 / 100) and convex[3] == pytest.approx(25 / 16)
+    fits = {r.label: r for r in geometry.ellipses(p).collect()}
+    assert fits[1].angle == pytest.approx(45.0, abs=3) and fits[2].ar == pytest.approx(1.0) and fits[2].angle == 0.0
