@@ -8,40 +8,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlap(fixed: np.ndarray, moving: np.ndarray, dx: int, dy: int) -> tuple[np.ndarray, np.ndarray]:
-    """The parts of two images that lie on each other where moving(x + dx, y + dy) is on fixed(x, y)."""
-    h, w = fixed.shape
-    y, x = slice(max(0, -dy), min(h, h - dy)), slice(max(0, -dx), min(w, w - dx))
-    return fixed[y, x], moving[y.start + dy : y.stop + dy, x.start + dx : x.stop + dx]
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Correlation; -1 where one has no contrast."""
-    a, b = a - a.mean(), b - b.mean()
-    size = np.sqrt((a * a).sum() * (b * b).sum())
-    return float((a * b).sum() / size) if size > 0 else -1.0
+def coarse_shift(fixed: np.ndarray, moving: np.ndarray, least: float = 0.2) -> tuple[int, int]:
+    """Whole (dx, dy) as for ecc_shift, of any size: the shift at which what overlaps correlates most, of all that leave at least a share `least` of the image; none where no shift does better than none.
 
-
-def coarse_shift(fixed: np.ndarray, moving: np.ndarray, peaks: int = 5, least: float = 0.2) -> tuple[int, int]:
-    """Whole (dx, dy) as for ecc_shift, of any size: the highest peaks of the phase correlation, and no shift, are tried on the images; the one of most correlation is
-    taken, if at least a share `least` of the image overlaps. Images are padded, and fade at the rim, so that what leaves on one side isn't looked for on the other."""
-    fixed, moving = fixed.astype(float), moving.astype(float)
+    The correlations of all shifts, each over its own overlap, come from Fourier transforms of the padded images, of their squares and of where they are."""
     h, w = fixed.shape
-    fade = np.outer(np.hanning(h + 2)[1:-1], np.hanning(w + 2)[1:-1])
-    spectra = [np.fft.rfft2((x - x.mean()) * fade, (2 * h, 2 * w)) for x in (fixed, moving)]
-    cross = spectra[1] * np.conj(spectra[0])
-    size = np.abs(cross)
-    best, found = likeness(fixed, moving), (0, 0)
-    for weight in (np.where(size > 1e-12 * size.max(initial=0), size, np.inf), 1.0):  # phases alone, which are sharp; then plain correlation, which bears noise and soft images
-        surface = np.fft.irfft2(cross / weight, (2 * h, 2 * w))
-        for at in np.argsort(-surface, axis=None)[:peaks]:
-            dy, dx = (int(v) - (n if v > n // 2 else 0) for v, n in zip(np.unravel_index(at, surface.shape), surface.shape, strict=True))
-            if (h - abs(dy)) * (w - abs(dx)) < least * h * w or abs(dy) >= h or abs(dx) >= w:
-                continue
-            close = likeness(*overlap(fixed, moving, dx, dy))
-            if close > best:
-                best, found = close, (dx, dy)
-    return found
+    size = (2 * h, 2 * w)
+    a, b, here = fixed - np.mean(fixed, dtype=float), moving - np.mean(moving, dtype=float), np.ones((h, w))
+    fa, faa, fb, fbb, f1 = (np.fft.rfft2(x, size) for x in (a, a * a, b, b * b, here))
+    meet = lambda p, q: np.fft.irfft2(q * np.conj(p), size)
+    n = np.maximum(np.round(meet(f1, f1)), 1.0)
+    sa, sb = meet(fa, f1), meet(f1, fb)
+    va, vb = meet(faa, f1) - sa * sa / n, meet(f1, fbb) - sb * sb / n
+    some = 1e-6 * n / (h * w)  # of an image's whole contrast
+    fine = (n >= least * h * w) & (va > some * (a * a).sum()) & (vb > some * (b * b).sum())
+    likeness = np.where(fine, (meet(fa, fb) - sa * sb / n) / np.sqrt(np.where(fine, va * vb, 1.0)), -1.0)
+    dy, dx = np.unravel_index(int(likeness.argmax()), size)
+    if likeness[dy, dx] <= likeness[0, 0] + 1e-9:
+        return 0, 0
+    return tuple(int(v) - (m if v > m // 2 else 0) for v, m in ((dx, size[1]), (dy, size[0])))
 
 
 def ecc_shift(fixed: np.ndarray, moving: np.ndarray, steps: int = 100, eps: float = 1e-6, start: tuple[float, float] = (0.0, 0.0)) -> tuple[float, float]:
@@ -83,7 +68,7 @@ def ecc_shift(fixed: np.ndarray, moving: np.ndarray, steps: int = 100, eps: floa
 
 
 def shifts(images: DataFrame, value: str = "dc") -> DataFrame:
-    """frame, dx, dy of every frame but the first against the one before, of up to most of an image: a start by phase correlation, then Gauss-Newton. A group is a pair of frames."""
+    """frame, dx, dy of every frame but the first against the one before, of up to most of an image: a start by the correlations of all whole shifts, then Gauss-Newton. A group is a pair of frames."""
     later = images.select("frame", "y", "x", value, F.lit(1).alias("second"))
     earlier = images.select((F.col("frame") + 1).alias("frame"), "y", "x", value, F.lit(0).alias("second"))
 
