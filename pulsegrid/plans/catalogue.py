@@ -827,6 +827,14 @@ def feature_unpivot(spark, d):
     return series.unpivoted(x, ["area", "ac_mean"]).select("track", *whole("frame"), "feature", r("value").alias("value"))
 
 
+@query("attributes", f"{NET}, {FEATURES}, j AS (SELECT * FROM walk LEFT JOIN feat USING (frame, label)) SELECT 'area' AS feature, count(area) AS n FROM j UNION ALL SELECT 'dc_mean', count(dc_mean) FROM j UNION ALL SELECT 'ac_mean', count(ac_mean) FROM j")
+def attributes(spark, d):
+    """The columns that can be plotted, each with how many values there are."""
+    x = _series(spark, d).drop("missing")
+    named_ = series.attributes(x)
+    return series.unpivoted(x.select("track", "frame", *[F.col(c).cast("double").alias(c) for c in named_]), named_).groupBy("feature").agg(F.count("value").alias("n"))
+
+
 @query("lineage_select", f"{NET} SELECT DISTINCT track, split_part(track, '_', 2) AS root FROM walk WHERE contains(track, 'Cell_1') OR contains(track, 'Cell_3_')")
 def lineage_select(spark, d):
     x = _walk(spark, d)[3].filter(series.selects("track", ["Cell_1", "Cell_3_"]))
