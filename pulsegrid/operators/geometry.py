@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import labels, parts
+from pulsegrid.sources.saved import drop, written
 
 # The eight neighbours clockwise from east, as (dy, dx).
 AROUND = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
@@ -247,14 +248,22 @@ def interiors(pixels: DataFrame, value: str = "ac") -> DataFrame:
 def segment(images: DataFrame, model: Callable[[np.ndarray], np.ndarray] | None = None, tile: int = 512) -> DataFrame:
     """images(frame, y, x, dc) with label. With a model(image) -> labels, a frame is a task.
 
-    Without one: pixels over Otsu's threshold of the frame, in connected parts, numbered in row order. Thresholds come from histograms, and parts from tiles, so a frame of any size is many tasks."""
+    Without one: pixels over Otsu's threshold of the frame, in connected parts, numbered in row order. Thresholds come from histograms, and parts from tiles, so a frame of any size is many tasks, each of a bounded number of pixels."""
     if model is None:
-        rest = images.drop("label")
-        ends = rest.groupBy("frame").agg(F.min("dc").alias("_lo"), F.max("dc").alias("_hi"))
-        x = rest.join(ends, "frame").withColumn("_bin", F.floor(F.when(F.col("_hi") > F.col("_lo"), (F.col("dc") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 255)).cast("int"))
-        found = labels.otsu(x.filter("_bin IS NOT NULL").select("frame", F.lit(0).alias("label"), F.col("_bin").alias("bin"))).select("frame", "threshold")
-        on = x.join(found, "frame", "left").withColumn("_on", F.coalesce(F.col("_bin") > F.col("threshold"), F.lit(False))).drop("_lo", "_hi", "_bin", "threshold")
-        return parts.labelled(on, "_on", tile=tile).drop("_on")
+        keys = ["frame", "_ty", "_tx"]
+        rest = images.drop("label").select("*", *parts.of_tile(tile))
+        bound = written(rest.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("dc").alias("_lo"), F.max("dc").alias("_hi")), "bounds")  # a row per tile
+        n = parts.pieces(images.sparkSession, bound.agg(F.sum("_n")).first()[0] or 0)
+        ends = bound.groupBy("frame").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+        ends = bound.select(*keys).join(ends, "frame")
+        level = F.floor(F.when(F.col("_hi") > F.col("_lo"), (F.col("dc") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 255)).cast("int")
+        # Pixels meet their tile's row, so they are dealt by tiles only.
+        binned = rest.select(*keys, "dc").repartition(n, *keys).join(ends, keys).select("frame", F.lit(0).alias("label"), level.alias("bin"))
+        found = labels.otsu(binned.filter("bin IS NOT NULL")).select("frame", "threshold")
+        limits = written(ends.join(found, "frame", "left"), "limits")
+        drop(bound)
+        on = rest.repartition(n, *keys).join(limits, keys).withColumn("_on", F.coalesce(level > F.col("threshold"), F.lit(False)))
+        return parts.labelled(on.select(*[c for c in images.columns if c != "label"], "_on"), "_on", tile=tile, n=n).drop("_on")
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         y, c = x["y"].to_numpy(), x["x"].to_numpy()

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,18 @@ from pulsegrid.operators.components import components
 from pulsegrid.sources.saved import written
 
 
+PIECE = 500_000  # pixels of a task
+
+
+def pieces(spark: SparkSession, pixels: int) -> int:
+    """How many partitions to deal so many pixels to. Images compress well, so sizes in bytes, which adaptive execution goes by, would put them all into a few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + pixels // PIECE)
+
+
+def of_tile(tile: int) -> list[Column]:
+    return [F.floor(F.col(c) / tile).cast("long").alias(f"_t{c}") for c in "yx"]
+
+
 def run_labels(mask: np.ndarray) -> np.ndarray:
     """Labels from 1 of the 8-connected parts of a mask, in row order of their first pixels: runs of each row are joined with those that they touch in the next."""
     h, w = mask.shape
@@ -42,8 +54,10 @@ def run_labels(mask: np.ndarray) -> np.ndarray:
     return out.reshape(h, w)
 
 
-def labelled(pixels: DataFrame, on: str, keys: tuple[str, ...] = ("frame",), label: str = "label", tile: int = 512) -> DataFrame:
-    """pixels(keys…, y, x, on, …) with a label: 0 where `on` is false, and from 1 for the connected parts of each image, in row order of their first pixels."""
+def labelled(pixels: DataFrame, on: str, keys: tuple[str, ...] = ("frame",), label: str = "label", tile: int = 512, n: int | None = None) -> DataFrame:
+    """pixels(keys…, y, x, on, …) with a label: 0 where `on` is false, and from 1 for the connected parts of each image, in row order of their first pixels.
+
+    They are dealt to n tasks, pieces() of their number unless given; no more than a tile's pixels share a key."""
     keys = [*keys]
     kinds = T.StructType([*pixels.schema.fields, T.StructField("_first", T.LongType()), T.StructField("_edge", T.BooleanType())])
     columns = [f.name for f in kinds]
@@ -63,8 +77,8 @@ def labelled(pixels: DataFrame, on: str, keys: tuple[str, ...] = ("frame",), lab
         rim = (y == 0) | (c == 0) | (y == tile - 1) | (c == tile - 1)
         return x.assign(_first=pd.Series(name[mine], index=x.index).astype("Int64").mask(mine == 0), _edge=rim & (mine > 0))[columns]
 
-    of_tile = [F.floor(F.col(c) / tile).cast("long").alias(f"_t{c}") for c in "yx"]
-    x = pixels.select("*", *of_tile).groupBy(*keys, "_ty", "_tx").applyInPandas(local, kinds)
+    n = n or pieces(pixels.sparkSession, pixels.count())
+    x = pixels.select("*", *of_tile(tile)).repartition(n, *keys, "_ty", "_tx").groupBy(*keys, "_ty", "_tx").applyInPandas(local, kinds)
     x = written(x, "tiles")
     rim = x.filter("_edge").select(*keys, "y", "x", "_first")
     steps = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])  # half of the neighbours, since the other half meets from the other side
@@ -77,5 +91,5 @@ def labelled(pixels: DataFrame, on: str, keys: tuple[str, ...] = ("frame",), lab
     heads = names.select(*keys, "_root").distinct().withColumn("_number", F.row_number().over(Window.partitionBy(*keys).orderBy("_root")).cast("long"))
     numbers = names.join(heads, [*keys, "_root"]).select(*keys, "_first", "_number")
     own = [c for c in pixels.columns if c != label]
-    off, lit = x.filter("_first IS NULL").select(*own, F.lit(0).cast("long").alias(label)), x.filter("_first IS NOT NULL").join(numbers, [*keys, "_first"]).select(*own, F.col("_number").alias(label))
+    off, lit = x.filter("_first IS NULL").select(*own, F.lit(0).cast("long").alias(label)), x.filter("_first IS NOT NULL").repartition(n, *keys, "_first").join(numbers, [*keys, "_first"]).select(*own, F.col("_number").alias(label))
     return off.unionByName(lit)

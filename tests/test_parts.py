@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import geometry, parts
 from pulsegrid.operators.components import components
+from pulsegrid.sources import tables
 
 
 def by_hand(mask: np.ndarray) -> np.ndarray:
@@ -89,6 +90,20 @@ def test_segments_by_tiles_as_whole(spark):
     assert {r.label for r in own.collect()} == {0, 1}
 
 
+def test_tasks_of_bounded_size(spark, monkeypatch):
+    """Images of two values are few bytes, and still no task has most of their pixels."""
+    monkeypatch.setattr(parts, "PIECE", 2000, raising=False)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # tables of many pixels are larger than that
+    try:
+        images = tables.images(spark, "/root/testdata/sf0.01")
+        for x in (images, geometry.segment(images, tile=32).filter("label > 0")):
+            rows = [r["count"] for r in x.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+            assert len(rows) > 8 and max(rows) < sum(rows) / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_components_of_any_nodes(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(500 + k, 501 + k) for k in range(60)] + [(900, 900 + k) for k in range(1, 50)]
