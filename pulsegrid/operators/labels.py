@@ -51,24 +51,37 @@ def count_labels(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("frame").agg(F.countDistinct("label").alias("n_labels"))
 
 
+def _places() -> list[Column]:
+    return [F.avg("y").alias("com_y"), F.avg("x").alias("com_x"), F.count("*").alias("area")]
+
+
+def _moments() -> list[Column]:
+    return [F.round(c, 9).alias(n) for n, c in (("vy", F.var_pop("y")), ("vx", F.var_pop("x")), ("vxy", F.covar_pop("y", "x")))]
+
+
+def _axes() -> list[Column]:
+    """major, minor, angle of the ellipse with _moments()."""
+    mid, gap = (F.col("vy") + F.col("vx")) / 2, F.sqrt(F.pow((F.col("vy") - F.col("vx")) / 2, 2.0) + F.pow("vxy", 2.0))
+    return [(4 * F.sqrt(mid + gap)).alias("major"), (4 * F.sqrt(F.greatest(mid - gap, F.lit(0.0)))).alias("minor"), (0.5 * F.degrees(F.atan2(2 * F.col("vxy"), F.col("vx") - F.col("vy")))).alias("angle")]
+
+
 def shape_stats(pixels: DataFrame) -> DataFrame:
     """frame, label, com_y, com_x, area."""
-    return pixels.filter("label <> 0").groupBy("frame", "label").agg(F.avg("y").alias("com_y"), F.avg("x").alias("com_x"), F.count("*").alias("area"))
+    return pixels.filter("label <> 0").groupBy("frame", "label").agg(*_places())
 
 
 def moment_ellipse(pixels: DataFrame) -> DataFrame:
     """frame, label, major, minor, angle of the ellipse with the region's second moments (not a contour fit)."""
-    m = pixels.filter("label <> 0").groupBy("frame", "label").agg(*[F.round(c, 9).alias(n) for n, c in (("vy", F.var_pop("y")), ("vx", F.var_pop("x")), ("vxy", F.covar_pop("y", "x")))])
-    mid, gap = (F.col("vy") + F.col("vx")) / 2, F.sqrt(F.pow((F.col("vy") - F.col("vx")) / 2, 2.0) + F.pow("vxy", 2.0))
-    return m.select("frame", "label", (4 * F.sqrt(mid + gap)).alias("major"), (4 * F.sqrt(F.greatest(mid - gap, F.lit(0.0)))).alias("minor"), (0.5 * F.degrees(F.atan2(2 * F.col("vxy"), F.col("vx") - F.col("vy")))).alias("angle"))
+    return pixels.filter("label <> 0").groupBy("frame", "label").agg(*_moments()).select("frame", "label", *_axes())
 
 
 def tracked_shapes(pixels: DataFrame) -> DataFrame:
-    """shape_stats() with angle (0 to 180) and ar of the moment ellipse, rounded to five digits so that a line's minor axis is 0; ar is 0 for such cells."""
-    e = moment_ellipse(pixels).select("frame", "label", F.round("angle", 5).alias("angle"), F.round("major", 5).alias("major"), F.round("minor", 5).alias("minor"))
+    """shape_stats() with angle (0 to 180) and ar of the moment ellipse, rounded to five digits so that a line's minor axis is 0; ar is 0 for such cells. Pixels are grouped once."""
+    stats = ["frame", "label", "com_y", "com_x", "area"]
+    e = pixels.filter("label <> 0").groupBy("frame", "label").agg(*_places(), *_moments()).select(*stats, *_axes())
+    e = e.select(*stats, *[F.round(c, 5).alias(c) for c in ("angle", "major", "minor")])
     turned = F.when(F.col("angle") < 0, F.col("angle") + 180).otherwise(F.col("angle"))
-    e = e.select("frame", "label", turned.alias("angle"), F.when(F.col("minor") == 0, 0.0).otherwise(F.col("major") / F.col("minor")).alias("ar"))
-    return shape_stats(pixels).join(e, ["frame", "label"])
+    return e.select(*stats, turned.alias("angle"), F.when(F.col("minor") == 0, 0.0).otherwise(F.col("major") / F.col("minor")).alias("ar"))
 
 
 def intensity_stats(pixels: DataFrame, value: str) -> DataFrame:

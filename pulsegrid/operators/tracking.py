@@ -97,9 +97,9 @@ def best_parents(edges: DataFrame, back: DataFrame) -> DataFrame:
     return x.filter((F.col("parents") == 1) | (F.col("label") == F.col("best"))).select(edges.columns)
 
 
-def network(pixels: DataFrame, cells: DataFrame, least: float = 0.10, score: float = 0.3) -> DataFrame:
-    """The edges of the forest: overlaps, scores, threshold and best parents in one plan."""
-    common = overlaps(pixels)
+def network(pixels: DataFrame, cells: DataFrame, least: float = 0.10, score: float = 0.3, common: DataFrame | None = None) -> DataFrame:
+    """The edges of the forest: overlaps, scores, threshold and best parents in one plan. Overlaps are read twice; large ones may be given as written (a row per pair of cells that share pixels)."""
+    common = overlaps(pixels) if common is None else common
     return best_parents(threshold(candidates(forward(common, cells), cells, least), score), backward(common, cells))
 
 
@@ -181,7 +181,7 @@ def virtual_rows(walk: DataFrame) -> DataFrame:
 def export_graph(cells: DataFrame, edges: DataFrame, walk: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes(id, frame, label, row, track) in order of frame and label, and arcs(a, b) between their ids."""
     rows = virtual_rows(walk).join(walk.select("frame", "label", "track"), ["frame", "label"])
-    nodes = in_order(rows, "id").select("id", "frame", "label", "row", "track")
+    nodes = written(in_order(rows, "id").select("id", "frame", "label", "row", "track"), "nodes")
     a = nodes.select(F.col("id").alias("a"), "frame", "label")
     b = nodes.select(F.col("id").alias("b"), F.col("frame").alias("next_frame"), F.col("label").alias("next_label"))
     x = edges.withColumn("next_frame", next_frame(edges))

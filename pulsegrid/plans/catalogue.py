@@ -16,7 +16,7 @@ from pulsegrid.functions import lanes as L
 from pulsegrid.functions import names
 from pulsegrid.operators import geometry, labels, measure, series, signal, stabilise, tracking
 from pulsegrid.sources import folders, images, journal, sessions, spools, tables
-from pulsegrid.sources.saved import shared_dir
+from pulsegrid.sources.saved import shared_dir, written
 from pulsegrid.sources.tables import BOXES_SQL, LANES_SQL, PIXELS_SQL, SAMPLES_SQL, SHAPES_SQL, lanes, pixels, samples, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -621,13 +621,14 @@ NET = f"{ALL}, {SCORED}, {KEPT}, {BEST}, {ROOTS}, {WALK}"
 
 
 def _cells(spark, d):
-    p = pixels(spark, d)
+    p = written(pixels(spark, d), "pixels")  # drawn once; what follows reads them several times
     return p, labels.tracked_shapes(p)
 
 
 def _edges(spark, d):
     p, c = _cells(spark, d)
-    return p, c, tracking.network(p, c)
+    c = written(c, "cells")
+    return p, c, written(tracking.network(p, c, common=written(tracking.overlaps(p), "overlaps")), "links")
 
 
 def _walk(spark, d):

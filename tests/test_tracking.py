@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import geometry, labels, measure, series, stabilise, tracking
+from pulsegrid.plans import catalogue
 
 #: Frame, label, first and last row, first and last column of drawn rectangles.
 RECTANGLES = ((0, 1, 2, 9, 3, 12), (0, 2, 12, 18, 3, 9), (1, 1, 3, 10, 4, 7), (1, 2, 3, 10, 9, 13), (1, 3, 13, 19, 4, 10), (2, 1, 4, 11, 5, 8), (2, 2, 4, 11, 10, 14), (2, 3, 14, 20, 5, 5), (2, 4, 22, 22, 22, 22))
@@ -277,6 +278,14 @@ def test_clicks(spark):
     assert [r.id for r in tracking.node_at(nodes, spark.createDataFrame([(0, 2), (7, 7)], "frame long, label long")).collect()] == [1]
 
 
+def test_graphs_draw_pixels_once(spark):
+    """The table of pixels is scanned once, and what is made of them is read instead."""
+    d = "/root/testdata/sf0.001"
+    for name in ("graph_moves", "export_graph", "best_parent_edges"):
+        files = catalogue.queries()[name](spark, d).inputFiles()
+        assert files and not [f for f in files if "lineitem" in f]
+
+
 def test_filled_polygons_by_hand():
     """Star-shaped polygons against a test of each pixel."""
     import numpy as np
