@@ -7,7 +7,7 @@ are those of the major axis against the x axis, in degrees, 0 to 180.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -137,16 +137,42 @@ def fit_ellipse(points: np.ndarray) -> tuple[float, float, float] | None:
 
 
 def by_cell(pixels: DataFrame, columns: list[str], schema: str, f: Callable[[pd.DataFrame], tuple | list[tuple]]) -> DataFrame:
-    """f of each cell's pixels, in row order; schema without frame and label."""
-
-    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        got = f(x.sort_values(["y", "x"], ignore_index=True))
-        got = got if isinstance(got, list) else [got]
-        names = ["frame", "label", *[c.split()[0] for c in schema.split(", ")]]
-        return pd.DataFrame([(int(key[0]), int(key[1]), *g) for g in got], columns=names)
+    """f of each cell's pixels, in row order; schema without frame and label.
+
+    Cells are sorted within partitions, and many of them go to Python at once, since small groups cost more to hand over than to work out. No more than a batch and the cell that it ends with are held."""
+    names = ["frame", "label", *[c.split()[0] for c in schema.split(", ")]]
+
+    def each(x: pd.DataFrame, at: list[int]) -> pd.DataFrame:
+        out = []
+        for a, b in zip(at, at[1:], strict=False):
+            cell = x.iloc[a:b]
+            got = f(cell.reset_index(drop=True))
+            key = int(cell["frame"].iat[0]), int(cell["label"].iat[0])
+            out += [(*key, *g) for g in (got if isinstance(got, list) else [got])]
+        return pd.DataFrame(out, columns=names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for x in batches:
+            if not len(x):
+                continue
+            held.append(x)
+            first, last = held[0].iloc[0], x.iloc[-1]
+            if first["frame"] == last["frame"] and first["label"] == last["label"]:
+                continue  # still the one cell
+            x = pd.concat(held, ignore_index=True)
+            frame, label = x["frame"].to_numpy(), x["label"].to_numpy()
+            at = [0, *(np.flatnonzero((frame[1:] != frame[:-1]) | (label[1:] != label[:-1])) + 1).tolist()]
+            yield each(x, at)
+            held = [x.iloc[at[-1] :]]
+        if held:
+            x = pd.concat(held, ignore_index=True)
+            yield each(x, [0, len(x)])
 
     cells = pixels.filter("label <> 0").select("frame", "label", "y", "x", *columns)
-    return cells.groupBy("frame", "label").applyInPandas(run, f"frame long, label long, {schema}")
+    # As many tasks as asked for: cells are few bytes and much work.
+    n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(n, "frame", "label").sortWithinPartitions("frame", "label", "y", "x").mapInPandas(run, f"frame long, label long, {schema}")
 
 
 def _first_contour(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:

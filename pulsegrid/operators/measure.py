@@ -19,7 +19,7 @@ FEATURES = (
 
 
 def shapes(pixels: DataFrame) -> DataFrame:
-    """frame, label, angle, major, minor of the measuring ellipse; interior_area, interior_mean (null without an interior), contour_mean; total, interior: the closed contour of the cell and those
+    """frame, label, angle, major, minor of the measuring ellipse, ar of the tracking one; interior_area, interior_mean (null without an interior), contour_mean; total, interior: the closed contour of the cell and those
     of its interior parts. One grouping of the pixels gives all."""
 
     def points(c: np.ndarray, y0: int, x0: int) -> list[dict]:
@@ -33,8 +33,10 @@ def shapes(pixels: DataFrame) -> DataFrame:
         contour = geometry.trace(mask)
         found, inner = geometry.interior_of(mask, values)
         inside, rest = values[found & mask], values[mask & ~found]
+        _, major, minor = geometry.ellipse_of(contour, len(x), True)
         return (
             *geometry.ellipse_of(contour, len(x), False),
+            major / minor if minor else 0.0,
             len(inside),
             float(inside.mean()) if len(inside) else None,
             float(rest.mean()) if len(rest) else 0.0,
@@ -42,16 +44,16 @@ def shapes(pixels: DataFrame) -> DataFrame:
             [points(c, y0, x0) for c in inner],
         )
 
-    return geometry.by_cell(pixels, ["ac"], f"angle double, major double, minor double, interior_area long, interior_mean double, contour_mean double, total {POINTS}, interior array<{POINTS}>", f)
+    return geometry.by_cell(pixels, ["ac"], f"angle double, major double, minor double, ar double, interior_area long, interior_mean double, contour_mean double, total {POINTS}, interior array<{POINTS}>", f)
 
 
-def features(pixels: DataFrame, with_outlines: bool = False) -> DataFrame:
-    """frame, label, com_y, com_x and FEATURES of every cell. Pixels are grouped twice by cell (what Spark aggregates, what needs the shape); the joined tables have a row per cell each."""
+def features(pixels: DataFrame, with_outlines: bool = False, shaped: DataFrame | None = None) -> DataFrame:
+    """frame, label, com_y, com_x and FEATURES of every cell; shaped is shapes(pixels), if there is one. Pixels are grouped twice by cell (what Spark aggregates, what needs the shape); the joined tables have a row per cell each."""
     keys = ["frame", "label"]
     sums = [F.avg("y").alias("com_y"), F.avg("x").alias("com_x"), F.count("*").alias("area")]
     sums += [f(v).alias(f"{v}_{n}") for v in ("dc", "ac") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
     out = pixels.filter("label <> 0").groupBy(*[F.col(k).cast("long").alias(k) for k in keys]).agg(*sums)
-    out = out.join(shapes(pixels), keys, "left").join(labels.background(pixels).select(F.col("frame").cast("long").alias("frame"), "background"), "frame")
+    out = out.join((shapes(pixels) if shaped is None else shaped).drop("ar"), keys, "left").join(labels.background(pixels).select(F.col("frame").cast("long").alias("frame"), "background"), "frame")
     mean = F.col("interior_mean")
     out = out.withColumns(
         {
@@ -68,7 +70,8 @@ def measure(pixels: DataFrame, measurements: DataFrame) -> DataFrame:
     """The series of all tracks: masks are linked with ellipse angles and aspect ratios in the scores, and joined with features and
     measurements(frame, abstime). Sorted by track and frame."""
     places = labels.shape_stats(pixels).select(F.col("frame").cast("long").alias("frame"), F.col("label").cast("long").alias("label"), "com_y", "com_x", "area")
-    cells = written(places.join(geometry.ellipses(pixels).select("frame", "label", "angle", "ar"), ["frame", "label"]), "cells")  # shapes are worked out once
-    walk = tracking.lineages(cells, tracking.network(pixels, cells)).drop("path")
+    shaped = written(shapes(pixels).drop("total", "interior"), "shapes")  # worked out once, for links and features
+    cells = written(places.join(shaped.select("frame", "label", "angle", "ar"), ["frame", "label"]), "cells")
+    walk = tracking.lineages(cells, tracking.network(pixels, cells, common=written(tracking.overlaps(pixels), "overlaps"))).drop("path")
     times = series.relative_times(measurements).select(F.col("frame").cast("long").alias("frame"), "time")
-    return series.with_features(walk, features(pixels)).join(times, "frame", "left").orderBy("track", "frame")
+    return series.with_features(walk, features(pixels, shaped=shaped)).join(times, "frame", "left").orderBy("track", "frame")

@@ -286,6 +286,25 @@ def test_graphs_draw_pixels_once(spark):
         assert files and not [f for f in files if "lineitem" in f]
 
 
+def test_shapes_are_worked_out_once(spark):
+    """What a measurement returns reads the shapes, and works none out again."""
+    p = drawn(spark)
+    x = measure.measure(p, p.select("frame").distinct().withColumn("abstime", F.col("frame") * 10.0))
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and x.count() == len(RECTANGLES)
+
+
+def test_cells_of_several_batches(spark):
+    """Cells that begin and end anywhere in the batches that Python gets."""
+    want = sorted(map(str, geometry.contours(drawn(spark)).collect()))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(str, geometry.contours(drawn(spark)).collect())) == want and len(want) == len(RECTANGLES)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_filled_polygons_by_hand():
     """Star-shaped polygons against a test of each pixel."""
     import numpy as np
