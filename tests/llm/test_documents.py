@@ -618,6 +618,22 @@ def test_quality_learns(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
 
 
+def test_quality_fits_in_a_task(spark, monkeypatch):
+    """The driver never holds the sample's features: neither their table nor the matrix that the fit works on."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(*_, **__):
+        raise AssertionError("on the driver")
+
+    docs = spark.createDataFrame([(i, "word " * (i % 7) + "!" * (i % 3)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int")
+    want = quality.learn(docs, labels, pairs=50)
+    for name in ("toArrow", "toPandas", "collect"):
+        monkeypatch.setattr(DataFrame, name, lambda self, _whole=getattr(DataFrame, name), _name=name: _whole(self) if self.schema.names[-1] == "shift" and _name == "collect" else refuse())
+    got = quality.learn(docs, labels, pairs=50)
+    assert (got.weight == want.weight).all() and (got.center == want.center).all() and got.shift == want.shift and np.abs(got.weight).max() > 0
+
+
 def features_by_hand(text: str) -> list[float]:
     raw = text.encode()
     low = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
