@@ -1,19 +1,22 @@
 """A hierarchical Pitman-Yor language model, scored over whole texts.
 
-A word is drawn in the restaurant of the word before it. Frequent words have restaurants of their own; these share parents, one for each last byte of the word before, where
-words after all other ones are drawn too; the parents share the root restaurant of the vocabulary, over a base that gives half its mass to the unknown word and the rest evenly
-to the known ones. (A text's first word follows the end token.) Frequent words are those that make up a share of 1 / `contexts` of all training tokens: at most `contexts`
-restaurants, whatever the corpus, each over the whole of it. Counts are exact, so the model and all scores are the same however the table's rows lie in files and partitions.
+A word is drawn in the restaurant of the word before it. All words have restaurants of their own; these share parents, one for each last byte of the word before; the parents
+share the root restaurant of the vocabulary, over a base that gives half its mass to the unknown word and the rest evenly to the known ones. (A text's first word follows the
+end token.) With `contexts`, only words that make up a share of 1 / `contexts` of all training tokens have restaurants, and words after other ones are drawn in the parents. Counts
+are exact, so the model and all scores are the same however the table's rows lie in files and partitions.
 
 Seatings are sampled by Gibbs: given everything else, the customers of a dish in a restaurant are seated again one after another (those
 beyond the 32nd in batches of a twentieth, with the chance of a new table held within a batch; each table counts as a customer above at once), first in the restaurants of words, then, as
 many customers as these have tables (and those who come directly), in their parents, then in the root. A word's seating depends on other words through the
-restaurants' numbers of customers and tables only, so words are sampled in parallel, hashed to buckets, against the table counts of the round before; these
-are summed after each round, and each level's strength is sampled from them (auxiliary variables, gamma prior). Predictive probabilities are averaged over the samples of the last round.
+restaurants' numbers of customers and tables only, so words are sampled in parallel, hashed to buckets, against the table counts of the round before. After each round
+the tables of words' restaurants are summed by parts, hashed by context, and each bucket gets back the sums of the contexts that it has; each level's strength is sampled from them
+(auxiliary variables, gamma prior). Predictive probabilities are averaged over the samples of the last round.
 
-Texts become blocks of token codes; a block sends each bucket of words what it holds of them, packed (word hash, contexts,
-training counts), and gets back counts and probabilities in the same order. Nothing else moves, and nothing is collected but the list of frequent words and
-sums by context.
+Texts become blocks of places in lists of words, written once; a block sends each bucket of words what it holds of them, packed (words, contexts,
+training counts), and gets back counts and probabilities in the same order. Blocks, buckets and parts are written by their keys, so that only what changes is shuffled in
+a round: a number per bucket and context, each way. Collected are sums by class, and two numbers per part.
+
+Words are told apart by 48 bits of a hash and their last byte.
 
 Discounts are n1 / (n1 + 2 n2) for each level, from the numbers of dishes served once and twice.
 
@@ -25,7 +28,7 @@ is the unknown word, of probability 1; an empty table gives an empty result; oth
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -34,22 +37,50 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import drop, text_or_empty, written
+from pulsegrid.llm.common import dealt, drop, text_or_empty, written
 
 END = b"\n"  # no word holds it, and it is the context of a text's first word
 CLASSES = 256  # parents, by last byte; contexts from this number on are words
-WIDTH = 1 << 16  # more than the number of any context
+WIDTH = 1 << 16  # of arrays by context that hold frequent words only
 UNKNOWN_MASS = 0.5
 SLICE = 200_000  # words coded at once
 
 
+def pack(v: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs, byte planes apart, compressed."""
+    v = np.asarray(v, "<i8")
+    width = max(1, (int(v.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(v.view("u1").reshape(-1, 8).T[:width])
+    return len(v).to_bytes(8, "little") + bytes([width]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(x: bytes) -> np.ndarray:
+    n, width = int.from_bytes(x[:8], "little"), x[8]
+    planes = np.zeros((8, n), "u1")
+    planes[:width] = np.frombuffer(pa.decompress(x[9:], n * width, codec="zstd", asbytes=True), "u1").reshape(width, n)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def pack_ascending(v: np.ndarray) -> bytes:
+    return pack(np.diff(v, prepend=0))
+
+
+def unpack_ascending(x: bytes) -> np.ndarray:
+    return np.cumsum(unpack(x))
+
+
+def joined(packed: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """What was packed, end to end, and the size of each part."""
+    parts = [unpack(x) for x in packed]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array([len(x) for x in parts], np.int64)
+
+
 class Block:
-    """Documents as token codes, with the words seen.
+    """Documents as places of their words in a list of words, in order of appearance (frequent ones have small places, so their bytes compress).
 
-    A token is stored as the place of its pair of word and context in order of appearance, byte planes apart (frequent ones have small
-    places, so the planes compress); pairs gives the place in order of bucket, word and context. `own` are the hashes, ascending, of words with restaurants."""
+    A word's id is 48 bits of its hash and its last byte. `own` are the hashes, ascending, of words with restaurants; None: all words have one."""
 
-    def __init__(self, own: np.ndarray) -> None:
+    def __init__(self, own: np.ndarray | None) -> None:
         self.own = own
         self.codes: dict[bytes, int] = {}
         self.words: list[bytes] = []
@@ -78,50 +109,61 @@ class Block:
         self.tokens.append(own[x.indices.to_numpy()])
         self.words = []
 
-    def rows(self, block: int, buckets: int) -> Iterator[dict]:
+    def row(self, block: int) -> dict:
         if self.words:
             self.code()
         types = list(self.codes)
-        tokens = np.concatenate(self.tokens)
-        self.tokens = []
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, types), np.uint64, len(types))
-        context = np.fromiter((w[-1] for w in types), np.int64, len(types))
-        if len(self.own):
-            at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
-            context = np.where(self.own[at] == hashes, CLASSES + at, context)
-        end = context[self.codes[END]]
-        self.codes = {}
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")  # a block's words in order of bucket
-        place = np.empty(len(types), np.int64)
-        place[order] = np.arange(len(types))
-        keys = place[tokens]
-        keys *= WIDTH
-        keys[0] += end
+        ids = (hashes >> np.uint64(16) << np.uint64(8)).astype(np.int64) + np.fromiter((w[-1] for w in types), np.int64, len(types))
+        own = np.ones(len(types), np.int64) if self.own is None else np.isin(hashes, self.own)
+        return {"block": block, "doc_ids": np.array([i or 0 for i in self.ids], "<i8").tobytes(), "no_id": bytes(i is None for i in self.ids), "held": bytes(self.held), "lengths": pack(self.lengths), "ids": pack(ids), "own": pack(own), "end": self.codes[END], "tokens": pack(np.concatenate(self.tokens))}
+
+
+TEXTS = pa.schema([("block", pa.int64()), ("end", pa.int64()), *[(c, pa.binary()) for c in ("doc_ids", "no_id", "held", "lengths", "ids", "own", "tokens")]])
+TEXTS_SQL = "block long, end long, doc_ids binary, no_id binary, held binary, lengths binary, ids binary, own binary, tokens binary"
+
+
+@dataclass(frozen=True)
+class Pairs:
+    """A block's distinct pairs of word and context, in order of the word's bucket, its place in the block, and the context's id."""
+
+    words: np.ndarray  # ids, in order of bucket
+    bucket: np.ndarray  # of each of them
+    contexts: np.ndarray  # distinct ids, ascending; those below CLASSES are parents
+    word: np.ndarray  # of each pair, its place in words
+    context: np.ndarray  # of each pair, its place in contexts
+    tokens: np.ndarray  # of each token, its pair
+    lengths: np.ndarray  # tokens of each document
+
+    @staticmethod
+    def of(row: dict | pd.Series, buckets: int) -> Pairs:
+        ids, tokens = unpack(row["ids"]), unpack(row["tokens"])
+        contexts, context = np.unique(np.where(unpack(row["own"]) > 0, ids, ids % CLASSES), return_inverse=True)
+        bucket = bucket_of(ids, buckets)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        keys = place[tokens] * len(contexts)
+        keys[0] += context[row["end"]]
         keys[1:] += context[tokens[:-1]]
-        x = pa.array(keys).dictionary_encode()
-        del keys, tokens
-        pairs, tokens = x.dictionary.to_numpy(), x.indices.to_numpy().astype("<i4")
-        by_word = np.argsort(pairs)
-        trains = np.repeat(~np.array(self.held), self.lengths)
-        counts = np.bincount(tokens[trains], minlength=len(pairs)).astype("<u4")[by_word]
-        at = np.empty(len(pairs), "<i4")
-        at[by_word] = np.arange(len(pairs), dtype="<i4")
-        pairs = pairs[by_word]
-        contexts = np.bincount(pairs // WIDTH, minlength=len(types))
-        yield {"kind": 1, "block": block, "doc_ids": np.array([i or 0 for i in self.ids], "<i8").tobytes(), "no_id": bytes(i is None for i in self.ids), "held": bytes(self.held), "lengths": np.array(self.lengths, "<i8").tobytes(), "tokens": np.ascontiguousarray(tokens.view("u1").reshape(-1, 4).T).tobytes(), "pairs": at.tobytes(), "contexts": contexts.astype("<u2").tobytes()}
-        until = np.concatenate([[0], np.cumsum(contexts)])
-        present, start = np.unique(bucket[order], return_index=True)
-        for b, i, j in zip(present.tolist(), start.tolist(), [*start.tolist()[1:], len(types)], strict=True):
+        pairs, tokens = np.unique(keys, return_inverse=True)
+        word, context = np.divmod(pairs, len(contexts))
+        return Pairs(ids[order], bucket[order], contexts, word, context, tokens, unpack(row["lengths"]))
+
+    def rows(self, block: int, held: np.ndarray) -> Iterator[tuple]:
+        """For each bucket: the ids of its words, how many contexts each has, the contexts' ids, the place among them of each pair's context, and how often the pair is in training text."""
+        counts = np.bincount(self.tokens[np.repeat(~held, self.lengths)], minlength=len(self.word))
+        n = np.bincount(self.word, minlength=len(self.words))
+        until = np.concatenate([[0], np.cumsum(n)])
+        present, start = np.unique(self.bucket, return_index=True)
+        for b, i, j in zip(present.tolist(), start.tolist(), [*start.tolist()[1:], len(self.words)], strict=True):
             part = slice(until[i], until[j])
-            yield {"kind": 0, "block": block, "bucket": b, "hashes": hashes[order[i:j]].astype("<u8").tobytes(), "contexts": contexts[i:j].astype("<u2").tobytes(), "context": (pairs[part] % WIDTH).astype("<u2").tobytes(), "counts": counts[part].tobytes()}
+            has, at = np.unique(self.context[part], return_inverse=True)
+            yield b, block, pack(self.words[i:j]), pack(n[i:j]), pack_ascending(self.contexts[has]), pack(at), pack(counts[part])
 
 
-BLOCKS = pa.schema(
-    [("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int64()), ("hashes", pa.binary()), ("contexts", pa.binary()), ("context", pa.binary()), ("counts", pa.binary())]
-    + [("doc_ids", pa.binary()), ("no_id", pa.binary()), ("held", pa.binary()), ("lengths", pa.binary()), ("tokens", pa.binary()), ("pairs", pa.binary())]
-)
-BLOCKS_SQL = "kind int, block long, bucket long, hashes binary, contexts binary, context binary, counts binary, doc_ids binary, no_id binary, held binary, lengths binary, tokens binary, pairs binary"
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (ids >> 8) % buckets
 
 
 def _counted(docs: DataFrame, held: Column, size: int, report: Callable[[pa.Array, np.ndarray, int], Iterator[tuple]]) -> DataFrame:
@@ -188,26 +230,23 @@ def frequent(docs: DataFrame, held: Column, contexts: int, size: int) -> tuple[n
     return words[order], np.array([r["last"] for r in rows], np.int64)[order]
 
 
-def blocks_of(docs: DataFrame, held: Column, buckets: int, size: int, own: np.ndarray) -> DataFrame:
+def texts_of(docs: DataFrame, held: Column, size: int, own: np.ndarray | None) -> DataFrame:
+    """A row per block of `size` bytes of text or more."""
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, n, part = Block(own), 0, 0
-
-        def close() -> Iterator[pa.RecordBatch]:
-            for row in now.rows((part << 32) + n, buckets):
-                yield pa.RecordBatch.from_pylist([row], schema=BLOCKS)
-
         for batch in batches:
             for p, doc_id, out, text in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 part = p.as_py()
                 now.add(doc_id, out, text.as_py())
                 if now.size >= size:
-                    yield from close()
+                    yield pa.RecordBatch.from_pylist([now.row((part << 32) + n)], schema=TEXTS)
                     now, n = Block(own), n + 1
         if now.ids:
-            yield from close()
+            yield pa.RecordBatch.from_pylist([now.row((part << 32) + n)], schema=TEXTS)
 
     x = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), text_or_empty().alias("text"))
-    return x.mapInArrow(build, BLOCKS_SQL)
+    return x.mapInArrow(build, TEXTS_SQL)
 
 
 @dataclass(frozen=True)
@@ -236,7 +275,7 @@ class Level:
 class Totals:
     tokens: int
     words: int
-    own: Level  # by context, from CLASSES on
+    own: Level  # by context, from CLASSES on; in `learn` only the strength and discount, each bucket has the numbers of its contexts
     shared: Level  # by class
     root: Level  # one restaurant
 
@@ -255,13 +294,22 @@ def sample_strength(strength: float, discount: float, customers: np.ndarray, tab
 
     For each restaurant: the log of a beta variable, and for each table but the first a coin that tells whether the strength rather than the discount opened it. Coins of tables
     beyond `first` are rare and independent, so their number is drawn as a Poisson variable of the same mean."""
+    return strength_from(*strength_terms(strength, discount, customers, tables, rng, first), rng)
+
+
+def strength_terms(strength: float, discount: float, customers: np.ndarray, tables: np.ndarray, rng: np.random.Generator, first: int = 4096) -> tuple[float, float]:
+    """These restaurants' share of the logs and of the coins; shares of several groups of restaurants add up."""
     c, t = customers[customers > 1], tables[customers > 1]
     logs = np.log(np.maximum(rng.beta(strength + 1, c - 1), 1e-300)).sum() if len(c) else 0.0
     at = np.arange(1, first)
-    having = np.array([(t > k).sum() for k in at]) if len(t) < first else len(t) - np.searchsorted(np.sort(t), at, side="right")
+    having = len(t) - np.searchsorted(np.sort(t), at, side="right")
     coins = rng.binomial(having, strength / (strength + discount * at)).sum()
     more = t[t > first]
     coins += rng.poisson((strength / discount * np.log((strength + discount * more) / (strength + discount * first))).sum()) if len(more) else 0
+    return float(logs), float(coins)
+
+
+def strength_from(logs: float, coins: float, rng: np.random.Generator) -> float:
     return float(np.clip(rng.gamma(1 + coins, 1 / (1 - logs)), 1e-3, 1e9))
 
 
@@ -330,7 +378,7 @@ class Seating:
         nodes, self.node = np.unique(word * CLASSES + parent[context], return_inverse=True)
         self.word, self.shared = np.divmod(nodes, CLASSES)
         self.direct = np.bincount(self.node[~own], counts[~own], len(nodes))
-        self.n_words = n_words
+        self.n_words, self.n_contexts = n_words, len(parent)
         self.total = np.bincount(word, counts, n_words)
         self.known = self.total > 0
         self.at = np.flatnonzero(own)
@@ -382,7 +430,7 @@ class Seating:
     def sums(self, state: tuple[np.ndarray, ...]) -> list[np.ndarray]:
         """Tables by context, customers and tables by class, and of the root."""
         seated, customers, tables, roots, top = state
-        return [np.bincount(self.context, seated, WIDTH), np.bincount(self.shared, customers, CLASSES), np.bincount(self.shared, tables, CLASSES), [roots.sum()], [top.sum()]]
+        return [np.bincount(self.context, seated, self.n_contexts), np.bincount(self.shared, customers, CLASSES), np.bincount(self.shared, tables, CLASSES), [roots.sum()], [top.sum()]]
 
 
 def _seat_any(counts: np.ndarray, weight: Weight, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -392,20 +440,75 @@ def _seat_any(counts: np.ndarray, weight: Weight, discount: float, rng: np.rando
     return out
 
 
-def _bucket(x: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """Of a bucket's rows in order of block: each entry's word, each pair's entry, context and count, and the number of words."""
-    join = lambda name, kind: np.frombuffer(b"".join(x[name]), kind)
-    hashes, contexts, context, counts = join("hashes", "<u8"), join("contexts", "<u2"), join("context", "<u2"), join("counts", "<u4")
-    words, word = np.unique(hashes, return_inverse=True)
-    entry = np.repeat(np.arange(len(hashes)), contexts)
-    return word, entry, context.astype(np.int64), counts.astype(np.int64), len(words)
+TABLE = ["bucket", "n_words", "blocks", "entries", "word", "contexts", "context", "counts", "ids", "sums"]
+TABLE_SQL = "bucket long, n_words long, blocks binary, entries binary, word binary, contexts binary, context binary, counts binary, ids binary, sums binary"
+
+
+def gathered(x: pd.DataFrame) -> pd.DataFrame:
+    """One row of a bucket's rows from all blocks: words and contexts get numbers (contexts with restaurants from CLASSES on, in order of `ids`); pairs stay in order of block."""
+    x = x.sort_values("block")
+    words, entries = joined(x["words"])
+    known, sizes = zip(*[(k, len(k)) for k in map(unpack_ascending, x["ids"])], strict=True)
+    at, pairs = joined(x["context"])
+    words, word = np.unique(words, return_inverse=True)
+    ids, number = np.unique(np.concatenate(known), return_inverse=True)
+    local = np.where(ids < CLASSES, ids, CLASSES + np.arange(len(ids)) - (ids < CLASSES).sum())
+    context = local[number[at + np.repeat(np.cumsum(sizes) - sizes, pairs)]]
+    ids = ids[ids >= CLASSES]
+    row = [x["bucket"].iloc[0], len(words), pack(x["block"]), pack(entries), pack(word), pack(joined(x["n"])[0]), pack(context), pack(joined(x["counts"])[0]), pack_ascending(ids), b""]
+    out = pd.DataFrame([row], columns=TABLE)
+    s = Bucket(out.iloc[0]).seating()
+    state = s.start()
+    served = [(v == k).sum() for v in (s.counts, state[1], state[3]) for k in (1, 2)]
+    out["sums"] = [_flat([*s.sums(state)[1:], [s.total.sum(), s.known.sum()], served])]
+    return out
+
+
+class Bucket:
+    """A row of `gathered`, its dishes numbered by word and context."""
+
+    def __init__(self, row: pd.Series) -> None:
+        self.number, self.n_words = int(row["bucket"]), int(row["n_words"])
+        self.blocks, self.entries, self.ids = unpack(row["blocks"]), unpack(row["entries"]), unpack_ascending(row["ids"])
+        self.words, self.contexts = unpack(row["word"]), unpack(row["contexts"])
+        self.parent = np.concatenate([np.arange(CLASSES), self.ids % CLASSES])
+        keys = np.repeat(self.words, self.contexts) * len(self.parent) + unpack(row["context"])
+        dishes, self.at = np.unique(keys, return_inverse=True)
+        self.n = np.bincount(self.at, unpack(row["counts"]), len(dishes)).astype(np.int64)
+        self.word, self.context = np.divmod(dishes, len(self.parent))
+
+    def seating(self, untrained: bool = False) -> Seating:
+        some = slice(None) if untrained else self.n > 0
+        return Seating(self.word[some], self.context[some], self.n[some], self.n_words, self.parent)
+
+    def parts(self, buckets: int) -> list[tuple[int, np.ndarray]]:
+        """Contexts are summed over all buckets in parts, by their ids: each part and the places in `ids` of its contexts."""
+        part = bucket_of(self.ids, buckets)
+        order = np.argsort(part, kind="stable")
+        present, start = np.unique(part[order], return_index=True)
+        return [*zip(present.tolist(), np.split(order, start[1:]), strict=True)] if len(present) else []
+
+    def spread(self, summed: pd.DataFrame, name: str, buckets: int) -> np.ndarray:
+        """By context, what the parts sent back; 0 for parents."""
+        out = np.zeros(len(self.parent))
+        for (_, places), x in zip(self.parts(buckets), summed.sort_values("part")[name], strict=True):
+            out[CLASSES + places] = unpack(x)
+        return out
+
+
+def _flat(sums: list) -> bytes:
+    return np.concatenate([np.asarray(s, "<f8") for s in sums]).tobytes()
+
+
+def _added(rows: DataFrame, sizes: list[int]) -> list[np.ndarray]:
+    """Sums of what _flat() gave in the column sums."""
 
+    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            for one in x["sums"]:
+                yield _keyed([np.frombuffer(one, "<f8")])
 
-def _dishes(word: np.ndarray, context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct word * WIDTH + context and their counts; the dish of each pair follows from np.searchsorted."""
-    key = word * WIDTH + context
-    dishes, at = np.unique(key, return_inverse=True)
-    return dishes, np.bincount(at, counts, len(dishes)).astype(np.int64)
+    return _sums(rows.select("sums").mapInPandas(cells, "key int, value double"), sizes)
 
 
 def _sums(rows: DataFrame, sizes: list[int]) -> list[np.ndarray]:
@@ -423,94 +526,130 @@ def _keyed(sums: list) -> pd.DataFrame:
     return pd.DataFrame({"key": some, "value": flat[some]})
 
 
-STATE = [WIDTH, CLASSES, CLASSES, 1, 1]  # sizes of Seating.sums()
-
-
-def learn(blocks: DataFrame, parent: np.ndarray, rounds: int, sweeps: int, seed: int, strengths: tuple[float, float, float] | None = None) -> Totals:
-    """The restaurants' totals after `rounds` rounds; at most 2 * WIDTH + 2 * CLASSES + 9 sums are collected in each. `strengths` of words' restaurants, parents and root, if they are not to be sampled."""
-    names = ["bucket", "word", "context", "counts", "n_words"]
+STATE = [CLASSES, CLASSES, 1, 1]  # sizes of Seating.sums() but for words' own restaurants
 
-    def gather(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("block")
-        word, entry, context, counts, _ = _bucket(x)
-        dishes, n = _dishes(word[entry], context, counts)
-        dishes, n = dishes[n > 0], n[n > 0]
-        words, word = np.unique(dishes // WIDTH, return_inverse=True)
-        return pd.DataFrame([[int(x["bucket"].iloc[0]), word.astype("<i4").tobytes(), (dishes % WIDTH).astype("<u2").tobytes(), n.astype("<i8").tobytes(), len(words)]], columns=names)
 
-    entries = blocks.filter("kind = 0").select("block", "bucket", "hashes", "contexts", "context", "counts")
-    dishes = written(entries.groupBy("bucket").applyInPandas(gather, "bucket long, word binary, context binary, counts binary, n_words long"), "hpy-dishes")
+def linked(table: DataFrame, buckets: int) -> DataFrame:
+    """part, bucket, place, customers, tables: for the contexts that a bucket has in a part (ascending), their places among the part's contexts, and customers and, at the start, tables of their whole restaurants."""
 
-    def seatings(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Seating]]:
+    def up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            for b, w, c, n, k in x.itertuples(index=False, name=None):
-                yield b, Seating(np.frombuffer(w, "<i4").astype(np.int64), np.frombuffer(c, "<u2").astype(np.int64), np.frombuffer(n, "<i8"), k, parent)
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, s in seatings(frames):
-            state = s.start()
-            served = [(v == k).sum() for v in (s.counts, state[1], state[3]) for k in (1, 2)]
-            yield _keyed([np.bincount(s.context, s.counts, WIDTH), *s.sums(state), [s.total.sum(), s.n_words], served])
-
-    customers, own, shared, shared_tables, roots, top, (tokens, words), served = _sums(dishes.mapInPandas(count, "key int, value double"), [WIDTH, *STATE, 2, 6])
+            for _, row in x.iterrows():
+                b = Bucket(row)
+                s = b.seating()
+                customers, tables = np.bincount(s.context, s.counts, s.n_contexts).astype(np.int64)[CLASSES:], s.sums(s.start())[0].astype(np.int64)[CLASSES:]
+                out = [(part, b.number, pack_ascending(b.ids[at]), pack(customers[at]), pack(tables[at])) for part, at in b.parts(buckets)]
+                yield pd.DataFrame(out, columns=["part", "bucket", "ids", "customers", "tables"])
+
+    def link(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("bucket")
+        ids = [unpack_ascending(i) for i in x["ids"]]
+        _, place = np.unique(np.concatenate(ids), return_inverse=True)
+        cut = np.cumsum([len(i) for i in ids])[:-1]
+        total = lambda name: np.bincount(place, joined(x[name])[0]).astype(np.int64)[place]
+        split = lambda v: [pack(i) for i in np.split(v, cut)]
+        return pd.DataFrame({"part": x["part"].to_numpy(), "bucket": x["bucket"].to_numpy(), "place": split(place), "customers": split(total("customers")), "tables": split(total("tables"))})
+
+    x = table.mapInPandas(up, "part long, bucket long, ids binary, customers binary, tables binary")
+    return dealt(x.groupBy("part").applyInPandas(link, "part long, bucket long, place binary, customers binary, tables binary"), "part", "hpy-links")
+
+
+def learn(table: DataFrame, buckets: int, rounds: int, sweeps: int, seed: int, strengths: tuple[float, float, float] | None = None) -> tuple[Totals, DataFrame]:
+    """The totals of parents, root and strengths after `rounds` rounds, and bucket, part, customers, tables: those of words' own restaurants, for each bucket that has dishes in them.
+
+    Only sums by class and a row of two numbers per part are collected in each round. `strengths` of words' restaurants, parents and root, if they are not to be sampled."""
+    shared, shared_tables, roots, top, (tokens, words), served = _added(table, [*STATE, 2, 6])
     discounts = [float(np.clip(once / max(1.0, once + 2 * twice), 0.1, 0.95)) for once, twice in served.reshape(3, 2)]
     rng = None if strengths else np.random.default_rng([seed, 1 << 20])
     theta = strengths or (1.0, 1.0, 1.0)
-    totals = Totals(int(tokens), int(words), Level(discounts[0], theta[0], customers, own), Level(discounts[1], theta[1], shared, shared_tables), Level(discounts[2], theta[2], roots, top))
-    for k in range(rounds):
-
-        def sample(frames: Iterator[pd.DataFrame], known: Totals = totals, k: int = k) -> Iterator[pd.DataFrame]:
-            for b, s in seatings(frames):
-                for state in s.sweeps(known, sweeps, np.random.default_rng([seed, k, b])):
-                    pass
-                yield _keyed(s.sums(state))
-
-        own, shared, shared_tables, roots, top = _sums(dishes.mapInPandas(sample, "key int, value double"), STATE)
-        totals = Totals(totals.tokens, totals.words, totals.own.seated(customers, own, rng), totals.shared.seated(shared, shared_tables, rng), totals.root.seated(roots, top, rng))
-    drop(dishes)
-    return totals
+    nothing = np.zeros(0)
+    totals = Totals(int(tokens), int(words), Level(discounts[0], theta[0], nothing, nothing), Level(discounts[1], theta[1], shared, shared_tables), Level(discounts[2], theta[2], roots, top))
+    links = linked(table, buckets)
+    down, last = links.select("bucket", "part", "customers", "tables"), None
+    for k in range(rounds):  # each round is run before the next begins
+
+        def sample(x: pd.DataFrame, summed: pd.DataFrame) -> pd.DataFrame:
+            b = Bucket(x.iloc[0])
+            s = b.seating()
+            known = replace(totals, own=replace(totals.own, tables=b.spread(summed, "tables", buckets)))
+            for state in s.sweeps(known, sweeps, np.random.default_rng([seed, k, b.number])):  # noqa: B007
+                pass
+            own, *sums = s.sums(state)
+            out = [(part, b.number, pack(own[CLASSES + at]), None) for part, at in b.parts(buckets)]
+            return pd.DataFrame([*out, (-1, b.number, None, _flat(sums))], columns=["part", "bucket", "tables", "sums"])
+
+        def total(x: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+            x, got = x.sort_values("bucket"), got.sort_values("bucket")
+            place, sizes = joined(x["place"])
+            customers, tables = np.zeros(place.max() + 1), np.bincount(place, joined(got["tables"])[0])
+            customers[place] = joined(x["customers"])[0]
+            part = int(x["part"].iloc[0])
+            logs, coins = strength_terms(totals.own.strength, totals.own.discount, customers, tables, np.random.default_rng([seed, 1 << 20, k, part]))
+            back = [pack(t) for t in np.split(tables[place], np.cumsum(sizes)[:-1])]
+            out = pd.DataFrame({"bucket": x["bucket"].to_numpy(), "part": part, "customers": x["customers"].to_numpy(), "tables": back, "logs": 0.0, "coins": 0.0})
+            return pd.concat([out, pd.DataFrame([[-1, part, None, None, logs, coins]], columns=out.columns)])
+
+        up = written(table.groupBy("bucket").cogroup(down.groupBy("bucket")).applyInPandas(sample, "part long, bucket long, tables binary, sums binary"), "hpy-up")
+        shared, shared_tables, roots, top = _added(up.filter("part = -1"), STATE)
+        back = links.groupBy("part").cogroup(up.filter("part >= 0").groupBy("part")).applyInPandas(total, "bucket long, part long, customers binary, tables binary, logs double, coins double")
+        back = written(back, "hpy-down")
+        down = back.filter("bucket >= 0").select("bucket", "part", "customers", "tables")
+        own = totals.own
+        if rng is not None:
+            shares = back.filter("bucket < 0").select("part", "logs", "coins").orderBy("part").toPandas()
+            own = replace(own, strength=strength_from(shares["logs"].sum(), shares["coins"].sum(), rng))
+        totals = Totals(totals.tokens, totals.words, own, totals.shared.seated(shared, shared_tables, rng), totals.root.seated(roots, top, rng))
+        drop(up, *([last] if last else []))
+        last = back
+    if rounds:
+        drop(links)
+    return totals, down
 
 
 def score(
-    docs: DataFrame, held: Column, rounds: int = 2, sweeps: int = 3, burn_in: int = 2, samples: int = 4, block: int = 16 << 20, bucket: int = 12 << 20, contexts: int = 4096, seed: int = 5, strengths: tuple[float, float, float] | None = None
+    docs: DataFrame, held: Column, rounds: int = 2, sweeps: int = 3, burn_in: int = 2, samples: int = 4, block: int = 16 << 20, bucket: int = 12 << 20, contexts: int | None = None, seed: int = 5, strengths: tuple[float, float, float] | None = None
 ) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs(doc_id, text); rows where `held` is false train."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs(doc_id, text); rows where `held` is false train.
+
+    All words have restaurants of their own; with `contexts`, only those that make up a share of 1 / `contexts` of all training tokens."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    own, last = frequent(docs, held, contexts, block)
-    parent = np.concatenate([np.arange(CLASSES), last])
-    blocks = written(blocks_of(docs, held, size // bucket + 1, block, own), "hpy-blocks", "zstd")
-    totals = learn(blocks, parent, rounds, sweeps, seed, strengths)
-
-    def predict(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("block")
-        word, entry, context, counts, n_words = _bucket(x)
-        dishes, n = _dishes(word[entry], context, counts)
-        s = Seating(dishes // WIDTH, dishes % WIDTH, n, n_words, parent)
-        p = np.zeros(len(dishes))
-        for k, state in enumerate(s.sweeps(totals, burn_in + samples, np.random.default_rng([seed, rounds, int(x["bucket"].iloc[0])]))):
+    own = None if contexts is None else frequent(docs, held, contexts, block)[0]
+    buckets = size // bucket + 1
+    texts = dealt(texts_of(docs, held, block, own), "block", "hpy-texts")
+
+    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            for _, row in x.iterrows():
+                yield pd.DataFrame(Pairs.of(row, buckets).rows(row["block"], np.frombuffer(row["held"], bool)), columns=["bucket", "block", "words", "n", "ids", "context", "counts"])
+
+    sent = texts.mapInPandas(entries, "bucket long, block long, words binary, n binary, ids binary, context binary, counts binary")
+    table = dealt(sent.groupBy("bucket").applyInPandas(gathered, TABLE_SQL), "bucket", "hpy-table")
+    totals, down = learn(table, buckets, rounds, sweeps, seed, strengths)
+
+    def predict(x: pd.DataFrame, summed: pd.DataFrame) -> pd.DataFrame:
+        b = Bucket(x.iloc[0])
+        s = b.seating(untrained=True)
+        known = replace(totals, own=replace(totals.own, customers=b.spread(summed, "customers", buckets), tables=b.spread(summed, "tables", buckets)))
+        p = np.zeros(len(b.n))
+        for k, state in enumerate(s.sweeps(known, burn_in + samples, np.random.default_rng([seed, rounds, b.number]))):
             if k >= burn_in:
-                p += s.dishes(totals, state)
-        logs = np.log10(p / samples).astype("<f4")
-        logs = logs[np.searchsorted(dishes, word[entry] * WIDTH + context)]
-        known = s.total.astype("<i8")[word]
-        entries = x["hashes"].map(len).to_numpy() // 8
-        pairs = x["context"].map(len).to_numpy() // 2
-        cut = lambda v, sizes: [c.tobytes() for c in np.split(v, np.cumsum(sizes)[:-1])]
-        return pd.DataFrame({"block": x["block"].to_numpy(), "bucket": x["bucket"].to_numpy(), "known": cut(known, entries), "logs": cut(logs, pairs)})
-
-    entries = blocks.filter("kind = 0").select("block", "bucket", "hashes", "contexts", "context", "counts")
-    back = entries.groupBy("bucket").applyInPandas(predict, "block long, bucket long, known binary, logs binary")
-    texts = blocks.filter("kind = 1").select("block", "doc_ids", "no_id", "held", "lengths", "tokens", "pairs", "contexts")
+                p += s.dishes(known, state)
+        logs = np.log10(p / samples).astype("<f4")[b.at]
+        cut = np.cumsum(b.entries)[:-1]
+        pairs = np.concatenate([[0], np.cumsum(b.contexts)])[cut]
+        planes = lambda v: np.ascontiguousarray(v.view("u1").reshape(-1, 4).T).tobytes()
+        return pd.DataFrame({"block": b.blocks, "bucket": b.number, "known": [pack(v) for v in np.split(s.total.astype(np.int64)[b.words], cut)], "logs": [planes(v) for v in np.split(logs, pairs)]})
+
+    back = table.groupBy("bucket").cogroup(down.groupBy("bucket")).applyInPandas(predict, "block long, bucket long, known binary, logs binary")
     columns = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def total(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         own, got = own.iloc[0], got.sort_values("bucket")
-        logs, known = np.frombuffer(b"".join(got["logs"]), "<f4"), np.frombuffer(b"".join(got["known"]), "<i8")
-        known = np.repeat(known, np.frombuffer(own["contexts"], "<u2"))
-        tokens = np.ascontiguousarray(np.frombuffer(own["tokens"], "u1").reshape(4, -1).T).view("<i4").ravel()
-        of, lengths = np.frombuffer(own["pairs"], "<i4"), np.frombuffer(own["lengths"], "<i8")
+        x = Pairs.of(own, buckets)
+        logs = np.concatenate([np.ascontiguousarray(np.frombuffer(v, "u1").reshape(4, -1).T).view("<f4").ravel() for v in got["logs"]])
+        known, lengths = joined(got["known"])[0][x.word], x.lengths
         start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        sums = lambda v: np.add.reduceat(v[of][tokens], start)
+        sums = lambda v: np.add.reduceat(v[x.tokens], start)
         ids = pd.arrays.IntegerArray(np.frombuffer(own["doc_ids"], "<i8").copy(), np.frombuffer(own["no_id"], bool).copy())
         base = np.log10((known + 1) / (totals.tokens + totals.words + 1))
         out = {"doc_id": ids, "held_out": np.frombuffer(own["held"], bool), "n_tokens": lengths, "n_known": sums((known > 0).astype(np.int64)), "train_tokens": totals.tokens, "base_score": sums(base), "score": sums(logs.astype(np.float64))}

@@ -187,6 +187,21 @@ def test_scores_use_contexts(spark):
     assert out.s / out.n > out.b / out.n + 0.5
 
 
+def test_rare_words_have_restaurants(spark):
+    """Words far below 1/4096 of all tokens, of one last byte, each with a word that follows it; the same scores from other partitions, blocks and numbers of buckets' files."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    train, ask = [i for i in range(400) if not held(i)][:300], [i for i in range(400) if held(i)][:40]
+    follows = lambda k: f"w{k % 20}"
+    data = [(i, f"rare{n % 100}q {follows(n % 100)} " + "filler words here " * 40) for n, i in enumerate(train)]
+    data += [(i, f"rare{n}q {follows(n if n % 2 else n + 1)}") for n, i in enumerate(ask)]
+    assert sum(len(t.split()) + 1 for i, t in data if not held(i)) > 3 * 4096  # each of the rare words is there three times
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in hpylm.score(df, hpylm.held_out(), block=4000, bucket=3000).collect()}
+    right, wrong = [got[i] for n, i in enumerate(ask) if n % 2], [got[i] for n, i in enumerate(ask) if not n % 2]
+    assert min(right) > max(wrong) + 0.5
+    assert got == {r.doc_id: r.score for r in hpylm.score(df.repartition(3, "text"), hpylm.held_out(), block=20_000, bucket=3000).collect()}
+
+
 def test_predictions_add_up_to_one():
     rng = np.random.default_rng(5)
     parent = np.concatenate([np.arange(hpylm.CLASSES), [0, 0, 1]])
