@@ -143,7 +143,7 @@ def _ranked(edges: DataFrame) -> DataFrame:
 
 def lineages(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """track, frame, label, path: a track goes on while a cell has one child; at a division child i starts track_i. path orders the
-    cells of a frame as a depth-first walk meets them.
+    cells of a frame as a depth-first walk meets them: a digit for most divisions, as names and paths are as long as lineages are deep.
 
     Each cell points to its parent and holds its own piece of the name; joining the pointers with themselves doubles the
     reach, so the rounds are as many as the longest lineage has binary digits, whatever the recursion limits."""
@@ -158,7 +158,7 @@ def lineages(cells: DataFrame, edges: DataFrame) -> DataFrame:
         F.col("frame").cast("long").alias("up_frame"),
         F.col("label").cast("long").alias("up_label"),
         F.when(alone, "").otherwise(F.concat(F.lit("_"), F.col("place").cast("string"))).alias("track"),
-        F.when(alone, "").otherwise(F.concat(F.lit("."), F.lpad(F.col("place").cast("string"), 4, "0"))).alias("path"),
+        F.when(alone, "").when(F.col("place") < 9, F.col("place").cast("string")).otherwise(F.concat(F.lit("9"), F.lpad(F.col("place").cast("string"), 10, "0"))).alias("path"),
     )
     now, settled = written(first.unionByName(steps), "lineage"), []
     drop(cells, edges)
@@ -173,15 +173,14 @@ def lineages(cells: DataFrame, edges: DataFrame) -> DataFrame:
         now = written(x.select("frame", "label", F.col("uf").alias("up_frame"), F.col("ul").alias("up_label"), F.concat("t", "track").alias("track"), F.concat("p", "path").alias("path")), "lineage")
 
 
-def virtual_rows(walk: DataFrame) -> DataFrame:
-    """frame, label, row: the place of each cell in its frame as a depth-first walk over all trees fills it, from 1."""
-    return walk.select("frame", "label", F.row_number().over(Window.partitionBy("frame").orderBy("path")).cast("long").alias("row"))
+def virtual_rows(walk: DataFrame, *more: str) -> DataFrame:
+    """frame, label, row and `more`: the place of each cell in its frame as a depth-first walk over all trees fills it, from 1."""
+    return walk.select("frame", "label", *more, F.row_number().over(Window.partitionBy("frame").orderBy("path")).cast("long").alias("row"))
 
 
 def export_graph(cells: DataFrame, edges: DataFrame, walk: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes(id, frame, label, row, track) in order of frame and label, and arcs(a, b) between their ids."""
-    rows = virtual_rows(walk).join(walk.select("frame", "label", "track"), ["frame", "label"])
-    nodes = written(in_order(rows, "id").select("id", "frame", "label", "row", "track"), "nodes")
+    nodes = written(in_order(virtual_rows(walk, "track"), "id").select("id", "frame", "label", "row", "track"), "nodes")  # names move once, to their frame
     a = nodes.select(F.col("id").alias("a"), "frame", "label")
     b = nodes.select(F.col("id").alias("b"), F.col("frame").alias("next_frame"), F.col("label").alias("next_label"))
     x = edges.withColumn("next_frame", next_frame(edges))

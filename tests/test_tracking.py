@@ -340,3 +340,17 @@ def test_shapes_that_are_no_rectangles(spark):
     assert convex[1] == pytest.approx(58 / 73) and convex[2] == pytest.approx(36 / 100) and convex[3] == pytest.approx(25 / 16)
     fits = {r.label: r for r in geometry.ellipses(p).collect()}
     assert fits[1].angle == pytest.approx(45.0, abs=3) and fits[2].ar == pytest.approx(1.0) and fits[2].angle == 0.0
+
+
+def test_paths_are_short_and_keep_any_number_of_siblings(spark):
+    """Forty divisions in a row: the path is no longer than the name but for the root's digits; rows follow the places of 10,002 children."""
+    chain = [(k, 1, c) for k in range(40) for c in (1, 2)]
+    cells = spark.createDataFrame([(0, 1), *[(k + 1, c) for k, _, c in chain]], "frame long, label long")
+    walk = tracking.lineages(cells, spark.createDataFrame(chain, "frame long, label long, next_label long"))
+    last = walk.filter("frame = 40").orderBy("label").collect()
+    assert [r.track for r in last] == ["Cell_0" + "_0" * 39 + end for end in ("_0", "_1")] and last[0].path < last[1].path
+    assert all(len(r.path) < len(r.track) for r in last)
+    wide = spark.range(1, 10_003).selectExpr("0L AS frame", "1L AS label", "id AS next_label")
+    cells = wide.selectExpr("1L AS frame", "next_label AS label").unionByName(wide.select("frame", "label").distinct())
+    rows = tracking.virtual_rows(tracking.lineages(cells, wide)).filter("frame = 1")
+    assert rows.filter("row <> label").count() == 0 and rows.count() == 10_002
