@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def relabel(pixels: DataFrame) -> DataFrame:
@@ -55,8 +56,31 @@ def _places() -> list[Column]:
     return [F.avg("y").alias("com_y"), F.avg("x").alias("com_x"), F.count("*").alias("area")]
 
 
-def _moments() -> list[Column]:
-    return [F.round(c, 9).alias(n) for n, c in (("vy", F.var_pop("y")), ("vx", F.var_pop("x")), ("vxy", F.covar_pop("y", "x")))]
+def _sums(a: str, b: str) -> Column:
+    """n, the rows with both of two whole numbers, and moment, n * n times their population covariance. Products are summed by their upper and lower 32 bits, as the whole sum may pass 64."""
+    a, b = f"CAST({a} AS BIGINT)", f"CAST({b} AS BIGINT)"
+    n = f"CAST(count({a} * {b}) AS DECIMAL(20, 0))"
+    products = f"(CAST(sum(shiftright({a} * {b}, 32)) AS DECIMAL(38, 0)) * {2**32} + sum({a} * {b} & {2**32 - 1}))"
+    totals = [f"CAST(sum(CASE WHEN {other} IS NOT NULL THEN {c} END) AS DECIMAL(38, 0))" for c, other in ((a, b), (b, a))]
+    return F.expr(f"named_struct('n', {n}, 'moment', {n} * {products} - {totals[0]} * {totals[1]})")
+
+
+def _covariance(s: str) -> Column:
+    """The covariance of _sums() to nine digits, halves away from zero."""
+    twice = f"({2 * 10**9} * {s}.moment + CASE WHEN {s}.moment < 0 THEN -{s}.n * {s}.n ELSE {s}.n * {s}.n END)"
+    by = f"(2 * {s}.n * {s}.n)"
+    return F.expr(f"CAST(({twice} - {twice} % {by}) / {by} AS DOUBLE) / 1e9D")
+
+
+def _moments(pixels: DataFrame, *also: Column) -> DataFrame:
+    """frame, label, also, vy, vx, vxy of the labels, moments to nine digits.
+
+    They are worked out in whole numbers: in doubles, one that ends in 5 at the tenth digit (of 32 pixels, say) falls to either side by the order in which rows come. Places between pixels stay doubles."""
+    cells = pixels.filter("label <> 0").groupBy("frame", "label")
+    if not all(isinstance(pixels.schema[c].dataType, IntegralType) for c in ("y", "x")):
+        return cells.agg(*also, *[F.round(c, 9).alias(n) for n, c in (("vy", F.var_pop("y")), ("vx", F.var_pop("x")), ("vxy", F.covar_pop("y", "x")))])
+    x = cells.agg(*also, *[_sums(a, b).alias(n) for n, a, b in (("vy", "y", "y"), ("vx", "x", "x"), ("vxy", "y", "x"))])
+    return x.select([_covariance(c).alias(c) if c in ("vy", "vx", "vxy") else c for c in x.columns])
 
 
 def _axes() -> list[Column]:
@@ -72,13 +96,13 @@ def shape_stats(pixels: DataFrame) -> DataFrame:
 
 def moment_ellipse(pixels: DataFrame) -> DataFrame:
     """frame, label, major, minor, angle of the ellipse with the region's second moments (not a contour fit)."""
-    return pixels.filter("label <> 0").groupBy("frame", "label").agg(*_moments()).select("frame", "label", *_axes())
+    return _moments(pixels).select("frame", "label", *_axes())
 
 
 def tracked_shapes(pixels: DataFrame) -> DataFrame:
     """shape_stats() with angle (0 to 180) and ar of the moment ellipse, rounded to five digits so that a line's minor axis is 0; ar is 0 for such cells. Pixels are grouped once."""
     stats = ["frame", "label", "com_y", "com_x", "area"]
-    e = pixels.filter("label <> 0").groupBy("frame", "label").agg(*_places(), *_moments()).select(*stats, *_axes())
+    e = _moments(pixels, *_places()).select(*stats, *_axes())
     e = e.select(*stats, *[F.round(c, 5).alias(c) for c in ("angle", "major", "minor")])
     turned = F.when(F.col("angle") < 0, F.col("angle") + 180).otherwise(F.col("angle"))
     return e.select(*stats, turned.alias("angle"), F.when(F.col("minor") == 0, 0.0).otherwise(F.col("major") / F.col("minor")).alias("ar"))

@@ -354,3 +354,27 @@ def test_paths_are_short_and_keep_any_number_of_siblings(spark):
     cells = wide.selectExpr("1L AS frame", "next_label AS label").unionByName(wide.select("frame", "label").distinct())
     rows = tracking.virtual_rows(tracking.lineages(cells, wide)).filter("frame = 1")
     assert rows.filter("row <> label").count() == 0 and rows.count() == 10_002
+
+
+def test_moments_at_a_tie_are_the_same_for_any_order(spark):
+    """32 pixels: vy and vx are 2943/1024 and vxy is -1/1024, all ending in 5 at the tenth digit. The axes lie at -45 degrees, wherever the cell is and however its rows come."""
+    cell = [(y, x) for y in range(6) for x in range(6) if (y, x) not in ((0, 1), (1, 4), (4, 0), (4, 4))]
+    rows = [(0, k, 7 * k + y, 13 * k + x) for k in range(1, 41) for y, x in cell]
+    for seed in range(3):
+        p = spark.createDataFrame(rows, "frame long, label long, y long, x long").orderBy(F.rand(seed)).repartition(seed + 2)
+        got = labels.moment_ellipse(p).select("label", *[F.round(c, 5).alias(c) for c in ("major", "minor", "angle")]).collect()
+        assert {r.label for r in got} == set(range(1, 41)) and {tuple(r)[1:] for r in got} == {(6.78233, 6.78003, -45.0)}
+        assert {r.angle for r in labels.tracked_shapes(p).collect()} == {135.0}
+
+
+def test_moments_of_odd_places(spark):
+    """One pixel, rows without a coordinate, negative and very large ones, an upright cell (90 degrees, not -90), integers of 32 bits and places between pixels."""
+    far = 2_000_000_000
+    rows = [(1, 5, 5), *[(2, -y, 3) for y in range(4)], *[(3, far + y, far - x) for y in range(3) for x in range(9)], (4, None, 1), (4, 2, None), (5, 0, 0), (5, 2, 2), (5, None, 9), (6, None, None)]
+    p = spark.createDataFrame(rows, "label int, y int, x int").withColumn("frame", F.lit(0))
+    want = {1: (0.0, 0.0, 0.0), 2: (4.47214, 0.0, 90.0), 3: (10.32796, 3.26599, 0.0), 4: (None, 0.0, None), 6: (None, 0.0, None)}
+    shapes = lambda p: {r.label: tuple(r)[1:] for r in labels.moment_ellipse(p).select("label", *[F.round(c, 5).alias(c) for c in ("major", "minor", "angle")]).collect()}
+    got = shapes(p)
+    assert {k: got[k] for k in want} == want
+    half = p.filter("label in (1, 2, 3)").withColumn("y", F.col("y") / 2).withColumn("x", F.col("x") / 2)
+    assert shapes(half)[2] == (2.23607, 0.0, 90.0)
