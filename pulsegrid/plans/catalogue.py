@@ -1036,6 +1036,5 @@ def session_import(spark, d):
     """The table as a session's three files, read back."""
     p, folder = pixels(spark, d), f"{shared_dir(spark)}/pulsegrid-session-{uuid.uuid4().hex}"
     sessions.make_folder(spark, folder)
-    for file, (column, dtype) in sessions.STACKS.items():
-        sessions.write_stack(p, column, dtype, f"{folder}/{file}")
+    sessions.write_stacks(p, folder)
     return sessions.read_pixels(spark, folder).select(*whole(*YXL), r("ac").alias("ac"), r("dc", 4).alias("dc"))

@@ -71,9 +71,12 @@ def write_parts(rows: DataFrame, order: list[str], path: str, encode: Callable[[
     spark.range(1).repartition(1).mapInPandas(copy, "bytes long").collect()  # bytes as they are, by one task
 
 
-def write_pages(pages: DataFrame, shape: tuple[int, int], dtype: str, path: str, together: int = 1 << 28, big: bool | None = None) -> None:
-    """pages(frame, page) as a multipage TIFF in order of frames, a page being the bytes of an image; a part holds about `together` bytes. big: what kind of file, if it isn't left to the size."""
-    numbers = written(folders.in_order(pages.select("frame").distinct(), "number", "frame"), "page-numbers")
+def write_pages(pages: DataFrame, shape: tuple[int, int], dtype: str, path: str, together: int = 1 << 28, big: bool | None = None, numbers: DataFrame | None = None) -> None:
+    """pages(frame, page) as a multipage TIFF in order of frames, a page being the bytes of an image; a part holds about `together` bytes. big: what kind of file, if it isn't left to the size.
+
+    numbers(frame, number) are the pages' frames with their places in the file, if they are known; else all pages are made once more to find them."""
+    if numbers is None:
+        numbers = written(folders.in_order(pages.select("frame").distinct(), "number", "frame"), "page-numbers")
     n = numbers.count()
     if big is None:
         big = len(tiff.head(False)) + n * tiff.page_size(shape, dtype, False) >= 1 << 32
@@ -83,22 +86,41 @@ def write_pages(pages: DataFrame, shape: tuple[int, int], dtype: str, path: str,
         for number, raw in zip(x["number"], x["page"], strict=True):
             yield tiff.page_bytes(raw, shape, dtype, int(number), int(number) == n - 1, big)
 
+    numbers = numbers.select("frame", "number")
     rows = pages.join(F.broadcast(numbers) if n <= 1_000_000 else numbers, "frame").withColumn("part", F.floor(F.col("number") / per).cast("long"))
     write_parts(rows.repartition(max(1, -(-n // per)), "part"), ["number"], path, encode, tiff.head(big))
 
 
-def write_stack(pixels: DataFrame, value: str, dtype: str, path: str) -> None:
-    """pixels(frame, y, x, value) as a page per frame; pixels that aren't there are 0."""
-    height, width = pixels.agg(F.max("y"), F.max("x")).first()
-    shape = (int(height or 0) + 1, int(width or 0) + 1)
+def page_frames(pixels: DataFrame) -> DataFrame:
+    """frame, number, bottom, right: the frames of pixels in order, each with its last row and column. The pixels are read once."""
+    found = pixels.groupBy(F.col("frame").cast("long").alias("frame")).agg(F.max("y").alias("bottom"), F.max("x").alias("right"))
+    # Written before they are put in order, since range partitioning works out its input twice.
+    return written(folders.in_order(written(found, "frames"), "number", "frame"), "page-numbers")
+
+
+def write_stack(pixels: DataFrame, value: str, dtype: str, path: str, frames: DataFrame | None = None) -> None:
+    """pixels(frame, y, x, value) as a page per frame; pixels that aren't there are 0. frames: page_frames(pixels), if several stacks are made of them."""
+
+    with scratch(pixels.sparkSession):
+        frames = page_frames(pixels) if frames is None else frames
+        height, width = frames.agg(F.max("bottom"), F.max("right")).first()
+        shape = (int(height or 0) + 1, int(width or 0) + 1)
+
+        def pack(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+            image = np.zeros(shape, dtype)
+            image[x["y"], x["x"]] = x[value]
+            return pd.DataFrame({"frame": [int(key[0])], "page": [image.tobytes()]})
+
+        write_pages(pixels.select("frame", "y", "x", value).groupBy("frame").applyInPandas(pack, "frame long, page binary"), shape, dtype, path, numbers=frames)
 
-    def pack(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros(shape, dtype)
-        image[x["y"], x["x"]] = x[value]
-        return pd.DataFrame({"frame": [int(key[0])], "page": [image.tobytes()]})
 
+def write_stacks(pixels: DataFrame, folder: str) -> None:
+    """The stacks of a session, from pixels that are worked out once."""
     with scratch(pixels.sparkSession):
-        write_pages(pixels.select("frame", "y", "x", value).groupBy("frame").applyInPandas(pack, "frame long, page binary"), shape, dtype, path)
+        pixels = written(pixels.select("frame", "y", "x", *[column for column, _ in STACKS.values()]), "pixels")
+        frames = page_frames(pixels)
+        for file, (column, dtype) in STACKS.items():
+            write_stack(pixels, column, dtype, f"{folder}/{file}", frames)
 
 
 def write_series(series: DataFrame, features: list[str], path: str) -> None:
@@ -123,8 +145,7 @@ def make_folder(spark: SparkSession, folder: str) -> None:
 
 def write_session(pixels: DataFrame, series: DataFrame, features: list[str], folder: str) -> None:
     make_folder(pixels.sparkSession, folder)
-    for file, (column, dtype) in STACKS.items():
-        write_stack(pixels, column, dtype, f"{folder}/{file}")
+    write_stacks(pixels, folder)
     write_series(series, features, f"{folder}/{SERIES}")
 
 

@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import lanes
@@ -70,3 +71,34 @@ def test_mean_signal_of_whole_lanes(spark):
     stack = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [3.0, 6.0])], "k int, signal array<double>")
     flat = lambda x: sorted((r.t, r.m) for r in x.collect())
     assert flat(signal.mean_signal(stack)) == [(0, 2.0), (1, 4.0), (2, 3.0)]
+
+
+def test_stacks_from_pixels_worked_out_once(spark, tmp_path):
+    """Three files are made of each pixel, which is worked out once; frames may have gaps, rows may come twice, values may be null."""
+    rows = [(f, y, x, 1 + y % 2, float(f + x), None if x == 2 else 0.5 * y) for f in (7, 0, 3) for y in range(4) for x in range(3) if (f, y) != (3, 1)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(frames):
+        for x in frames:
+            seen.add(len(x))
+            yield x
+
+    kinds = "frame long, y long, x long, label long, ac double, dc double"
+    pixels = spark.createDataFrame([*rows, *rows[:5]], kinds).mapInPandas(passed, kinds)
+    sessions.make_folder(spark, str(tmp_path))
+    sessions.write_stacks(pixels, str(tmp_path))
+    assert seen.value == len(rows) + 5
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == sorted(sessions.STACKS)
+    got = {(r.frame, r.y, r.x): (r.label, r.ac, None if r.dc != r.dc else r.dc) for r in sessions.read_pixels(spark, str(tmp_path)).collect()}
+    there = {([0, 3, 7].index(f), y, x): rest for f, y, x, *rest in rows}
+    assert got == {(f, y, x): tuple(there.get((f, y, x), (0, 0.0, 0.0))) for f in range(3) for y in range(4) for x in range(3)}
+
+
+def test_stack_frames_are_found_without_making_pages(spark, tmp_path):
+    pixels = spark.createDataFrame([(5, 1, 2, 1.0), (5, 0, 4, 2.0), (2, 3, 0, 3.0)], "frame int, y long, x long, dc double")
+    assert sorted(map(tuple, sessions.page_frames(pixels).select("frame", "number", "bottom", "right").collect())) == [(2, 0, 3, 0), (5, 1, 1, 4)]
+    assert sessions.page_frames(pixels.limit(0)).count() == 0
+    sessions.write_stack(pixels.limit(0), "dc", "<f8", str(tmp_path / "none.tif"))
+    assert (tmp_path / "none.tif").read_bytes() == b"II*\0\x08\0\0\0"
+    with pytest.raises(PythonException):  # a page without a frame has no place
+        sessions.write_stack(pixels.unionByName(spark.createDataFrame([(None, 1, 2, 1.0)], pixels.schema)), "dc", "<f8", str(tmp_path / "null.tif"))
