@@ -11,14 +11,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pulsegrid.operators import labels, parts
 from pulsegrid.sources.saved import drop, written
 
 # The eight neighbours clockwise from east, as (dy, dx).
 AROUND = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
+# The neighbours in the order in which a walk that came from one looks at them: the next clockwise first, the one it came from last.
+CLOCKWISE = tuple(tuple((came + turn) % 8 for turn in range(1, 9)) for came in range(8))
 
 
 def grid(y: np.ndarray, x: np.ndarray, on: np.ndarray | None = None) -> tuple[np.ndarray, int, int]:
@@ -29,56 +34,74 @@ def grid(y: np.ndarray, x: np.ndarray, on: np.ndarray | None = None) -> tuple[np
     return mask, y0, x0
 
 
-def components(mask: np.ndarray) -> list[np.ndarray]:
-    """8-connected parts of a mask as masks, in row order of their first pixels."""
+def components(mask: np.ndarray, least: float = 0.0) -> list[np.ndarray]:
+    """8-connected parts of a mask as masks, in row order of their first pixels; without those whose box has no room for an outline of the area `least`."""
     label = parts.run_labels(mask)
-    return [label == k for k in range(1, int(label.max(initial=0)) + 1)]
+    n = int(label.max(initial=0))
+    room = np.full(n + 1, np.inf)
+    if least > 0:
+        y, x = np.nonzero(label)
+        room = np.ones(n + 1)
+        for place in (y, x):
+            low, high = np.full(n + 1, max(mask.shape)), np.zeros(n + 1, np.int64)
+            np.minimum.at(low, label[y, x], place)
+            np.maximum.at(high, label[y, x], place)
+            room *= high - low
+    return [label == k for k in range(1, n + 1) if room[k] >= least]
 
 
 def trace(mask: np.ndarray) -> np.ndarray:
     """[n, 2] (x, y): the outer border of the part that holds the first pixel in row order; the mask needs a margin of one."""
-    ys, xs = np.nonzero(mask)
-    if not len(ys):
+    wide, at = mask.shape[1], mask.ravel().item  # pixels go by their place in row order
+    start = int(mask.argmax()) if mask.size else 0
+    if not mask.size or not at(start):
         return np.zeros((0, 2), np.int64)
-    start = (int(ys[0]), int(xs[0]))
+    steps = [dy * wide + dx for dy, dx in AROUND]
     walk, here, came = [], start, 4  # the pixel west of the first one is empty
     first_step = None
     while True:
-        for turn in range(1, 9):
-            k = (came + turn) % 8
-            there = (here[0] + AROUND[k][0], here[1] + AROUND[k][1])
-            if mask[there]:
+        for k in CLOCKWISE[came]:
+            if at(here + steps[k]):
                 break
         else:
-            return np.array([[start[1], start[0]]])
+            walk = [start]
+            break
         if here == start:
             if first_step is None:
                 first_step = k
             elif k == first_step:
                 break
-        walk.append((here[1], here[0]))
-        here, came = there, (k + 4) % 8
-    return np.array(walk)
+        walk.append(here)
+        here, came = here + steps[k], (k + 4) % 8
+    out = np.empty((len(walk), 2), np.int64)
+    out[:, 1], out[:, 0] = np.divmod(walk, wide)
+    return out
 
 
 def shoelace(points: np.ndarray) -> float:
     x, y = points[:, 0].astype(float), points[:, 1].astype(float)
-    return abs(float(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1)))) / 2
+    following = lambda v: np.concatenate([v[1:], v[:1]])
+    return abs(float(np.dot(x, following(y)) - np.dot(y, following(x)))) / 2
+
+
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each index as often as its count says, and beside it 0, 1, … within the index."""
+    index = np.repeat(np.arange(len(counts)), counts)
+    return index, np.arange(len(index)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def filled(points: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     """Pixels inside a polygon of pixel centres or on its border, line by line: each edge is met where it crosses a row, and spans between crossings are filled."""
     starts = np.zeros((shape[0], shape[1] + 1), np.int64)  # how many crossings lie left of a pixel, as differences
     border = np.zeros(shape, bool)
-    for (x0, y0), (x1, y1) in zip(points.tolist(), np.roll(points, -1, axis=0).tolist(), strict=True):
-        n = int(np.gcd(abs(x1 - x0), abs(y1 - y0))) or 1  # pixel centres that lie on the edge
-        k = np.arange(n + 1)
-        border[y0 + k * ((y1 - y0) // n), x0 + k * ((x1 - x0) // n)] = True
-        if y0 != y1:
-            low, high, sign = (y0, y1, 1) if y0 < y1 else (y1, y0, -1)
-            rows = np.arange(low, high)
-            across = x0 + (x1 - x0) * (rows - y0) / (y1 - y0)
-            np.add.at(starts, (rows, np.clip(np.floor(across).astype(int) + 1, 0, shape[1])), sign)
+    (x0, y0), (dx, dy) = points.T, (np.concatenate([points[1:], points[:1]]) - points).T
+    n = np.maximum(np.gcd(dx, dy), 1)  # pixel centres that lie on an edge, its end being the next one's
+    edge, k = spread(n)
+    border[y0[edge] + k * (dy // n)[edge], x0[edge] + k * (dx // n)[edge]] = True
+    edge, k = spread(np.abs(dy))  # the rows that an edge crosses, without the lowest
+    rows = np.minimum(y0, y0 + dy)[edge] + k
+    across = x0[edge] + dx[edge] * (rows - y0[edge]) / dy[edge]
+    np.add.at(starts, (rows, np.clip(np.floor(across).astype(int) + 1, 0, shape[1])), np.sign(dy)[edge])
     return (np.cumsum(starts, axis=1)[:, :-1] % 2 == 1) | border
 
 
@@ -136,54 +159,56 @@ def fit_ellipse(points: np.ndarray) -> tuple[float, float, float] | None:
     return angle, float(2 * half.max()), float(2 * half.min())
 
 
-def by_cell(pixels: DataFrame, columns: list[str], schema: str, f: Callable[[pd.DataFrame], tuple | list[tuple]]) -> DataFrame:
-    """f of each cell's pixels, in row order; schema without frame and label.
+def by_cell(pixels: DataFrame, columns: list[str], schema: str, f: Callable[[dict[str, np.ndarray]], tuple | list[tuple]]) -> DataFrame:
+    """f of each cell's pixels (y, x and columns), in row order; schema without frame and label. Points of outlines are (x, y).
 
     Cells are sorted within partitions, and many of them go to Python at once, since small groups cost more to hand over than to work out. No more than a batch and the cell that it ends with are held."""
-    names = ["frame", "label", *[c.split()[0] for c in schema.split(", ")]]
+    kinds = f"frame long, label long, {schema}"
+    out = to_arrow_schema(StructType.fromDDL(kinds))
 
-    def each(x: pd.DataFrame, at: list[int]) -> pd.DataFrame:
-        out = []
+    def each(x: pa.Table, at: list[int]) -> pa.RecordBatch:
+        frame, label = x["frame"].to_numpy(), x["label"].to_numpy()
+        values = {c: x[c].to_numpy() for c in ("y", "x", *columns)}
+        rows = []
         for a, b in zip(at, at[1:], strict=False):
-            cell = x.iloc[a:b]
-            got = f(cell.reset_index(drop=True))
-            key = int(cell["frame"].iat[0]), int(cell["label"].iat[0])
-            out += [(*key, *g) for g in (got if isinstance(got, list) else [got])]
-        return pd.DataFrame(out, columns=names)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+            got = f({c: v[a:b] for c, v in values.items()})
+            key = int(frame[a]), int(label[a])
+            rows += [(*key, *g) for g in (got if isinstance(got, list) else [got])]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind.type, from_pandas=True) for k, kind in enumerate(out)], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for x in batches:
             if not len(x):
                 continue
             held.append(x)
-            first, last = held[0].iloc[0], x.iloc[-1]
-            if first["frame"] == last["frame"] and first["label"] == last["label"]:
+            first, last = held[0].slice(0, 1), x.slice(len(x) - 1)
+            if first["frame"].equals(last["frame"]) and first["label"].equals(last["label"]):
                 continue  # still the one cell
-            x = pd.concat(held, ignore_index=True)
+            x = pa.Table.from_batches(held)
             frame, label = x["frame"].to_numpy(), x["label"].to_numpy()
             at = [0, *(np.flatnonzero((frame[1:] != frame[:-1]) | (label[1:] != label[:-1])) + 1).tolist()]
             yield each(x, at)
-            held = [x.iloc[at[-1] :]]
+            held = x.slice(at[-1]).to_batches()
         if held:
-            x = pd.concat(held, ignore_index=True)
+            x = pa.Table.from_batches(held)
             yield each(x, [0, len(x)])
 
     cells = pixels.filter("label <> 0").select("frame", "label", "y", "x", *columns)
     # As many tasks as asked for: cells are few bytes and much work.
     n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(n, "frame", "label").sortWithinPartitions("frame", "label", "y", "x").mapInPandas(run, f"frame long, label long, {schema}")
+    return cells.repartition(n, "frame", "label").sortWithinPartitions("frame", "label", "y", "x").mapInArrow(run, kinds)
 
 
-def _first_contour(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    mask, y0, x0 = grid(x["y"].to_numpy(), x["x"].to_numpy())
+def _first_contour(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, int, int]:
+    mask, y0, x0 = grid(x["y"], x["x"])
     return trace(mask), mask, y0, x0
 
 
 def contours(pixels: DataFrame) -> DataFrame:
     """frame, label, n_points, area (of the polygon), xs, ys: the first contour, closed by its first point."""
 
-    def f(x: pd.DataFrame) -> tuple:
+    def f(x: dict[str, np.ndarray]) -> tuple:
         c, _, y0, x0 = _first_contour(x)
         closed = np.concatenate([c, c[:1]])
         return len(c), shoelace(c), (closed[:, 0] + x0).tolist(), (closed[:, 1] + y0).tolist()
@@ -191,18 +216,23 @@ def contours(pixels: DataFrame) -> DataFrame:
     return by_cell(pixels, [], "n_points int, area double, xs array<int>, ys array<int>", f)
 
 
-def ellipse_of(contour: np.ndarray, pixels: int, tracking: bool) -> tuple[float, float, float]:
-    """fit_ellipse() of a contour; with four points or fewer (or points on a line): angle 0, axes 1, 1 for tracking and 0, 0 (1, 1 for a single pixel) for measurement."""
+def ellipses_of(contour: np.ndarray, pixels: int) -> tuple[tuple[float, float, float], tuple[float, float, float]]:
+    """fit_ellipse() of a contour, for tracking and for measurement; with four points or fewer (or points on a line): angle 0, axes 1, 1 for tracking and 0, 0 (1, 1 for a single pixel) for measurement."""
     e = fit_ellipse(contour) if len(contour) > 4 else None
-    side = 1.0 if tracking or pixels == 1 else 0.0
-    return e or (0.0, side, side)
+    side = 1.0 if pixels == 1 else 0.0
+    return e or (0.0, 1.0, 1.0), e or (0.0, side, side)
+
+
+def ellipse_of(contour: np.ndarray, pixels: int, tracking: bool) -> tuple[float, float, float]:
+    """One of ellipses_of()."""
+    return ellipses_of(contour, pixels)[0 if tracking else 1]
 
 
 def ellipses(pixels: DataFrame, tracking: bool = True) -> DataFrame:
     """frame, label, angle, major, minor, ar of the ellipse fitted to the first contour, as ellipse_of() says."""
 
-    def f(x: pd.DataFrame) -> tuple:
-        e = ellipse_of(_first_contour(x)[0], len(x), tracking)
+    def f(x: dict[str, np.ndarray]) -> tuple:
+        e = ellipse_of(_first_contour(x)[0], len(x["y"]), tracking)
         return (*e, e[1] / e[2] if e[2] else 0.0)
 
     return by_cell(pixels, [], "angle double, major double, minor double, ar double", f)
@@ -211,7 +241,7 @@ def ellipses(pixels: DataFrame, tracking: bool = True) -> DataFrame:
 def convexity(pixels: DataFrame) -> DataFrame:
     """frame, label, convexity: pixels over pixels of the filled hull of the first contour."""
 
-    def f(x: pd.DataFrame) -> tuple:
+    def f(x: dict[str, np.ndarray]) -> tuple:
         c, mask, *_ = _first_contour(x)
         h = hull(c)
         return (float(mask.sum() / filled(h, mask.shape).sum()),)
@@ -236,13 +266,14 @@ def interior_of(mask: np.ndarray, values: np.ndarray, least: float = 0.2, most:
     The threshold is Otsu's, then four fifths of the one before while nothing is found and it is at least 1, then the mean."""
     n, inside = int(mask.sum()), values[mask]
     empty = np.zeros_like(mask)
-    if not n or inside.max() == inside.min():
+    if not n or (low := inside.min()) == (high := inside.max()):
         return empty, []
-    eight = np.where(mask, (np.clip((values - inside.min()) / (inside.max() - inside.min()), 0, 1) * 255).astype(np.int64), -1)
+    eight = np.full(mask.shape, -1)
+    eight[mask] = np.clip((inside - low) / (high - low), 0, 1) * 255
 
     def found(t: float) -> tuple[np.ndarray, list[np.ndarray]]:
         out, outlines = empty.copy(), []
-        for part in components(mask & (eight >= t)):
+        for part in components(mask & (eight >= t), int(n * least)):
             c = trace(part)
             if int(n * least) <= shoelace(c) <= int(n * most):
                 outlines.append(c)
@@ -250,6 +281,8 @@ def interior_of(mask: np.ndarray, values: np.ndarray, least: float = 0.2, most:
         return out, outlines
 
     t = float(otsu_of(eight[mask]))
+    if np.ptp(np.flatnonzero(mask.any(axis=1))) * np.ptp(np.flatnonzero(mask.any(axis=0))) < int(n * least):
+        return empty, []  # a line has no room for such an outline, whatever the threshold
     out, outlines = found(t)
     while not outlines and t >= 1:
         t *= 0.8
@@ -260,8 +293,8 @@ def interior_of(mask: np.ndarray, values: np.ndarray, least: float = 0.2, most:
 def interiors(pixels: DataFrame, value: str = "ac") -> DataFrame:
     """frame, label, y, x of interior pixels, for labels.interior_features()."""
 
-    def f(x: pd.DataFrame) -> list[tuple]:
-        ys, xs = x["y"].to_numpy(), x["x"].to_numpy()
+    def f(x: dict[str, np.ndarray]) -> list[tuple]:
+        ys, xs = x["y"], x["x"]
         mask, y0, x0 = grid(ys, xs)
         values = np.zeros(mask.shape)
         values[ys - y0, xs - x0] = x[value]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +21,20 @@ def shapes(pixels: DataFrame) -> DataFrame:
     """frame, label, angle, major, minor of the measuring ellipse, ar of the tracking one; interior_area, interior_mean (null without an interior), contour_mean; total, interior: the closed contour of the cell and those
     of its interior parts. One grouping of the pixels gives all."""
 
-    def points(c: np.ndarray, y0: int, x0: int) -> list[dict]:
-        return [{"x": int(x) + x0, "y": int(y) + y0} for x, y in np.concatenate([c, c[:1]])]
+    def points(c: np.ndarray, y0: int, x0: int) -> list[tuple[int, int]]:
+        return [(x + x0, y + y0) for x, y in [*c.tolist(), *c[:1].tolist()]]
 
-    def f(x: pd.DataFrame) -> tuple:
-        ys, xs = x["y"].to_numpy(), x["x"].to_numpy()
+    def f(x: dict[str, np.ndarray]) -> tuple:
+        ys, xs = x["y"], x["x"]
         mask, y0, x0 = geometry.grid(ys, xs)
         values = np.zeros(mask.shape)
         values[ys - y0, xs - x0] = x["ac"]
         contour = geometry.trace(mask)
         found, inner = geometry.interior_of(mask, values)
         inside, rest = values[found & mask], values[mask & ~found]
-        _, major, minor = geometry.ellipse_of(contour, len(x), True)
+        (_, major, minor), measured = geometry.ellipses_of(contour, len(ys))
         return (
-            *geometry.ellipse_of(contour, len(x), False),
+            *measured,
             major / minor if minor else 0.0,
             len(inside),
             float(inside.mean()) if len(inside) else None,

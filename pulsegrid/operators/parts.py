@@ -30,7 +30,9 @@ def of_tile(tile: int) -> list[Column]:
 def run_labels(mask: np.ndarray) -> np.ndarray:
     """Labels from 1 of the 8-connected parts of a mask, in row order of their first pixels: runs of each row are joined with those that they touch in the next."""
     h, w = mask.shape
-    edges = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    padded = np.zeros((h, w + 2), np.int8)
+    padded[:, 1:-1] = mask
+    edges = padded[:, 1:] - padded[:, :-1]
     row, start = np.nonzero(edges == 1)
     stop = np.nonzero(edges == -1)[1]
     wide = w + 2
@@ -48,9 +50,10 @@ def run_labels(mask: np.ndarray) -> np.ndarray:
         for j in range(a, b):
             p, q = top(i), top(j)
             up[max(p, q)] = min(p, q)
-    _, part = np.unique([top(i) for i in range(len(row))], return_inverse=True) if len(row) else (None, np.zeros(0, int))
+    tops = np.array([top(i) for i in range(len(row))], np.int64)
+    number = np.cumsum(tops == np.arange(len(row)))  # a part's top is its first run
     out = np.zeros(h * w, np.int64)
-    out[mask.ravel()] = np.repeat(part + 1, stop - start)
+    out[mask.ravel()] = np.repeat(number[tops], stop - start)
     return out.reshape(h, w)
 
 

@@ -378,3 +378,66 @@ def test_moments_of_odd_places(spark):
     assert {k: got[k] for k in want} == want
     half = p.filter("label in (1, 2, 3)").withColumn("y", F.col("y") / 2).withColumn("x", F.col("x") / 2)
     assert shapes(half)[2] == (2.23607, 0.0, 90.0)
+
+
+def test_interiors_of_speckled_cells(monkeypatch):
+    """Parts without room for an outline of the least area are not walked around, and what is found stays the same."""
+    import numpy as np
+
+    rng, walks, trace = np.random.default_rng(8), [], geometry.trace
+    monkeypatch.setattr(geometry, "trace", lambda mask: walks.append(mask) or trace(mask))
+
+    def plain(mask, values):
+        n, inside = int(mask.sum()), values[mask]
+        eight = np.where(mask, (np.clip((values - inside.min()) / (inside.max() - inside.min()), 0, 1) * 255).astype(np.int64), -1)
+
+        def found(t):
+            out, outlines = np.zeros_like(mask), [c for c in map(trace, geometry.components(mask & (eight >= t))) if int(n * 0.2) <= geometry.shoelace(c) <= n]
+            for c in outlines:
+                out |= geometry.filled(c, mask.shape)
+            return out, outlines, len(geometry.components(mask & (eight >= t)))
+
+        t, all_ = float(geometry.otsu_of(eight[mask])), 0
+        out, outlines, parts_ = found(t)
+        all_ += parts_
+        while not outlines and t >= 1:
+            t *= 0.8
+            out, outlines, parts_ = found(t)
+            all_ += parts_
+        return (out, outlines, all_) if outlines else (*found(float(eight[mask].mean()))[:2], all_)
+
+    seen = 0
+    for k in range(40):
+        side = int(rng.integers(4, 30))
+        mask = np.zeros((side + 2, side + 2), bool)
+        mask[1:-1, 1:-1] = rng.random((side, side)) < (0.5, 0.8, 1.0)[k % 3]
+        mask[1, 1:3] = True
+        if k % 5 == 0:
+            mask[2:] = False  # a line
+        values = np.where(mask, rng.random(mask.shape) * 9 + np.arange(side + 2), 0.0)
+        out, outlines, parts_ = plain(mask, values)
+        got, lines = geometry.interior_of(mask, values)
+        seen += parts_
+        assert (got == out).all() and [c.tolist() for c in lines] == [c.tolist() for c in outlines]
+    assert len(walks) < seen / 4
+    flat = np.pad(np.ones((3, 3), bool), 1)
+    assert geometry.interior_of(flat, flat * 2.0)[1] == [] and not geometry.interior_of(flat & False, flat * 2.0)[0].any()
+
+
+def test_cells_over_batches(spark):
+    """Cells that reach over batches, rows that come twice, labels that are null, and no rows at all."""
+    p = drawn(spark)
+    odd = p.unionByName(p.filter("y % 5 = 0")).unionByName(p.limit(9).withColumn("label", F.lit(None).cast("long")))
+    flat = lambda x: sorted(map(repr, x.collect()))
+    want, wide = flat(measure.shapes(odd)), flat(geometry.contours(odd))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert flat(measure.shapes(odd)) == want and flat(geometry.contours(odd)) == wide
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(want) == len(wide) == 9
+    assert measure.shapes(p.limit(0)).count() == 0
+    one = measure.shapes(spark.createDataFrame([(0, 5, 6, 1, 3.0)], "frame int, y int, x int, label int, ac double")).first()
+    assert (one.major, one.minor, one.ar, one.interior_area, one.interior_mean, one.contour_mean) == (1.0, 1.0, 1.0, 0, None, 3.0)
+    assert [tuple(q) for q in one.total] == [(6, 5), (6, 5)] and one.interior == []
