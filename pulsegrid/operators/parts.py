@@ -23,8 +23,10 @@ def pieces(spark: SparkSession, pixels: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + pixels // PIECE)
 
 
-def of_tile(tile: int) -> list[Column]:
-    return [F.floor(F.col(c) / tile).cast("long").alias(f"_t{c}") for c in "yx"]
+def of_tile(tile: int) -> Column:
+    """_tile: one number for a pixel's tile, so that rows that are dealt and sorted by it are short."""
+    ty, tx = [F.floor(F.col(c) / tile).cast("long") for c in "yx"]
+    return (ty * (1 << 32) + tx).alias("_tile")
 
 
 def run_labels(mask: np.ndarray) -> np.ndarray:
@@ -57,16 +59,16 @@ def run_labels(mask: np.ndarray) -> np.ndarray:
     return out.reshape(h, w)
 
 
-def labelled(pixels: DataFrame, on: str, keys: tuple[str, ...] = ("frame",), label: str = "label", tile: int = 512, n: int | None = None) -> DataFrame:
+def labelled(pixels: DataFrame, on: str, keys: tuple[str, ...] = ("frame",), label: str = "label", tile: int = 512, n: int | None = None, dealt: bool = False) -> DataFrame:
     """pixels(keys…, y, x, on, …) with a label: 0 where `on` is false, and from 1 for the connected parts of each image, in row order of their first pixels.
 
-    They are dealt to n tasks, pieces() of their number unless given; no more than a tile's pixels share a key."""
+    They are dealt to n tasks, pieces() of their number unless given; no more than a tile's pixels share a key. dealt: they have the column of of_tile(tile) and are partitioned by it and the keys already, so that they aren't moved again."""
     keys = [*keys]
-    kinds = T.StructType([*pixels.schema.fields, T.StructField("_first", T.LongType()), T.StructField("_edge", T.BooleanType())])
+    kinds = T.StructType([*[f for f in pixels.schema.fields if f.name != "_tile"], T.StructField("_first", T.LongType()), T.StructField("_edge", T.BooleanType())])
     columns = [f.name for f in kinds]
 
-    def local(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        ty, tx = key[-2:]
+    def local(x: pd.DataFrame) -> pd.DataFrame:
+        ty, tx = (int(x[k].iat[0]) // tile for k in "yx")
         y, c = x["y"].to_numpy() - ty * tile, x["x"].to_numpy() - tx * tile
         mask = np.zeros((tile, tile), bool)
         mask[y, c] = x[on]
@@ -81,8 +83,8 @@ def labelled(pixels: DataFrame, on: str, keys: tuple[str, ...] = ("frame",), lab
         return x.assign(_first=pd.Series(name[mine], index=x.index).astype("Int64").mask(mine == 0), _edge=rim & (mine > 0))[columns]
 
     n = n or pieces(pixels.sparkSession, pixels.count())
-    x = pixels.select("*", *of_tile(tile)).repartition(n, *keys, "_ty", "_tx").groupBy(*keys, "_ty", "_tx").applyInPandas(local, kinds)
-    x = written(x, "tiles")
+    x = pixels if dealt else pixels.select("*", of_tile(tile)).repartition(n, *keys, "_tile")
+    x = written(x.groupBy(*keys, "_tile").applyInPandas(local, kinds), "tiles")
     rim = x.filter("_edge").select(*keys, "y", "x", "_first")
     steps = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])  # half of the neighbours, since the other half meets from the other side
     out = rim.select(*keys, F.col("_first").alias("a"), "y", "x", F.explode(steps).alias("s")).select(*keys, "a", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
@@ -93,6 +95,6 @@ def labelled(pixels: DataFrame, on: str, keys: tuple[str, ...] = ("frame",), lab
     names = x.filter("_first IS NOT NULL").select(*keys, "_first").distinct().join(joined, [*keys, "_first"], "left").withColumn("_root", F.coalesce("_root", "_first"))
     heads = names.select(*keys, "_root").distinct().withColumn("_number", F.row_number().over(Window.partitionBy(*keys).orderBy("_root")).cast("long"))
     numbers = names.join(heads, [*keys, "_root"]).select(*keys, "_first", "_number")
-    own = [c for c in pixels.columns if c != label]
+    own = [c for c in pixels.columns if c not in (label, "_tile")]
     off, lit = x.filter("_first IS NULL").select(*own, F.lit(0).cast("long").alias(label)), x.filter("_first IS NOT NULL").repartition(n, *keys, "_first").join(numbers, [*keys, "_first"]).select(*own, F.col("_number").alias(label))
     return off.unionByName(lit)

@@ -123,3 +123,26 @@ def test_components_of_any_nodes(spark):
     pair = lambda c: F.struct(F.lit("k").alias("k"), F.col(c).alias("n")).alias(c)
     assert {r.node.n: r.root.n for r in components(df.select(pair("a"), pair("b"))).collect()} == want
     assert components(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_pixels_are_dealt_to_tiles_once(spark, monkeypatch, limit):
+    """What joins a pixel with its tile's limits and what labels the tile share one shuffle, however the join is made; pixels without a frame or place are left out, those without a value are off."""
+    plans, write = {}, parts.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(parts, "written", seen)
+    rows = [(f, y - 4, x, 90.0 if (y // 3 + x // 3) % 3 == 0 else None if x == 1 else 1.0 + x) for f in (0, 3) for y in range(9) for x in range(12)]
+    odd = [(None, 1, 1, 50.0), (0, None, 1, 50.0), (3, 2, None, 50.0)]
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        got = {(r.frame, r.y, r.x): (r.dc, r.label) for r in geometry.segment(spark.createDataFrame([*rows, *odd], "frame long, y long, x long, dc double"), tile=5).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plans["tiles"].count("REPARTITION_BY_NUM") == 1
+    want = by_hand(np.array([[(y // 3 + x // 3) % 3 == 0 for x in range(12)] for y in range(9)]))
+    assert got == {(f, y, x): (dc, want[y + 4, x]) for f, y, x, dc in rows}
