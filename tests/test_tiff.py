@@ -205,3 +205,16 @@ def test_csv_lines_and_times(spark, tmp_path):
     timed = series.withColumn("time", F.col("frame") * 7.5)
     sessions.write_series(timed, ["area"], str(tmp_path / "cell_data.csv"))
     assert {(r.place, r.value) for r in sessions.read_series(spark, str(tmp_path)).filter("feature = 'times'").collect()} == {(0, 0.0), (1, 7.5)}
+
+
+def test_small_pages_share_tasks(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    values = [rng.normal(size=(5, 7)) for _ in range(40)]
+    values[3][2, 2] = np.nan
+    (tmp_path / "v.tif").write_bytes(stored(values))
+    files = {"dc": (str(tmp_path / "v.tif"), "double")}
+    for together, tasks in ((1 << 21, spark.sparkContext.defaultParallelism), (80, 20), (35, 40), (14, 40 * 3)):
+        df = tiff.read_stacks(spark, files, together=together)
+        assert df.rdd.getNumPartitions() == tasks
+        got = {(r.frame, r.y, r.x): repr(r.dc) for r in df.collect()}
+        assert got == {(f, y, x): repr(float(values[f][y, x])) for f in range(40) for y in range(5) for x in range(7)}
